@@ -102,9 +102,28 @@ def quality_flags(black_ratio: Column, mean: Column, stddev: Column) -> Column:
     return F.filter(flags, lambda f: f.isNotNull())
 
 
-def _bands(value: Column, bits: int, count: int) -> list[Column]:
-    cuts = [bits * i // count for i in range(count + 1)]
-    return [F.shiftrightunsigned(value, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
+def _shift(name: str, value: Column, by: Column) -> Column:
+    return F.call_function(name, value, by.cast("int"))
+
+
+def _low_bits(count: Column) -> Column:
+    return _shift("shiftleft", F.lit(1).cast("long"), count) - 1
+
+
+def _bands(value: Column, bits: Column, count: int) -> Column:
+    """``value`` cut into ``count`` runs of bits of near-equal width, lowest first."""
+    def cut(i: Column) -> Column:
+        return F.floor(bits * i / count)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: _shift("shiftrightunsigned", value, cut(i)).bitwiseAND(
+        _low_bits(cut(i + 1) - cut(i))))
+
+
+def _without_band(value: Column, bits: int, count: int, band: Column) -> tuple[Column, Column]:
+    """The bits of ``value`` outside one band, closed up, and how many they are."""
+    low, high = F.floor(band * bits / count), F.floor((band + 1) * bits / count)
+    upper = F.when(high < 64, _shift("shiftleft", _shift("shiftrightunsigned", value, high), low)).otherwise(F.lit(0).cast("long"))
+    return upper.bitwiseOR(value.bitwiseAND(_low_bits(low))), F.lit(bits) - (high - low)
 
 
 def candidate_pairs(frames: DataFrame, job: str, threshold: int = 6, half_bits: int = 32, hot_bucket: int = 2000) -> DataFrame:
@@ -117,19 +136,14 @@ def candidate_pairs(frames: DataFrame, job: str, threshold: int = 6, half_bits:
     bits, count = 2 * half_bits, threshold + 1
     full = F.shiftleft(F.col("hash_hi"), half_bits).bitwiseOR(F.col("hash_lo"))
     hashes = frames.select(job, "hash_hi", "hash_lo").distinct()
-    cuts = [bits * i // count for i in range(count + 1)]
-    rest = []
-    for lo, hi in zip(cuts, cuts[1:]):
-        high = F.shiftleft(F.shiftrightunsigned(full, hi), lo) if hi < 64 else F.lit(0).cast("long")
-        low = full.bitwiseAND(F.lit((1 << lo) - 1))
-        rest.append(F.array(*_bands(high.bitwiseOR(low), bits - (hi - lo), count)))
-    keyed = hashes.select("*", F.array(*_bands(full, bits, count)).alias("_bands"), F.array(*rest).alias("_rest"))
-    keyed = keyed.select(job, "hash_hi", "hash_lo", "_bands", "_rest", F.posexplode("_bands").alias("_band", "_value"))
+    keyed = hashes.withColumn("_bands", _bands(full, F.lit(bits), count)).select(
+        job, "hash_hi", "hash_lo", "_bands", F.posexplode("_bands").alias("_band", "_value"))
     sizes = keyed.groupBy(job, "_band", "_value").agg(F.count(F.lit(1)).alias("_size"))
     keyed = keyed.join(sizes.filter("_size > 1"), [job, "_band", "_value"])
-    sub = F.when(F.col("_size") > hot_bucket, F.element_at("_rest", F.col("_band") + 1))
-    keyed = keyed.select(job, "_band", "_value", "hash_hi", "hash_lo", "_bands", sub.alias("_sub"),
-                         F.posexplode(F.coalesce(sub, F.array(F.lit(0).cast("long")))).alias("_sub_no", "_sub_value"))
+    rest, rest_bits = _without_band(full, bits, count, F.col("_band"))
+    keyed = keyed.withColumn("_sub", F.when(F.col("_size") > hot_bucket, _bands(rest, rest_bits, count)))
+    keyed = keyed.select(job, "_band", "_value", "hash_hi", "hash_lo", "_bands", "_sub",
+                         F.posexplode(F.coalesce("_sub", F.array(F.lit(0).cast("long")))).alias("_sub_no", "_sub_value"))
     left = keyed.select(job, "_band", "_value", "_sub_no", "_sub_value", F.col("hash_hi").alias("hi"), F.col("hash_lo").alias("lo"),
                         F.col("_bands").alias("_lb"), F.col("_sub").alias("_ls"))
     right = keyed.select(job, "_band", "_value", "_sub_no", "_sub_value", F.col("hash_hi").alias("other_hi"),
@@ -204,7 +218,7 @@ def greedy_dedup(frames: DataFrame, job: str, ident: str, order: Sequence[str],
                     F.col("lo").alias("other_lo"), "distance")).checkpoint()
     rank = F.struct(*order)
     leader = F.struct(rank.alias("rank"), F.col(ident).alias("id"), *payload)
-    members = good.select(*key, F.col(ident), *order, *payload)
+    members = good.select(*dict.fromkeys([*key, ident, *order, *payload]))
 
     sizes = members.groupBy(job).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > local_rows).select(job)

@@ -9,7 +9,7 @@ rows are shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,25 +146,57 @@ def _next_starts(thr: np.ndarray, val: np.ndarray) -> np.ndarray:
     return nxt
 
 
-def _block_transfer(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-    """Map from the carried value at entry to the one at exit, as steps (upper bound, exit)."""
-    thr, val = pdf["_thr"].to_numpy("int64"), pdf["_val"].to_numpy("int64")
-    nxt = _next_starts(thr, val)
+def _transfer(thr: np.ndarray, val: np.ndarray) -> tuple[list[int], list[int]]:
+    """The carried value at exit as a step function of the one at entry: (upper bounds, exits)."""
+    nxt = _next_starts(thr, val).tolist()
     n = len(thr)
-    leave = val.copy()
+    leave = val.tolist()
     for p in range(n - 1, -1, -1):
         if nxt[p] < n:
             leave[p] = leave[nxt[p]]
-    steps: list[tuple[int, int]] = []
+    bounds: list[int] = []
+    exits: list[int] = []
     peak = np.maximum.accumulate(thr)
-    records = np.flatnonzero(np.r_[True, peak[1:] > peak[:-1]])
-    for p in records:  # an entry value below thr[p] (and not below earlier records) starts at p
-        bound, out = int(thr[p]), int(leave[p])
-        if steps and steps[-1][1] == out:
-            steps[-1] = (bound, out)
+    for p in np.flatnonzero(np.r_[True, peak[1:] > peak[:-1]]).tolist():
+        # An entry value below thr[p], and not below earlier records, opens its first group at p.
+        if exits and exits[-1] == leave[p]:
+            bounds[-1] = int(thr[p])
         else:
-            steps.append((bound, out))
-    return steps
+            bounds.append(int(thr[p]))
+            exits.append(leave[p])
+    return bounds, exits
+
+
+def _fold(thr: np.ndarray, val: np.ndarray, entry: int) -> list[bool]:
+    nxt = _next_starts(thr, val).tolist()
+    opens = [False] * len(thr)
+    above = np.flatnonzero(thr > entry) if entry != _NONE else (0,)
+    p = int(above[0]) if len(above) else len(thr)
+    while p < len(thr):
+        opens[p] = True
+        p = nxt[p]
+    return opens
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches re-cut so that no group (run of equal keys) spans two; with the group starts and the end."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        if rest is not None:
+            batch = pd.concat([rest, batch], ignore_index=True)
+        if batch.empty:
+            continue
+        changes = np.zeros(len(batch), dtype=bool)
+        changes[0] = True
+        for k in keys:
+            column = batch[k].to_numpy()
+            changes[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(changes)
+        rest = batch.iloc[starts[-1]:]
+        if len(starts) > 1:
+            yield batch.iloc[: starts[-1]], starts
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
 
 
 def carried_groups(df: DataFrame, line: Timeline, threshold: Column, value: Column,
@@ -175,59 +207,52 @@ def carried_groups(df: DataFrame, line: Timeline, threshold: Column, value: Colu
     group; the first row of a part always does. Both are long columns; use ``ALWAYS`` for rows that
     open one in any case. Each block yields its transfer function (a few steps, because chains merge),
     the functions are applied in order per part, then each block is folded with its known entry value.
+    Only the keys and the two numbers go through Python; a block comes back as one row of flags.
     """
-    order = list(line.order)
+    order, keys, part = list(line.order), line.keys, list(line.part)
     rows = df.withColumn(BLOCK, line.block)
-    narrow = rows.select(*line.keys, *order, threshold.cast("long").alias("_thr"),
-                         value.cast("long").alias("_val"))
-    key_fields = [narrow.schema[c] for c in line.keys]
-    order_fields = [narrow.schema[c] for c in order]
-    step_schema = T.StructType([
-        *key_fields,
-        T.StructField("_bounds", T.ArrayType(T.LongType())),
-        T.StructField("_exits", T.ArrayType(T.LongType())),
-    ])
-    keys, part = line.keys, list(line.part)
-
-    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        steps = _block_transfer(pdf)
-        head = pdf.iloc[:1][keys].reset_index(drop=True)
-        return head.assign(_bounds=[[s[0] for s in steps]], _exits=[[s[1] for s in steps]])
-
-    entry_schema = T.StructType([*key_fields, T.StructField("_entry", T.LongType())])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLOCK).reset_index(drop=True)
-        entries, carried = [], _NONE
-        for bounds, exits in zip(pdf["_bounds"], pdf["_exits"]):
-            entries.append(carried)
-            at = int(np.searchsorted(np.asarray(bounds), carried, side="right"))
-            if carried == _NONE:
-                at = 0
-            if at < len(bounds):
-                carried = int(exits[at])
-        return pdf[keys].assign(_entry=entries)
-
-    flag_schema = T.StructType([*key_fields, *order_fields, T.StructField(flag, T.BooleanType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        thr, val = pdf["_thr"].to_numpy("int64"), pdf["_val"].to_numpy("int64")
-        nxt = _next_starts(thr, val)
-        entry = int(pdf["_entry"].iloc[0])
-        opens = np.zeros(len(thr), dtype=bool)
-        above = np.flatnonzero(thr > entry) if entry != _NONE else np.array([0])
-        p = int(above[0]) if len(above) else len(thr)
-        while p < len(thr):
-            opens[p] = True
-            p = int(nxt[p])
-        return pdf[[*keys, *order]].assign(**{flag: opens})
-
-    steps = narrow.groupBy(*keys).applyInPandas(transfer, step_schema)
-    entries = steps.groupBy(*part).applyInPandas(chain, entry_schema)
-    flags = narrow.join(entries, keys).groupBy(*keys).applyInPandas(fold, flag_schema)
-    return rows.join(flags, [*keys, *order]).drop(BLOCK)
+    narrow = rows.select(*keys, *order, threshold.cast("long").alias("_thr"), value.cast("long").alias("_val"))
+    key_fields = [narrow.schema[c] for c in keys]
+    numbers = T.ArrayType(T.LongType())
+
+    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_groups(batches, keys):
+            thr, val = pdf["_thr"].to_numpy("int64"), pdf["_val"].to_numpy("int64")
+            steps = [_transfer(thr[a:b], val[a:b]) for a, b in zip(starts, starts[1:])]
+            yield pdf[keys].iloc[starts[:-1]].assign(_bounds=[s[0] for s in steps], _exits=[s[1] for s in steps])
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, carried = None, _NONE
+        for pdf in batches:
+            entries = []
+            for name, bounds, exits in zip(zip(*[pdf[k] for k in part]) if part else [()] * len(pdf), pdf["_bounds"], pdf["_exits"]):
+                if name != current:
+                    current, carried = name, _NONE
+                entries.append(carried)
+                at = 0 if carried == _NONE else int(np.searchsorted(bounds, carried, side="right"))
+                if at < len(bounds):
+                    carried = int(exits[at])
+            yield pdf[keys].assign(_entry=entries)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_groups(batches, keys):
+            thr, val, entry = (pdf[c].to_numpy("int64") for c in ("_thr", "_val", "_entry"))
+            flags = [_fold(thr[a:b], val[a:b], int(entry[a])) for a, b in zip(starts, starts[1:])]
+            yield pdf[keys].iloc[starts[:-1]].assign(_flags=flags)
+
+    def in_order(frame: DataFrame, by: list[str], then: list[str]) -> DataFrame:
+        spread = frame.repartition(*by) if by else frame.coalesce(1)
+        return spread.sortWithinPartitions(*by, *then)
+
+    steps = in_order(narrow, keys, order).mapInPandas(
+        transfer, T.StructType([*key_fields, T.StructField("_bounds", numbers), T.StructField("_exits", numbers)]))
+    entries = in_order(steps, part, [BLOCK]).mapInPandas(
+        chain, T.StructType([*key_fields, T.StructField("_entry", T.LongType())]))
+    flags = in_order(narrow.join(entries, keys), keys, order).mapInPandas(
+        fold, T.StructType([*key_fields, T.StructField("_flags", T.ArrayType(T.BooleanType()))]))
+    local = Window.partitionBy(*keys).orderBy(*order)
+    placed = rows.withColumn("_at", F.row_number().over(local) - 1).join(flags, keys)
+    return placed.select(*df.columns, F.get("_flags", F.col("_at")).alias(flag))
 
 
 def number_groups(df: DataFrame, line: Timeline, flag: str = "starts_group", name: str = "group_no") -> DataFrame:

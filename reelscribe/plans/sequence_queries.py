@@ -250,20 +250,19 @@ def a1(spark, sf):
 
 
 def event_segments(spark, sf):
-    """Local intervals, each with the whole text of a document: overlapping, gappy segments."""
-    d = v.docs(spark, sf).select(F.col("doc_id").alias("_d"), F.col("text").alias("text_raw"))
-    loc = v.local_intervals(spark, sf).withColumn("_d", F.floor(F.col("event_id") / 10).cast("long")).withColumn("seq", F.col("event_id"))
-    return loc.join(d, "_d").drop("_d")
+    """Documents as segments with the time of the event of the same number: overlapping, gappy segments."""
+    d = v.docs(spark, sf).select(F.col("doc_id").alias("event_id"), F.col("text").alias("text_raw"))
+    return v.local_intervals(spark, sf).join(d, "event_id").withColumn("seq", F.col("event_id"))
 
 
 EVENT_SEG_SQL = v.RANGE_SQL + """,
-src AS (SELECT part_id, event_id AS seq, event_id, start_ms, end_ms, text AS text_raw FROM loc JOIN documents ON doc_id = event_id // 10)"""
+src AS (SELECT part_id, event_id AS seq, event_id, start_ms, end_ms, text AS text_raw FROM loc JOIN documents ON doc_id = event_id)"""
 
 
 @query("a2_asr_quality_report", f"""
 WITH {EVENT_SEG_SQL}, {_ISSUE_SQL}, dur AS (SELECT part_id, range_end + 3600000 AS duration FROM rng),
 cl AS (SELECT part_id, event_id, greatest(start_ms, 0) AS a, least(end_ms, duration) AS b FROM src JOIN dur USING (part_id) WHERE least(end_ms, duration) >= greatest(start_ms, 0)), {UNION_SQL}, {_QUALITY_SQL},
-{_REACH_SQL}, gl AS (SELECT part_id, count(*) FILTER (WHERE gap_end - gap_start >= 2000) AS gap_count, CAST(max(greatest(0, gap_end - gap_start)) AS BIGINT) AS max_gap FROM g GROUP BY part_id),
+{_REACH_SQL.replace("FROM loc", "FROM src").replace("max(range_end) AS gap_start, max(range_end) + 3600000 FROM rng", "max(end_ms) AS gap_start, max(range_end) + 3600000 FROM rng JOIN src USING (part_id)")}, gl AS (SELECT part_id, count(*) FILTER (WHERE gap_end - gap_start >= 2000) AS gap_count, CAST(max(greatest(0, gap_end - gap_start)) AS BIGINT) AS max_gap FROM g GROUP BY part_id),
 mt AS (SELECT part_id, unnest(generate_series(start_ms // 3600000, CAST(ceil(end_ms / 3600000) AS BIGINT) - 1)) AS m, length(replace(text_raw, ' ', '')) AS w FROM src WHERE end_ms > 0),
 ms AS (SELECT part_id, m, sum(w) AS w FROM mt GROUP BY 1, 2),
 mc AS (SELECT part_id, unnest(generate_series(0, CAST(ceil(duration / 3600000) AS BIGINT) - 1)) AS m FROM dur),

@@ -152,11 +152,17 @@ HALF_BITS = 28
 def hashes(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as 56-bit grid hashes (each value against its right neighbour), plus one perturbed copy per row."""
     e = read(spark, sf, "embeddings")
-    bit = lambda i: F.when(F.col("embedding")[i] > F.col("embedding")[i + 1], F.lit(1)).otherwise(F.lit(0))
-    cells = [(r * 8 + c) for r in range(8) for c in range(7)]
-    half = lambda ids: sum((bit(i).cast("long") * F.lit(1 << (HALF_BITS - 1 - n)) for n, i in enumerate(ids)), F.lit(0).cast("long"))
+
+    def half(first: int) -> Column:
+        """28 bits in grid order from bit ``first``; bit n compares cell (n div 7, n mod 7) with its right neighbour."""
+        def add(acc: Column, n: Column) -> Column:
+            cell = (F.floor(n / 7) * 8 + n % 7).cast("int")
+            return acc * 2 + F.when(F.get("embedding", cell) > F.get("embedding", cell + 1), F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+        return F.aggregate(F.sequence(F.lit(first), F.lit(first + HALF_BITS - 1)), F.lit(0).cast("long"), add)
+
     base = e.select(F.col("label").alias("job_id"), F.col("vec_id").alias("frame_no"), (F.col("vec_id") * 2).alias("t"),
-                    half(cells[:28]).alias("hash_hi"), half(cells[28:]).alias("hash_lo"))
+                    half(0).alias("hash_hi"), half(HALF_BITS).alias("hash_lo"))
     flip = F.expr("shiftleft(1L, cast(frame_no % 9 as int)) - 1L")
     copy = base.select("job_id", (F.col("frame_no") + 1_000_000).alias("frame_no"), (F.col("t") + 1).alias("t"), "hash_hi",
                        F.col("hash_lo").bitwiseXOR(flip).alias("hash_lo"))
