@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from reelscribe.plans import moment_queries, paragraph_queries, sequence_queries, source_queries, text_queries  # noqa: F401
+from reelscribe.plans import (  # noqa: F401
+    correction_queries, moment_queries, paragraph_queries, sequence_queries, source_queries, text_queries)
 from reelscribe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -222,10 +222,10 @@ _SEC = "printf('%d.%03d', {0} // 1000, {0} % 1000)"
 
 
 @query("k5_export_text_layers", f"""
-WITH RECURSIVE {SESSION_SQL}, l AS (SELECT part_id, group_no, start_ms, end_ms, {_TITLE_SQL} AS title, unnest(['raw', 'cleaned', 'corrected']) AS layer, unnest([text_raw, text_clean, upper(text_clean)]) AS txt FROM par)
+WITH RECURSIVE {SESSION_SQL}, l AS (SELECT part_id, group_no, start_ms, end_ms, {_TITLE_SQL} AS title, unnest(['raw', 'cleaned', 'corrected']) AS layer, unnest([text_raw, text_clean, replace(text_clean, ' ', '_')]) AS txt FROM par)
 SELECT part_id, layer, (group_no - 1) // 2 AS chunk, string_agg('[' || {_SEC.format('start_ms')} || '–' || {_SEC.format('end_ms')} || '] ' || title || chr(10) || txt, chr(10) || chr(10) ORDER BY group_no) AS body FROM l GROUP BY 1, 2, 3""")
 def k5(spark, sf):
-    p = paragraphs(spark, sf).withColumn("text_corrected", F.upper("text_clean"))
+    p = paragraphs(spark, sf).withColumn("text_corrected", F.translate("text_clean", " ", "_"))
     return wr.export_text_layers(p, rows=2)
 
 

@@ -18,9 +18,18 @@ TRUSTED_SUFFIXES = (".hdslb.com", ".bilibili.com", ".bilivideo.com")
 ORIGIN_RANK = (("uploader", 0), ("bilibili_ai", 1), ("local_file", 2))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add ``value`` as a column computed once per row.
+
+    A one-element explode keeps the optimizer from copying a costly parse into every later use, which
+    after a second explode would mean one parse of the whole response per exploded item.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def explode_parts(responses: DataFrame, page: int | None = None, first_only: bool = False) -> DataFrame:
     """Archived ``view`` responses (``content``) to one row per part; failures keep a reason."""
-    data = responses.withColumn("_v", F.from_json("content", VIEW))
+    data = once(responses, "_v", F.from_json("content", VIEW))
     reason = (F.when(F.col("_v.code").isNull() | (F.col("_v.code") != 0), "api_error")
               .when(~F.coalesce(F.col("_v.data.bvid").rlike("^BV[0-9A-Za-z]{10}$"), F.lit(False)), "invalid_bvid")
               .when(F.col("_v.data.pages").isNull(), "missing_pages"))
@@ -57,7 +66,7 @@ def is_machine_made(track: Column) -> Column:
 
 def explode_candidates(responses: DataFrame) -> DataFrame:
     """Archived ``player`` responses (``part_id``, ``content``) to caption tracks."""
-    data = responses.withColumn("_v", F.from_json("content", PLAYER))
+    data = once(responses, "_v", F.from_json("content", PLAYER))
     tracks = data.select("part_id", (F.col("_v.code").isNull() | (F.col("_v.code") != 0)).alias("_failed"),
                          F.coalesce("_v.data.need_login_subtitle", F.lit(False)).alias("need_login"),
                          F.posexplode_outer("_v.data.subtitle.subtitles").alias("_i", "_t"))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from reelscribe.functions import text as tx
 from reelscribe.functions import values as vx
+from reelscribe.sources.catalog import once
 
 _LINE_END = r"[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _TIMING = (r"^((?:[0-9]{1,3}:)?[0-9]{2}:[0-9]{2}[,.][0-9]{3})" + tx.WHITESPACE + "*-->" + tx.WHITESPACE +
@@ -73,7 +74,8 @@ def _parse_blocks(files: DataFrame, header: bool) -> DataFrame:
     body = tx.strip(body)
     blocks = F.when(~good, F.array(F.lit(""))).when(body == "", F.array().cast("array<string>")).otherwise(
         F.split(body, r"\n" + tx.WHITESPACE + r"*\n"))
-    rows = files.select("part_id", good.alias("_good"), F.posexplode(blocks).alias("_block_no", "_text"))
+    opened = once(files.select("part_id", F.struct(good.alias("good"), blocks.alias("blocks")).alias("_f0")), "_f", F.col("_f0"))
+    rows = opened.select("part_id", F.col("_f.good").alias("_good"), F.posexplode("_f.blocks").alias("_block_no", "_text"))
     rows = rows.withColumn("_lines", F.split("_text", _LINE_END))
     timed_at = F.array_position(F.transform("_lines", lambda l: F.contains(l, F.lit("-->"))), True).cast("int")
     rows = rows.withColumn("_at", timed_at)
