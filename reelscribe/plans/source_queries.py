@@ -106,7 +106,7 @@ def player_responses(spark, sf):
     url = F.when(k == 0, "").when(k == 1, "https://evil.example.com/x").otherwise(F.concat(F.lit("//i0.hdslb.com/bfs/"), F.col("l_suppkey").cast("string")))
     lan = F.when(F.col("l_returnflag") == "A", "ai-zh").when(F.col("l_returnflag") == "N", "zh-CN").otherwise("en")
     track = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("x"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))).alias("id_str"),
-                     lan.alias("lan"), F.when(F.col("l_linenumber") == 3, "English (AI)").otherwise("plain").alias("lan_doc"), url.alias("subtitle_url"),
+                     lan.alias("lan"), F.when(F.col("l_linenumber") == 3, "English (AI)").otherwise("human").alias("lan_doc"), url.alias("subtitle_url"),
                      F.when(F.col("l_linenumber") == 5, 1).otherwise(0).alias("ai_type"))
     grouped = l.groupBy(F.col("l_partkey").alias("p")).agg(F.collect_list(track).alias("subtitles"))
     body = F.struct(F.lit(0).alias("code"), F.struct((F.col("p") % 2 == 0).alias("need_login_subtitle"), F.struct("subtitles").alias("subtitle")).alias("data"))
@@ -117,7 +117,7 @@ _UPSTREAM_SQL = "CASE WHEN l_linenumber % 2 = 0 THEN 'x' || CAST(l_orderkey AS V
 CANDIDATE_SQL = f"""
 cd AS (SELECT 'part' || CAST(l_partkey AS VARCHAR) AS part_id, 'part' || CAST(l_partkey AS VARCHAR) || '-s' || substr(sha256('{{"id":"' || {_UPSTREAM_SQL} || '","part":"part' || CAST(l_partkey AS VARCHAR) || '"}}'), 1, 16) AS candidate_id,
  CASE WHEN l_returnflag = 'A' OR l_linenumber IN (3, 5) THEN 'bilibili_ai' ELSE 'uploader' END AS source, CASE l_returnflag WHEN 'A' THEN 'ai-zh' WHEN 'N' THEN 'zh-CN' ELSE 'en' END AS language,
- CASE WHEN l_linenumber = 3 THEN 'English (AI)' ELSE 'plain' END AS language_name, CASE WHEN l_suppkey % 6 = 1 THEN 'https://evil.example.com/x' ELSE 'https://i0.hdslb.com/bfs/' || CAST(l_suppkey AS VARCHAR) END AS subtitle_url,
+ CASE WHEN l_linenumber = 3 THEN 'English (AI)' ELSE 'human' END AS language_name, CASE WHEN l_suppkey % 6 = 1 THEN 'https://evil.example.com/x' ELSE 'https://i0.hdslb.com/bfs/' || CAST(l_suppkey AS VARCHAR) END AS subtitle_url,
  l_partkey % 2 = 0 AS need_login, CASE WHEN l_suppkey % 6 = 1 THEN 'untrusted_host' END AS reject_reason FROM lineitem WHERE l_suppkey % 6 <> 0)"""
 
 

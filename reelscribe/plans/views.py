@@ -227,7 +227,7 @@ def _attempts_sql() -> str:
 att AS (
   SELECT user_id AS job_id, {listed}[CAST(event_id % 13 AS BIGINT) + 1] AS stage, CAST(event_id % 13 AS BIGINT) AS stage_no,
          CASE WHEN event_type IN ('view', 'click') THEN 'succeeded' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'skipped' ELSE 'running' END AS status,
-         epoch_us(ts) AS at, event_id,
+         epoch_us(ts) AS "at", event_id,
          CASE WHEN event_id % 17 = 0 THEN 'tool' || CAST(user_id % 2 + CASE WHEN event_id % 34 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS tool
   FROM events)"""
 
