@@ -244,11 +244,14 @@ def carried_groups(df: DataFrame, line: Timeline, threshold: Column, value: Colu
         spread = frame.repartition(*by) if by else frame.coalesce(1)
         return spread.sortWithinPartitions(*by, *then)
 
-    steps = in_order(narrow, keys, order).mapInPandas(
+    # Placed by block once: the transfer pass and the join below read the same shuffle.
+    placed_once = narrow.repartition(*keys)
+    steps = placed_once.sortWithinPartitions(*keys, *order).mapInPandas(
         transfer, T.StructType([*key_fields, T.StructField("_bounds", numbers), T.StructField("_exits", numbers)]))
     entries = in_order(steps, part, [BLOCK]).mapInPandas(
         chain, T.StructType([*key_fields, T.StructField("_entry", T.LongType())]))
-    flags = in_order(narrow.join(entries, keys), keys, order).mapInPandas(
+    # The explicit repartition after the join stays: a join may be split for skew, a block must not be.
+    flags = in_order(placed_once.join(entries, keys), keys, order).mapInPandas(
         fold, T.StructType([*key_fields, T.StructField("_flags", T.ArrayType(T.BooleanType()))]))
     local = Window.partitionBy(*keys).orderBy(*order)
     placed = rows.withColumn("_at", F.row_number().over(local) - 1).join(flags, keys)

@@ -13,11 +13,11 @@ from reelscribe.operators import reports as rp
 from reelscribe.operators import timeline as tl
 from reelscribe.plans import views as v
 from reelscribe.plans.registry import query
+from reelscribe.session import stage_table
 from reelscribe.sources import writers as wr
 
 
-def _boundaries(spark, sf):
-    s = v.segments(spark, sf, ids=False)
+def _boundaries(s):
     durations = s.groupBy("part_id").agg(F.max("end_ms").alias("duration"))
     marks = durations.withColumn("boundary", F.explode(F.sequence(F.lit(25_000).cast("long"), F.col("duration") + 50_000, F.lit(25_000).cast("long"))))
     return marks.select("part_id", "boundary"), durations
@@ -33,16 +33,17 @@ walk AS (
   FROM walk w JOIN seg s ON s.part_id = w.part_id AND s.seq = w.seq + 1 JOIN d ON d.part_id = s.part_id)
 SELECT part_id, seq, group_no FROM walk""")
 def w14(spark, sf):
-    marks, durations = _boundaries(spark, sf)
+    s = stage_table(v.segments(spark, sf, ids=False))
+    marks, durations = _boundaries(s)
     line = tl.by_position(["part_id"], "seq", 3)
-    return pg.group_by_boundaries(v.segments(spark, sf, ids=False), line, marks, durations).select("part_id", "seq", "group_no")
+    return pg.group_by_boundaries(s, line, marks, durations).select("part_id", "seq", "group_no")
 
 
 SESSION_LINE = tl.by_position(["part_id"], "seq", 3)
 
 
 def sessions(spark, sf):
-    s = v.segments(spark, sf).withColumn("text_clean", tx.clean_text(F.col("text_raw")))
+    s = stage_table(v.segments(spark, sf).withColumn("text_clean", tx.clean_text(F.col("text_raw"))))
     return pg.sessionize_paragraphs(s, SESSION_LINE, closes_after=F.col("text_raw").endswith("."))
 
 
@@ -64,8 +65,9 @@ def w15(spark, sf):
     return sessions(spark, sf).select("part_id", "seq", "group_no")
 
 
-def paragraphs(spark, sf):
-    return pg.build_paragraphs(sessions(spark, sf), max_packet=5)
+def paragraphs(spark, sf, reused=False):
+    p = pg.build_paragraphs(sessions(spark, sf), max_packet=5)
+    return stage_table(p) if reused else p
 
 
 _TITLE_SQL = "coalesce(nullif(regexp_replace(substr(text_clean, 1, 22), '[，。！？；：]+$', ''), ''), '新增课程段落')"
@@ -133,7 +135,7 @@ def a4(spark, sf):
 WITH RECURSIVE {SESSION_SQL}, r AS (SELECT part_id, printf('P%04d', least(5, start_ms // 300000 + 1)) AS packet_id, part_no % 5 <> 0 AS ok, part_no % 3 <> 0 AS time_ok FROM par)
 SELECT packet_id, count(*) AS sample_count, count(*) FILTER (WHERE NOT ok) AS raw_changed, count(*) FILTER (WHERE NOT time_ok) AS time_wrong FROM r GROUP BY packet_id""")
 def a15(spark, sf):
-    p = paragraphs(spark, sf)
+    p = paragraphs(spark, sf, reused=True)
     n = F.col("part_id").cast("long")
     tampered = p.withColumns({"text_raw": F.when(n % 5 == 0, F.concat("text_raw", F.lit("!"))).otherwise(F.col("text_raw")),
                               "end_ms": F.when(n % 3 == 0, F.col("end_ms") + 1).otherwise(F.col("end_ms"))})
@@ -153,7 +155,7 @@ FRAMES_SQL = v.MOM_SQL + ", fr AS (SELECT CAST(job_id AS VARCHAR) AS part_id, ev
 
 
 def evidence(spark, sf):
-    p = paragraphs(spark, sf).withColumn("text_corrected", F.col("text_clean")).withColumn("part_no", F.col("part_id").cast("long"))
+    p = paragraphs(spark, sf, reused=True).withColumn("text_corrected", F.col("text_clean")).withColumn("part_no", F.col("part_id").cast("long"))
     hits = iv.point_in_interval(frames_of_parts(spark, sf), p.select("part_id", "paragraph_id", "start_ms", "end_ms"), ["part_id"], "t", "start_ms", "end_ms", 60_000)
     counts = hits.groupBy("part_id", "paragraph_id").agg(F.count(F.lit(1)).alias("frame_count"), F.count(F.when(F.col("has_cue"), 1)).alias("formula_count"))
     return ev.build_evidence(p, counts.drop("formula_count"), counts.drop("frame_count"), PAR_LINE, "part_no", first=100)
@@ -177,7 +179,7 @@ s AS (SELECT part_id, (group_no - 1) // 2 + 1 AS section_no, min(start_ms) AS st
 SELECT s.part_id, printf('SEC%04d', section_no) AS section_id, 'section ' || CAST(section_no AS VARCHAR) AS title, start_ms, end_ms, paragraph_count, summary, coalesce(frame_ids, '') AS frame_ids,
   CASE WHEN med THEN 'medium' ELSE 'high' END AS confidence, printf('H%04d', section_no) AS highlight_id, highlight_paragraph, highlight_evidence FROM s LEFT JOIN fi USING (part_id, section_no)""")
 def j17(spark, sf):
-    e = evidence(spark, sf)
+    e = stage_table(evidence(spark, sf))
     hits = iv.point_in_interval(frames_of_parts(spark, sf), e.select("part_id", "paragraph_id", "start_ms", "end_ms"), ["part_id"], "t", "start_ms", "end_ms", 60_000)
     ids = hits.groupBy("part_id", "paragraph_id").agg(F.collect_set("frame_id").alias("frame_ids"))
     p = e.join(ids, ["part_id", "paragraph_id"], "left").withColumns({
