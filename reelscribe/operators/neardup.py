@@ -213,17 +213,21 @@ def greedy_dedup(frames: DataFrame, job: str, ident: str, order: Sequence[str],
     good = frames.filter("usable")
     key = [job, "hash_hi", "hash_lo"]
     half = candidate_pairs(good, job, threshold, half_bits)
-    edges = half.select(job, F.col("hi").alias("hash_hi"), F.col("lo").alias("hash_lo"), "other_hi", "other_lo", "distance").unionByName(
-        half.select(job, F.col("other_hi").alias("hash_hi"), F.col("other_lo").alias("hash_lo"), F.col("hi").alias("other_hi"),
-                    F.col("lo").alias("other_lo"), "distance")).checkpoint()
+    names = ("hash_hi", "hash_lo", "other_hi", "other_lo")
+    ways = F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(way, names)]) for way in (
+        ("hi", "lo", "other_hi", "other_lo"), ("other_hi", "other_lo", "hi", "lo"))])
+    edges = half.select(job, "distance", F.explode(ways).alias("_e")).select(job, "_e.*", "distance").checkpoint()
     rank = F.struct(*order)
     leader = F.struct(rank.alias("rank"), F.col(ident).alias("id"), *payload)
     members = good.select(*dict.fromkeys([*key, ident, *order, *payload]))
 
     sizes = members.groupBy(job).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > local_rows).select(job)
+    large = sizes.filter(F.col("_n") > local_rows).select(F.col(job).alias(job))
     any_large = not large.isEmpty()
-    leaders = _local_leaders(members.join(large, job, "left_anti") if any_large else members, edges, job, ident, order, payload, protection)
+    small_edges = edges
+    if any_large:
+        small_edges = edges.join(large, job, "left_anti")
+    leaders = _local_leaders(members.join(large, job, "left_anti") if any_large else members, small_edges, job, ident, order, payload, protection)
     leaders = members.join(leaders, [job, ident], "left_semi").select(*key, leader.alias("leader"))
     if any_large:
         leaders = leaders.unionByName(_leaders_by_rounds(
@@ -286,7 +290,8 @@ def _local_leaders(members: DataFrame, edges: DataFrame, job: str, ident: str, o
         return pd.DataFrame(out, columns=[job, ident])
 
     schema = T.StructType([members.schema[job], members.schema[ident]])
-    return members.groupBy(job).cogroup(edges.groupBy(job)).applyInPandas(solve, schema)
+    fresh = edges.select(*[F.col(c).alias(c) for c in edges.columns])
+    return members.groupBy(job).cogroup(fresh.groupBy(job)).applyInPandas(solve, schema)
 
 
 def _leaders_by_rounds(members: DataFrame, edges: DataFrame, key: list[str], leader: Column, rank: Column,

@@ -25,15 +25,14 @@ _SKIPPED_BLOCKS = ("NOTE", "STYLE", "REGION", "X-TIMESTAMP-MAP")
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """One row per file: ``part_id`` (file name without suffix), ``format``, ``content``."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     name = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
-    files = reader.text(path).select(
+    return reader.text(path, wholetext=True).select(
         F.url_decode(F.regexp_replace(name, r"\.[^.]*$", "")).alias("part_id"),
         F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("format"),
         F.col("value").alias("content"))
-    return files
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 Every micro-batch is one call of the batch operator inside ``foreachBatch``. The target is a folder of
 Parquet with one sub-folder per batch, written with overwrite, so a batch that runs again after a lost
-driver replaces its own rows. Rows whose key is already in an earlier batch folder are left out.
+driver replaces its own rows. Rows whose key is already in another batch folder are left out.
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ def append_increment_stream(increments: DataFrame, target: str, checkpoint: str,
                             transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Start the stream; it stops when all files present have been read."""
     schema = increments.schema
+    known = T.StructType([*[schema[k] for k in keys], T.StructField("batch", T.LongType())])
+    # An empty folder, so that the first batch finds a table to compare with.
+    increments.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(f"{target}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(list(keys))
-        if batch_id > 0:
-            seen = (batch.sparkSession.read.option("basePath", target).schema(
-                T.StructType([*[schema[k] for k in keys], T.StructField("batch", T.LongType())])).parquet(target)
-                .filter(F.col("batch") < batch_id).select(*keys))
-            rows = rows.join(seen, list(keys), "left_anti")
+        seen = batch.sparkSession.read.schema(known).parquet(target).filter(F.col("batch") != batch_id).select(*keys)
+        rows = batch.dropDuplicates(list(keys)).join(seen, list(keys), "left_anti")
         rows = transform(rows) if transform else rows
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
