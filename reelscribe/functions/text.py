@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 # The white space class, punctuation map, terms and key names the results depend on.
 WHITESPACE = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
               r"\x{205f}\x{3000}]")
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
 COMPAT_FROM = "﹐﹑﹒︰﹔﹖﹗\ufeff\u200b"
 COMPAT_TO = "，、。：；？！"
 CJK_STOPS = "，。！？；：、"
@@ -60,8 +62,10 @@ def nfc(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Normalised, white-space collapsed text with no blanks around punctuation."""
-    out = F.translate(nfc(text), COMPAT_FROM, COMPAT_TO)
-    out = F.trim(F.regexp_replace(out, WHITESPACE + "+", " "))
+    # One pass maps every kind of blank to a space and the compatibility marks to theirs, and drops
+    # the zero-width characters, so that the expressions below only touch the few places to change.
+    out = F.translate(nfc(text), BLANKS + COMPAT_FROM, " " * len(BLANKS) + COMPAT_TO)
+    out = F.trim(F.regexp_replace(out, " {2,}", " "))
     out = F.regexp_replace(out, f" ([{CJK_STOPS},.!?;:])", "$1")
     return F.regexp_replace(out, f"([{CJK_STOPS}]) ", "$1")
 
@@ -95,7 +99,8 @@ def is_sensitive_name(key: str) -> bool:
 
 
 def mask_inline(text: Column) -> Column:
-    return F.regexp_replace(text, "(?iu)" + INLINE_SECRET, f"$1$2$3$4$5{MASK}$7")
+    masked = F.regexp_replace(text, "(?iu)" + INLINE_SECRET, f"$1$2$3$4$5{MASK}$7")
+    return F.when(text.rlike("[:=]"), masked).otherwise(text)
 
 
 def redact_text(text: Column) -> Column:
@@ -121,10 +126,8 @@ def casefold(text: Column) -> Column:
 
 def term_key(text: Column, dashes: bool = False) -> Column:
     """Case-folded key with blanks collapsed; ``dashes`` also reads '-' as a blank."""
-    out = casefold(text)
-    if dashes:
-        out = F.translate(out, "-", " ")
-    return F.trim(F.regexp_replace(out, WHITESPACE + "+", " "))
+    blanks = BLANKS + ("-" if dashes else "")
+    return F.trim(F.regexp_replace(F.translate(casefold(text), blanks, " " * len(blanks)), " {2,}", " "))
 
 
 def sorted_matches(text: Column, pattern: str) -> Column:

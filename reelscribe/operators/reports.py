@@ -67,9 +67,10 @@ def transcript_quality_report(segments: DataFrame, line: tl.Timeline, time_line:
 def term_candidates(segments: DataFrame, text: str = "text_raw", cues: Sequence[str] = tx.FORMULA_CUES) -> DataFrame:
     """Latin tokens, numbers or symbols, and cue terms of each row that has any of them."""
     value = F.col(text)
-    out = segments.withColumns({"latin": tx.sorted_matches(value, tx.LATIN_TOKEN), "symbols": tx.sorted_matches(value, tx.NUMBER_OR_SYMBOL),
-                                "cues": tx.cues_in(value, cues)})
-    return out.filter((F.size("latin") > 0) | (F.size("symbols") > 0) | (F.size("cues") > 0)).withColumn("decision", F.lit("pending"))
+    # The row test stops at the first match; the lists are only built for the rows that pass.
+    some = value.rlike(tx.LATIN_TOKEN) | value.rlike(tx.NUMBER_OR_SYMBOL) | (F.size(tx.cues_in(value, cues)) > 0)
+    return segments.filter(some).withColumns({"latin": tx.sorted_matches(value, tx.LATIN_TOKEN), "symbols": tx.sorted_matches(value, tx.NUMBER_OR_SYMBOL),
+                                "cues": tx.cues_in(value, cues), "decision": F.lit("pending")})
 
 
 def cue_totals(segments: DataFrame, text: str = "text_raw", cues: Sequence[str] = tx.FORMULA_CUES) -> DataFrame:
@@ -165,9 +166,10 @@ def reconcile_terms(candidates: DataFrame, linked: DataFrame) -> DataFrame:
     The first occurrence per text is an aggregate joined back, so a text shared by very many rows stays cheap.
     """
     first_fix = linked.groupBy("segment_id").agg(F.concat(F.min_by("decision", "ord"), F.lit("_correction")).alias("_fix"))
-    rows = candidates.withColumn("normalized_term", tx.term_key(F.col("text")))
-    first = rows.groupBy("normalized_term").agg(F.min("ord").alias("_first"))
-    joined = rows.join(first, "normalized_term").join(first_fix, "segment_id", "left")
+    rows = candidates.withColumn("normalized_term", tx.term_key(F.col("text"))).withColumn("_key", F.sha2("normalized_term", 256))
+    # Texts may be long: grouping and joining run on their digest.
+    first = rows.groupBy("_key").agg(F.min("ord").alias("_first"))
+    joined = rows.join(first, "_key").join(first_fix, "segment_id", "left")
     status = (F.when(F.col("_fix").isNotNull(), F.col("_fix")).when(F.col("ord") > F.col("_first"), "duplicate")
               .when(F.col("signals") > 0, "normal_term").otherwise("noise"))
     return joined.select("ord", "segment_id", "normalized_term", status.alias("status"), F.col("_first").alias("group_ord"))
@@ -179,16 +181,17 @@ def merge_glossary(terms: DataFrame, definitions: DataFrame, corrections: DataFr
     terms: ord, term, confidence, aliases, transcript_ids. definitions: ord, term, definition.
     corrections: original_text, suggested_text, applied. starts: segment_id, paragraph_start.
     """
-    keyed = terms.withColumn("key", tx.casefold(F.col("term")))
-    heads = keyed.groupBy("key").agg(F.min_by(F.struct("term", "confidence"), "ord").alias("_h"))
-    aliases = keyed.select("key", F.explode("aliases").alias("a")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("a")).alias("aliases"))
-    cited = keyed.select("key", F.explode("transcript_ids").alias("segment_id")).distinct()
-    evidence = cited.join(starts, "segment_id", "left").groupBy("key").agg(F.count(F.lit(1)).alias("evidence_count"), F.min("paragraph_start").alias("_start"))
+    keyed = terms.select(tx.casefold(F.col("term")).alias("key"), "ord", "term", "confidence", "aliases", F.explode_outer("transcript_ids").alias("segment_id"))
+    # First per (term, segment), combined before the shuffle, then per term: a hot term is a few rows per segment.
+    per_segment = keyed.groupBy("key", "segment_id").agg(F.min_by(F.struct("ord", "term", "confidence"), "ord").alias("_h"), F.collect_set("aliases").alias("_a"))
+    grouped = per_segment.join(starts, "segment_id", "left").groupBy("key").agg(
+        F.min_by("_h", F.col("_h.ord")).alias("_h"), F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set("_a"))))).alias("aliases"),
+        F.count("segment_id").alias("evidence_count"), F.min("paragraph_start").alias("_start"))
     meaning = definitions.groupBy(tx.casefold(F.col("term")).alias("key")).agg(F.max_by("definition", "ord").alias("definition"))
     wrong = corrections.filter("applied").select(tx.casefold(F.col("suggested_text")).alias("key"), "original_text").distinct().groupBy("key").agg(
         F.array_sort(F.collect_list("original_text")).alias("incorrect"))
     none = F.array().cast("array<string>")
-    out = heads.join(aliases, "key", "left").join(evidence, "key", "left").join(meaning, "key", "left").join(wrong, "key", "left")
+    out = grouped.join(meaning, "key", "left").join(wrong, "key", "left")
     english = F.when(F.col("_h.term").rlike(r"^[\x00-\x7f]*$"), F.col("_h.term"))
     return out.select("key", F.col("_h.term").alias("term"), F.col("_h.confidence").alias("confidence"), english.alias("english"),
                       F.coalesce("aliases", none).alias("aliases"), F.coalesce("incorrect", none).alias("incorrect"),

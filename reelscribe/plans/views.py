@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reelscribe.functions import text as tx
 from reelscribe.operators import sequence as sq
 from reelscribe.operators import timeline as tl
+from reelscribe.session import spread
 
 DAY_US = 86_400_000_000
 EVENT_BLOCK_US = 4 * DAY_US
@@ -48,7 +49,7 @@ def sql_timecode(ms: str, sep: str = ".") -> str:
 # ---- segments ------------------------------------------------------------------------------------
 
 def raw_segments(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "conversations")
+    c = spread(read(spark, sf, "conversations"))
     rows = c.select(F.col("conv_id").cast("string").alias("part_id"), F.col("conv_id").alias("part_no"), F.col("turn").alias("seq"),
                     F.col("role").alias("speaker"), F.col("text").alias("text_raw"), (F.length("text") * 64).cast("long").alias("dur_ms"))
     return rows
@@ -236,7 +237,7 @@ ATT_SQL = _attempts_sql()
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def listed(column: Column, sep: str = "|") -> Column:
