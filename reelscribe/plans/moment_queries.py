@@ -29,7 +29,8 @@ merged AS (
 
 
 def merged(spark, sf):
-    return mo.merge_moments(v.moments(spark, sf), v.MOM_LINE, "t", "event_id", TOLERANCE)
+    rows, line = tl.split_hot_blocks(v.moments(spark, sf), v.MOM_LINE)
+    return mo.merge_moments(rows, line, "t", "event_id", TOLERANCE)
 
 
 def _flat(df):

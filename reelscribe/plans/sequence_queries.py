@@ -76,7 +76,8 @@ un AS (SELECT part_id, CAST(sum(z - a) AS BIGINT) AS covered FROM (SELECT part_i
 WITH {v.LOC_SQL}, cl AS (SELECT part_id, event_id, greatest(start_ms, 0) AS a, least(end_ms, 2000000000) AS b FROM loc WHERE least(end_ms, 2000000000) >= greatest(start_ms, 0)),
 {UNION_SQL} SELECT part_id, covered FROM un""")
 def w5(spark, sf):
-    return tl.interval_union_length(v.local_intervals(spark, sf), v.LOC_LINE, "start_ms", "end_ms", F.lit(0), F.lit(2_000_000_000))
+    rows, line = tl.split_hot_blocks(v.local_intervals(spark, sf), v.LOC_LINE)
+    return tl.interval_union_length(rows, line, "start_ms", "end_ms", F.lit(0), F.lit(2_000_000_000))
 
 
 _REACH_SQL = """

@@ -51,17 +51,32 @@ def render_untimed(documents: DataFrame, text: str = "text_clean") -> DataFrame:
                             F.concat(F.lit("[UNTIMED] "), F.col(text)).alias("body"))
 
 
-def write_chunks(chunks: DataFrame, path: str, separator: str = "\n\n") -> None:
-    """Write rendered chunks as text, one folder per part, ordered by chunk inside each file."""
-    (chunks.repartitionByRange("part_id", "chunk").sortWithinPartitions("part_id", "chunk")
-     .select("part_id", F.col("body").alias("value"))
-     .write.mode("overwrite").partitionBy("part_id").option("lineSep", separator).text(path))
+def _layout(df: DataFrame, order: Sequence[str], buckets: int | None) -> tuple[DataFrame, str]:
+    """Rows placed for writing and the folder column: one folder per part, or ``buckets`` folders of parts.
+
+    Folders per part suit some thousands of parts; a corpus of many millions wants buckets.
+    """
+    if buckets is None:
+        placed, folder = df.withColumn("part", F.col("part_id")), "part"
+    else:
+        placed, folder = df.withColumn("bucket", F.pmod(F.xxhash64("part_id"), F.lit(buckets))), "bucket"
+    return placed.repartitionByRange(folder, "part_id", *order).sortWithinPartitions(folder, "part_id", *order), folder
+
+
+def write_chunks(chunks: DataFrame, path: str, separator: str = "\n\n", buckets: int | None = None) -> None:
+    """Write rendered chunks: text files per part in chunk order, or a bucketed Parquet table of chunks."""
+    placed, folder = _layout(chunks, ["chunk"], buckets)
+    if buckets is None:
+        placed.select(folder, F.col("body").alias("value")).write.mode("overwrite").partitionBy(folder).option("lineSep", separator).text(path)
+    else:
+        placed.write.mode("overwrite").partitionBy(folder).parquet(path)
 
 
-def write_segments_jsonl(segments: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """K1: one JSON line per segment, partitioned by part."""
-    lines = segments.select("part_id", vx.canonical_json(columns).alias("value"))
-    lines.write.mode("overwrite").partitionBy("part_id").text(path)
+def write_segments_jsonl(segments: DataFrame, path: str, columns: Sequence[str], buckets: int | None = None) -> None:
+    """K1: one JSON line per segment in row order, in folders per part or in ``buckets`` folders."""
+    lines = segments.select("part_id", "seq", vx.canonical_json(columns).alias("value"))
+    placed, folder = _layout(lines, ["seq"], buckets)
+    placed.select(folder, "value").write.mode("overwrite").partitionBy(folder).text(path)
 
 
 def export_text_layers(paragraphs: DataFrame, rows: int = CUES_PER_CHUNK) -> DataFrame:
@@ -81,20 +96,17 @@ def export_text_layers(paragraphs: DataFrame, rows: int = CUES_PER_CHUNK) -> Dat
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "cue"))), lambda s: s["cue"]), "\n\n").alias("body"))
 
 
-def build_content_manifest(df: DataFrame, group: Sequence[str], columns: Sequence[str], buckets: int = 4096) -> DataFrame:
+def build_content_manifest(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """K6: row count and content digest per group.
 
-    The digest of a group is the digest of its bucket digests, so a group of any size is never one
-    list: rows fall into buckets by the head of their own hash, each bucket lists its sorted hashes.
-    ``buckets`` is part of the digest definition (at most 4096).
+    The digest covers the multiset of row hashes: the eight 32-bit words of each SHA-256 are summed
+    exactly and the sums hashed with the count. Sums combine before the shuffle, so a group of any size
+    is a handful of numbers per task and never a list of hashes.
     """
     hashed = df.select(*group, vx.row_fingerprint(columns).alias("_h"))
-    bucket = F.conv(F.substring("_h", 1, 3), 16, 10).cast("long") % buckets
-    per_bucket = hashed.groupBy(*group, bucket.alias("_b")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    return per_bucket.groupBy(*group).agg(
-        F.sum("_n").alias("row_count"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda s: s["_d"]), ""), 256).alias("digest"))
+    words = [F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_w{i}") for i in range(8)]
+    sums = hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("row_count"), *words)
+    return sums.select(*group, "row_count", F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), *[f"_w{i}" for i in range(8)]), 256).alias("digest"))
 
 
 def assemble_reader_dataset(jobs: DataFrame, children: dict[str, tuple[DataFrame, tl.Timeline]], key: str = "job_id",

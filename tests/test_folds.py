@@ -160,3 +160,16 @@ def test_stable_ids_follow_part_then_row_order(spark, timeline_rows):
     got = {(r.part_id, r.seq): r.segment_id for r in sq.assign_stable_ids(df, tl.by_position(["part_id"], "seq", 7), "part_no", first=11).collect()}
     order = sorted(timeline_rows, key=lambda r: (parts[r[0]], r[1]))
     assert got == {(r[0], r[1]): f"T{i:06d}" for i, r in enumerate(order, 11)}
+
+
+def test_split_hot_blocks_keeps_order_and_results(spark, timeline_rows):
+    df = frame(spark, timeline_rows, SCHEMA)
+    coarse = tl.by_time(["part_id"], "start_ms", "seq", 100_000)
+    rows, line = tl.split_hot_blocks(df, coarse, rows=20)
+    sizes = rows.groupBy("part_id", "_cut").count()
+    assert sizes.filter("part_id = 'hot'").count() > 8
+    cuts = [r["_cut"] for r in rows.filter("part_id = 'hot'").orderBy("start_ms", "seq").collect()]
+    assert cuts == sorted(cuts)
+    plain = tl.scan(df, coarse, max_before={"m": "end_ms"}, row_number="n").select("part_id", "seq", "m", "n")
+    split = tl.scan(rows, line, max_before={"m": "end_ms"}, row_number="n").select("part_id", "seq", "m", "n")
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, split.collect()), key=str)

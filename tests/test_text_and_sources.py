@@ -105,6 +105,17 @@ def test_render_round_trip(spark, tmp_path):
     assert [(r.start_ms, r.end_ms, r.text_raw) for r in back] == [(r[3], r[4], r[5]) for r in rows]
     written = spark.read.text(str(tmp_path / "out"), wholetext=True).collect()
     assert sum(r.value.count("-->") for r in written) == 10
+    wr.write_chunks(chunks, str(tmp_path / "table"), buckets=4)
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 3
+    wr.write_segments_jsonl(s, str(tmp_path / "lines"), ["part_id", "segment_id"], buckets=2)
+    assert spark.read.text(str(tmp_path / "lines")).count() == 10
+
+
+def test_content_manifest_sees_every_change(spark):
+    a = spark.range(100).selectExpr("id % 3 as g", "id as x")
+    digests = lambda d: {r.g: (r.row_count, r.digest) for r in wr.build_content_manifest(d, ["g"], ["x"]).collect()}
+    same, changed = digests(a.repartition(7)), digests(a.withColumn("x", F.when(F.col("x") == 50, 51).otherwise(F.col("x"))))
+    assert digests(a) == same and [g for g in same if same[g] != changed[g]] == [2]
 
 
 def test_records_jsonl(spark, tmp_path):
