@@ -269,8 +269,16 @@ def boundary_audit(packets: DataFrame, members: DataFrame, line: tl.Timeline, pa
     return out.select(part, "left_packet", "right_packet", "boundary", dup.alias("duplicates"), om.alias("omissions"), (dup + om).alias("unresolved"))
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row tables as one row: stacked with nulls, then the only value of each column is taken."""
+    stacked = rows[0]
+    for other in rows[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def release_gate(metrics: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """One-row metrics joined side by side, each rule as a column, and their conjunction as ``result``."""
+    """One row of metrics, each rule as a column, and their conjunction as ``result``."""
     checked = metrics.withColumns({f"ok_{k}": F.coalesce(v, F.lit(False)) for k, v in rules.items()})
     every = F.lit(True)
     for k in rules:

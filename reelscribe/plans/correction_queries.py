@@ -264,10 +264,10 @@ SELECT formula_count, critical_errors, accepted_precision, evidence_errors, crit
  CASE WHEN critical_errors = 0 AND accepted_precision >= 0.95 AND evidence_errors = 0 THEN 'passed' ELSE 'partial' END AS result FROM m, d""")
 def a18(spark, sf):
     a = audits(spark, sf).join(v.docs(spark, sf).select("doc_id"), "doc_id")
-    formulas = rp.formula_audit_summary(a).select(F.lit(1).alias("one"), "formula_count", "critical_errors")
-    precision = rp.audit_precision(a).select(F.lit(1).alias("one"), "accepted_precision")
-    errors = v.read(spark, sf, "lineitem").agg(F.count(F.when(F.col("l_partkey") % 101 == 0, 1)).alias("evidence_errors")).withColumn("one", F.lit(1))
-    metrics = formulas.join(precision, "one").join(errors, "one").drop("one")
+    formulas = rp.formula_audit_summary(a).select("formula_count", "critical_errors")
+    precision = rp.audit_precision(a).select("accepted_precision")
+    errors = v.read(spark, sf, "lineitem").agg(F.count(F.when(F.col("l_partkey") % 101 == 0, 1)).alias("evidence_errors"))
+    metrics = rp.side_by_side(formulas, precision, errors)
     return rp.release_gate(metrics, {"no_critical_errors": F.col("critical_errors") == 0, "precision": F.col("accepted_precision") >= 0.95, "evidence": F.col("evidence_errors") == 0})
 
 

@@ -34,13 +34,13 @@ def _orders(spark, sf):
 
 
 _ORDERS_SQL = f"od AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) AS \"at\", o_orderdate >= TIMESTAMP '{SPLIT}' AS is_new, o_orderstatus FROM orders)"
-ORDER_LINE = tl.Timeline(("one",), ("at", "o_orderkey"), "at", 90 * v.DAY_US)
+ORDER_LINE = tl.Timeline(("year",), ("at", "o_orderkey"), "at", 30 * v.DAY_US)
 
 
 @query("i2_append_increment", f"WITH {_ORDERS_SQL} SELECT o_orderkey, printf('T%06d', row_number() OVER (ORDER BY \"at\", o_orderkey) + 1703) AS segment_id FROM od WHERE is_new")
 def i2(spark, sf):
-    new = _orders(spark, sf).filter("is_new").withColumn("one", F.lit(0).cast("long"))
-    return inc.append_increment(new, ORDER_LINE, "one", 1704, "T", "segment_id").select("o_orderkey", "segment_id")
+    new = _orders(spark, sf).filter("is_new").withColumn("year", F.year(F.timestamp_micros("at")).cast("long"))
+    return inc.append_increment(new, ORDER_LINE, "year", 1704, "T", "segment_id").select("o_orderkey", "segment_id")
 
 
 @query("i2_increment_problems", f"""

@@ -12,6 +12,7 @@ from reelscribe.operators import sequence as sq
 from reelscribe.operators import timeline as tl
 from reelscribe.plans import views as v
 from reelscribe.plans.registry import query
+from reelscribe.session import stage_table
 
 
 @query("w1_assign_stable_ids", f"WITH {v.SEG_SQL} SELECT part_id, seq, segment_id FROM seg")
@@ -49,7 +50,7 @@ walk AS (
   FROM walk w JOIN echo e ON e.part_id = w.part_id AND e.seq = w.seq + 1)
 SELECT segment_id FROM walk WHERE kept""")
 def w2(spark, sf):
-    return sq.collapse_adjacent_duplicates(echoed(spark, sf), ECHO_LINE).select("segment_id")
+    return sq.collapse_adjacent_duplicates(stage_table(echoed(spark, sf)), ECHO_LINE).select("segment_id")
 
 
 @query("w3_report_overlaps", f"""
