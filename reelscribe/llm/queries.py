@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscribe.llm import line_dedup, line_rules
+from reelscribe.llm import line_dedup, line_rules, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -41,3 +41,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     judged = line_rules.judge(table(spark, sf, "documents").select("doc_id", "text"))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")
     return judged.select("doc_id", *(f"judged.{f}" for f in fields))
+
+
+@query("op7_simhash_near_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
