@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscribe.llm import decontaminate, line_dedup, line_rules, packing, simhash
+from reelscribe.llm import chunk_dedup, decontaminate, licenses, line_dedup, line_rules, packing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -65,3 +65,30 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query("op1_license_scans")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf, "documents"))
+    exact = F.filter("spans", lambda x: x["exact"])
+    starts = F.transform(exact, lambda x: x["start"])
+
+    def joined(spans):
+        return F.array_join(F.sort_array(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(exact).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        joined(exact).alias("base_labels"),
+        joined(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda x: x["share"])), F.lit(0.0)).alias("score"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk_dedup.repeats(table(spark, sf, "documents")).drop("text_hash")
