@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscribe.llm import chunk_dedup, decontaminate, licenses, line_dedup, line_rules, packing, simhash
+from reelscribe.llm import chunk_dedup, decontaminate, language, licenses, line_dedup, line_rules, packing, quality_model, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -92,3 +92,18 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_dedup.repeats(table(spark, sf, "documents")).drop("text_hash")
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
