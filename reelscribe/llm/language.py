@@ -32,20 +32,23 @@ LETTER = np.isin(np.arange(256), list(range(0x61, 0x7B))) | (np.arange(256) >= 0
 
 
 def _grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a slice (four bytes each, whatever is no letter as a blank) and the text of each. None spans two texts."""
-    n = len(s.low) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    """The n-grams of a slice (four bytes each, whatever is no letter as a blank) and the text of each. Texts stand between blanks."""
+    owner = np.repeat(np.arange(s.n), np.diff(s.offsets) + 1)  # each text with a blank before it, which also ends the one before
+    plain = np.full(len(s.low) + s.n + 3, 0x20, np.uint32)
     letters = LETTER[s.low]
-    plain = np.where(letters, s.low, np.uint8(0x20)).astype(np.uint32)
+    plain[np.arange(len(s.low)) + np.repeat(np.arange(s.n), np.diff(s.offsets)) + 1] = np.where(letters, s.low, np.uint8(0x20))
+    n = len(owner)
     gram = plain[:n].copy()
     for j in range(1, GRAM):
         gram |= plain[j : j + n] << np.uint32(8 * j)
-    owner = np.repeat(np.arange(s.n), np.diff(s.offsets))
-    some = np.append(0, np.cumsum(letters))
-    # At least three letters' bytes: shorter pieces say little and are in every language.
-    real = (owner[:n] == owner[GRAM - 1 :]) & (some[GRAM:] - some[:n] >= GRAM - 1)
-    return gram[real], owner[:n][real]
+    some = np.append(0, np.cumsum(plain != 0x20))
+    last = np.append(owner, [s.n] * GRAM)[GRAM - 1 : GRAM - 1 + n]
+    heads = np.zeros(n + GRAM, bool)
+    heads[s.offsets[:-1] + np.arange(s.n)] = True
+    heads[n:] = True
+    # Fewer than two letters' bytes say little and are in every language.
+    real = ((owner == last) | (owner + 1 == last) & heads[GRAM - 1 : GRAM - 1 + n]) & (some[GRAM : GRAM + n] - some[:n] >= 2)
+    return gram[real], owner[real]
 
 
 def _slots(gram: np.ndarray) -> list[np.ndarray]:
