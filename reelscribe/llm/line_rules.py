@@ -28,7 +28,7 @@ BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "javascript is disabled",
     "enable javascript", "lorem ipsum", "click here", "sign up for our newsletter", "subscribe to our newsletter", "skip to content",
 )
-SENTENCE_END = r"""[.!?…:;。！？]["'”’»)\]]*$"""
+SENTENCE_END = r"""[.!?…:;。！？]["'”’»)\]]*\z"""
 MENU_PATTERN = r"(?:[|»›•·][^|»›•·]*){%d}" % MENU_MARKS
 AT_LEAST_SHORT_LINE = r"^(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (SHORT_LINE - 1)
 

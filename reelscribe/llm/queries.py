@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscribe.llm import chunk_dedup, decontaminate, language, licenses, line_dedup, line_rules, packing, quality_model, simhash, toxicity
+from reelscribe.llm import chunk_dedup, decontaminate, language, licenses, line_dedup, line_rules, packing, quality_model, simhash, toxicity, twins
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("op2_line_dedup")
+@query("op2_line_dedup", twins.LINE_DEDUP)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return done.select(
@@ -36,7 +36,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", twins.QUALITY_RULES)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     judged = line_rules.judge(table(spark, sf, "documents").select("doc_id", "text"))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")
@@ -49,7 +49,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op3_benchmark_decontamination")
+@query("op3_benchmark_decontamination", twins.DECONTAMINATION)
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
     return found.select(
@@ -67,7 +67,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
-@query("op1_license_scans")
+@query("op1_license_scans", twins.LICENCES)
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     found = licenses.scan(table(spark, sf, "documents"))
     exact = F.filter("spans", lambda x: x["exact"])
