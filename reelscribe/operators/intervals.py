@@ -70,9 +70,11 @@ def assign_by_max_overlap(items: DataFrame, sections: DataFrame, on: Sequence[st
     return items.join(best, [*on, item_id], "left").select(*items.columns, *[F.col(f"_best.{x}").alias(x) for x in carry])
 
 
-def map_to_media(points: DataFrame, media: DataFrame, on: Sequence[str], at: str, horizon: int, bin_size: int) -> DataFrame:
-    """Media part and local time of an absolute time; the last part (null end) is open-ended."""
-    spans = media.withColumn("_end", F.coalesce("timeline_end", F.lit(horizon)))
-    inside = (F.col("timeline_start") <= F.col(at)) & (F.col("timeline_end").isNull() | (F.col(at) < F.col("timeline_end")))
-    hits = overlap_join(points, spans, on, (F.col(at), F.col(at)), (F.col("timeline_start"), F.col("_end")), inside, bin_size)
-    return hits.withColumn("local_time", F.col(at) - F.col("timeline_start")).drop("_end")
+def map_to_media(points: DataFrame, media: DataFrame, on: Sequence[str], at: str, bin_size: int) -> DataFrame:
+    """Media part and local time of an absolute time; the last part (null end) is open-ended.
+
+    Closed parts are met in their bins. An open part has no last bin: it meets the points of its own keys, however late.
+    """
+    closed = point_in_interval(points, media.filter("timeline_end IS NOT NULL"), on, at, "timeline_start", "timeline_end", bin_size)
+    late = points.join(media.filter("timeline_end IS NULL"), list(on)).filter(F.col("timeline_start") <= F.col(at))
+    return closed.unionByName(late).withColumn("local_time", F.col(at) - F.col("timeline_start"))

@@ -8,7 +8,8 @@ by joining them with the one leader of their hash.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from reelscribe.functions import text as tx
 from reelscribe.operators import timeline as tl
-from reelscribe.session import ensure_checkpoint_dir
+from reelscribe.session import stage_table
 
 # Thresholds of the frame measures.
 BLACK_LUMA, BLACK_RATIO, DARK_MEAN, FLAT_STDDEV = 16, 0.97, 24.0, 6.0
@@ -27,19 +28,47 @@ CHANGE_LUMA, CONTRAST_LUMA, EDGE_LUMA = 16, 64, 24
 
 def _edges(grey: np.ndarray) -> np.ndarray:
     """3x3 edge filter: eight times the centre minus its neighbours, clipped; the border is kept as is."""
-    out = grey.astype(np.int64).copy()
+    out = grey.astype(np.int32)
     if min(grey.shape) > 2:
-        g = grey.astype(np.int64)
-        box = sum(g[1 + dy:g.shape[0] - 1 + dy, 1 + dx:g.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1))
-        out[1:-1, 1:-1] = np.clip(9 * g[1:-1, 1:-1] - box, 0, 255)
+        rows = out[:-2] + out[1:-1] + out[2:]
+        box = rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]
+        out[1:-1, 1:-1] = np.clip(9 * out[1:-1, 1:-1] - box, 0, 255)
     return out
 
 
-def _shrink(grey: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Area mean over a ``height`` x ``width`` grid (cells split at integer bounds)."""
-    ys = np.arange(height + 1) * grey.shape[0] // height
-    xs = np.arange(width + 1) * grey.shape[1] // width
-    return np.array([[grey[a:max(b, a + 1), c:max(d, c + 1)].mean() for c, d in zip(xs, xs[1:])] for a, b in zip(ys, ys[1:])])
+# A windowed sinc of three lobes, its weights rounded to this many bits.
+LOBES, WEIGHT_BITS = 3, 22
+
+
+@lru_cache(maxsize=64)
+def resampling_weights(size: int, target: int) -> np.ndarray:
+    """Integer weights (target, size) of an antialiasing resampling with a Lanczos window."""
+    if size == target:
+        return np.eye(size, dtype=np.int64) << WEIGHT_BITS
+    scale = size / target
+    wide = max(scale, 1.0)
+    out = np.zeros((target, size))
+    for i in range(target):
+        centre = (i + 0.5) * scale
+        x = np.arange(max(0, int(centre - LOBES * wide + 0.5)), min(size, int(centre + LOBES * wide + 0.5)))
+        at = (x - centre + 0.5) / wide
+        kernel = np.where(np.abs(at) < LOBES, np.sinc(at) * np.sinc(at / LOBES), 0.0)
+        out[i, x] = kernel / kernel.sum()
+    scaled = out * (1 << WEIGHT_BITS)
+    return np.trunc(scaled + np.copysign(0.5, scaled)).astype(np.int64)
+
+
+def resample(grey: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Rows first, then columns, each pass rounded to 0..255: two matrix products."""
+    half = 1 << (WEIGHT_BITS - 1)
+    flat = np.clip((grey.astype(np.int64) @ resampling_weights(grey.shape[1], width).T + half) >> WEIGHT_BITS, 0, 255)
+    return np.clip((resampling_weights(grey.shape[0], height) @ flat + half) >> WEIGHT_BITS, 0, 255)
+
+
+def _image(pixels, width: int, height: int) -> np.ndarray:
+    """Grey values from bytes (one per pixel) or from a list of numbers."""
+    flat = np.frombuffer(pixels, np.uint8) if isinstance(pixels, (bytes, bytearray)) else np.asarray(pixels, np.uint8)
+    return flat.reshape(int(height), int(width))
 
 
 METRICS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("black_ratio", "mean_luma", "luma_stddev", "sharpness")]
@@ -51,8 +80,8 @@ RATIOS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("local", "edge
 def _frame_metrics(luma: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     rows = []
     for pixels, w, h in zip(luma, width, height):
-        grey = np.asarray(pixels, dtype=np.int64).reshape(int(h), int(w))
-        edges, tiny = _edges(grey), _shrink(grey, 9, 8)
+        grey = _image(pixels, w, h)
+        edges, tiny = _edges(grey), resample(grey, 9, 8)
         bits = (tiny[:, :-1] > tiny[:, 1:]).ravel()
         weights = 1 << np.arange(31, -1, -1, dtype=np.int64)
         rows.append((float((grey <= BLACK_LUMA).mean()), float(grey.mean()), float(grey.std()), float(edges.var()),
@@ -61,33 +90,34 @@ def _frame_metrics(luma: pd.Series, width: pd.Series, height: pd.Series) -> pd.D
 
 
 def frame_metrics(luma: Column, width: Column, height: Column) -> Column:
-    """Measures of a decoded grey image (array of 0..255). The 9x8 reduction is an area mean."""
+    """Measures of a decoded grey image (bytes, or an array of 0..255)."""
     return _frame_metrics(luma, width, height)
 
 
-def change_counts(left: np.ndarray, right: np.ndarray, width: int, height: int) -> tuple[int, int, int]:
-    a = np.asarray(left, dtype=np.int64).reshape(height, width)
-    b = np.asarray(right, dtype=np.int64).reshape(height, width)
-    delta = np.abs(a - b)
+def change_counts(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Pixels with a change, an edge change, a high-contrast change; the second image is resampled to the size of the first."""
+    if a.shape != b.shape:
+        b = resample(b, a.shape[1], a.shape[0])
+    delta = np.abs(a.astype(np.int32) - b)
     edge = np.abs(_edges(a) - _edges(b))
     return int((delta >= CHANGE_LUMA).sum()), int((edge >= EDGE_LUMA).sum()), int((delta >= CONTRAST_LUMA).sum())
 
 
 @F.pandas_udf(RATIOS)
-def _change_ratios(left: pd.Series, right: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+def _change_ratios(left: pd.Series, right: pd.Series, width: pd.Series, height: pd.Series, other_width: pd.Series, other_height: pd.Series) -> pd.DataFrame:
     rows = []
-    for a, b, w, h in zip(left, right, width, height):
+    for a, b, w, h, ow, oh in zip(left, right, width, height, other_width, other_height):
         if a is None or b is None:
             rows.append((None, None, None))
             continue
         total = max(1, int(w) * int(h))
-        rows.append(tuple(n / total for n in change_counts(a, b, int(w), int(h))))
+        rows.append(tuple(n / total for n in change_counts(_image(a, w, h), _image(b, ow, oh))))
     return pd.DataFrame(rows, columns=["local", "edge", "contrast"], dtype="float64")
 
 
-def pair_change_ratios(left: Column, right: Column, width: Column, height: Column) -> Column:
-    """Shares of pixels with a change, an edge change, a high-contrast change."""
-    return _change_ratios(left, right, width, height)
+def pair_change_ratios(left: Column, right: Column, width: Column, height: Column, other_width: Column | None = None, other_height: Column | None = None) -> Column:
+    """Shares of pixels with a change, an edge change, a high-contrast change. The second image may have a size of its own."""
+    return _change_ratios(left, right, width, height, width if other_width is None else other_width, height if other_height is None else other_height)
 
 
 def hamming(hi: Column, lo: Column, other_hi: Column, other_lo: Column) -> Column:
@@ -162,7 +192,7 @@ def candidate_pairs(frames: DataFrame, job: str, threshold: int = 6, half_bits:
 
 @dataclass(frozen=True)
 class Protection:
-    """What keeps a frame although it resembles a kept one. Ratios need ``luma``, ``width``, ``height``."""
+    """What keeps a frame although it resembles a kept one. Ratios need ``luma``, ``width``, ``height`` of the frames."""
 
     time_gap: int = 20_000
     scene_score: float = 0.45
@@ -175,152 +205,115 @@ class Protection:
         found = [F.when(frame["protected_cue"], "protected_subtitle_cue"),
                  F.when(F.abs(frame["t"] - kept["t"]) >= self.time_gap, "time_interval")]
         if self.pixels:
-            change = pair_change_ratios(frame["luma"], kept["luma"], frame["width"], frame["height"])
+            change = F.col("_change")
             found += [F.when(change["local"] >= self.local_ratio, "local_pixel_change"),
                       F.when(change["edge"] >= self.edge_ratio, "edge_change"),
                       F.when(change["contrast"] >= self.contrast_ratio, "high_contrast_text_change")]
         found.append(F.when(F.coalesce(frame["scene_score"], F.lit(0.0)) >= self.scene_score, "high_scene_score"))
         return F.filter(F.array(*found), lambda r: r.isNotNull())
 
-    def holds(self, frame: dict, kept: dict) -> bool:
-        score = frame["scene_score"]
-        if frame["protected_cue"] or abs(frame["t"] - kept["t"]) >= self.time_gap:
-            return True
-        if score is not None and score == score and score >= self.scene_score:
-            return True
-        if not self.pixels:
-            return False
-        total = max(1, int(frame["width"]) * int(frame["height"]))
-        counts = change_counts(frame["luma"], kept["luma"], int(frame["width"]), int(frame["height"]))
-        return any(n / total >= r for n, r in zip(counts, (self.local_ratio, self.edge_ratio, self.contrast_ratio)))
-
 
 def greedy_dedup(frames: DataFrame, job: str, ident: str, order: Sequence[str], protection: Protection, threshold: int = 6,
-                 half_bits: int = 32, local_rows: int = 50_000, max_rounds: int = 10_000) -> DataFrame:
+                 half_bits: int = 32) -> DataFrame:
     """Best rank first, drop a frame when the nearest kept one within ``threshold`` does not protect it.
 
     ``order`` names columns (ascending, unique in a job). Frames carry ``t``, ``protected_cue`` and
     ``scene_score`` (and ``luma``, ``width``, ``height`` for pixel rules) and ``usable`` (false = dropped for
-    quality). The nearest kept frame is the first kept one at the smallest distance, so per hash only its
+    quality). A ``scene_score`` that is not a number counts as none. The nearest kept frame is the first kept one at the smallest distance, so per hash only its
     *leader*, the first frame kept, can be a canonical, and per (hash, distance) only the best-ranked leader
-    matters: at most ``threshold`` facts per hash. Leaders are found per job in one task for jobs of at most
-    ``local_rows`` frames, and by rounds of joins with checkpoints for larger jobs; then one join decides
-    every frame. Returns the frames with ``action``, ``canonical_id``, ``distance``, ``protection_reasons``.
+    matters: at most ``threshold`` facts per hash. Leaders are found by rounds of joins over all jobs at once, as
+    many as the longest chain of frames that wait for each other, each staged in the shared folder; then one join decides
+    every frame. Pixels do not travel with the rounds: they are joined for the pairs that need them. Returns the frames with ``action``, ``canonical_id``, ``distance``, ``protection_reasons``.
     """
-    spark = frames.sparkSession
-    ensure_checkpoint_dir(spark)
-    payload = ["t", "protected_cue", "scene_score"] + (["luma", "width", "height"] if protection.pixels else [])
+    payload = ["t", "protected_cue", "scene_score"]
+    score = F.col("scene_score").cast("double")
+    frames = frames.withColumn("scene_score", F.when(~F.isnan(score), score))
     good = frames.filter("usable")
     key = [job, "hash_hi", "hash_lo"]
     half = candidate_pairs(good, job, threshold, half_bits)
     names = ("hash_hi", "hash_lo", "other_hi", "other_lo")
     ways = F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(way, names)]) for way in (
         ("hi", "lo", "other_hi", "other_lo"), ("other_hi", "other_lo", "hi", "lo"))])
-    edges = half.select(job, "distance", F.explode(ways).alias("_e")).select(job, "_e.*", "distance").checkpoint()
-    rank = F.struct(*order)
-    leader = F.struct(rank.alias("rank"), F.col(ident).alias("id"), *payload)
-    members = good.select(*dict.fromkeys([*key, ident, *order, *payload]))
-
-    sizes = members.groupBy(job).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > local_rows).select(F.col(job).alias(job))
-    any_large = not large.isEmpty()
-    small_edges = edges
-    if any_large:
-        small_edges = edges.join(large, job, "left_anti")
-    leaders = _local_leaders(members.join(large, job, "left_anti") if any_large else members, small_edges, job, ident, order, payload, protection)
-    leaders = members.join(leaders, [job, ident], "left_semi").select(*key, leader.alias("leader"))
-    if any_large:
-        leaders = leaders.unionByName(_leaders_by_rounds(
-            members.join(large, job, "left_semi"), edges.join(large, job, "left_semi"), key, leader, rank, protection, max_rounds))
-    leaders = leaders.checkpoint()
-
-    steps = _steps(edges, leaders, key)
-    decided = (good.join(leaders.withColumnRenamed("leader", "_own"), key)
-               .join(steps, key, "left").withColumn("_rank", rank))
-    nearest = F.when(F.col("_own.rank") < F.col("_rank"), F.struct(F.lit(0).alias("distance"), F.col("_own").alias("leader"))).otherwise(
-        _nearest(F.col("_steps"), F.col("_rank")))
-    decided = decided.withColumn("_near", nearest)
-    frame = F.struct(*payload)
-    decided = decided.withColumn("protection_reasons", F.when(F.col("_near").isNotNull(), protection.reasons(frame, F.col("_near.leader"))))
-    action = (F.when(F.col("_near").isNull(), "kept").when(F.size("protection_reasons") > 0, "progressive_change_protected")
-              .otherwise("duplicate_drop"))
-    # A hash without any kept frame has no leader row; its frames are all duplicates of other leaders.
-    rest = good.join(leaders, key, "left_anti").join(steps, key, "left").withColumn("_rank", rank).withColumn(
-        "_near", _nearest(F.col("_steps"), F.col("_rank"))).withColumn("protection_reasons", F.array().cast("array<string>"))
-    out = decided.select(*frames.columns, action.alias("action"), F.col("_near.leader.id").alias("canonical_id"),
-                         F.col("_near.distance").alias("distance"), "protection_reasons")
-    out = out.unionByName(rest.select(*frames.columns, F.lit("duplicate_drop").alias("action"), F.col("_near.leader.id").alias("canonical_id"),
-                                      F.col("_near.distance").alias("distance"), "protection_reasons"))
+    edges = stage_table(half.select(job, "distance", F.explode(ways).alias("_e")).select(job, "_e.*", "distance"))
+    leader = F.struct(F.struct(*order).alias("rank"), F.col(ident).alias("id"), *payload)
+    pixels = good.select(job, F.col(ident).alias("_id"), F.struct("luma", "width", "height").alias("_pixels")) if protection.pixels else None
+    leaders = _leaders(good.select(*key, leader.alias("_self")), edges, key, protection, pixels)
+
+    # One join of all leaders decides every frame. A hash without a leader has only duplicates of others.
+    steps = _steps(_facts(edges, leaders, key), key)
+    ranked = good.withColumn("_self", leader).join(leaders.withColumnRenamed("leader", "_own"), key, "left").join(steps, key, "left")
+    own = F.col("_own.rank") < F.col("_self.rank")
+    near = F.when(own, F.struct(F.lit(0).alias("distance"), F.col("_own").alias("leader"))).otherwise(_nearest(F.col("_steps"), F.col("_self.rank")))
+    judged = _with_change(ranked.withColumn("_near", near), pixels, job, F.col("_near").isNotNull())
+    # A frame is kept as its hash's leader or, after that leader, only when protected; one that lost to another hash is dropped.
+    judged = judged.withColumn("protection_reasons", F.when(F.col("_near").isNotNull(), protection.reasons(F.col("_self"), F.col("_near.leader"))))
+    action = (F.when(F.col("_near").isNull(), "kept").when(F.size("protection_reasons") > 0, "progressive_change_protected").otherwise("duplicate_drop"))
+    out = judged.select(*frames.columns, action.alias("action"), F.col("_near.leader.id").alias("canonical_id"), F.col("_near.distance").alias("distance"), "protection_reasons")
     poor = frames.filter("NOT usable").withColumn("action", F.lit("quality_drop"))
     return out.unionByName(poor, allowMissingColumns=True)
 
 
-def _steps(edges: DataFrame, leaders: DataFrame, key: list[str]) -> DataFrame:
-    """Per hash and distance the best-ranked leader, as one short array sorted by distance."""
-    job = key[0]
-    other = leaders.select(job, F.col("hash_hi").alias("other_hi"), F.col("hash_lo").alias("other_lo"), "leader")
-    best = edges.join(other, [job, "other_hi", "other_lo"]).groupBy(*key, "distance").agg(
-        F.min_by("leader", F.col("leader.rank")).alias("leader"))
-    return best.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("distance", "leader")), lambda a, b: a["distance"] - b["distance"]).alias("_steps"))
+def _facts(edges: DataFrame, leaders: DataFrame, key: list[str]) -> DataFrame:
+    """Per hash and distance the best-ranked of these leaders."""
+    other = leaders.select(key[0], F.col("hash_hi").alias("other_hi"), F.col("hash_lo").alias("other_lo"), "leader")
+    return edges.join(other, [key[0], "other_hi", "other_lo"]).groupBy(*key, "distance").agg(F.min_by("leader", F.col("leader.rank")).alias("leader"))
+
+
+def _steps(facts: DataFrame, key: list[str]) -> DataFrame:
+    """Per hash its facts as one short array sorted by distance."""
+    return facts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("distance", "leader")), lambda a, b: a["distance"] - b["distance"]).alias("_steps"))
 
 
 def _nearest(steps: Column, rank: Column) -> Column:
     return F.get(F.filter(steps, lambda s: s["leader"]["rank"] < rank), F.lit(0))
 
 
-def _local_leaders(members: DataFrame, edges: DataFrame, job: str, ident: str, order: Sequence[str], payload: list[str],
-                   protection: Protection) -> DataFrame:
-    """Leaders of small jobs: one ordered pass per job over its frames and hash neighbours."""
-
-    def solve(frames: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        near: dict[tuple, list[tuple]] = {}
-        for hi, lo, ohi, olo, d in zip(pairs["hash_hi"], pairs["hash_lo"], pairs["other_hi"], pairs["other_lo"], pairs["distance"]):
-            near.setdefault((hi, lo), []).append((d, (ohi, olo)))
-        lead: dict[tuple, tuple[int, dict]] = {}
-        out = []
-        for at, row in enumerate(frames.sort_values(list(order)).to_dict("records")):
-            own = (row["hash_hi"], row["hash_lo"])
-            if own in lead:
-                continue
-            options = [(d, *lead[h]) for d, h in near.get(own, ()) if h in lead]
-            kept = min(options, key=lambda o: (o[0], o[1]))[2] if options else None
-            if kept is None or protection.holds(row, kept):
-                lead[own] = (at, row)
-                out.append((row[job], row[ident]))
-        return pd.DataFrame(out, columns=[job, ident])
-
-    schema = T.StructType([members.schema[job], members.schema[ident]])
-    fresh = edges.select(*[F.col(c).alias(c) for c in edges.columns])
-    return members.groupBy(job).cogroup(fresh.groupBy(job)).applyInPandas(solve, schema)
-
-
-def _leaders_by_rounds(members: DataFrame, edges: DataFrame, key: list[str], leader: Column, rank: Column,
-                       protection: Protection, max_rounds: int) -> DataFrame:
-    """Leaders of large jobs. A frame is decided once every neighbouring hash without a leader starts later."""
+def _with_change(rows: DataFrame, pixels: DataFrame | None, job: str, wanted: Column) -> DataFrame:
+    """``_change`` of each row against its ``_near`` leader, for the wanted rows; only these meet the pixels."""
+    if pixels is None:
+        return rows
+    mine = pixels.select(job, F.col("_id").alias("_a_id"), F.col("_pixels").alias("_a"))
+    other = pixels.select(job, F.col("_id").alias("_b_id"), F.col("_pixels").alias("_b"))
+    asked = rows.filter(wanted).withColumns({"_a_id": F.col("_self.id"), "_b_id": F.col("_near.leader.id")})
+    met = asked.join(mine, [job, "_a_id"], "left").join(other, [job, "_b_id"], "left")
+    change = pair_change_ratios(F.col("_a.luma"), F.col("_b.luma"), F.col("_a.width"), F.col("_a.height"), F.col("_b.width"), F.col("_b.height"))
+    return met.withColumn("_change", change).select(*rows.columns, "_change").unionByName(rows.filter(~F.coalesce(wanted, F.lit(False))), allowMissingColumns=True)
+
+
+def _leaders(rows: DataFrame, edges: DataFrame, key: list[str], protection: Protection, pixels: DataFrame | None) -> DataFrame:
+    """(key, leader): the first kept frame of each hash that has one.
+
+    A frame is ready once every neighbouring hash without a leader starts later. A round decides all ready frames of all jobs;
+    it stages the frames that were open, its own new leaders and what is known about hashes that are still open, no more.
+    """
     job = key[0]
-    frame = F.struct(*[c for c in members.columns if c not in key])
-    open_rows = members.withColumn("_rank", rank).withColumn("_leader", leader)
-    leaders = None
-    for _ in range(max_rounds):
-        frontier = open_rows.groupBy(*key).agg(F.min("_rank").alias("_from"))
+    cheap = replace(protection, pixels=False)
+    open_rows, facts, found_all = rows, None, None
+    while True:
+        frontier = open_rows.groupBy(*key).agg(F.min("_self.rank").alias("_from"))
         other = frontier.select(job, F.col("hash_hi").alias("other_hi"), F.col("hash_lo").alias("other_lo"), F.col("_from").alias("_other_from"))
         limits = edges.join(other, [job, "other_hi", "other_lo"]).groupBy(*key).agg(F.min("_other_from").alias("_limit"))
-        safe = open_rows.join(limits, key, "left")
-        if leaders is not None:
-            safe = safe.join(_steps(edges, leaders, key), key, "left")
-            near = _nearest(F.col("_steps"), F.col("_rank"))
+        judged = open_rows.join(limits, key, "left")
+        if facts is not None:
+            judged = judged.join(_steps(facts, key), key, "left").withColumn("_near", _nearest(F.col("_steps"), F.col("_self.rank"))).drop("_steps")
+        judged = judged.withColumn("_ready", F.col("_limit").isNull() | (F.col("_self.rank") < F.col("_limit")))
+        if facts is None:
+            judged = judged.withColumn("_stays", F.col("_ready"))
         else:
-            near = F.lit(None).cast(T.StructType([T.StructField("distance", T.LongType()), T.StructField("leader", open_rows.schema["_leader"].dataType)]))
-        ready = F.col("_limit").isNull() | (F.col("_rank") < F.col("_limit"))
-        judged = safe.withColumn("_near", near)
-        stays = F.col("_near").isNull() | (F.size(protection.reasons(frame, F.col("_near.leader"))) > 0)
-        judged = judged.withColumn("_ready", ready).withColumn("_stays", ready & stays)
-        found = judged.filter("_stays").groupBy(*key).agg(F.min_by("_leader", "_rank").alias("leader"))
-        leaders = (found if leaders is None else leaders.unionByName(found)).checkpoint()
-        open_rows = judged.filter("NOT _ready").select(*open_rows.columns).join(leaders, key, "left_anti").checkpoint()
+            free = F.col("_near").isNull() | (F.size(cheap.reasons(F.col("_self"), F.col("_near.leader"))) > 0)
+            judged = judged.withColumn("_free", F.col("_ready") & free)
+            judged = _with_change(judged, pixels, job, F.col("_ready") & ~F.col("_free"))
+            held = F.size(protection.reasons(F.col("_self"), F.col("_near.leader"))) > 0 if protection.pixels else F.lit(False)
+            judged = judged.withColumn("_stays", F.col("_free") | (F.col("_ready") & held))
+        judged = stage_table(judged.select(*key, "_self", "_ready", "_stays"))
+        found = stage_table(judged.filter("_stays").groupBy(*key).agg(F.min_by("_self", F.col("_self.rank")).alias("leader")))
+        found_all = found if found_all is None else found_all.unionByName(found)
+        open_rows = judged.filter("NOT _ready").select(*key, "_self").join(found, key, "left_anti")
         if open_rows.isEmpty():
-            return leaders
-    raise RuntimeError("greedy_dedup did not finish within max_rounds")
+            return found_all
+        fresh = _facts(edges, found, key)
+        known = fresh if facts is None else facts.unionByName(fresh).groupBy(*key, "distance").agg(F.min_by("leader", F.col("leader.rank")).alias("leader"))
+        facts = stage_table(known.join(open_rows.select(*key).distinct(), key, "left_semi"))
 
 
 def absorb_duplicates(decisions: DataFrame, job: str, ident: str, lists: Sequence[str]) -> DataFrame:

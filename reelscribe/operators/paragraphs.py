@@ -145,8 +145,10 @@ def packet_summary(packets: DataFrame, members: DataFrame, part: str, ident: str
     key = F.concat_ws(":", F.col(ident), F.col("context_only").cast("string"))
     sums = members.groupBy(part, "packet_id").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum((~F.col("context_only")).cast("long")).alias("primary_count"),
-        F.sum(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long")).alias("member_digest"))
-    counts = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("row_count", "primary_count", "member_digest")}
+        *[F.sum(F.conv(F.substring(F.sha2(key, 256), 8 * i + 1, 8), 16, 10).cast("long")).alias(f"_w{i}") for i in range(8)])
+    words = F.concat_ws(":", *[F.coalesce(f"_w{i}", F.lit(0)).cast("string") for i in range(8)])
+    counts = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("row_count", "primary_count")}
+    counts["member_digest"] = F.sha2(words, 256).alias("member_digest")
     return packets.join(sums, [part, "packet_id"], "left").select(*packets.columns, *counts.values())
 
 

@@ -28,7 +28,7 @@ def segment_issues(segments: DataFrame, line: tl.Timeline, long_chars: int = 180
     start, end, raw = F.col("start_ms"), F.col("end_ms"), F.col("text_raw")
     return near.withColumns({
         "is_empty": tx.strip(raw) == "", "is_invalid": (start < 0) | (end < start),
-        "is_overlap": F.coalesce(start < F.col("_p_end"), F.lit(False)),
+        "is_timed": start.isNotNull() & end.isNotNull(), "is_overlap": F.coalesce(start < F.col("_p_end"), F.lit(False)),
         "is_duplicate": F.coalesce((F.col("text_clean") != "") & (F.col("text_clean") == F.col("_p_clean")), F.lit(False)),
         "is_long": (F.length(raw) > long_chars) | (end - start > long_ms), "is_garbled": tx.is_garbled(raw),
         "chars": F.length(F.regexp_replace(raw, tx.WHITESPACE + "+", "")).cast("long")}).drop("_p_end", "_p_clean")
@@ -44,21 +44,24 @@ def transcript_quality_report(segments: DataFrame, line: tl.Timeline, time_line:
 
     ``line`` is the row order, ``time_line`` orders by start for the coverage. ``media`` (part, duration)
     gives media durations; else the last end is used. The rows behind a count come from ``segment_issues``.
+    A part without any time is untimed: it is warned of, has no coverage, density or (without media) duration, and of the
+    issues only garbled text counts.
     """
     part = list(line.part)
     issues = segment_issues(segments, line)
     base = issues.groupBy(*part).agg(
         F.count(F.lit(1)).alias("segment_count"), F.max("end_ms").alias("_last"), F.sum("chars").alias("character_count"),
-        *[F.count(F.when(F.col(f"is_{i}"), 1)).alias(f"{i}_count") for i in ISSUES])
+        F.max("is_timed").alias("_timed"), *[F.count(F.when(F.col(f"is_{i}"), 1)).alias(f"{i}_count") for i in ISSUES])
+    base = base.withColumns({f"{i}_count": F.when(F.col("_timed"), F.col(f"{i}_count")).otherwise(0) for i in ISSUES if i != "garbled"})
     base = (base.join(media, part, "left") if media is not None else base.withColumn("duration", F.lit(None).cast("long")))
-    base = base.withColumn("duration", F.coalesce("duration", F.greatest("_last", F.lit(0))))
+    base = base.withColumn("duration", F.coalesce("duration", F.when(F.col("_timed"), F.greatest("_last", F.lit(0)))))
     limited = segments.join(base.select(*part, F.col("duration").alias("_limit")), part) if media is not None else segments.withColumn("_limit", F.col("end_ms"))
     covered = tl.interval_union_length(limited, time_line, "start_ms", "end_ms", F.lit(0), F.col("_limit"))
     out = base.join(covered, part, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
-    share = F.try_divide(F.col("covered").cast("double"), F.col("duration").cast("double"))
-    per_minute = F.try_divide(F.col("character_count") * 60000.0, F.col("duration").cast("double"))
-    sparse = (F.col("duration") >= 1_800_000) & ((share < 0.2) | (F.coalesce(per_minute, F.lit(0.0)) < 20))
-    warnings = F.array_compact(F.array(*[F.when(F.col(f"{i}_count") > 0, WARNINGS[i]) for i in ISSUES],
+    share = F.when(F.col("_timed"), F.try_divide(F.col("covered").cast("double"), F.col("duration").cast("double")))
+    per_minute = F.when(F.col("_timed"), F.try_divide(F.col("character_count") * 60000.0, F.col("duration").cast("double")))
+    sparse = F.col("_timed") & (F.col("duration") >= 1_800_000) & ((share < 0.2) | (F.coalesce(per_minute, F.lit(0.0)) < 20))
+    warnings = F.array_compact(F.array(F.when(~F.col("_timed"), "untimed_transcript"), *[F.when(F.col(f"{i}_count") > 0, WARNINGS[i]) for i in ISSUES],
                                        F.when(sparse, "long_video_subtitles_abnormally_sparse")))
     return out.select(*part, "segment_count", "duration", "covered", F.round(share, 6).alias("coverage_ratio"), "character_count",
                       F.round(per_minute, 3).alias("characters_per_minute"), *[f"{i}_count" for i in ISSUES], warnings.alias("warnings"))

@@ -154,4 +154,4 @@ def t1(spark, sf):
     repeated.repartition(3).write.parquet(f"{target}/in")
     stream = st.read_increments(spark, f"{target}/in", e.schema, files_per_batch=1)
     st.append_increment_stream(stream, f"{target}/out", f"{target}/state", ["event_id"]).awaitTermination()
-    return spark.read.parquet(f"{target}/out").drop("batch")
+    return spark.read.parquet(f"{target}/out").drop("stream", "batch")

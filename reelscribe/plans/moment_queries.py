@@ -151,7 +151,8 @@ px AS (SELECT vec_id, label, i % {_W} AS x, i // {_W} AS y, (CAST(floor((CAST(em
 rw AS (SELECT *, lag(v) OVER w + v + lead(v) OVER w AS r3 FROM px WINDOW w AS (PARTITION BY vec_id, y ORDER BY x)),
 ed AS (SELECT vec_id, label, x, y, v, CASE WHEN x = 0 OR x = {_W - 1} OR y = 0 OR y = {_H - 1} THEN v
         ELSE greatest(0, least(255, 9 * v - (lag(r3) OVER c + r3 + lead(r3) OVER c))) END AS e FROM rw WINDOW c AS (PARTITION BY vec_id, x ORDER BY y)),
-cells AS (SELECT vec_id, y, x // 2 AS cx, avg(v) AS a FROM px GROUP BY 1, 2, 3),
+wt(cx, x, w) AS (VALUES {", ".join(f"({i}, {j}, {w})" for i, row in enumerate(nd.resampling_weights(_W, 9).tolist()) for j, w in enumerate(row) if w)}),
+cells AS (SELECT vec_id, y, cx, greatest(0, least(255, floor((sum(v * w) + {1 << 21}) / {1 << 22}.0))) AS a FROM px JOIN wt USING (x) GROUP BY 1, 2, 3),
 bits AS (SELECT vec_id, y, cx, CASE WHEN a > lead(a) OVER (PARTITION BY vec_id, y ORDER BY cx) THEN 1 ELSE 0 END AS bit FROM cells),
 hashed AS (SELECT vec_id, CAST(sum(CASE WHEN y < 4 THEN bit * (CAST(1 AS BIGINT) << (31 - y * 8 - cx)) ELSE 0 END) AS BIGINT) AS hash_hi,
    CAST(sum(CASE WHEN y >= 4 THEN bit * (CAST(1 AS BIGINT) << (31 - (y - 4) * 8 - cx)) ELSE 0 END) AS BIGINT) AS hash_lo FROM bits WHERE cx < 8 GROUP BY vec_id),
@@ -322,8 +323,8 @@ def w18(spark, sf):
 @query("w18_build_packets", f"""
 WITH {PACKET_SQL}, r AS (SELECT job_id, packet_id, event_id, NOT (primary_start <= start_ms AND start_ms < primary_end) AS context_only FROM pk JOIN loc ON part_id = job_id WHERE end_ms > context_start AND start_ms < context_end),
 s AS (SELECT job_id, packet_id, count(*) AS row_count, count(*) FILTER (WHERE NOT context_only) AS primary_count,
-  CAST(sum(CAST('0x' || substr(sha256(CAST(event_id AS VARCHAR) || ':' || CAST(context_only AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS member_digest FROM r GROUP BY 1, 2)
-SELECT pk.job_id, packet_no, pk.packet_id, primary_start, primary_end, context_start, context_end, coalesce(row_count, 0) AS row_count, coalesce(primary_count, 0) AS primary_count, coalesce(member_digest, 0) AS member_digest
+  {", ".join(f"sum(CAST('0x' || substr(sha256(CAST(event_id AS VARCHAR) || ':' || CAST(context_only AS VARCHAR)), {8 * i + 1}, 8) AS BIGINT)) AS w{i}" for i in range(8))} FROM r GROUP BY 1, 2)
+SELECT pk.job_id, packet_no, pk.packet_id, primary_start, primary_end, context_start, context_end, coalesce(row_count, 0) AS row_count, coalesce(primary_count, 0) AS primary_count, sha256({" || ':' || ".join(f"CAST(coalesce(w{i}, 0) AS VARCHAR)" for i in range(8))}) AS member_digest
 FROM pk LEFT JOIN s ON s.job_id = pk.job_id AND s.packet_id = pk.packet_id""")
 def w18_build(spark, sf):
     rows = v.local_intervals(spark, sf).withColumnRenamed("part_id", "job_id")

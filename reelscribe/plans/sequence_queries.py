@@ -218,7 +218,7 @@ def j20(spark, sf):
         F.struct(F.lit(1).alias("media_no"), F.lit(0).cast("long").alias("timeline_start"), F.lit(1_200_000_000).cast("long").alias("timeline_end")),
         F.struct(F.lit(2).alias("media_no"), F.lit(1_200_000_000).cast("long").alias("timeline_start"), F.lit(None).cast("long").alias("timeline_end")))).alias("m")
         ).select("part_id", "m.*")
-    return iv.map_to_media(points(spark, sf), media, ["part_id"], "t", 3_000_000_000, 300_000_000).select("point_id", "media_no", "local_time")
+    return iv.map_to_media(points(spark, sf), media, ["part_id"], "t", 300_000_000).select("point_id", "media_no", "local_time")
 
 
 # ---- reports on time -----------------------------------------------------------------------------

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from reelscribe.functions import text as tx
 from reelscribe.operators import sequence as sq
 from reelscribe.operators import timeline as tl
-from reelscribe.session import spread
 
 DAY_US = 86_400_000_000
 EVENT_BLOCK_US = 4 * DAY_US
@@ -26,6 +25,13 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def read_text(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """A table of texts. The small driver tables are one file of one row group, which a single task would read: that one file
+    is dealt out. A table of several files is read as it lies, without a shuffle."""
+    df = read(spark, sf, table)
+    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def sql_clean(text: str) -> str:
     """SQL twin of ``clean_text``."""
     out = f"translate(replace(replace(nfc_normalize({text}), chr(65279), ''), chr(8203), ''), '﹐﹑﹒︰﹔﹖﹗', '，、。：；？！')"
@@ -49,7 +55,7 @@ def sql_timecode(ms: str, sep: str = ".") -> str:
 # ---- segments ------------------------------------------------------------------------------------
 
 def raw_segments(spark: SparkSession, sf: str) -> DataFrame:
-    c = spread(read(spark, sf, "conversations"))
+    c = read_text(spark, sf, "conversations")
     rows = c.select(F.col("conv_id").cast("string").alias("part_id"), F.col("conv_id").alias("part_no"), F.col("turn").alias("seq"),
                     F.col("role").alias("speaker"), F.col("text").alias("text_raw"), (F.length("text") * 64).cast("long").alias("dur_ms"))
     return rows
@@ -237,7 +243,7 @@ ATT_SQL = _attempts_sql()
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    return read_text(spark, sf, "documents").select("doc_id", "text", "lang", "source")
 
 
 def listed(column: Column, sep: str = "|") -> Column:

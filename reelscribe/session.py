@@ -43,12 +43,3 @@ def stage_table(df: DataFrame) -> DataFrame:
     """Write an intermediate table once (reliable checkpoint), for results that several later steps read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cores when the input has fewer splits than cores (few or unsplittable files).
-
-    Only small inputs are shuffled by this: a large one has more splits than cores and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

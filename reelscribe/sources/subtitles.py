@@ -8,6 +8,7 @@ video part. Bad cues stay in the result with ``reject_reason`` set; ``split_reje
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,14 +135,34 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     return parse_by_format(read_files(spark, path))
 
 
+def _json_kind(kind: T.DataType) -> str:
+    """Pattern of the variant types that a field of this type may hold. A null is allowed, text for a number is not."""
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<(VOID|{_json_kind(kind.elementType)})>"
+    if isinstance(kind, (T.StructType, T.MapType)):
+        return "OBJECT<.*>"
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "BIGINT"
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return r"(BIGINT|FLOAT|DOUBLE|DECIMAL\([0-9, ]+\))"
+    return "BOOLEAN" if isinstance(kind, T.BooleanType) else "STRING"
+
+
 def parse_records(lines: DataFrame, schema: T.StructType, major: str, column: str = "value") -> DataFrame:
-    """Versioned JSON lines; unknown majors, unknown fields and broken lines are rejected."""
+    """Versioned JSON lines; unknown majors, unknown fields, broken lines and fields of a wrong type are rejected.
+
+    A line without ``schema_version`` is accepted: the version has a default.
+    """
     full = T.StructType([*schema.fields, T.StructField("schema_version", T.StringType())])
     names = [f.name for f in full.fields]
     parsed = lines.withColumn("_r", F.from_json(column, full)).withColumn("_keys", F.json_object_keys(column))
+    value = F.try_parse_json(column)
+    kinds = [(F.schema_of_variant(F.try_variant_get(value, f"$.{f.name}", "variant")), _json_kind(f.dataType)) for f in full.fields]
+    wrong = reduce(lambda a, b: a | b, [F.coalesce(~kind.rlike(f"^(VOID|{fits})$"), F.lit(False)) for kind, fits in kinds])
     reason = (F.when(F.col("_keys").isNull(), "not_an_object")
               .when(F.substring_index("_r.schema_version", ".", 1) != major, "unsupported_version")
-              .when(F.size(F.array_except("_keys", F.array(*[F.lit(n) for n in names]))) > 0, "unknown_field"))
+              .when(F.size(F.array_except("_keys", F.array(*[F.lit(n) for n in names]))) > 0, "unknown_field")
+              .when(wrong, "wrong_type"))
     return parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields], reason.alias("reject_reason"))
 
 

@@ -25,18 +25,21 @@ def _chunked(cues: DataFrame, separator: str, rows: int, position: str = "seq")
 
 
 def render_srt(segments: DataFrame, text: str = "text_clean", rows: int = CUES_PER_CHUNK) -> DataFrame:
-    """K2: numbered cues; numbers restart per part. ``seq`` must be the position in the part from 0."""
+    """K2: numbered cues; numbers restart per part. ``seq`` must be the position in the part from 0.
+
+    A row without times makes no cue: an untimed part is an empty file.
+    """
     stamp = F.concat(vx.ms_to_timecode(F.col("start_ms"), ","), F.lit(" --> "), vx.ms_to_timecode(F.col("end_ms"), ","))
-    cue = F.concat_ws("\n", (F.col("seq") + 1).cast("string"), stamp, F.col(text))
+    cue = F.when(stamp.isNotNull(), F.concat_ws("\n", (F.col("seq") + 1).cast("string"), stamp, F.col(text)))
     return _chunked(segments.select("part_id", "seq", cue.alias("cue")), "\n\n", rows)
 
 
 def render_vtt(segments: DataFrame, text: str = "text_clean", rows: int = CUES_PER_CHUNK) -> DataFrame:
-    """K3: WEBVTT; the header opens chunk 0."""
+    """K3: WEBVTT; the header opens chunk 0. A row without times makes no cue: an untimed part is its header only."""
     stamp = F.concat(vx.ms_to_timecode(F.col("start_ms")), F.lit(" --> "), vx.ms_to_timecode(F.col("end_ms")))
-    cue = F.concat_ws("\n", "segment_id", stamp, F.col(text))
+    cue = F.when(stamp.isNotNull(), F.concat_ws("\n", "segment_id", stamp, F.col(text)))
     body = _chunked(segments.select("part_id", "seq", cue.alias("cue")), "\n\n", rows)
-    return body.withColumn("body", F.when(F.col("chunk") == 0, F.concat(F.lit("WEBVTT\n\n"), "body")).otherwise(F.col("body")))
+    return body.withColumn("body", F.when(F.col("chunk") == 0, F.concat_ws("\n\n", F.lit("WEBVTT"), F.nullif(F.col("body"), F.lit("")))).otherwise(F.col("body")))
 
 
 def render_txt(segments: DataFrame, text: str = "text_clean", rows: int = CUES_PER_CHUNK) -> DataFrame:

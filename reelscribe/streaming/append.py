@@ -1,8 +1,8 @@
 """Increments from a file stream, appended once each.
 
 Every micro-batch is one call of the batch operator inside ``foreachBatch``. The target is a folder of
-Parquet with one sub-folder per batch, written with overwrite, so a batch that runs again after a lost
-driver replaces its own rows. Rows whose key is already in another batch folder are left out.
+Parquet with one sub-folder per stream and batch, written with overwrite, so a batch that runs again after
+a lost driver replaces its own rows and no other stream's. Rows whose key is already in another folder are left out.
 """
 
 from __future__ import annotations
@@ -23,17 +23,28 @@ def read_increments(spark: SparkSession, path: str, schema: T.StructType, fmt: s
 
 
 def append_increment_stream(increments: DataFrame, target: str, checkpoint: str, keys: Sequence[str],
-                            transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Start the stream; it stops when all files present have been read."""
+                            transform: Callable[[DataFrame], DataFrame] | None = None, order: Sequence[str] | None = None) -> StreamingQuery:
+    """Start the stream; it stops when all files present have been read.
+
+    Of rows with equal keys in a batch the first by ``order`` stays (default: by all columns). Rows of other batches are read
+    within the batch's range of the first key only, so files that hold no such key are skipped by their statistics.
+    """
     schema = increments.schema
-    known = T.StructType([*[schema[k] for k in keys], T.StructField("batch", T.LongType())])
+    known = T.StructType([*[schema[k] for k in keys], T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
     # An empty folder, so that the first batch finds a table to compare with.
-    increments.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(f"{target}/batch=-1")
+    increments.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(f"{target}/stream=none/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.sparkSession.read.schema(known).parquet(target).filter(F.col("batch") != batch_id).select(*keys)
-        rows = batch.dropDuplicates(list(keys)).join(seen, list(keys), "left_anti")
+        spark = batch.sparkSession
+        # The id that Spark keeps in the checkpoint: batch numbers start anew with a new checkpoint, ids do not.
+        stream = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        low, high = batch.agg(F.min(keys[0]), F.max(keys[0])).first()
+        seen = spark.read.schema(known).parquet(target).filter((F.col("stream") != stream) | (F.col("batch") != batch_id))
+        if low is not None:
+            seen = seen.filter(F.col(keys[0]).between(low, high))
+        row, rank = F.struct(*batch.columns), F.struct(*(order or batch.columns))
+        rows = batch.groupBy(*keys).agg(F.min_by(row, rank).alias("_row")).select("_row.*").join(seen.select(*keys), list(keys), "left_anti")
         rows = transform(rows) if transform else rows
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{target}/stream={stream}/batch={batch_id}")
 
     return increments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

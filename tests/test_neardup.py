@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from reelscribe.operators import neardup as nd
 
 
@@ -49,16 +51,25 @@ def greedy(rows, threshold=6, gap=40):
     return out
 
 
-@pytest.mark.parametrize("local_rows", [50_000, 0])
-def test_greedy_dedup_matches_loop(spark, local_rows):
-    rows = make(random.Random(5), jobs=2 if local_rows == 0 else 3, n=45)
-    if local_rows:  # a third of all rows are copies of one hash
-        rows += [("j0", 9000 + i, rows[40][2], rows[40][3], i % 90, 2, False, None, True) for i in range(70)]
-    else:
-        rows = [r for r in rows if r[1] % 1000 >= 20]
-    out = nd.greedy_dedup(spark.createDataFrame(rows, SCHEMA), "job_id", "frame_no", ["rank_key", "t", "frame_no"], nd.Protection(time_gap=40), local_rows=local_rows)
+def test_greedy_dedup_matches_loop(spark):
+    rows = make(random.Random(5), jobs=2, n=45)
+    rows = [r for r in rows if r[1] % 1000 >= 20]
+    # A third of all rows are copies of one hash; a score that is not a number is none.
+    rows += [("j0", 9000 + i, rows[40][2], rows[40][3], i % 90, 2, False, float("nan") if i % 2 else None, True) for i in range(50)]
+    out = nd.greedy_dedup(spark.createDataFrame(rows, SCHEMA), "job_id", "frame_no", ["rank_key", "t", "frame_no"], nd.Protection(time_gap=40))
     got = {(r.job_id, r.frame_no): (r.action, r.canonical_id, r.distance) for r in out.collect()}
-    assert got == greedy(rows)
+    clean = [(*r[:7], None if r[7] != r[7] else r[7], r[8]) for r in rows]
+    assert got == greedy(clean)
+
+
+def test_pixels_protect(spark):
+    plain, spot = bytes(64), bytes([0] * 30 + [255] * 4 + [0] * 30)
+    rows = [("j", 0, 0, 0, 0, 0, False, None, True, plain), ("j", 1, 0, 1, 1, 0, False, None, True, plain), ("j", 2, 0, 3, 2, 0, False, None, True, spot), ("j", 3, 0, 3, 3, 0, False, None, True, spot)]
+    df = spark.createDataFrame(rows, SCHEMA + ", luma binary").selectExpr("*", "8 AS width", "8 AS height")
+    out = nd.greedy_dedup(df, "job_id", "frame_no", ["rank_key", "t", "frame_no"], nd.Protection(pixels=True))
+    got = {r.frame_no: (r.action, r.canonical_id, r.protection_reasons) for r in out.collect()}
+    assert got[0][0] == "kept" and got[1][:2] == ("duplicate_drop", 0) and got[3][:2] == ("duplicate_drop", 2)
+    assert got[2] == ("progressive_change_protected", 0, ["local_pixel_change", "edge_change", "high_contrast_text_change"])
 
 
 @pytest.mark.parametrize("hot", [1, 2000])
@@ -83,3 +94,15 @@ def test_frame_metrics_and_changes(spark):
     m = df.select(nd.frame_metrics(df.a, df.w, df.h).alias("m"), nd.pair_change_ratios(df.a, df.b, df.w, df.h).alias("c")).first()
     assert m.m.mean_luma == grey.mean() and m.m.black_ratio == (grey <= 16).mean() and m.m.hash_hi == 0
     assert m.c.local == 1 / 144 and m.c.contrast == 1 / 144 and m.c.edge == 1 / 144  # neighbours stay clipped at zero
+
+
+def test_other_sizes_are_resampled(spark):
+    flat = np.full((6, 6), 90, np.uint8)
+    assert (nd.resample(flat, 9, 8) == 90).all() and (nd.resample(flat, 3, 2) == 90).all()
+    ramp = np.tile(np.arange(0, 240, 10, dtype=np.uint8), (4, 1))
+    assert (np.diff(nd.resample(ramp, 9, 4).astype(int), axis=1) > 0).all()
+    assert (nd.resampling_weights(18, 9).sum(1) - (1 << 22) < 20).all()
+    df = spark.createDataFrame([(bytes(36), bytes(64), bytes([200] * 64))], "a binary, b binary, c binary")
+    size = [F.lit(x) for x in (6, 6, 8, 8)]
+    r = df.select(nd.pair_change_ratios(F.col("a"), F.col("b"), *size).alias("same"), nd.pair_change_ratios(F.col("a"), F.col("c"), *size).alias("other")).first()
+    assert tuple(r.same) == (0, 0, 0) and (r.other.local, r.other.contrast) == (1, 1)

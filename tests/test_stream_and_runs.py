@@ -11,9 +11,21 @@ def test_stream_appends_each_row_once(spark, tmp_path):
     st.append_increment_stream(st.read_increments(spark, src, schema), out, state, ["id"]).awaitTermination()
     rows = [r.id for r in spark.read.parquet(out).collect()]
     assert sorted(rows) == list(range(15))
-    # A batch that runs again replaces its own folder instead of adding to it.
+    # A new checkpoint counts its batches from 0 again: rows of other streams stay.
     st.append_increment_stream(st.read_increments(spark, src, schema), out, str(tmp_path / "state2"), ["id"]).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(15))
+    other = str(tmp_path / "other")
+    spark.range(100, 105).coalesce(1).write.parquet(other)
+    st.append_increment_stream(st.read_increments(spark, other, schema), out, str(tmp_path / "state3"), ["id"]).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [*range(15), *range(100, 105)]
+
+
+def test_first_row_of_a_key_stays(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.createDataFrame([(1, 9), (1, 3), (1, 5), (2, 4)], "id bigint, at bigint")
+    rows.write.parquet(src)
+    st.append_increment_stream(st.read_increments(spark, src, rows.schema), out, str(tmp_path / "state"), ["id"], order=["at"]).awaitTermination()
+    assert sorted((r.id, r.at) for r in spark.read.parquet(out).select("id", "at").collect()) == [(1, 3), (2, 4)]
 
 
 def test_downstream_invalidation(spark):
