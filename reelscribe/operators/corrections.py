@@ -2,64 +2,43 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reelscribe.functions import text as tx
 from reelscribe.functions import values as vx
+from reelscribe.operators import sequence as sq
 from reelscribe.operators import timeline as tl
 
-MATCHER_TERMS = 50_000
+GRAM = 3
 
 
-@lru_cache(maxsize=2)
-def _automaton(terms: tuple[str, ...]):
-    import ahocorasick
+def _grams(value: Column) -> Column:
+    """The distinct runs of one to ``GRAM`` characters of a text. Its characters are listed once, so a run costs no search."""
+    def runs(chars: Column) -> Column:
+        def of(size: int) -> Column:
+            starts = F.when(F.size(chars) >= size, F.sequence(F.lit(0), F.size(chars) - size)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
 
-    machine = ahocorasick.Automaton()
-    for i, term in enumerate(terms):
-        machine.add_word(term, i)
-    machine.make_automaton()
-    return machine
+        return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
 
+    return F.transform(F.array(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))), runs)[0]
 
-def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, small: int = MATCHER_TERMS) -> DataFrame:
+
+def match_terms(texts: DataFrame, ident: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """Every (text row, term row) where the text contains the term; empty terms match nothing.
 
-    The distinct terms are counted first. Up to ``small`` of them go to the tasks as one multi-pattern
-    matcher that reads each text once; beyond that, texts and terms meet on shared three-letter grams
-    (shorter terms on their whole text), and ``contains`` settles each candidate.
+    Texts and terms meet on one run of characters: the middle three of a term, or all of a shorter one. Only the ``ident``
+    columns (which tell the rows of ``texts`` apart) travel with the runs; the texts join the candidates, and ``contains`` settles each.
     """
-    distinct = terms.select(F.col(term).alias("_term")).filter("_term IS NOT NULL AND _term <> ''").distinct()
-    head = [r[0] for r in distinct.limit(small + 1).collect()]
-    if len(head) <= small:
-        known = tuple(sorted(head))
-        if not known:
-            return texts.withColumn("_term", F.lit("")).join(distinct, "_term").join(
-                terms.withColumn("_term", F.col(term)), "_term").drop("_term")
-
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def found(batch: pd.Series) -> pd.Series:
-            machine = _automaton(known)
-            return batch.map(lambda s: [] if s is None else [known[i] for i in sorted({i for _, i in machine.iter(s)})])
-
-        hits = texts.withColumn("_term", F.explode(found(F.col(text))))
-    else:
-        def grams(value: Column, size: int) -> Column:
-            starts = F.when(F.length(value) >= size, F.sequence(F.lit(1), F.length(value) - (size - 1)))
-            return F.array_distinct(F.transform(starts, lambda i: F.substr(value, i, F.lit(size))))
-
-        shorter = [r[0] for r in distinct.select(F.length("_term").alias("n")).filter("n < 3").distinct().collect()]
-        sets = [grams(F.col(text), 3)] + [grams(F.col(text), n) for n in sorted(shorter)]
-        keyed = texts.withColumn("_gram", F.explode(F.flatten(F.filter(F.array(*sets), lambda s: s.isNotNull()))))
-        # A term is keyed by its middle gram: first grams of words repeat most.
-        middle = F.greatest(F.lit(1), F.floor(F.length("_term") / 2).cast("int"))
-        gram = F.when(F.length("_term") < 3, F.col("_term")).otherwise(F.substr(F.col("_term"), middle, F.lit(3)))
-        hits = keyed.join(distinct.withColumn("_gram", gram), "_gram").filter(F.contains(F.col(text), F.col("_term"))).drop("_gram")
+    middle = F.greatest(F.lit(1), F.floor(F.length("_term") / 2).cast("int"))
+    gram = F.when(F.length("_term") < GRAM, F.col("_term")).otherwise(F.substr(F.col("_term"), middle, F.lit(GRAM)))
+    distinct = terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct().withColumn("_gram", gram)
+    asked = texts.select(*ident, F.explode(_grams(F.col(text))).alias("_gram"))
+    candidates = asked.join(distinct, "_gram").drop("_gram")
+    hits = candidates.join(texts, list(ident)).filter(F.contains(F.col(text), F.col("_term")))
     return hits.join(terms.withColumn("_term", F.col(term)), "_term").drop("_term")
 
 
@@ -106,8 +85,10 @@ def propose_corrections(suggestions: DataFrame, cited: DataFrame, paragraphs: Da
     downgrade = (F.col("decision") == "accepted") & ((F.col("confidence") != "high") | (frames_known == 0))
     decided = first.withColumn("cited_frames", frames_known).withColumn(
         "decision", F.when(downgrade, "pending").otherwise(F.col("decision"))).withColumn("applied", F.col("decision") == "accepted")
-    line = tl.Timeline((), ("suggestion_no", "alt_no", "paragraph_no"), "suggestion_no", tl.ROWS_PER_BLOCK)
-    numbered = tl.scan(decided, line, row_number="_n").withColumn("correction_id", vx.numbered("C", F.col("_n"))).drop("_n")
+    # Numbers run over the alternatives in encounter order, and in blocks of paragraphs within each.
+    ranked = decided.withColumn("_alt", F.shiftleft(F.col("suggestion_no").cast("long"), 20) + F.col("alt_no"))
+    line = tl.by_position(["_alt"], "paragraph_no")
+    numbered = sq.assign_stable_ids(ranked, line, "_alt", prefix="C", name="correction_id").drop("_alt")
 
     # A suggestion is skipped when no correction holds one of its (untrimmed) originals and shares a segment.
     parts = suggestions.select("suggestion_no", F.explode(F.split("original", "/", -1)).alias("original_text")).distinct()
@@ -153,11 +134,11 @@ def apply_overrides(corrections: DataFrame, overrides: DataFrame) -> tuple[DataF
     return out.select(*corrections.columns), overrides.join(corrections, "correction_id", "left_anti").select("correction_id")
 
 
-def first_mention(terms: DataFrame, segments: DataFrame, text: str, start: str, default: int) -> DataFrame:
-    """Start of the first row whose lower-cased text ('-' read as blank) contains the term."""
-    shaped = segments.select(F.translate(F.lower(text), "-", " ").alias("_t"), F.col(start).alias("_start"))
+def first_mention(terms: DataFrame, segments: DataFrame, ident: Sequence[str], text: str, start: str, default: int) -> DataFrame:
+    """Start of the first row whose lower-cased text ('-' read as blank) contains the term; ``ident`` tells rows apart."""
+    shaped = segments.select(*[F.col(c).alias(f"_i{n}") for n, c in enumerate(ident)], F.translate(F.lower(text), "-", " ").alias("_t"), F.col(start).alias("_start"))
     wanted = terms.withColumn("_key", F.translate(F.lower("term"), "-", " "))
-    hits = match_terms(shaped, "_t", wanted.select("_key").distinct(), "_key").groupBy("_key").agg(F.min("_start").alias("_first"))
+    hits = match_terms(shaped, [f"_i{n}" for n in range(len(ident))], "_t", wanted.select("_key").distinct(), "_key").groupBy("_key").agg(F.min("_start").alias("_first"))
     return wanted.join(hits, "_key", "left").select(*terms.columns, F.coalesce("_first", F.lit(default)).alias("first_start"))
 
 

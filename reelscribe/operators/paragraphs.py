@@ -85,18 +85,19 @@ def build_paragraphs(segments: DataFrame, part: str = "part_id", clean: str = "t
 def build_paragraphs_from_plan(plan: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Paragraphs from listed segment ids; (paragraphs, unknown references).
 
-    ``plan`` has part_id, paragraph_no, segment_ids and an optional ``clean_override``.
+    ``plan`` has part_id, paragraph_no, segment_ids and an optional ``clean_override``; an empty override counts as none, and
+    the clean text is then made from the segments' ``text_clean``.
     """
     refs = plan.select("part_id", "paragraph_no", "clean_override", F.posexplode("segment_ids").alias("_pos", "segment_id"))
-    joined = refs.join(segments.select("part_id", "segment_id", "text_raw", "start_ms", "end_ms"), ["part_id", "segment_id"], "left")
+    joined = refs.join(segments.select("part_id", "segment_id", "text_raw", "text_clean", "start_ms", "end_ms"), ["part_id", "segment_id"], "left")
     unknown = joined.filter("start_ms IS NULL").select("part_id", "paragraph_no", "segment_id")
-    listed = F.array_sort(F.collect_list(F.struct("_pos", "segment_id", "text_raw", "start_ms", "end_ms")))
+    listed = F.array_sort(F.collect_list(F.struct("_pos", "segment_id", "text_raw", "text_clean", "start_ms", "end_ms")))
     grouped = joined.filter("start_ms IS NOT NULL").groupBy("part_id", "paragraph_no").agg(
         listed.alias("_s"), F.max("clean_override").alias("_o"))
-    raw = F.array_join(F.transform("_s", lambda s: s["text_raw"]), "")
+    raw, clean = (F.array_join(F.col(f"_s.{field}"), "") for field in ("text_raw", "text_clean"))
     out = grouped.select("part_id", "paragraph_no", F.col("_s")[0]["start_ms"].alias("start_ms"),
                          F.element_at("_s", -1)["end_ms"].alias("end_ms"), raw.alias("text_raw"),
-                         F.coalesce("_o", tx.normalize_readable(raw)).alias("text_clean"),
+                         F.coalesce(F.nullif("_o", F.lit("")), tx.normalize_readable(clean)).alias("text_clean"),
                          F.transform("_s", lambda s: s["segment_id"]).alias("source_segment_ids"))
     return out, unknown
 

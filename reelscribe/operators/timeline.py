@@ -55,24 +55,28 @@ def by_time(part: Sequence[str], time: str, tie: str, span: int) -> Timeline:
 
 
 def split_hot_blocks(df: DataFrame, line: Timeline, rows: int = ROWS_PER_BLOCK, pieces: int = 64) -> tuple[DataFrame, Timeline]:
-    """Cut every block that holds more than ``rows`` rows into ``pieces`` of near-equal size, still in order.
+    """Cut every block that holds more than ``rows`` rows into ``pieces`` of near-equal size, still in order, until none is left.
 
     For time blocks, where one part may crowd very many rows into one bucket. One aggregate with map-side
     combine counts the blocks and sketches the quantiles of their times. The cut points are approximate, so
-    they are written once: every later use, also after a lost executor, sees the same blocks. Rows at one
-    and the same instant stay together.
+    they are written once: every later use, also after a lost executor, sees the same blocks. A pass cuts a crowded
+    block by ``pieces``, so their number is the logarithm of the largest one. Rows at one and the same instant stay together.
     """
     from reelscribe.session import stage_table
 
-    rows_ = df.withColumn(BLOCK, line.block)
     shares = [F.lit(i / pieces) for i in range(1, pieces)]
-    crowded = stage_table(rows_.groupBy(*line.keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx(line.block_on, F.array(*shares), F.lit(1000)).alias("_points")
-    ).filter(F.col("_n") > rows).select(*line.keys, "_points"))
-    piece = F.size(F.filter("_points", lambda p: p <= F.col(line.block_on)))
-    cut = rows_.join(crowded, line.keys, "left").withColumn(
-        "_cut", F.col(BLOCK) * pieces + F.when(F.col("_points").isNull(), 0).otherwise(piece))
-    return cut.drop(BLOCK, "_points"), Timeline(line.part, line.order, "_cut", 1)
+    while True:
+        placed = df.withColumn(BLOCK, line.block)
+        crowded = stage_table(placed.groupBy(*line.keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(line.order[0]).alias("_low"), F.max(line.order[0]).alias("_high"),
+            F.percentile_approx(F.col(line.order[0]), F.array(*shares), F.lit(1000)).alias("_points")
+        ).filter(f"_n > {rows} AND _low < _high").select(*line.keys, "_points"))
+        if crowded.isEmpty():
+            return df, line
+        piece = F.size(F.filter("_points", lambda p: p <= F.col(line.order[0])))
+        cut = F.col(BLOCK) * pieces + F.when(F.col("_points").isNull(), 0).otherwise(piece)
+        df = placed.join(crowded, line.keys, "left").withColumn("_cut", cut).drop(BLOCK, "_points")
+        line = Timeline(line.part, line.order, "_cut", 1)
 
 
 def scan(

@@ -31,9 +31,8 @@ def suggestions(spark, sf):
 
 def cited(spark, sf):
     """Each suggestion cites the documents sharing its source line: ids congruent to it, and one frame for two of three."""
-    b = v.read(spark, sf, "benchmark").agg(F.max("item_id").alias("_m"))
     d = v.docs(spark, sf)
-    n = b.first()["_m"] + 1
+    n = v.read(spark, sf, "benchmark").agg(F.max("item_id") + 1).scalar()
     segs = d.select((F.col("doc_id") % n).alias("suggestion_no"), F.format_string("T%06d", F.col("doc_id")).alias("segment_id"))
     frames = v.terms(spark, sf).select(F.col("item_id").alias("suggestion_no"), F.concat(F.lit("F"), (F.col("item_id") % 3).cast("string")).alias("frame_id"))
     return segs.unionByName(frames, allowMissingColumns=True)
@@ -290,4 +289,4 @@ WITH {v.TERM_SQL}, s AS (SELECT doc_id * 100 AS start_ms, replace(lower(text), '
 SELECT original AS term, coalesce(min(start_ms), -1) AS first_start FROM k LEFT JOIN s ON contains(t, replace(original, '-', ' ')) GROUP BY original""")
 def a20(spark, sf):
     t = v.terms(spark, sf).select(F.col("original").alias("term")).distinct()
-    return co.first_mention(t, v.docs(spark, sf).withColumn("start_ms", F.col("doc_id") * 100), "text", "start_ms", -1)
+    return co.first_mention(t, v.docs(spark, sf).withColumn("start_ms", F.col("doc_id") * 100), ["doc_id"], "text", "start_ms", -1)

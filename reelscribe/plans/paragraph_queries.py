@@ -33,13 +33,13 @@ walk AS (
   FROM walk w JOIN seg s ON s.part_id = w.part_id AND s.seq = w.seq + 1 JOIN d ON d.part_id = s.part_id)
 SELECT part_id, seq, group_no FROM walk""")
 def w14(spark, sf):
-    s = stage_table(v.segments(spark, sf, ids=False))
+    s = stage_table(v.segments(spark, sf, ids=False).select("part_id", "seq", "start_ms", "end_ms"))
     marks, durations = _boundaries(s)
-    line = tl.by_position(["part_id"], "seq", 3)
+    line = tl.by_position(["part_id"])
     return pg.group_by_boundaries(s, line, marks, durations).select("part_id", "seq", "group_no")
 
 
-SESSION_LINE = tl.by_position(["part_id"], "seq", 3)
+SESSION_LINE = tl.by_position(["part_id"])
 
 
 def sessions(spark, sf):
@@ -86,13 +86,13 @@ def _sql_readable(text):
 
 
 @query("w17_build_paragraphs_from_plan", f"""
-WITH {v.SEG_SQL}, g AS (SELECT part_id, seq // 3 AS paragraph_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text_raw, '' ORDER BY seq) AS text_raw, string_agg(segment_id, '|' ORDER BY seq) AS source_segment_ids, min(part_no) AS n FROM seg GROUP BY 1, 2)
-SELECT part_id, paragraph_no, start_ms, end_ms, text_raw, CASE WHEN n % 7 = 0 THEN 'checked ' || part_id ELSE {_sql_readable('text_raw')} END AS text_clean, source_segment_ids FROM g""")
+WITH {v.SEG_SQL}, g AS (SELECT part_id, seq // 3 AS paragraph_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text_raw, '' ORDER BY seq) AS text_raw, string_agg({v.sql_clean('text_raw')}, '' ORDER BY seq) AS joined_clean, string_agg(segment_id, '|' ORDER BY seq) AS source_segment_ids, min(part_no) AS n FROM seg GROUP BY 1, 2)
+SELECT part_id, paragraph_no, start_ms, end_ms, text_raw, CASE WHEN n % 7 = 0 THEN 'checked ' || part_id ELSE {_sql_readable('joined_clean')} END AS text_clean, source_segment_ids FROM g""")
 def w17(spark, sf):
-    s = v.segments(spark, sf)
+    s = v.segments(spark, sf).withColumn("text_clean", tx.clean_text(F.col("text_raw")))
     plan = s.groupBy("part_id", "part_no", F.floor(F.col("seq") / 3).cast("long").alias("paragraph_no")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "segment_id"))), lambda x: x["segment_id"]).alias("segment_ids"))
-    plan = plan.withColumn("clean_override", F.when(F.col("part_no") % 7 == 0, F.concat(F.lit("checked "), F.col("part_id"))))
+    plan = plan.withColumn("clean_override", F.when(F.col("part_no") % 7 == 0, F.concat(F.lit("checked "), F.col("part_id"))).when(F.col("part_no") % 7 == 1, ""))
     plan = plan.withColumn("segment_ids", F.when(F.col("part_no") % 10 == 0, F.concat("segment_ids", F.array(F.lit("T999999999")))).otherwise(F.col("segment_ids")))
     known, _ = pg.build_paragraphs_from_plan(plan, s)
     return known.withColumn("source_segment_ids", v.listed(F.col("source_segment_ids")))

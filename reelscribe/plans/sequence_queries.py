@@ -35,7 +35,7 @@ echo AS (
          end_ms - 1000 + seq * (CASE c WHEN 0 THEN 0 WHEN 1 THEN 300 ELSE 700 END) AS start_ms, end_ms - 900 + seq * (CASE c WHEN 0 THEN 0 WHEN 1 THEN 300 ELSE 700 END) AS end_ms,
          {v.sql_clean('text_raw')} AS text_clean
   FROM seg, (SELECT unnest([0, 1, 2]) AS c))"""
-ECHO_LINE = tl.by_position(["part_id"], "seq", 5)
+ECHO_LINE = tl.by_position(["part_id"])
 
 
 @query("w2_collapse_adjacent_duplicates", f"""
@@ -57,7 +57,8 @@ def w2(spark, sf):
 WITH {v.LOC_SQL}, p AS (SELECT *, lag(end_ms) OVER w AS pe, lag(event_id) OVER w AS first_id FROM loc WINDOW w AS (PARTITION BY part_id ORDER BY start_ms, event_id))
 SELECT part_id, first_id, event_id AS second_id, pe - start_ms AS overlap FROM p WHERE start_ms < pe""")
 def w3(spark, sf):
-    return sq.report_overlaps(v.local_intervals(spark, sf), v.LOC_LINE, "event_id", "start_ms", "end_ms")
+    rows, line = tl.split_hot_blocks(v.local_intervals(spark, sf), v.LOC_LINE)
+    return sq.report_overlaps(rows, line, "event_id", "start_ms", "end_ms")
 
 
 @query("w4_report_adjacent_duplicates", f"""
@@ -93,12 +94,14 @@ def _durations(spark, sf):
 
 @query("w6_gap_list", f"WITH {v.RANGE_SQL}, {_REACH_SQL} SELECT part_id, gap_start, gap_end FROM g WHERE gap_end - gap_start >= 7200000")
 def w6(spark, sf):
-    return sq.gap_list(v.local_intervals(spark, sf), v.LOC_LINE, "start_ms", "end_ms", _durations(spark, sf), 7_200_000)
+    rows, line = tl.split_hot_blocks(v.local_intervals(spark, sf), v.LOC_LINE)
+    return sq.gap_list(rows, line, "start_ms", "end_ms", _durations(spark, sf), 7_200_000)
 
 
 @query("w6_max_gap", f"WITH {v.RANGE_SQL}, {_REACH_SQL} SELECT part_id, CAST(max(greatest(0, gap_end - gap_start)) AS BIGINT) AS max_gap FROM g GROUP BY part_id")
 def w6_max(spark, sf):
-    return sq.max_gap(v.local_intervals(spark, sf), v.LOC_LINE, "start_ms", "end_ms", _durations(spark, sf))
+    rows, line = tl.split_hot_blocks(v.local_intervals(spark, sf), v.LOC_LINE)
+    return sq.max_gap(rows, line, "start_ms", "end_ms", _durations(spark, sf))
 
 
 @query("w7_neighbour_gap_stats", f"""
@@ -146,7 +149,8 @@ def w21(spark, sf):
 WITH {v.RANGE_SQL}, b AS (SELECT part_id, start_ms AS t FROM loc UNION ALL SELECT part_id, range_start FROM rng UNION ALL SELECT part_id, range_end FROM rng),
 d AS (SELECT part_id, t - lag(t) OVER (PARTITION BY part_id ORDER BY t) AS g FROM b) SELECT part_id, max(g) AS max_gap FROM d GROUP BY part_id""")
 def w21_gap(spark, sf):
-    return sq.max_evidence_gap(v.local_intervals(spark, sf), v.LOC_LINE, v.job_ranges(spark, sf), "start_ms")
+    rows, line = tl.split_hot_blocks(v.local_intervals(spark, sf), v.LOC_LINE)
+    return sq.max_evidence_gap(rows, line, v.job_ranges(spark, sf), "start_ms")
 
 
 @query("w22_fixed_chunk_plan", f"""
@@ -163,7 +167,8 @@ def w22(spark, sf):
 WITH {v.MOM_SQL}, n AS (SELECT job_id, event_id, row_number() OVER (PARTITION BY job_id ORDER BY t, source_rank, event_id) AS n FROM mom)
 SELECT job_id, printf('CS%03d', (n - 1) // 12 + 1) AS sheet_id, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY n) AS frame_ids, count(*) AS frame_count FROM n GROUP BY job_id, (n - 1) // 12""")
 def w23(spark, sf):
-    out = mo.paginate(v.moments(spark, sf), v.MOM_LINE, "event_id")
+    rows, line = tl.split_hot_blocks(v.moments(spark, sf), v.MOM_LINE)
+    out = mo.paginate(rows, line, "event_id")
     return out.select("job_id", "sheet_id", v.listed(F.col("frame_ids")).alias("frame_ids"), "frame_count")
 
 
@@ -252,13 +257,14 @@ def a1(spark, sf):
 
 
 def event_segments(spark, sf):
-    """Documents as segments with the time of the event of the same number: overlapping, gappy segments."""
-    d = v.docs(spark, sf).select(F.col("doc_id").alias("event_id"), F.col("text").alias("text_raw"))
-    return v.local_intervals(spark, sf).join(d, "event_id").withColumn("seq", F.col("event_id"))
+    """Every event as a segment with the text of a document (documents come round again): overlapping, gappy segments."""
+    d = v.docs(spark, sf).select(F.col("doc_id").alias("_doc"), F.col("text").alias("text_raw"))
+    doc = F.col("event_id") % v.read(spark, sf, "documents").agg(F.max("doc_id") + 1).scalar()
+    return v.local_intervals(spark, sf).withColumn("_doc", doc).join(d, "_doc").drop("_doc").withColumn("seq", F.col("event_id"))
 
 
 EVENT_SEG_SQL = v.RANGE_SQL + """,
-src AS (SELECT part_id, event_id AS seq, event_id, start_ms, end_ms, text AS text_raw FROM loc JOIN documents ON doc_id = event_id)"""
+src AS (SELECT part_id, event_id AS seq, event_id, start_ms, end_ms, text AS text_raw FROM loc JOIN documents ON doc_id = event_id % (SELECT max(doc_id) + 1 FROM documents))"""
 
 
 @query("a2_asr_quality_report", f"""
