@@ -179,18 +179,25 @@ def reconcile_terms(candidates: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def merge_glossary(terms: DataFrame, definitions: DataFrame, corrections: DataFrame, starts: DataFrame) -> DataFrame:
-    """One entry per case-folded term: first spelling and confidence, last definition, united aliases and evidence.
+    """One entry per case-folded term: first spelling and confidence, last definition, united aliases, number of segments.
+
+    The segments behind the number are child rows: the distinct (key, segment) pairs of ``terms``.
 
     terms: ord, term, confidence, aliases, transcript_ids. definitions: ord, term, definition.
     corrections: original_text, suggested_text, applied. starts: segment_id, paragraph_start.
     """
     keyed = terms.select(tx.casefold(F.col("term")).alias("key"), "ord", "term", "confidence", "aliases", F.explode_outer("transcript_ids").alias("segment_id"))
-    # First per (term, segment), combined before the shuffle, then per term: a hot term is a few rows per segment.
-    per_segment = keyed.groupBy("key", "segment_id").agg(F.min_by(F.struct("ord", "term", "confidence"), "ord").alias("_h"), F.collect_set("aliases").alias("_a"))
-    grouped = per_segment.join(starts, "segment_id", "left").groupBy("key").agg(
-        F.min_by("_h", F.col("_h.ord")).alias("_h"), F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set("_a"))))).alias("aliases"),
+    # One hash aggregate over all mentions, combined before its shuffle; what follows reads that one shuffle. Numbers are reduced
+    # before texts are picked, and aliases are made distinct before they are listed, so a hot term is a few rows everywhere.
+    once = keyed.groupBy("key", "term", "confidence", "aliases", "segment_id").agg(F.min("ord").alias("ord"))
+    heads = once.groupBy("key", "term", "confidence").agg(F.min("ord").alias("ord")).groupBy("key").agg(F.min_by(F.struct("term", "confidence"), "ord").alias("_h"))
+    names = once.groupBy("key", "aliases").agg(F.lit(1).alias("_one")).select("key", F.explode("aliases").alias("alias")).distinct().groupBy("key").agg(
+        F.array_sort(F.collect_list("alias")).alias("aliases"))
+    seen = once.groupBy("key", "segment_id").agg(F.lit(1).alias("_one")).join(starts, "segment_id", "left").groupBy("key").agg(
         F.count("segment_id").alias("evidence_count"), F.min("paragraph_start").alias("_start"))
-    meaning = definitions.groupBy(tx.casefold(F.col("term")).alias("key")).agg(F.max_by("definition", "ord").alias("definition"))
+    grouped = heads.join(names, "key", "left").join(seen, "key", "left")
+    defined = definitions.select(tx.casefold(F.col("term")).alias("key"), "ord", "definition")
+    meaning = defined.join(defined.groupBy("key").agg(F.max("ord").alias("ord")), ["key", "ord"]).groupBy("key").agg(F.min("definition").alias("definition"))
     wrong = corrections.filter("applied").select(tx.casefold(F.col("suggested_text")).alias("key"), "original_text").distinct().groupBy("key").agg(
         F.array_sort(F.collect_list("original_text")).alias("incorrect"))
     none = F.array().cast("array<string>")

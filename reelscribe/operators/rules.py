@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelscribe import schemas
+from reelscribe.functions import values as vx
 from reelscribe.operators import timeline as tl
 
 
@@ -116,15 +117,15 @@ def rules_media(media: DataFrame) -> DataFrame:
         "path_leaves_job": F.coalesce(F.col("media_path").startswith("/") | F.array_contains(F.split("media_path", "/", -1), ".."), F.lit(False))})
 
 
-def rules_packets(packets: DataFrame, line: tl.Timeline, frozen_ids: DataFrame | None = None, max_frames: int = 6) -> DataFrame:
-    """V7. Packets carry ``packet_hash``, ``expected_hash`` and ``frame_count``; ``line`` orders them by number."""
+def rules_packets(packets: DataFrame, line: tl.Timeline, payload: Sequence[str], frozen_ids: DataFrame | None = None, max_frames: int = 6) -> DataFrame:
+    """V7. Packets carry ``packet_hash`` and ``frame_count``; ``line`` orders them by number. The hash is computed anew from ``payload``."""
     near = tl.scan(packets, line, previous={"_p_end": "primary_end"})
     part = line.part[0]
     near = near.withColumn("_id", F.concat_ws("/", F.col(part).cast("string"), "packet_id"))
     out = violations(near, "packets", "_id", {
         "range_not_increasing": (F.col("primary_end") <= F.col("primary_start")) | (F.col("context_end") <= F.col("context_start")),
         "primary_outside_packet": (F.col("primary_start") < F.col("context_start")) | (F.col("primary_end") > F.col("context_end")),
-        "hash_differs": F.col("packet_hash") != F.col("expected_hash"),
+        "hash_differs": ~F.col("packet_hash").eqNullSafe(vx.row_fingerprint(payload)),
         "gap_between_packets": F.coalesce(F.col("primary_start") != F.col("_p_end"), F.lit(False)), "too_many_frames": F.col("frame_count") > max_frames})
     if frozen_ids is not None:
         hit = near.join(frozen_ids.select(part, "packet_id").distinct(), [part, "packet_id"], "left_semi")

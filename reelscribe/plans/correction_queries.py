@@ -111,6 +111,15 @@ def j8(spark, sf):
     return co.apply_overrides(c, over)[0]
 
 
+@query("j8_unknown_overrides", "SELECT printf('C%06d', o_orderkey) AS correction_id FROM orders WHERE o_orderkey % 97 = 0 AND o_orderstatus = 'P'")
+def j8_unknown(spark, sf):
+    """Overrides of every 97th order, while corrections exist only for orders that are not pending."""
+    o = v.read(spark, sf, "orders").withColumn("correction_id", F.format_string("C%06d", F.col("o_orderkey")))
+    fields = ["correction_id", F.col("o_orderpriority").alias("suggested_text"), F.lit("accepted").alias("decision"), F.lit("high").alias("confidence"), F.col("o_orderstatus").alias("reason")]
+    c = o.filter("o_orderstatus <> 'P'").select(*fields, F.lit(True).alias("applied"))
+    return co.apply_overrides(c, o.filter("o_orderkey % 97 = 0").select(*fields))[1]
+
+
 @query("j5_link_by_shared_ids", """
 SELECT DISTINCT l_orderkey AS evidence_id, s_nationkey AS section_id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""")
 def j5(spark, sf):
@@ -157,10 +166,12 @@ def j12(spark, sf):
 @query("j13_diff_manifests", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM orders WHERE o_orderkey % 101 = 0 OR o_orderkey % 97 = 0""")
 def j13(spark, sf):
-    o = v.read(spark, sf, "orders")
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    a = inc.snapshot(o.withColumn("cents", cents), ["o_orderkey"], ["o_orderkey", "o_custkey", "cents"])
-    b = inc.snapshot(o.filter("o_orderkey % 101 <> 0").withColumn("cents", cents + F.when(F.col("o_orderkey") % 97 == 0, 100).otherwise(0)), ["o_orderkey"], ["o_orderkey", "o_custkey", "cents"])
+    o, k = v.order_rows(spark, sf), F.col("o_orderkey")
+    # Half of the changes are in the price, half in the last column.
+    changed = o.filter(k % 101 != 0).withColumns({
+        "cents": F.col("cents") + F.when((k % 97 == 0) & (k % 2 == 0), 100).otherwise(0),
+        "o_orderpriority": F.when((k % 97 == 0) & (k % 2 == 1), F.concat("o_orderpriority", F.lit("!"))).otherwise(F.col("o_orderpriority"))})
+    a, b = (inc.snapshot(rows, ["o_orderkey"], v.ORDER_COLUMNS) for rows in (o, changed))
     return inc.diff_manifests(a, b, ["o_orderkey"], "hash").select("o_orderkey", "problem")
 
 

@@ -125,6 +125,15 @@ def i8(spark, sf):
     return inc.invalidate_downstream(states, changes)[0]
 
 
+@query("i8_last_success", f"""
+WITH {v.ATT_SQL}, s AS (SELECT job_id, stage, stage_no, arg_max(status, ("at", event_id)) AS status FROM att GROUP BY 1, 2, 3)
+SELECT job_id, arg_max(stage, stage_no) FILTER (WHERE status = 'succeeded' AND stage_no < 4) AS last_success FROM s WHERE job_id % 3 = 0 GROUP BY job_id""")
+def i8_last(spark, sf):
+    states = v.attempts(spark, sf).groupBy("job_id", "stage").agg(F.max_by("status", F.struct("at", "event_id")).alias("status"))
+    changes = states.select("job_id").distinct().filter("job_id % 3 = 0").withColumn("stage", F.lit(_CHANGED_STAGE))
+    return inc.invalidate_downstream(states, changes)[1]
+
+
 @query("i9_build_review_queue", """
 SELECT 'R-FORM' || printf('%04d', doc_id) AS review_id, 'formula' AS type, doc_id AS start_ms, doc_id AS end_ms, 'F' || CAST(doc_id AS VARCHAR) AS frame, 'x' AS candidate, NULL AS original_text, NULL AS note FROM labels WHERE quality = 0
 UNION ALL SELECT 'R-C' || printf('%06d', o_orderkey), 'correction', o_custkey, o_custkey + 1, CASE WHEN o_orderkey % 2 = 0 THEN 'F1' END, 'y', o_orderpriority, NULL FROM orders WHERE o_orderstatus = 'P'

@@ -188,12 +188,13 @@ def d3(spark, sf):
     return h.join(copies, "frame_no").select("frame_no", nd.hamming(F.col("hash_hi"), F.col("hash_lo"), F.col("oh"), F.col("ol")).alias("distance"))
 
 
-@query("d4_quality_flags", """
-WITH m AS (SELECT vec_id, (vec_id % 101) / 100.0 AS black, (vec_id % 67)::DOUBLE AS mean, (vec_id % 13)::DOUBLE AS sd FROM embeddings)
+@query("d4_quality_flags", f"""
+WITH {PIXEL_SQL}, m AS (SELECT vec_id, avg(CASE WHEN w <= 16 THEN 1.0 ELSE 0.0 END) AS black, avg(w) AS mean, stddev_pop(w) AS sd FROM (SELECT vec_id, v * (vec_id % 5) // 16 AS w FROM px) GROUP BY vec_id)
 SELECT vec_id, array_to_string(list_filter([CASE WHEN black >= 0.97 THEN 'black' END, CASE WHEN mean <= 24 THEN 'extreme_dark' END, CASE WHEN sd <= 6 THEN 'low_information' END], lambda f: f IS NOT NULL), '|') AS flags FROM m""")
 def d4(spark, sf):
-    e, n = v.read(spark, sf, "embeddings"), F.col("vec_id")
-    return e.select("vec_id", v.listed(nd.quality_flags((n % 101) / 100.0, (n % 67).cast("double"), (n % 13).cast("double"))).alias("flags"))
+    dimmed = F.transform("luma", lambda p: F.floor(p * (F.col("vec_id") % 5) / 16).cast("int"))
+    m = luma_images(spark, sf).select("vec_id", nd.frame_metrics(dimmed, F.col("width"), F.col("height")).alias("m"))
+    return m.select("vec_id", v.listed(nd.quality_flags(F.col("m.black_ratio"), F.col("m.mean_luma"), F.col("m.luma_stddev"))).alias("flags"))
 
 
 @query("d5_candidate_pairs_hamming", f"""

@@ -98,6 +98,15 @@ def w17(spark, sf):
     return known.withColumn("source_segment_ids", v.listed(F.col("source_segment_ids")))
 
 
+@query("w17_unknown_references", f"WITH {v.SEG_SQL} SELECT DISTINCT part_id, seq // 3 AS paragraph_no, 'X' || segment_id AS segment_id FROM seg WHERE part_no % 10 = 0")
+def w17_unknown(spark, sf):
+    """Every segment of each tenth part is listed a second time under an id that nobody knows."""
+    s = v.segments(spark, sf).withColumn("text_clean", F.col("text_raw"))
+    ids = F.when(F.col("part_no") % 10 == 0, F.array(F.col("segment_id"), F.concat(F.lit("X"), "segment_id"))).otherwise(F.array("segment_id"))
+    plan = s.select("part_id", F.floor(F.col("seq") / 3).cast("long").alias("paragraph_no"), F.lit(None).cast("string").alias("clean_override"), ids.alias("segment_ids"))
+    return pg.build_paragraphs_from_plan(plan, s)[1]
+
+
 @query("j10_check_exact_cover", """
 WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT coalesce(o_orderkey, l_orderkey) AS order_no, coalesce(n, 0) AS times, CASE WHEN n IS NULL THEN 'missing' ELSE 'duplicate' END AS problem FROM orders FULL JOIN c ON l_orderkey = o_orderkey WHERE coalesce(n, 0) <> 1""")
@@ -204,6 +213,15 @@ def j18(spark, sf):
     return kids.groupBy("r_name", "n_name").agg(F.sum("kids").alias("kids"), F.sum("s").alias("kid_sum"), F.min("f").alias("first_kid"))
 
 
+@query("j18_unknown_leaves", "SELECT c_custkey, c_name, c_nationkey AS node FROM customer WHERE c_nationkey % 5 = 0")
+def j18_unknown(spark, sf):
+    """Customers of nations that the tree leaves out."""
+    r, n, c = (v.read(spark, sf, t) for t in ("region", "nation", "customer"))
+    middle = n.filter("n_nationkey % 5 <> 0").select(F.col("n_regionkey").alias("root"), F.col("n_nationkey").alias("node"), "n_name")
+    leaves = c.select(F.col("c_nationkey").alias("node"), "c_custkey", "c_name")
+    return ev.build_topic_tree(r.select(F.col("r_regionkey").alias("root"), "r_name"), middle, leaves, "root", "node", ["c_custkey", "c_name"], "r_name", "n_name")[1]
+
+
 _QUERIES = ["tion", "ÉAU", "the", "benchmark"]
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reelscribe.functions import values as vx
+from reelscribe.operators import paragraphs as pg
 from reelscribe.operators import rules
 from reelscribe.operators import timeline as tl
 from reelscribe.plans import views as v
@@ -124,10 +126,14 @@ WITH {PACKET_SQL}, q AS (SELECT *, CAST(job_id AS VARCHAR) || '/' || packet_id A
 {_union('id', 'q', primary_outside_packet='pe > context_end', hash_differs='packet_no % 6 = 0', gap_between_packets='primary_start <> lp', too_many_frames='packet_no % 8 = 7', id_is_frozen='packet_no <= 2 AND job_id % 10 = 0').replace('{t}', 'packets')}""")
 def v7(spark, sf):
     n = F.col("packet_no")
-    p = packets(spark, sf).withColumns({"primary_end": F.when(n % 5 == 0, F.col("primary_end") + 1).otherwise(F.col("primary_end")), "packet_hash": F.lit("h"),
-                                        "expected_hash": F.when(n % 6 == 0, "g").otherwise("h"), "frame_count": n % 8})
+    p = packets(spark, sf).withColumns({"primary_end": F.when(n % 5 == 0, F.col("primary_end") + 1).otherwise(F.col("primary_end")), "frame_count": n % 8})
+    # Hashed with all their members; afterwards the members of every sixth packet are others.
+    rows = v.local_intervals(spark, sf).withColumnRenamed("part_id", "job_id")
+    p = pg.packet_summary(p, pg.packet_rows(p, rows, "job_id", "start_ms", "end_ms", v.EVENT_BLOCK_US // 1000), "job_id", "event_id")
+    payload = ["job_id", "packet_id", "primary_start", "primary_end", "context_start", "context_end", "row_count", "member_digest"]
+    p = p.withColumn("packet_hash", vx.row_fingerprint(payload)).withColumn("member_digest", F.when(n % 6 == 0, F.reverse("member_digest")).otherwise(F.col("member_digest")))
     frozen = packets(spark, sf).filter("packet_no <= 2 AND job_id % 10 = 0")
-    return rules.rules_packets(p, tl.by_position(["job_id"], "packet_no", 8), frozen)
+    return rules.rules_packets(p, tl.by_position(["job_id"], "packet_no"), payload, frozen)
 
 
 @query("v8_rules_observations", """

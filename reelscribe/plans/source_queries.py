@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from reelscribe.functions import text as tx
 from reelscribe.functions import values as vx
+from reelscribe.operators import reports as rp
+from reelscribe.operators import timeline as tl
 from reelscribe.plans import views as v
 from reelscribe.plans.registry import query
 from reelscribe.sources import catalog as cat
@@ -164,6 +166,20 @@ def s8(spark, sf):
     return sub.parse_records(o.select(line.alias("value")), schemas.struct("part_seq bigint, status string"), "1")
 
 
+@query("s8_wrong_types", """
+SELECT o_orderkey AS order_no, CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE 'wrong_type' END AS reject_reason FROM orders""")
+def s8_types(spark, sf):
+    """A text for a number, a number for a text, a list with a text for numbers; every fourth line is right."""
+    o, k = v.read(spark, sf, "orders"), F.col("o_orderkey")
+    text = k.cast("string")
+    line = (F.when(k % 4 == 0, F.concat(F.lit('{"part_seq":'), text, F.lit(',"status":null,"marks":[1,2]}')))
+            .when(k % 4 == 1, F.concat(F.lit('{"part_seq":"'), text, F.lit('","status":"x","marks":[]}')))
+            .when(k % 4 == 2, F.concat(F.lit('{"part_seq":'), text, F.lit(',"status":7,"marks":[]}')))
+            .otherwise(F.concat(F.lit('{"part_seq":'), text, F.lit(',"status":"x","marks":["1"]}'))))
+    number = F.regexp_extract("value", '"part_seq":"?([0-9]+)', 1).cast("long")
+    return sub.parse_records(o.select(line.alias("value")), schemas.struct("part_seq bigint, status string, marks array<bigint>"), "1", keep=["value"]).select(number.alias("order_no"), "reject_reason")
+
+
 @query("k1_write_segments_jsonl", f"""
 WITH {v.SEG_SQL} SELECT '{{"end_ms":' || CAST(end_ms AS VARCHAR) || ',"part_id":"' || part_id || '","schema_version":"1.0.0","segment_id":"' || segment_id || '","speaker":"' || speaker || '","start_ms":' || CAST(start_ms AS VARCHAR) || ',"text_raw":' || CAST(to_json(text_raw) AS VARCHAR) || '}}' AS value FROM seg""")
 def k1(spark, sf):
@@ -190,6 +206,31 @@ def k3(spark, sf):
     return wr.render_vtt(_clean(spark, sf), rows=CHUNK)
 
 
+def _untimed(spark, sf):
+    """Every document as an untimed part of one row."""
+    none = F.lit(None).cast("long")
+    return v.docs(spark, sf).select(F.col("doc_id").cast("string").alias("part_id"), F.lit(0).cast("long").alias("seq"), none.alias("start_ms"), none.alias("end_ms"),
+                                    F.lit("UNTIMED").alias("segment_id"), F.col("text").alias("text_raw"), F.col("text").alias("text_clean"))
+
+
+@query("k2_untimed_srt", "SELECT CAST(doc_id AS VARCHAR) AS part_id, 0 AS chunk, '' AS body FROM documents")
+def k2_untimed(spark, sf):
+    return wr.render_srt(_untimed(spark, sf), rows=CHUNK)
+
+
+@query("k3_untimed_vtt", "SELECT CAST(doc_id AS VARCHAR) AS part_id, 0 AS chunk, 'WEBVTT' AS body FROM documents")
+def k3_untimed(spark, sf):
+    return wr.render_vtt(_untimed(spark, sf), rows=CHUNK)
+
+
+@query("a1_untimed_parts", f"""
+SELECT CAST(doc_id AS VARCHAR) AS part_id, length(regexp_replace(text, '{v.SQL_WS}+', '', 'g')) AS character_count, NULL AS duration, NULL AS coverage_ratio, 0 AS long_count,
+ CASE WHEN regexp_matches(text, '{tx.GARBLED}') THEN 1 ELSE 0 END AS garbled_count, 'untimed_transcript' || CASE WHEN regexp_matches(text, '{tx.GARBLED}') THEN '|suspicious_garbled_text' ELSE '' END AS warnings FROM documents""")
+def a1_untimed(spark, sf):
+    out = rp.transcript_quality_report(_untimed(spark, sf), tl.by_position(["part_id"]), tl.by_time(["part_id"], "start_ms", "seq", 3_600_000))
+    return out.select("part_id", "character_count", "duration", "coverage_ratio", "long_count", "garbled_count", v.listed(F.col("warnings")).alias("warnings"))
+
+
 @query("k4_render_txt", _render_sql(f"'[' || {v.sql_timecode('start_ms')} || ' - ' || {v.sql_timecode('end_ms')} || '] ' || text_clean", "chr(10)"))
 def k4(spark, sf):
     return wr.render_txt(_clean(spark, sf), rows=CHUNK)
@@ -199,7 +240,8 @@ _WORDS_SQL = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8
 
 
 @query("k6_build_content_manifest", f"""
-WITH h AS (SELECT o_orderstatus, sha256('{{"o_custkey":' || CAST(o_custkey AS VARCHAR) || ',"o_orderkey":' || CAST(o_orderkey AS VARCHAR) || '}}') AS h FROM orders)
+WITH h AS (SELECT o_orderstatus, sha256('{{"cents":' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) || ',"o_custkey":' || CAST(o_custkey AS VARCHAR) || ',"o_orderkey":' || CAST(o_orderkey AS VARCHAR)
+  || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '","ordered_us":' || CAST(epoch_us(o_orderdate) AS VARCHAR) || '}}') AS h FROM orders)
 SELECT o_orderstatus, count(*) AS row_count, sha256(CAST(count(*) AS VARCHAR) || ':' || {_WORDS_SQL}) AS digest FROM h GROUP BY 1""")
 def k6(spark, sf):
-    return wr.build_content_manifest(v.read(spark, sf, "orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey"])
+    return wr.build_content_manifest(v.order_rows(spark, sf), ["o_orderstatus"], v.ORDER_COLUMNS)

@@ -143,6 +143,12 @@ def p10(spark, sf):
     return kept.select("event_id", "raw_start", "raw_end", "start_ms", "end_ms", "range_boundary_clipped")
 
 
+@query("p10_rejected_rows", f"WITH {v.LOC_SQL} SELECT event_id, start_ms, end_ms FROM loc WHERE start_ms < 600000000 - 3600000 OR end_ms < start_ms")
+def p10_rejected(spark, sf):
+    _, bad = rg.clip_to_range(v.local_intervals(spark, sf), 600_000_000, 1_200_000_000, slack=3_600_000)
+    return bad.select("event_id", "start_ms", "end_ms")
+
+
 @query("p11_shift_to_absolute_time", f"WITH {v.SEG_SQL} SELECT segment_id, start_ms + 1498000 AS start_ms, end_ms + 1498000 AS end_ms, segment_id AS local_id, '1498000' AS offset_text FROM seg")
 def p11(spark, sf):
     s = v.segments(spark, sf).withColumn("source_ref", F.create_map(F.lit("speaker"), F.col("speaker")))

@@ -192,6 +192,18 @@ hs AS (
   SELECT job_id, frame_no + 1000000, t + 1, hash_hi, xor(hash_lo, (CAST(1 AS BIGINT) << CAST(frame_no % 9 AS BIGINT)) - 1) FROM hb)"""
 
 
+# ---- snapshots -----------------------------------------------------------------------------------
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "cents", "ordered_us", "o_orderpriority"]
+
+
+def order_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All of an order, with prices in cents and times in microseconds, so that digests do not depend on how numbers are printed."""
+    o = read(spark, sf, "orders")
+    return o.select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
+                    F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("ordered_us"), "o_orderpriority")
+
+
 # ---- terms ---------------------------------------------------------------------------------------
 
 def terms(spark: SparkSession, sf: str) -> DataFrame:

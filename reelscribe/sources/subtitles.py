@@ -148,10 +148,10 @@ def _json_kind(kind: T.DataType) -> str:
     return "BOOLEAN" if isinstance(kind, T.BooleanType) else "STRING"
 
 
-def parse_records(lines: DataFrame, schema: T.StructType, major: str, column: str = "value") -> DataFrame:
+def parse_records(lines: DataFrame, schema: T.StructType, major: str, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Versioned JSON lines; unknown majors, unknown fields, broken lines and fields of a wrong type are rejected.
 
-    A line without ``schema_version`` is accepted: the version has a default.
+    A line without ``schema_version`` is accepted: the version has a default. ``keep`` names columns of ``lines`` to carry along.
     """
     full = T.StructType([*schema.fields, T.StructField("schema_version", T.StringType())])
     names = [f.name for f in full.fields]
@@ -163,7 +163,7 @@ def parse_records(lines: DataFrame, schema: T.StructType, major: str, column: st
               .when(F.substring_index("_r.schema_version", ".", 1) != major, "unsupported_version")
               .when(F.size(F.array_except("_keys", F.array(*[F.lit(n) for n in names]))) > 0, "unknown_field")
               .when(wrong, "wrong_type"))
-    return parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields], reason.alias("reject_reason"))
+    return parsed.select(*keep, *[F.col("_r")[f.name].alias(f.name) for f in schema.fields], reason.alias("reject_reason"))
 
 
 def read_records_jsonl(spark: SparkSession, path: str, schema: T.StructType, major: str) -> DataFrame:
