@@ -19,8 +19,7 @@ def merge_moments(moments: DataFrame, line: tl.Timeline, at: str, ident: str, to
     ``moments`` carries ``reasons`` and ``cue_terms`` arrays and ``scene_score``; ``line`` orders by time,
     then source order.
     """
-    marked = tl.carried_groups(moments, line, F.col(at) - tolerance, F.col(at), "_anchor")
-    numbered = tl.number_groups(marked, line, "_anchor", "cluster")
+    numbered = tl.carried_groups(moments, line, F.col(at) - tolerance, F.col(at), "_anchor", "cluster")
     order = F.struct(*[F.col(c) for c in line.order])
 
     def union(column: str) -> Column:

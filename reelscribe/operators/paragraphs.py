@@ -58,8 +58,7 @@ def sessionize_paragraphs(segments: DataFrame, line: tl.Timeline, start: str = "
     # The row opens a paragraph iff the open one's start is below this threshold.
     before = F.col(end) - max_length
     after = F.when(F.col("_p_close"), F.col("_p_end") - min_length + 1)
-    marked = tl.carried_groups(near, line, F.greatest(before, after), F.col(start), "_opens")
-    return tl.number_groups(marked, line, "_opens", "group_no").select(*segments.columns, "group_no")
+    return tl.carried_groups(near, line, F.greatest(before, after), F.col(start), "_opens", "group_no").select(*segments.columns, "group_no")
 
 
 def build_paragraphs(segments: DataFrame, part: str = "part_id", clean: str = "text_clean", packet_ms: int = 300_000,

@@ -34,11 +34,17 @@ def assign_stable_ids(df: DataFrame, line: tl.Timeline, part_order: str, prefix:
 
 def collapse_adjacent_duplicates(df: DataFrame, line: tl.Timeline, text: str = "text_clean", start: str = "start_ms",
                                  end: str = "end_ms", gap: int = 500) -> DataFrame:
-    """Drop a row equal in text to the last kept row and starting at most ``gap`` after its end."""
-    prior = tl.scan(df, line, previous={"_prior_text": text})
-    other = F.col("_prior_text").isNull() | (F.col("_prior_text") != F.col(text))
+    """Drop a row equal in text to the last kept row and starting at most ``gap`` after its end.
+
+    The scan and the fold see a digest of the text; ``df`` meets the kept rows by its place in the order at the end.
+    """
+    place = list(dict.fromkeys([*line.part, *line.order]))
+    narrow = df.select(*dict.fromkeys([*place, line.block_on, start, end]), F.sha2(text, 256).alias("_digest"))
+    prior = tl.scan(narrow, line, previous={"_prior": "_digest"})
+    other = F.col("_prior").isNull() | (F.col("_prior") != F.col("_digest"))
     threshold = F.when(other, F.lit(int(tl.ALWAYS))).otherwise(F.col(start) - gap)
-    return tl.carried_groups(prior, line, threshold, F.col(end), "_kept").filter("_kept").select(*df.columns)
+    kept = tl.carried_groups(prior, line, threshold, F.col(end), "_kept").filter("_kept").select(*place)
+    return df.join(kept, place, "left_semi")
 
 
 def report_overlaps(df: DataFrame, line: tl.Timeline, ident: str, start: str, end: str) -> DataFrame:

@@ -161,14 +161,24 @@ ALWAYS = np.iinfo("int64").max
 
 
 def _next_starts(thr: np.ndarray, val: np.ndarray) -> np.ndarray:
-    """For a group starting at p, the first q > p with thr[q] > val[p]; len(thr) when none."""
+    """For a group starting at p, the first q > p with thr[q] > val[p]; len(thr) when none.
+
+    All rows search at once in a table of maxima over runs of 1, 2, 4, ... rows: a row leaps over a run whose maximum does
+    not exceed its value, longest runs first, so the cost is n log n whatever opens.
+    """
     n = len(thr)
-    peak = np.maximum.accumulate(thr)
-    nxt = np.maximum(np.searchsorted(peak, val, side="right"), np.arange(1, n + 1))
-    for p in np.flatnonzero(peak > val):  # an earlier row already passed val[p]: look ahead from p
-        later = np.flatnonzero(thr[p + 1:] > val[p])
-        nxt[p] = p + 1 + later[0] if len(later) else n
-    return nxt
+    at = np.arange(1, n + 1)
+    tables = [thr]
+    while 2 << (len(tables) - 1) <= n:
+        last, half = tables[-1], 1 << (len(tables) - 1)
+        tables.append(np.maximum(last[:-half], last[half:]))
+    for k in range(len(tables) - 1, -1, -1):
+        for _ in range(2 if k == len(tables) - 1 else 1):
+            fits = at + (1 << k) <= n
+            rows = np.flatnonzero(fits)
+            leap = tables[k][at[rows]] <= val[rows]
+            at[rows[leap]] += 1 << k
+    return at
 
 
 def _transfer(thr: np.ndarray, val: np.ndarray) -> tuple[list[int], list[int]]:
@@ -225,14 +235,15 @@ def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[
 
 
 def carried_groups(df: DataFrame, line: Timeline, threshold: Column, value: Column,
-                   flag: str = "starts_group") -> DataFrame:
-    """Mark the rows that open a group in a greedy left-to-right grouping.
+                   flag: str = "starts_group", number: str | None = None) -> DataFrame:
+    """Mark the rows that open a group in a greedy left-to-right grouping; ``number`` also numbers the groups of a part from 1.
 
     A row opens a group when ``threshold`` exceeds the ``value`` of the row that opened the current
     group; the first row of a part always does. Both are long columns; use ``ALWAYS`` for rows that
     open one in any case. Each block yields its transfer function (a few steps, because chains merge),
     the functions are applied in order per part, then each block is folded with its known entry value.
-    Only the keys and the two numbers go through Python; a block comes back as one row of flags.
+    Only the keys and the two numbers go through Python; a block comes back as one row of running group counts, and the groups of
+    earlier blocks are added up over these rows, so the fold runs once.
     """
     order, keys, part = list(line.order), line.keys, list(line.part)
     rows = df.withColumn(BLOCK, line.block)
@@ -263,7 +274,7 @@ def carried_groups(df: DataFrame, line: Timeline, threshold: Column, value: Colu
         for pdf, starts in _whole_groups(batches, keys):
             thr, val, entry = (pdf[c].to_numpy("int64") for c in ("_thr", "_val", "_entry"))
             flags = [_fold(thr[a:b], val[a:b], int(entry[a])) for a, b in zip(starts, starts[1:])]
-            yield pdf[keys].iloc[starts[:-1]].assign(_flags=flags)
+            yield pdf[keys].iloc[starts[:-1]].assign(_counts=[np.cumsum(f) for f in flags])
 
     def in_order(frame: DataFrame, by: list[str], then: list[str]) -> DataFrame:
         spread = frame.repartition(*by) if by else frame.coalesce(1)
@@ -277,15 +288,15 @@ def carried_groups(df: DataFrame, line: Timeline, threshold: Column, value: Colu
         chain, T.StructType([*key_fields, T.StructField("_entry", T.LongType())]))
     # The explicit repartition after the join stays: a join may be split for skew, a block must not be.
     flags = in_order(placed_once.join(entries, keys), keys, order).mapInPandas(
-        fold, T.StructType([*key_fields, T.StructField("_flags", T.ArrayType(T.BooleanType()))]))
+        fold, T.StructType([*key_fields, T.StructField("_counts", numbers)]))
+    if number:
+        earlier = Window.partitionBy(*part).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        flags = flags.withColumn("_base", F.coalesce(F.sum(F.element_at("_counts", -1)).over(earlier), F.lit(0)))
     local = Window.partitionBy(*keys).orderBy(*order)
     placed = rows.withColumn("_at", F.row_number().over(local) - 1).join(flags, keys)
-    return placed.select(*df.columns, F.get("_flags", F.col("_at")).alias(flag))
-
-
-def number_groups(df: DataFrame, line: Timeline, flag: str = "starts_group", name: str = "group_no") -> DataFrame:
-    """Number the groups opened by ``flag`` from 1 within each part."""
-    return scan(df, line, sum_upto={name: F.col(flag).cast("long")})
+    opens = F.get("_counts", F.col("_at")) > F.coalesce(F.get("_counts", F.col("_at") - 1), F.lit(0))
+    numbered = [(F.col("_base") + F.get("_counts", F.col("_at"))).alias(number)] if number else []
+    return placed.select(*df.columns, opens.alias(flag), *numbered)
 
 
 def islands(df: DataFrame, line: Timeline, start: str, end: str, name: str = "island") -> DataFrame:

@@ -43,8 +43,11 @@ SESSION_LINE = tl.by_position(["part_id"])
 
 
 def sessions(spark, sf):
-    s = stage_table(v.segments(spark, sf).withColumn("text_clean", tx.clean_text(F.col("text_raw"))))
-    return pg.sessionize_paragraphs(s, SESSION_LINE, closes_after=F.col("text_raw").endswith("."))
+    """Segments with their paragraph number. The fold stages places and times only; the texts join them once."""
+    s = v.segments(spark, sf)
+    narrow = s.select("part_id", "seq", "start_ms", "end_ms", F.col("text_raw").endswith(".").alias("closes"))
+    groups = pg.sessionize_paragraphs(stage_table(narrow), SESSION_LINE, closes_after=F.col("closes")).select("part_id", "seq", "group_no")
+    return s.withColumn("text_clean", tx.clean_text(F.col("text_raw"))).join(groups, ["part_id", "seq"])
 
 
 SESSION_SQL = v.SEG_SQL + f""",
@@ -62,7 +65,24 @@ par AS (SELECT part_id, part_no, group_no, printf('PAR%04d', group_no) AS paragr
 
 @query("w15_sessionize_paragraphs", f"WITH RECURSIVE {SESSION_SQL} SELECT part_id, seq, group_no FROM sess")
 def w15(spark, sf):
-    return sessions(spark, sf).select("part_id", "seq", "group_no")
+    narrow = v.segments(spark, sf, ids=False).select("part_id", "seq", "start_ms", "end_ms", F.col("text_raw").endswith(".").alias("closes"))
+    return pg.sessionize_paragraphs(stage_table(narrow), SESSION_LINE, closes_after=F.col("closes")).select("part_id", "seq", "group_no")
+
+
+@query("w15_default_closing_rule", f"""
+WITH RECURSIVE {v.SEG_SQL}, c AS (SELECT part_id, seq, start_ms, end_ms, regexp_matches(t, '{"|".join(pg.TRANSITIONS)}') OR regexp_matches(t, '({"|".join(pg.TERMINALS)})$') AS closes
+  FROM (SELECT *, {v.sql_clean("replace(text_raw, '.', '。')")} AS t FROM seg)),
+sess AS (
+  SELECT part_id, seq, start_ms, end_ms, closes, start_ms AS group_start, CAST(1 AS BIGINT) AS group_no FROM c WHERE seq = 0
+  UNION ALL
+  SELECT part_id, seq, start_ms, end_ms, closes, CASE WHEN opens THEN start_ms ELSE group_start END, group_no + CASE WHEN opens THEN 1 ELSE 0 END FROM (
+    SELECT s.*, w.group_start, w.group_no, s.end_ms - w.group_start > 70000 OR (w.end_ms - w.group_start >= 42000 AND w.closes) AS opens
+    FROM sess w JOIN c s ON s.part_id = w.part_id AND s.seq = w.seq + 1))
+SELECT part_id, seq, group_no FROM sess""")
+def w15_default(spark, sf):
+    """Full stops read as the sentence ends of the default rule."""
+    s = v.segments(spark, sf, ids=False).withColumn("text_clean", tx.clean_text(F.replace("text_raw", F.lit("."), F.lit("。"))))
+    return pg.sessionize_paragraphs(s, SESSION_LINE).select("part_id", "seq", "group_no")
 
 
 def paragraphs(spark, sf, reused=False):
