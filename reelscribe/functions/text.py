@@ -116,12 +116,16 @@ def redact_text(text: Column) -> Column:
     return mask_inline(F.when(out.rlike(url), rebuilt).otherwise(out))
 
 
+# Cherokee folds to capitals: small letters and their capitals, by rule. A noncharacter stands for the dotless i meanwhile.
+_CHEROKEE_SMALL = "".join(map(chr, [*range(0xAB70, 0xABC0), *range(0x13F8, 0x13FE)]))
+_CHEROKEE_CAPITAL = "".join(map(chr, [*range(0x13A0, 0x13F0), *range(0x13F0, 0x13F6)]))
+_HELD = "\ufdd0"
+
+
 def casefold(text: Column) -> Column:
-    """Full case folding for the letters whose folding differs from lower case in European text."""
-    out = F.translate(F.lower(text), "ſς", "sσ")
-    for letter, folded in (("ß", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ŉ", "ʼn")):
-        out = F.replace(out, F.lit(letter), F.lit(folded))
-    return out
+    """Full case folding: capitals, then small letters, so that letters written as several ones fold too; without regard to place."""
+    capitals = F.replace(F.upper(F.translate(text, "ı", _HELD)), F.lit("ẞ"), F.lit("SS"))
+    return F.translate(F.lower(capitals), _HELD + "ς" + _CHEROKEE_SMALL, "ıσ" + _CHEROKEE_CAPITAL)
 
 
 def term_key(text: Column, dashes: bool = False) -> Column:

@@ -50,8 +50,14 @@ def numbered(prefix: str, number: Column, width: int = 6) -> Column:
     return F.format_string(f"{prefix}%0{width}d", number)
 
 
-def job_key(kind: Column, identity: Column, page: Column, range_json: Column) -> Column:
-    """Deterministic job id from the source identity and the requested range."""
+def job_key(kind: Column, identity: Column, page: Column, range_json: Column, normalized: Column | None = None) -> Column:
+    """Deterministic job id from the source identity and the requested range.
+
+    A short link has no identity yet (null): it is known by a hash of its ``normalized`` address.
+    """
+    if normalized is not None:
+        short = F.concat(F.lit("short-"), F.substring(F.sha2(F.concat(F.lit('"'), normalized, F.lit('"')), 256), 1, 12))
+        identity = F.coalesce(identity, F.when(kind == "bilibili", short))
     range_hash = F.substring(F.sha2(range_json, 256), 1, 8)
     path_hash = F.substring(F.sha2(F.to_json(F.struct(identity.alias("path"))), 256), 1, 16)
     selection = F.coalesce(F.concat(F.lit("p"), page.cast("string")), F.lit("all"))

@@ -100,8 +100,10 @@ def propose_corrections(suggestions: DataFrame, cited: DataFrame, paragraphs: Da
     return numbered, suggestions.join(covered, "suggestion_no", "left_anti")
 
 
-def apply_corrections(texts: DataFrame, corrections: DataFrame, key: str, text: str, order: str = "ord") -> DataFrame:
-    """Apply accepted corrections to each text in order, all occurrences; lists what did not apply.
+def apply_corrections(texts: DataFrame, corrections: DataFrame, key: str, text: str, order: str = "ord", first_only: bool = False) -> DataFrame:
+    """Apply accepted corrections to each text in order; lists what did not apply. Texts are paragraphs or segments by ``key``.
+
+    All occurrences are replaced, whole words only for ASCII terms; with ``first_only`` the first one, as plain text.
 
     The list collected per text is its own accepted corrections. ``correction_ids`` names all of them.
     """
@@ -110,8 +112,13 @@ def apply_corrections(texts: DataFrame, corrections: DataFrame, key: str, text:
     start = F.struct(F.col(text).alias("text"), F.array().cast("array<string>").alias("missed"))
 
     def step(acc: Column, c: Column) -> Column:
-        hit = tx.count_term(acc["text"], c["original_text"]) > 0
-        replaced = F.when(hit, tx.replace_term(acc["text"], c["original_text"], c["suggested_text"])).otherwise(acc["text"])
+        if first_only:
+            at = F.position(c["original_text"], acc["text"])
+            hit, changed = at > 0, F.concat(F.substr(acc["text"], F.lit(1), at - 1), c["suggested_text"], F.substr(acc["text"], at + F.length(c["original_text"])))
+        else:
+            hit = tx.count_term(acc["text"], c["original_text"]) > 0
+            changed = tx.replace_term(acc["text"], c["original_text"], c["suggested_text"])
+        replaced = F.when(hit, changed).otherwise(acc["text"])
         missed = F.when(hit, acc["missed"]).otherwise(F.concat(acc["missed"], F.array(c["correction_id"])))
         return F.struct(replaced.alias("text"), missed.alias("missed"))
 

@@ -11,11 +11,10 @@ from reelscribe.functions import values as vx
 from reelscribe.operators import timeline as tl
 
 
-def link_by_shared_ids(left: DataFrame, left_id: str, left_ids: str, right: DataFrame, right_id: str,
-                       right_ids: str) -> DataFrame:
-    """Distinct (left, right) pairs whose id arrays meet."""
-    l = left.select(left_id, F.explode(F.array_distinct(left_ids)).alias("_id"))
-    r = right.select(right_id, F.explode(F.array_distinct(right_ids)).alias("_id"))
+def link_by_shared_ids(left: DataFrame, left_id: str, left_ref: str, right: DataFrame, right_id: str, right_ref: str) -> DataFrame:
+    """Distinct (left, right) pairs that cite one id; both sides are child rows (owner, id), so no list is collected."""
+    l = left.select(left_id, F.col(left_ref).alias("_id")).distinct()
+    r = right.select(right_id, F.col(right_ref).alias("_id")).distinct()
     return l.join(r, "_id").select(left_id, right_id).distinct()
 
 

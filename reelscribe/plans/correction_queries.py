@@ -100,6 +100,21 @@ def j7(spark, sf):
     return out.select("doc_id", "text_corrected", v.listed(F.col("not_applied")).alias("not_applied"), F.size("correction_ids").alias("listed"))
 
 
+_FIRST_FIX = "CASE WHEN contains({t}, {a}) THEN substr({t}, 1, strpos({t}, {a}) - 1) || {b} || substr({t}, strpos({t}, {a}) + length({a})) ELSE {t} END"
+
+
+@query("j7_first_occurrence", f"""
+WITH {v.SEG_SQL}, one AS (SELECT *, {_FIRST_FIX.format(t="text_raw", a="'th'", b="'TH$1'")} AS t1 FROM seg)
+SELECT segment_id, {_FIRST_FIX.format(t="t1", a="'en '", b="''")} AS text_corrected, array_to_string(list_filter([CASE WHEN NOT contains(text_raw, 'th') THEN 'C1' END, CASE WHEN NOT contains(t1, 'en ') THEN 'C2' END], lambda c: c IS NOT NULL), '|') AS not_applied FROM one""")
+def j7_first(spark, sf):
+    """Two corrections of every segment, first occurrence only, the second one after the first."""
+    s = v.segments(spark, sf)
+    item = lambda n, a, b: F.struct(F.lit(n).alias("ord"), F.lit(f"C{n}").alias("correction_id"), F.lit(a).alias("original_text"), F.lit(b).alias("suggested_text"), F.lit(True).alias("applied"))
+    fixes = s.select("segment_id", F.explode(F.array(item(1, "th", "TH$1"), item(2, "en ", ""))).alias("c")).select("segment_id", "c.*")
+    out = co.apply_corrections(s.select("segment_id", "text_raw"), fixes, "segment_id", "text_raw", first_only=True)
+    return out.select("segment_id", "text_corrected", v.listed(F.col("not_applied")).alias("not_applied"))
+
+
 @query("j8_apply_overrides", """
 SELECT printf('C%06d', o_orderkey) AS correction_id, CASE WHEN o_orderkey % 97 = 0 THEN 'fixed ' || CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS suggested_text, CASE WHEN o_orderkey % 97 = 0 THEN 'rejected' ELSE 'accepted' END AS decision,
  CASE WHEN o_orderkey % 97 = 0 THEN 'low' ELSE 'high' END AS confidence, o_orderkey % 97 <> 0 AS applied, CASE WHEN o_orderkey % 97 = 0 THEN 'independent audit: ' || o_orderstatus ELSE 'first' END AS reason FROM orders""")
@@ -123,9 +138,9 @@ def j8_unknown(spark, sf):
 @query("j5_link_by_shared_ids", """
 SELECT DISTINCT l_orderkey AS evidence_id, s_nationkey AS section_id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""")
 def j5(spark, sf):
-    e = v.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("evidence_id")).agg(F.collect_list("l_suppkey").alias("ids"))
-    s = v.read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("section_id")).agg(F.collect_list("s_suppkey").alias("members"))
-    return ev.link_by_shared_ids(e, "evidence_id", "ids", s, "section_id", "members")
+    e = v.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), "l_suppkey")
+    s = v.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("section_id"), "s_suppkey")
+    return ev.link_by_shared_ids(e, "evidence_id", "l_suppkey", s, "section_id", "s_suppkey")
 
 
 def reference_groups(spark, sf):

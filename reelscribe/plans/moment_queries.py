@@ -105,14 +105,21 @@ def w13(spark, sf):
     return mo.pick_per_bin(frames, packets(spark, sf), "job_id", "packet_id", "t", bin_size=_DAY)
 
 
+_FAR = 40 * _DAY
+
+
 @query("w13_pick_with_fallback", f"""
-WITH mom0 AS (SELECT * FROM events), {v.MOM_SQL.replace('FROM events)', 'FROM events WHERE event_id % 3 = 0)')}, {PACKET_SQL}, {_BIN_SQL},
+WITH {v.MOM_SQL}, {PACKET_SQL.replace("pk AS (SELECT", "pk0 AS (SELECT")},
+pk AS (SELECT * REPLACE (primary_start + CASE WHEN packet_no % 3 = 0 THEN {_FAR} ELSE 0 END AS primary_start, primary_end + CASE WHEN packet_no % 3 = 0 THEN {_FAR} ELSE 0 END AS primary_end) FROM pk0), {_BIN_SQL},
 em AS (SELECT pk.* FROM pk ANTI JOIN b ON b.job_id = pk.job_id AND b.packet_id = pk.packet_id),
 fb AS (SELECT em.job_id, em.packet_id, arg_min((mom.event_id, mom.t), (abs(2 * mom.t - primary_start - primary_end), mom.event_id)) AS f FROM em JOIN mom USING (job_id) GROUP BY 1, 2)
 SELECT job_id, packet_id, bin, frame_id, t FROM bb WHERE rn = 1 UNION ALL SELECT job_id, packet_id, NULL, f[1], f[2] FROM fb""")
 def w13_fallback(spark, sf):
-    frames = v.moments(spark, sf).filter("event_id % 3 = 0").withColumnRenamed("event_id", "frame_id")
-    return mo.pick_per_bin(frames, packets(spark, sf), "job_id", "packet_id", "t", fallback=True, bin_size=_DAY)
+    """Every third packet is moved to a time without moments."""
+    frames = v.moments(spark, sf).withColumnRenamed("event_id", "frame_id")
+    moved = F.when(F.col("packet_no") % 3 == 0, _FAR).otherwise(0)
+    p = packets(spark, sf).withColumns({"primary_start": F.col("primary_start") + moved, "primary_end": F.col("primary_end") + moved})
+    return mo.pick_per_bin(frames, p, "job_id", "packet_id", "t", fallback=True, bin_size=_DAY)
 
 
 HASH_LINE = tl.Timeline(("job_id",), ("t", "frame_no"), "t", 512)

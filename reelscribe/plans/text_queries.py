@@ -226,6 +226,14 @@ def p16(spark, sf):
     return e.select("event_id", vx.job_key(kind, ident, page, rng).alias("job_key"))
 
 
+@query("p16_short_link_key", """
+SELECT page_id, 'bili-short-' || substr(sha256('"https://b23.example/' || CAST(page_id AS VARCHAR) || '"'), 1, 12) || '-all-' || substr(sha256('{"end":null,"start":0.0}'), 1, 8) AS job_key FROM pages""")
+def p16_short(spark, sf):
+    address = F.concat(F.lit("https://b23.example/"), F.col("page_id").cast("string"))
+    key = vx.job_key(F.lit("bilibili"), F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit('{"end":null,"start":0.0}'), address)
+    return v.read(spark, sf, "pages").select("page_id", key.alias("job_key"))
+
+
 @query("p17_validate_requested_range", f"""
 WITH {v.RANGE_SQL}, d AS (SELECT part_id, CASE WHEN part_id % 5 = 0 THEN NULL ELSE range_end END AS duration FROM rng)
 SELECT event_id, CASE WHEN end_ms + 86400000 * 12 <= start_ms + 86400000 * 12 THEN 'end_not_after_start' WHEN duration IS NOT NULL AND start_ms + 86400000 * 12 >= duration + 500 THEN 'start_beyond_duration'

@@ -181,3 +181,16 @@ def test_packets_and_interval_plans(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     want = {(p, s) for p in range(50) for s in range(50) if s * 9 + 25 >= p * 10 - 7 and s * 9 <= p * 10 + 7}
     assert {(r.pid, r.sid) for r in near.collect()} == want and near.count() == len(want)
+
+
+def test_case_folding_of_all_letters(spark):
+    letters = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and (chr(i).lower() != chr(i) or chr(i).upper() != chr(i))]
+    got = spark.createDataFrame([(c,) for c in letters + ["ΣΑΣ Straße ıİ"]], "c string").select("c", tx.casefold(F.col("c")).alias("f")).collect()
+    assert [r.c for r in got if r.f != r.c.casefold()] == []
+
+
+def test_open_media_part_takes_far_points(spark):
+    media = spark.createDataFrame([("p", 1, 0, 1000), ("p", 2, 1000, None)], "part_id string, media_no int, timeline_start bigint, timeline_end bigint")
+    points = spark.createDataFrame([("p", 100), ("p", 999), ("p", 1000), ("p", 5_000_000_000_000)], "part_id string, t bigint")
+    got = sorted((r.t, r.media_no, r.local_time) for r in iv.map_to_media(points, media, ["part_id"], "t", 300).collect())
+    assert got == [(100, 1, 100), (999, 1, 999), (1000, 2, 0), (5_000_000_000_000, 2, 4_999_999_999_000)]
