@@ -124,8 +124,9 @@ _HELD = "\ufdd0"
 
 def casefold(text: Column) -> Column:
     """Full case folding: capitals, then small letters, so that letters written as several ones fold too; without regard to place."""
+    ascii = F.octet_length(text) == F.length(text)  # nothing but a-z to fold
     capitals = F.replace(F.upper(F.translate(text, "ı", _HELD)), F.lit("ẞ"), F.lit("SS"))
-    return F.translate(F.lower(capitals), _HELD + "ς" + _CHEROKEE_SMALL, "ıσ" + _CHEROKEE_CAPITAL)
+    return F.when(ascii, F.lower(text)).otherwise(F.translate(F.lower(capitals), _HELD + "ς" + _CHEROKEE_SMALL, "ıσ" + _CHEROKEE_CAPITAL))
 
 
 def term_key(text: Column, dashes: bool = False) -> Column:

@@ -183,21 +183,20 @@ def merge_glossary(terms: DataFrame, definitions: DataFrame, corrections: DataFr
 
     The segments behind the number are child rows: the distinct (key, segment) pairs of ``terms``.
 
-    terms: ord, term, confidence, aliases, transcript_ids. definitions: ord, term, definition.
+    terms: ord, term, confidence, aliases, transcript_ids. definitions: ord (unique), term, definition.
     corrections: original_text, suggested_text, applied. starts: segment_id, paragraph_start.
     """
-    keyed = terms.select(tx.casefold(F.col("term")).alias("key"), "ord", "term", "confidence", "aliases", F.explode_outer("transcript_ids").alias("segment_id"))
-    # One hash aggregate over all mentions, combined before its shuffle; what follows reads that one shuffle. Numbers are reduced
-    # before texts are picked, and aliases are made distinct before they are listed, so a hot term is a few rows everywhere.
-    once = keyed.groupBy("key", "term", "confidence", "aliases", "segment_id").agg(F.min("ord").alias("ord"))
-    heads = once.groupBy("key", "term", "confidence").agg(F.min("ord").alias("ord")).groupBy("key").agg(F.min_by(F.struct("term", "confidence"), "ord").alias("_h"))
-    names = once.groupBy("key", "aliases").agg(F.lit(1).alias("_one")).select("key", F.explode("aliases").alias("alias")).distinct().groupBy("key").agg(
-        F.array_sort(F.collect_list("alias")).alias("aliases"))
-    seen = once.groupBy("key", "segment_id").agg(F.lit(1).alias("_one")).join(starts, "segment_id", "left").groupBy("key").agg(
-        F.count("segment_id").alias("evidence_count"), F.min("paragraph_start").alias("_start"))
+    # Numbers are reduced before texts are picked, and aliases and segments are made distinct before they are listed or counted:
+    # hash aggregates that combine before their shuffles, so a hot term is a few rows everywhere.
+    spelled = terms.groupBy("term", "confidence", "aliases").agg(F.min("ord").alias("ord")).withColumn("key", tx.casefold(F.col("term")))
+    heads = spelled.groupBy("key").agg(F.min_by(F.struct("term", "confidence"), "ord").alias("_h"))
+    names = spelled.select("key", F.explode("aliases").alias("alias")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    cited = terms.select("term", F.explode_outer("transcript_ids").alias("segment_id")).groupBy("term", "segment_id").agg(F.lit(1).alias("_one"))
+    once = cited.groupBy(tx.casefold(F.col("term")).alias("key"), "segment_id").agg(F.lit(1).alias("_one"))
+    seen = once.join(starts, "segment_id", "left").groupBy("key").agg(F.count("segment_id").alias("evidence_count"), F.min("paragraph_start").alias("_start"))
     grouped = heads.join(names, "key", "left").join(seen, "key", "left")
-    defined = definitions.select(tx.casefold(F.col("term")).alias("key"), "ord", "definition")
-    meaning = defined.join(defined.groupBy("key").agg(F.max("ord").alias("ord")), ["key", "ord"]).groupBy("key").agg(F.min("definition").alias("definition"))
+    last = definitions.groupBy("term").agg(F.max("ord").alias("ord")).groupBy(tx.casefold(F.col("term")).alias("key")).agg(F.max("ord").alias("ord"))
+    meaning = definitions.select("ord", "definition").join(last, "ord").groupBy("key").agg(F.min("definition").alias("definition"))
     wrong = corrections.filter("applied").select(tx.casefold(F.col("suggested_text")).alias("key"), "original_text").distinct().groupBy("key").agg(
         F.array_sort(F.collect_list("original_text")).alias("incorrect"))
     none = F.array().cast("array<string>")

@@ -50,7 +50,9 @@ walk AS (
   FROM walk w JOIN echo e ON e.part_id = w.part_id AND e.seq = w.seq + 1)
 SELECT segment_id FROM walk WHERE kept""")
 def w2(spark, sf):
-    return sq.collapse_adjacent_duplicates(echoed(spark, sf), ECHO_LINE).select("segment_id")
+    # Texts are compared by digest, so that is what is staged.
+    rows = stage_table(echoed(spark, sf).withColumn("text_clean", F.sha2("text_clean", 256)))
+    return sq.collapse_adjacent_duplicates(rows, ECHO_LINE).select("segment_id")
 
 
 @query("w3_report_overlaps", f"""
