@@ -50,12 +50,31 @@ def increment_problems(rows: DataFrame, line: tl.Timeline, start: str, frozen_en
     return near.select(F.col(ident), problem.alias("problem")).filter("problem IS NOT NULL")
 
 
+def increment_id_problems(rows: DataFrame, line: tl.Timeline, part_order: str, next_number: int, prefix: str, ident: str, frozen: DataFrame) -> DataFrame:
+    """Ids that leave the sequence of the allocation, and ids that the frozen baseline holds (``frozen``: the same id column)."""
+    expected = append_increment(rows, line, part_order, next_number, prefix, "_expected")
+    held = frozen.select(ident).distinct().withColumn("_frozen", F.lit(True))
+    problem = F.when(F.col("_frozen"), "id_is_frozen").when(~F.col(ident).eqNullSafe(F.col("_expected")), "not_in_sequence")
+    return expected.join(held, ident, "left").withColumn("problem", problem).filter("problem IS NOT NULL").select(*rows.columns, "problem")
+
+
 def merge_frozen_and_increment(frozen: DataFrame, increment: DataFrame) -> DataFrame:
     """Both sides with a ``source_range`` tag."""
     return frozen.withColumn("source_range", F.lit("frozen")).unionByName(
         increment.withColumn("source_range", F.lit("incremental")), allowMissingColumns=True)
 
 
+def counts_per_table(merged: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each side and of both for every merged table (``source_range`` as set by the merge)."""
+    out = None
+    for name, rows in merged.items():
+        side = lambda s: F.count(F.when(F.col("source_range") == s, 1))
+        counts = rows.agg(side("frozen").alias("frozen_rows"), side("incremental").alias("incremental_rows"), F.count(F.lit(1)).alias("merged_rows"))
+        counts = counts.select(F.lit(name).alias("table"), "*")
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 def chronology_errors(rows: DataFrame, line: tl.Timeline, start: str) -> DataFrame:
     """Rows of the merged table starting before the row before them."""
     return tl.scan(rows, line, previous={"_p": start}).filter(F.col(start) < F.col("_p")).drop("_p")

@@ -160,6 +160,20 @@ def check_contiguity(members: DataFrame, group: Sequence[str], position: str, st
     ).withColumn("contiguous", F.col("last_pos") - F.col("first_pos") + 1 == F.col("size"))
 
 
+def check_declared_values(declared: DataFrame, members: DataFrame, group: Sequence[str], position: str) -> DataFrame:
+    """Paragraphs whose declared times or raw text are not those of their members.
+
+    ``declared``: the group columns, start_ms, end_ms, text_raw. ``members``: the group columns, the position, start_ms, end_ms and
+    text_raw, in order of the position; a paragraph's members are bounded by its time length.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(position, "start_ms", "end_ms", "text_raw")))
+    real = members.groupBy(*group).agg(listed.alias("_m")).select(
+        *group, F.col("_m")[0]["start_ms"].alias("_start"), F.element_at("_m", -1)["end_ms"].alias("_end"), F.array_join("_m.text_raw", "").alias("_text"))
+    time = ~(F.col("start_ms").eqNullSafe(F.col("_start")) & F.col("end_ms").eqNullSafe(F.col("_end")))
+    found = F.array_compact(F.array(F.when(time, "time_differs"), F.when(~F.col("text_raw").eqNullSafe(F.col("_text")), "text_differs")))
+    return declared.join(real, list(group), "left").select(*group, F.explode(found).alias("problem"))
+
+
 def check_group_order(groups: DataFrame, part: str, number: str) -> DataFrame:
     """Groups whose first position does not follow the last position of the group before."""
     line = tl.by_position([part], number)

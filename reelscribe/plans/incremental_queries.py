@@ -40,7 +40,22 @@ ORDER_LINE = tl.Timeline(("year",), ("at", "o_orderkey"), "at", 30 * v.DAY_US)
 @query("i2_append_increment", f"WITH {_ORDERS_SQL} SELECT o_orderkey, printf('T%06d', row_number() OVER (ORDER BY \"at\", o_orderkey) + 1703) AS segment_id FROM od WHERE is_new")
 def i2(spark, sf):
     new = _orders(spark, sf).filter("is_new").withColumn("year", F.year(F.timestamp_micros("at")).cast("long"))
-    return inc.append_increment(new, ORDER_LINE, "year", 1704, "T", "segment_id").select("o_orderkey", "segment_id")
+    rows, line = tl.split_hot_blocks(new, ORDER_LINE)
+    return inc.append_increment(rows, line, "year", 1704, "T", "segment_id").select("o_orderkey", "segment_id")
+
+
+@query("i2_id_problems", f"""
+WITH {_ORDERS_SQL}, n AS (SELECT o_orderkey, row_number() OVER (ORDER BY "at", o_orderkey) + 1703 AS k FROM od WHERE is_new)
+SELECT o_orderkey, CASE WHEN o_orderkey % 89 = 0 THEN 'id_is_frozen' ELSE 'not_in_sequence' END AS problem FROM n WHERE o_orderkey % 89 = 0 OR o_orderkey % 97 = 0""")
+def i2_ids(spark, sf):
+    """Every 89th new order has an id of the baseline, every 97th one beyond the sequence."""
+    new = _orders(spark, sf).filter("is_new").withColumn("year", F.year(F.timestamp_micros("at")).cast("long"))
+    rows, line = tl.split_hot_blocks(new, ORDER_LINE)
+    k = F.col("o_orderkey")
+    given = inc.append_increment(rows, line, "year", 1704, "T", "segment_id").withColumn(
+        "segment_id", F.when(k % 89 == 0, "T000017").when(k % 97 == 0, F.concat("segment_id", F.lit("0"))).otherwise(F.col("segment_id")))
+    frozen = v.read(spark, sf, "nation").select(F.format_string("T%06d", F.col("n_nationkey")).alias("segment_id"))
+    return inc.increment_id_problems(given, line, "year", 1704, "T", "segment_id", frozen).select("o_orderkey", "problem")
 
 
 @query("i2_increment_problems", f"""
@@ -57,6 +72,18 @@ def i3(spark, sf):
     return inc.merge_frozen_and_increment(o.filter("NOT is_new").drop("is_new"), o.filter("is_new").drop("is_new"))
 
 
+@query("i3_counts_per_table", f"""
+WITH {_ORDERS_SQL}, li AS (SELECT is_new FROM lineitem JOIN od ON l_orderkey = o_orderkey)
+SELECT 'orders' AS "table", count(*) FILTER (NOT is_new) AS frozen_rows, count(*) FILTER (is_new) AS incremental_rows, count(*) AS merged_rows FROM od
+UNION ALL SELECT 'lineitem', count(*) FILTER (NOT is_new), count(*) FILTER (is_new), count(*) FROM li""")
+def i3_counts(spark, sf):
+    """Orders and their lines, each merged from both sides."""
+    o = _orders(spark, sf).select("o_orderkey", "at", "is_new")
+    lines = v.read(spark, sf, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "is_new"), "l_orderkey")
+    merged = {n: inc.merge_frozen_and_increment(t.filter("NOT is_new").drop("is_new"), t.filter("is_new").drop("is_new")) for n, t in (("orders", o), ("lineitem", lines))}
+    return inc.counts_per_table(merged)
+
+
 @query("i3_chronology_errors", f"WITH {_ORDERS_SQL}, n AS (SELECT *, lag(\"at\") OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM od) SELECT o_orderkey FROM n WHERE \"at\" < p")
 def i3_errors(spark, sf):
     return inc.chronology_errors(_orders(spark, sf), tl.by_position(["o_custkey"], "o_orderkey", 1000), "at").select("o_orderkey")

@@ -146,6 +146,19 @@ def j11(spark, sf):
     return pg.check_group_order(groups, "part_id", "group_no")
 
 
+@query("j11_check_declared_values", f"""
+WITH {v.SEG_SQL}, g AS (SELECT part_id, part_no, seq // 3 AS group_no FROM seg GROUP BY 1, 2, 3)
+SELECT part_id, group_no, 'time_differs' AS problem FROM g WHERE (part_no + group_no) % 5 = 0 UNION ALL SELECT part_id, group_no, 'text_differs' FROM g WHERE (part_no + group_no) % 7 = 0""")
+def j11_declared(spark, sf):
+    """Groups of three with the times of every fifth and the text of every seventh changed."""
+    s = v.segments(spark, sf, ids=False).withColumn("group_no", F.floor(F.col("seq") / 3).cast("long"))
+    n = F.col("part_no") + F.col("group_no")
+    declared = s.groupBy("part_id", "part_no", "group_no").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "text_raw"))), lambda x: x["text_raw"]), "").alias("text_raw"))
+    declared = declared.withColumns({"start_ms": F.col("start_ms") + F.when(n % 5 == 0, 1).otherwise(0), "text_raw": F.when(n % 7 == 0, F.concat("text_raw", F.lit("!"))).otherwise(F.col("text_raw"))})
+    return pg.check_declared_values(declared, s, ["part_id", "group_no"], "seq")
+
+
 PAR_LINE = tl.by_position(["part_id"], "group_no", 4096)
 
 
