@@ -152,6 +152,26 @@ def packet_summary(packets: DataFrame, members: DataFrame, part: str, ident: str
     return packets.join(sums, [part, "packet_id"], "left").select(*packets.columns, *counts.values())
 
 
+def packet_terms(packets: DataFrame, rows: DataFrame, part: str, start: str, end: str, text: str, pattern: str, bin_size: int = 300_000) -> DataFrame:
+    """Term candidates of each packet as child rows: term, how many rows hold it, and whether one of them is primary."""
+    placed = packet_rows(packets, rows, part, start, end, bin_size)
+    found = placed.select(part, "packet_id", "context_only", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("term"))
+    return found.groupBy(part, "packet_id", "term").agg(F.count(F.lit(1)).alias("row_count"), F.max(~F.col("context_only")).alias("in_primary"))
+
+
+def packet_contents(packets: DataFrame, members: dict[str, DataFrame], part: str, ident: str) -> DataFrame:
+    """Packets with the counts and digest of every kind of member (child rows of ``packet_rows``) and one hash over all.
+
+    The hash covers the packet's own fields and the members' digests, so a member that changes, goes or comes changes it;
+    ``rules_packets`` computes it anew from ``payload`` columns of the same names.
+    """
+    out = packets
+    for kind, rows in members.items():
+        own = packet_summary(packets.select(part, "packet_id"), rows, part, ident)
+        out = out.join(own.select(part, "packet_id", *[F.col(c).alias(f"{kind}_{c}") for c in ("row_count", "primary_count", "member_digest")]), [part, "packet_id"], "left")
+    return out.withColumn("packet_hash", vx.row_fingerprint(out.columns))
+
+
 def check_contiguity(members: DataFrame, group: Sequence[str], position: str, start: str, end: str) -> DataFrame:
     """Per group, whether positions form one unbroken run; first and last row's times; id of the run."""
     return members.groupBy(*group).agg(

@@ -340,6 +340,44 @@ def w18_build(spark, sf):
     return pg.packet_summary(p, pg.packet_rows(p, rows, "job_id", "start_ms", "end_ms", _DAY), "job_id", "event_id")
 
 
+_TERM = "[A-Z][a-z]+"
+
+
+@query("w18_packet_terms", f"""
+WITH {PACKET_SQL}, r AS (SELECT job_id, packet_id, primary_start <= start_ms AND start_ms < primary_end AS is_primary, unnest(list_distinct(regexp_extract_all(text, '{_TERM}'))) AS term
+  FROM pk JOIN loc ON part_id = job_id JOIN documents ON doc_id = event_id % (SELECT max(doc_id) + 1 FROM documents) WHERE event_type = 'purchase' AND end_ms > context_start AND start_ms < context_end)
+SELECT job_id, packet_id, term, count(*) AS row_count, bool_or(is_primary) AS in_primary FROM r GROUP BY 1, 2, 3""")
+def w18_terms(spark, sf):
+    """Purchases, each with the text of a document, and the capitalised words in them."""
+    d = v.docs(spark, sf).select(F.col("doc_id").alias("_doc"), "text")
+    doc = F.col("event_id") % v.read(spark, sf, "documents").agg(F.max("doc_id") + 1).scalar()
+    rows = v.local_intervals(spark, sf).withColumnRenamed("part_id", "job_id").filter("event_type = 'purchase'").withColumn("_doc", doc).join(d, "_doc")
+    return pg.packet_terms(packets(spark, sf), rows, "job_id", "start_ms", "end_ms", "text", _TERM, _DAY)
+
+
+def _sums(kind):
+    digest = "sha256(CAST(event_id AS VARCHAR) || ':' || CAST(context_only AS VARCHAR))"
+    words = " || ':' || ".join(f"CAST(coalesce(sum(CAST('0x' || substr({digest}, {8 * i + 1}, 8) AS BIGINT)) FILTER (event_type = '{kind}'), 0) AS VARCHAR)" for i in range(8))
+    return f"count(*) FILTER (event_type = '{kind}') AS {kind}_row_count, count(*) FILTER (event_type = '{kind}' AND NOT context_only) AS {kind}_primary_count, sha256({words}) AS {kind}_member_digest"
+
+
+_PAYLOAD = ("context_end", "context_start", "error_member_digest", "error_primary_count", "error_row_count", "job_id", "packet_id", "packet_no", "primary_end", "primary_start",
+            "view_member_digest", "view_primary_count", "view_row_count")
+_PAYLOAD_SQL = " || ',' || ".join(f"'\"{c}\":' || " + (f"'\"' || {c} || '\"'" if c.endswith(("digest", "packet_id")) else f"CAST({c} AS VARCHAR)") for c in _PAYLOAD)
+
+
+@query("w18_packet_hash", f"""
+WITH {PACKET_SQL}, r AS (SELECT pk.*, event_id, event_type, NOT (primary_start <= start_ms AND start_ms < primary_end) AS context_only FROM pk LEFT JOIN loc ON part_id = job_id AND end_ms > context_start AND start_ms < context_end),
+c AS (SELECT job_id, packet_no, packet_id, primary_start, primary_end, context_start, context_end, {_sums('view')}, {_sums('error')} FROM r GROUP BY ALL)
+SELECT job_id, packet_id, view_row_count, view_primary_count, error_row_count, sha256('{{' || {_PAYLOAD_SQL} || '}}') AS packet_hash FROM c""")
+def w18_hash(spark, sf):
+    """Views and errors as two kinds of members."""
+    rows = v.local_intervals(spark, sf).withColumnRenamed("part_id", "job_id")
+    p = packets(spark, sf)
+    members = {kind: pg.packet_rows(p, rows.filter(F.col("event_type") == kind), "job_id", "start_ms", "end_ms", _DAY) for kind in ("view", "error")}
+    return pg.packet_contents(p, members, "job_id", "event_id").select("job_id", "packet_id", "view_row_count", "view_primary_count", "error_row_count", "packet_hash")
+
+
 @query("w19_build_packets_dynamic", f"""
 WITH {v.RANGE_SQL}, c AS (SELECT *, greatest(1, CAST(round_even((range_end - range_start) / {_DAY}.0::DOUBLE, 0) AS BIGINT)) AS c FROM rng),
 n AS (SELECT *, (range_end - range_start) / c::DOUBLE AS w, unnest(generate_series(0, c - 1)) AS n FROM c),
