@@ -296,20 +296,32 @@ def a18(spark, sf):
     return rp.release_gate(metrics, {"no_critical_errors": F.col("critical_errors") == 0, "precision": F.col("accepted_precision") >= 0.95, "evidence": F.col("evidence_errors") == 0})
 
 
-@query("a19_build_fix_log", f"""
-WITH {AUDIT_SQL}, f AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM au WHERE decision <> 'accepted')
-SELECT printf('FIX%04d', n) AS fix_id, 'correction' AS target_type, printf('C%06d', doc_id) AS target_id, '{{"suggested_text":"' || source || '","decision":"accepted"}}' AS before, '{{"suggested_text":"' || source || '!","decision":"' || decision || '"}}' AS after,
- CASE WHEN doc_id % 2 = 0 THEN assessment ELSE 'Independent evidence audit' END AS reason, printf('T%06d|F%06d', doc_id, doc_id) AS evidence FROM f""")
-def a19(spark, sf):
+def _fix_audits(spark, sf):
     a = audits(spark, sf).join(v.docs(spark, sf).select("doc_id", "source"), "doc_id")
     a = a.select("ord", "correction_id", (F.col("decision") != "accepted").alias("fix_required"), F.col("source").alias("corrected_text"), F.lit("accepted").alias("existing_decision"),
                  F.concat("source", F.lit("!")).alias("audited_suggested_text"), F.col("decision").alias("audited_decision"), F.col("confidence").alias("audited_confidence"),
                  F.when(F.col("doc_id") % 2 == 0, F.col("assessment")).alias("fix_reason"), F.array(F.format_string("T%06d", F.col("doc_id"))).alias("transcript_evidence"),
                  F.array(F.format_string("F%06d", F.col("doc_id"))).alias("visual_evidence"))
-    log, _ = rp.build_fix_log(a)
+    return a
+
+
+@query("a19_build_fix_log", f"""
+WITH {AUDIT_SQL}, f AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM au WHERE decision <> 'accepted')
+SELECT printf('FIX%04d', n) AS fix_id, 'correction' AS target_type, printf('C%06d', doc_id) AS target_id, '{{"suggested_text":"' || source || '","decision":"accepted"}}' AS before, '{{"suggested_text":"' || source || '!","decision":"' || decision || '"}}' AS after,
+ CASE WHEN doc_id % 2 = 0 THEN assessment ELSE 'Independent evidence audit' END AS reason, printf('T%06d|F%06d', doc_id, doc_id) AS evidence FROM f""")
+def a19(spark, sf):
+    log, _ = rp.build_fix_log(_fix_audits(spark, sf))
     return log.withColumn("evidence", v.listed(F.col("evidence")))
 
 
+@query("a19_fix_overrides", f"""
+WITH {AUDIT_SQL}, f AS (SELECT * FROM au WHERE decision <> 'accepted')
+SELECT printf('C%06d', doc_id) AS correction_id, source || '!' AS suggested_text, decision, confidence, CASE WHEN doc_id % 2 = 0 THEN assessment END AS reason FROM f""")
+def a19_overrides(spark, sf):
+    """The override rows that the fixes hand to J8."""
+    return rp.build_fix_log(_fix_audits(spark, sf))[1]
+
+
 @query("a20_first_mention", f"""
 WITH {v.TERM_SQL}, s AS (SELECT doc_id * 100 AS start_ms, replace(lower(text), '-', ' ') AS t FROM documents), k AS (SELECT DISTINCT original FROM tm)
 SELECT original AS term, coalesce(min(start_ms), -1) AS first_start FROM k LEFT JOIN s ON contains(t, replace(original, '-', ' ')) GROUP BY original""")
