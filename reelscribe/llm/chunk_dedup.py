@@ -6,7 +6,7 @@
 2. Chunks are grouped by a 128-bit digest. The aggregate gives each digest its smallest document (map-side sums; a chunk that is
    in every document is one row of each task), and a join brings it back to the chunks: those of other documents are repeats.
    AQE splits that join where one digest is hot.
-3. Neighbouring repeats of a document form spans; those of at least ``MIN_WORDS`` words are reported and can be cut out.
+3. Neighbouring repeats of a document form spans, also over blank lines; those of at least ``MIN_WORDS`` words are reported and can be cut out.
 A passage loses at most its first 16 bytes and the parts of the two chunks at its ends, so the limit lies well below the 50 words
 that a passage should have to be caught; shorter shared lines (line dedup's work) stay.
 
@@ -74,7 +74,7 @@ def chunk_bounds(s: Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, d1, d2, start, length, words): every chunk of every text; offsets in bytes."""
+    """(doc_id, text_hash, d1, d2, start, length, words, number): every chunk of every text, numbered in it; offsets in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,15 +89,16 @@ def chunks(docs: DataFrame) -> DataFrame:
                 np.cumsum(ink[1:] & ~ink[:-1], out=sums[1:])
                 owner = np.searchsorted(s.offsets, a, "right") - 1
                 rows = pa.array(owner + s.first)
+                number = np.arange(len(a)) - np.searchsorted(owner, owner)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array((a - s.offsets[owner]).astype(np.int32)),
-                     pa.array((b - a).astype(np.int32)), pa.array((sums[b] - sums[a]).astype(np.int32))],
-                    ["doc_id", "text_hash", "d1", "d2", "start", "length", "words"],
+                     pa.array((b - a).astype(np.int32)), pa.array((sums[b] - sums[a]).astype(np.int32)), pa.array(number.astype(np.int32))],
+                    ["doc_id", "text_hash", "d1", "d2", "start", "length", "words", "number"],
                 )
 
     kind = docs.select("doc_id").schema.fields[0].dataType.simpleString()
     keyed = docs.select("doc_id", F.hash("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_hash int, d1 long, d2 long, start int, length int, words int")
+    return keyed.mapInArrow(run, f"doc_id {kind}, text_hash int, d1 long, d2 long, start int, length int, words int, number int")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -108,14 +109,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = chunks(docs)
     firsts = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     firsts = firsts.where((F.col("n") > 1) & F.col("first").isNotNull()).select("d1", "d2", "first")
-    # Three numbers in one keep the rows of the large join narrow.
-    place = F.shiftleft(F.col("start").cast("long"), 24) + F.col("length") * (1 << 12) + F.col("words")
-    narrow = found.select("doc_id", "text_hash", "d1", "d2", place.alias("place"))
-    own = narrow.join(firsts, ["d1", "d2"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    own = own.select("doc_id", "text_hash", "first", F.shiftright("place", 24).cast("int").alias("start"), F.shiftright("place", 12).bitwiseAND(4095).cast("int").alias("length"), F.col("place").bitwiseAND(4095).cast("int").alias("words"))
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("start")
-    before = F.lag(F.col("start") + F.col("length")).over(order)
-    opened = own.withColumn("opens", F.when(F.col("start") - before <= 1, 0).otherwise(1))
+    # Several numbers in one keep the rows of the large join narrow.
+    spot = F.shiftleft(F.col("text_hash").cast("long"), 32) + F.col("start")
+    place = F.shiftleft(F.col("number").cast("long"), 24) + F.col("length") * (1 << 12) + F.col("words")
+    narrow = found.select("doc_id", "d1", "d2", spot.alias("spot"), place.alias("place"))
+    own = narrow.join(firsts, ["d1", "d2"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "first", "spot", "place")
+    own = own.select(
+        "doc_id", "first", F.shiftright("spot", 32).cast("int").alias("text_hash"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"),
+        F.shiftright("place", 24).cast("int").alias("number"), F.shiftright("place", 12).bitwiseAND(4095).cast("int").alias("length"), F.col("place").bitwiseAND(4095).cast("int").alias("words"),
+    )
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("number")
+    # Between chunks of consecutive numbers lie line ends at most, however many.
+    opened = own.withColumn("opens", F.when(F.col("number") - F.lag("number").over(order) <= 1, 0).otherwise(1))
     spans = opened.withColumn("span", F.sum("opens").over(order)).groupBy("doc_id", "text_hash", "span").agg(
         F.min("start").alias("span_start"), F.max(F.col("start") + F.col("length")).alias("span_end"), F.sum("words").alias("n_words"),
         F.count("*").alias("n_chunks"), F.sort_array(F.collect_set("first")).alias("first_doc_ids"),

@@ -358,6 +358,15 @@ def test_substring_dedup(spark):
     assert chunk_dedup.repeats(table(spark, [])).count() == 0
 
 
+def test_blank_lines_do_not_break_a_passage(spark):
+    verses = [sentence(8100 + i, 8) for i in range(8)]
+    rows = [(1, "\n\n".join(verses)), (2, sentence(8200, 30) + "\n\n" + "\n\n\n".join(verses) + "\n\n" + sentence(8201, 30))]
+    found = chunk_dedup.repeats(table(spark, rows)).collect()
+    assert [(r["doc_id"], r["n_words"], r["first_doc_ids"]) for r in found] == [(2, 64, [1])]
+    text = by_id(chunk_dedup.dedup_documents(table(spark, rows)).collect())[2]["text"]
+    assert not any(v in text for v in verses) and sentence(8200, 30) in text and sentence(8201, 30) in text
+
+
 # Queries
 
 
