@@ -1,14 +1,15 @@
 """Operator 10, substring dedup by content-defined chunks.
 
-1. A gear hash rolls over the bytes of each line; a chunk ends where the hash falls below ``65536 / MEAN_CHUNK``, at the line's end,
-   and at ``MAX_CHUNK`` bytes. A cut depends on the last 16 bytes alone, so words put in before a passage move its chunks along
-   and change none but the first.
+1. A gear hash rolls over the bytes of each line; a chunk ends where the hash is the smallest (the last of equal ones) of some
+   ``WINDOW`` hashes in a row, at the line's end, and at ``MAX_CHUNK`` bytes. Which hash that is depends on the bytes near it alone, so
+   words put in before a passage move its chunks along and change none but the first ones, and every window of a passage has a cut.
 2. Chunks are grouped by a 128-bit digest. The aggregate gives each digest its smallest document (map-side sums; a chunk that is
    in every document is one row of each task), and a join brings it back to the chunks: those of other documents are repeats.
    AQE splits that join where one digest is hot.
 3. Neighbouring repeats of a document form spans, also over blank lines; those of at least ``MIN_WORDS`` words are reported and can be cut out.
-A passage loses at most its first 16 bytes and the parts of the two chunks at its ends, so the limit lies well below the 50 words
-that a passage should have to be caught; shorter shared lines (line dedup's work) stay.
+A passage within a line loses at most ``REACH + PERIOD - 1`` bytes and a window at its start and a window at its end: 119 bytes in
+all, and 20 of 51 words always remain where words and blanks take four bytes or more on average (runs that repeat within
+``PERIOD`` bytes have no cuts and may lose up to ``MAX_CHUNK``). Shorter shared lines (line dedup's work) stay.
 
 Edge cases: a null or empty text has no chunks. A null id never counts as the first holder: its row's passages are repeats where
 another document holds them. Repeated rows of an id are one document and do not repeat each other, nor does a passage within one
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from reelscribe.llm.common import INK_BYTES, Slice, mix, text_slices
 
-MEAN_CHUNK, MAX_CHUNK, MIN_WORDS = 48, 512, 20
-REACH = 16
+WINDOW, MAX_CHUNK, MIN_WORDS = 48, 512, 20
+REACH, PERIOD = 16, 8
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -44,15 +45,26 @@ def chunk_bounds(s: Slice) -> tuple[np.ndarray, np.ndarray]:
         h = moved
     line_end = s.raw == 0x0A
     middle = (s.raw & 0xC0) == 0x80  # a cut stands before a byte that begins a character
-    # Starts of lines; the hash is used only where all of its bytes lie in the line.
+    # Starts of lines; the hash is used only where all of its bytes, and those of the hashes it is compared with, lie in the line.
     new_line = np.zeros(n + 1, bool)
     new_line[s.offsets] = True
     new_line[1:][line_end] = True
     starts = np.flatnonzero(new_line[:n])
     since = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    fit = (since >= REACH + PERIOD - 1) & ~line_end
+    fit[:-1] &= ~middle[1:]
+    for j in range(1, PERIOD + 1):  # a run of one byte or of a few would be cut at every turn
+        fit[j:] &= h[j:] != h[:-j]
+    low = np.where(fit, h, np.int64(65536)) << 32 | (n - np.arange(n))
+    width = 1
+    while width < min(WINDOW, n):  # the smallest of the hashes from each byte on
+        step = min(width, WINDOW - width, n - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    # Windows that lie in one line: those whose last byte is as far from the line's start as their length says.
+    low = low[(since[: len(low)] >= REACH + PERIOD - 1) & (since[width - 1 :] - since[: len(low)] == width - 1)] if width == WINDOW else low[:0]
     cut = np.zeros(n + 1, bool)
-    cut[1:] = (h < 65536 // MEAN_CHUNK) & (since >= REACH - 1)
-    cut[:n] &= ~middle
+    cut[n - (low[low < 65536 << 32] & 0xFFFFFFFF) + 1] = True
     cut |= new_line
     cut[:n] |= line_end
     cut[n] = True

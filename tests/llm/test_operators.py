@@ -367,6 +367,16 @@ def test_blank_lines_do_not_break_a_passage(spark):
     assert not any(v in text for v in verses) and sentence(8200, 30) in text and sentence(8201, 30) in text
 
 
+def test_passages_of_51_words_within_a_line_are_found(spark):
+    rows = []
+    for i in range(300):
+        words = [w[: 3 + (i + k) % 5] for k, w in enumerate(sentence(20000 + i, 51).rstrip(".").split())]  # 5 letters on average
+        rows += [(2 * i + n, f"{sentence(30000 + 2 * i + n, 30)} {' '.join(words)} {sentence(40000 + 2 * i + n, 30)}") for n in range(2)]
+    found = chunk_dedup.repeats(table(spark, rows)).collect()
+    assert {r["doc_id"] for r in found} == {2 * i + 1 for i in range(300)}
+    assert all(r["doc_id"] - 1 in r["first_doc_ids"] for r in found)
+
+
 # Queries
 
 
