@@ -11,8 +11,8 @@ A passage within a line loses at most ``REACH + PERIOD - 1`` bytes and a window
 all, and 20 of 51 words always remain where words and blanks take four bytes or more on average (runs that repeat within
 ``PERIOD`` bytes have no cuts and may lose up to ``MAX_CHUNK``). Shorter shared lines (line dedup's work) stay.
 
-Edge cases: a null or empty text has no chunks. A null id never counts as the first holder: its row's passages are repeats where
-another document holds them. Repeated rows of an id are one document and do not repeat each other, nor does a passage within one
+Edge cases: a null or empty text has no chunks. A null id is the first holder only where no row with an id holds the passage: then
+that of the text with the smallest hash stays, and ``first_doc_ids`` has no entry for it. Equal texts with a null id are one document. Repeated rows of an id are one document and do not repeat each other, nor does a passage within one
 document. An empty table gives no rows. Only id and text are read, so other columns cannot clash.
 """
 
@@ -119,15 +119,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Offsets are bytes of the UTF-8 text. ``first_doc_ids``: the smallest holders of the span's chunks, sorted and distinct.
     """
     found = chunks(docs)
-    firsts = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where((F.col("n") > 1) & F.col("first").isNotNull()).select("d1", "d2", "first")
+    nameless = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    firsts = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min(nameless).alias("first_text"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Several numbers in one keep the rows of the large join narrow.
     spot = F.shiftleft(F.col("text_hash").cast("long"), 32) + F.col("start")
     place = F.shiftleft(F.col("number").cast("long"), 24) + F.col("length") * (1 << 12) + F.col("words")
     narrow = found.select("doc_id", "d1", "d2", spot.alias("spot"), place.alias("place"))
-    own = narrow.join(firsts, ["d1", "d2"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "first", "spot", "place")
+    text_hash = F.shiftright("spot", 32).cast("int")
+    repeated = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") != F.col("first")).otherwise(F.col("first").isNotNull() | (text_hash != F.col("first_text")))
+    # Distinct before the window: rows of one id and text count once, and many copies do not meet in one task.
+    own = narrow.join(firsts, ["d1", "d2"]).where(repeated).select("doc_id", "first", "spot", "place").distinct()
     own = own.select(
-        "doc_id", "first", F.shiftright("spot", 32).cast("int").alias("text_hash"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"),
+        "doc_id", "first", text_hash.alias("text_hash"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"),
         F.shiftright("place", 24).cast("int").alias("number"), F.shiftright("place", 12).bitwiseAND(4095).cast("int").alias("length"), F.col("place").bitwiseAND(4095).cast("int").alias("words"),
     )
     order = Window.partitionBy("doc_id", "text_hash").orderBy("number")

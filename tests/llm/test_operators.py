@@ -377,6 +377,15 @@ def test_passages_of_51_words_within_a_line_are_found(spark):
     assert all(r["doc_id"] - 1 in r["first_doc_ids"] for r in found)
 
 
+def test_repeated_rows_count_once(spark):
+    line, passage = sentence(8300, 10), sentence(8301, 60)
+    rows = [(1, f"{line}\n{sentence(8302, 30)}")] + [(2, f"{line}\n{sentence(8303, 30)}")] * 3 + [(None, f"{line}\n{sentence(8304, 30)}")] * 3
+    assert chunk_dedup.repeats(table(spark, rows)).count() == 0
+    nameless = [(None, f"{passage}\n{sentence(8305 + i, 30)}") for i in range(3)] * 2
+    found = chunk_dedup.repeats(table(spark, nameless)).collect()
+    assert len({r["text_hash"] for r in found}) == len(found) == 2 and all(r["doc_id"] is None and r["n_words"] == 60 and r["first_doc_ids"] == [] for r in found)
+
+
 # Queries
 
 
