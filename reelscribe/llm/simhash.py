@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscribe.llm.common import INK_BYTES, text_slices, word_spans
+from reelscribe.llm.common import INK_BYTES, text_slices, with_row_number, word_spans
 from reelscribe.session import stage_table
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -71,15 +71,16 @@ def _fingerprints(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint): the fingerprint as a signed long, one row per document."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, the keys, fingerprint): the fingerprint as a signed long, one row per document."""
+    names = ["doc_id", *keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_fingerprints(batch.column(1)).view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_fingerprints(batch.column(len(names))).view(np.int64))], [*names, "fingerprint"])
 
-    ids = docs.select("doc_id").schema.fields[0].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fingerprint long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, fingerprint long")
 
 
 # Bit-sliced comparison
@@ -250,22 +251,29 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per document; the fingerprint as a signed long."""
+def component_roots(distinct: DataFrame, radius: int) -> DataFrame:
+    """The staged rows of distinct fingerprints ``f`` with the root of their component."""
     if radius > len(PARTS) - 2:
         raise ValueError("the buckets are complete up to a radius of three")
+    roots = components(compare_buckets(bucketed(distinct.select("f")), radius))
+    return distinct.join(roots, F.col("f") == F.col("node"), "left").select(*distinct.columns, F.coalesce("root", "f").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row per document; the fingerprint as a signed long."""
     prints = stage_table(fingerprints(docs))
     distinct = stage_table(prints.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("least_id")))
-    roots = components(compare_buckets(bucketed(distinct.select("f")), radius))
-    placed = distinct.join(roots, F.col("f") == F.col("node"), "left").select("f", "least_id", F.coalesce("root", "f").alias("root"))
+    placed = component_roots(distinct, radius)
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_print = placed.join(named, "root").select("f", "component_id")
     return prints.join(by_print, F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "component_id")
 
 
 def dedup_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The document of each group with the smallest id; columns as given. Rows with a null id stay only where no id is known;
-    repeated rows of an id that stays all stay."""
-    kept = near_duplicates(docs.select("doc_id", "text"), radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group, that with the smallest id (null ids last, then by fingerprint and row); columns as given."""
+    staged = with_row_number(stage_table(docs.select(F.struct("*").alias("doc"))), "row_no")
+    prints = stage_table(fingerprints(staged.select(F.col("doc.doc_id").alias("doc_id"), "row_no", F.col("doc.text").alias("text")), "row_no"))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col("fingerprint").alias("print"), "row_no")
+    distinct = stage_table(prints.groupBy(F.col("fingerprint").alias("f")).agg(F.min(row).alias("least")))
+    kept = component_roots(distinct, radius).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_no").alias("kept_no"))
+    return staged.join(kept, F.col("row_no") == F.col("kept_no"), "left_semi").select("doc.*")

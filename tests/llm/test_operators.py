@@ -205,6 +205,13 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    known, nameless, named = sentence(9001, 60), sentence(9002, 60), sentence(9003, 60)
+    rows = [(None, nameless)] * 4 + [(None, known), (None, known), (7, known), (7, known), (8, known)] + [(9, named), (9, named)] + [(7, sentence(9004, 60))] * 2
+    kept = simhash.dedup_documents(table(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", nameless), ("7", known), ("9", named), ("7", sentence(9004, 60))])
+
+
 def test_bit_sliced_links_equal_brute_force():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
