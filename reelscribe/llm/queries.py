@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscribe.llm import chunk_dedup, decontaminate, language, licenses, line_dedup, line_rules, packing, quality_model, simhash, toxicity, twins
+from reelscribe.llm import chunk_dedup, decontaminate, hard_negatives, language, licenses, line_dedup, line_rules, packing, quality_model, sharding, simhash, toxicity, twins, whitening
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -107,3 +107,20 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op11_hard_negative_mining", twins.HARD_NEGATIVES)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_sharding", twins.SHARDS)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelscribe.llm import licenses, line_dedup, line_rules
+from reelscribe.llm import licenses, line_dedup, line_rules, sharding
 from reelscribe.llm.common import INK_PATTERN, LOWER_ASCII, UPPER_ASCII, WORD_PATTERN
 
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -114,3 +114,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * chars_left >= {line_rules.MIN_KEPT_PERCENT} * word_chars AS kept, n_lines_removed
 FROM m
 """
+
+HARD_NEGATIVES = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
+),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY rank <= 5
+"""
+
+# Ids through the finaliser that common.mix names, drawn numbers by a recursive walk, CRC-32 byte by byte over a table made from its polynomial.
+SHARDS = f"""
+WITH RECURSIVE k AS (
+  SELECT DISTINCT doc_id, ((coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616)::UBIGINT AS x FROM documents
+),
+m1 AS (SELECT doc_id, ((xor(x, x >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616)::UBIGINT AS x FROM k),
+m2 AS (SELECT doc_id, ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616)::UBIGINT AS x FROM m1),
+walk AS (
+  SELECT doc_id, xor(x, x >> 31) AS state, 0::BIGINT AS j FROM m2
+  UNION ALL
+  SELECT doc_id, state, floor((j + 1) * (2147483648.0::DOUBLE / ((state >> 33) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT doc_id, ((state::UHUGEINT * {sharding.STEP} + 1) % 18446744073709551616)::UBIGINT AS state, j FROM walk WHERE j < {sharding.SHARDS + 1})
+),
+placed AS (SELECT doc_id, max(j) FILTER (j < {sharding.SHARDS})::INT AS shard, max(j) FILTER (j < {sharding.SHARDS + 1})::INT AS grown_shard FROM walk GROUP BY doc_id),
+crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+texts AS (SELECT DISTINCT text, coalesce(hex(encode(text)), '') AS h FROM documents),
+sums AS (
+  SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: (16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
+  FROM texts, crc_table
+)
+SELECT d.doc_id, strlen(coalesce(d.text, '')) + 1 AS size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST, text_crc32, strlen(coalesce(d.text, ''))) - 1 AS slot, grown_shard
+FROM documents d JOIN placed p ON d.doc_id IS NOT DISTINCT FROM p.doc_id JOIN sums ON d.text IS NOT DISTINCT FROM sums.text
+"""
