@@ -12,32 +12,51 @@ from reelscribe.functions import values as vx
 from reelscribe.operators import sequence as sq
 from reelscribe.operators import timeline as tl
 
-GRAM = 3
+#: Lengths of the runs of characters that texts are listed by.
+GRAMS = (1, 2, 3, 6)
 
 
-def _grams(value: Column) -> Column:
-    """The distinct runs of one to ``GRAM`` characters of a text. Its characters are listed once, so a run costs no search."""
-    def runs(chars: Column) -> Column:
-        def of(size: int) -> Column:
-            starts = F.when(F.size(chars) >= size, F.sequence(F.lit(0), F.size(chars) - size)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
+def _runs(chars: Column, size: int) -> Column:
+    starts = F.when(F.size(chars) >= size, F.sequence(F.lit(0), F.size(chars) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(chars, i + 1, F.lit(size)), ""))
+
 
-        return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+def _listed(value: Column, body) -> Column:
+    """``body`` of the characters of a text, which are listed once."""
+    return F.transform(F.array(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))), body)[0]
 
-    return F.transform(F.array(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))), runs)[0]
+
+def _term_runs(value: Column) -> Column:
+    """The runs of a term: all of the longest listed length that it has."""
+    def runs(chars: Column) -> Column:
+        out = F.array().cast("array<string>")
+        for size in GRAMS:
+            out = F.when(F.size(chars) >= size, _runs(chars, size)).otherwise(out)
+        return F.array_distinct(out)
+
+    return _listed(value, runs)
 
 
 def match_terms(texts: DataFrame, ident: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """Every (text row, term row) where the text contains the term; empty terms match nothing.
 
-    Texts and terms meet on one run of characters: the middle three of a term, or all of a shorter one. Only the ``ident``
-    columns (which tell the rows of ``texts`` apart) travel with the runs; the texts join the candidates, and ``contains`` settles each.
+    An index of runs of characters: the texts' runs that occur in some term are postings, and a term meets the texts on its rarest
+    run. Only the ``ident`` columns (which tell the rows of ``texts`` apart) travel with the runs; the texts join the candidates, and
+    ``contains`` settles each.
     """
-    middle = F.greatest(F.lit(1), F.floor(F.length("_term") / 2).cast("int"))
-    gram = F.when(F.length("_term") < GRAM, F.col("_term")).otherwise(F.substr(F.col("_term"), middle, F.lit(GRAM)))
-    distinct = terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct().withColumn("_gram", gram)
-    asked = texts.select(*ident, F.explode(_grams(F.col(text))).alias("_gram"))
-    candidates = asked.join(distinct, "_gram").drop("_gram")
+    from reelscribe.session import stage_table
+
+    distinct = terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct()
+    wanted = stage_table(distinct.select("_term", F.explode(_term_runs(F.col("_term"))).alias("_gram")))
+    # Lengths that no term has are not listed; there are at most as many as GRAMS.
+    sizes = sorted(r[0] for r in wanted.select(F.length("_gram")).distinct().collect())
+    listed = _listed(F.col(text), lambda chars: F.array_distinct(F.concat(*[_runs(chars, n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    asked = texts.select(*ident, F.explode(listed).alias("_gram"))
+    postings = stage_table(asked.join(wanted.select("_gram").distinct(), "_gram", "left_semi"))
+    counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # A term with a run that no text has gets no number for it, sorts it first and meets nothing.
+    rarest = wanted.join(counts, "_gram", "left").groupBy("_term").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_gram"))
+    candidates = postings.join(rarest, "_gram").drop("_gram")
     hits = candidates.join(texts, list(ident)).filter(F.contains(F.col(text), F.col("_term")))
     return hits.join(terms.withColumn("_term", F.col(term)), "_term").drop("_term")
 
@@ -149,9 +168,26 @@ def first_mention(terms: DataFrame, segments: DataFrame, ident: Sequence[str], t
     return wanted.join(hits, "_key", "left").select(*terms.columns, F.coalesce("_first", F.lit(default)).alias("first_start"))
 
 
-def search_timeline(items: DataFrame, queries: list[str]) -> DataFrame:
-    """Case-insensitive substring search; ``items`` has kind, item_id, t and a ``haystack`` array."""
-    lowered = F.transform("haystack", F.lower)
-    wanted = F.array(*[F.lit(q) for q in queries])
-    hit = F.filter(wanted, lambda q: F.exists(lowered, lambda h: F.contains(h, F.lower(q))))
-    return items.select("kind", "item_id", "t", F.explode(hit).alias("query"))
+def search_timeline(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """Case-insensitive substring search of every ``query`` in every layer of every item: (kind, item_id, t, query), each once.
+
+    ``items`` has kind, item_id, t and a ``haystack`` array of its layers (title, raw, cleaned and corrected text, symbols, aliases, ...).
+    """
+    layers = items.select("kind", "item_id", "t", F.posexplode("haystack").alias("_layer", "_text")).filter("_text IS NOT NULL")
+    lowered = layers.select("kind", "item_id", "t", "_layer", F.lower("_text").alias("_text"))
+    asked = queries.select("query", F.lower("query").alias("_query")).distinct()
+    hits = match_terms(lowered, ["kind", "item_id", "t", "_layer"], "_text", asked, "_query")
+    return hits.select("kind", "item_id", "t", "query").distinct()
+
+
+def correction_members(corrections: DataFrame, cited: DataFrame, paragraphs: DataFrame, frames: DataFrame) -> DataFrame:
+    """The evidence of every correction as child rows (correction_id, kind, position, ref_id): its suggestion's segments in the
+    paragraph, in the paragraph's order, and the suggestion's known frames in order of their ids. Arguments as for ``propose_corrections``."""
+    from reelscribe.operators.evidence import ordered_members
+
+    keys = corrections.select("correction_id", "suggestion_no", "paragraph_no")
+    members = paragraphs.select("paragraph_no", F.posexplode("source_segment_ids").alias("_place", "segment_id"))
+    spoken = cited.filter("segment_id IS NOT NULL").select("suggestion_no", "segment_id").join(members, "segment_id").join(keys, ["suggestion_no", "paragraph_no"])
+    known = cited.filter("frame_id IS NOT NULL").select("suggestion_no", "frame_id").join(frames.select("frame_id").distinct(), "frame_id")
+    seen = known.join(keys, "suggestion_no").withColumn("_place", F.lit(0))
+    return ordered_members(spoken, ["correction_id"], "segment", "_place", "segment_id").unionByName(ordered_members(seen, ["correction_id"], "frame", "_place", "frame_id"))

@@ -88,40 +88,95 @@ def resolve_canonical(rows: DataFrame, ident: str, ids: str, aliases: DataFrame,
         F.coalesce("_canonical", F.array().cast("array<string>")).alias("canonical_ids"))
 
 
+def ordered_members(links: DataFrame, owner: Sequence[str], kind: str, place: str, ref: str, span: int = tl.ROWS_PER_BLOCK) -> DataFrame:
+    """Child rows (owner, kind, position, ref_id): what an owner cites, each once, numbered from 1 by (``place``, ``ref``).
+
+    ``place`` is an integer column (a time or a number), cut into blocks of ``span``. Rows, not lists: an owner may cite any number.
+    """
+    once = links.groupBy(*owner, F.col(ref).alias("_ref")).agg(F.min(place).cast("long").alias("_place"))
+    line = tl.Timeline(tuple(owner), ("_place", "_ref"), "_place", span)
+    return tl.scan(once, line, row_number="position").select(*owner, F.lit(kind).alias("kind"), "position", F.col("_ref").cast("string").alias("ref_id"))
+
+
+def with_member_counts(rows: DataFrame, members: DataFrame, owner: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """``rows`` with one ``<kind>_count`` for each kind of their members, zeros included."""
+    counts = members.groupBy(*owner).agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"{k}_count") for k in kinds])
+    joined = tl.join_parts(rows, counts, owner, "left")
+    return joined.withColumns({f"{k}_count": F.coalesce(f"{k}_count", F.lit(0)) for k in kinds})
+
+
 def build_evidence(paragraphs: DataFrame, frames: DataFrame, formulas: DataFrame, line: tl.Timeline, part_order: str,
                    first: int = 1, claim: Column | None = None) -> DataFrame:
     """One evidence row per paragraph with ids in order; type from the frames and formulas it has.
 
-    ``frames`` and ``formulas`` are (part_id, paragraph_id, counts) tables of matches already made by
-    ``point_in_interval``; ``claim`` defaults to the first 240 characters of the corrected text.
+    ``frames`` and ``formulas`` are links (part_id, paragraph_id, id) made by ``point_in_interval``, each once; the rows carry their
+    numbers, ``evidence_members`` lists them. ``claim`` defaults to the first 240 characters of the corrected text.
     """
     from reelscribe.operators.sequence import assign_stable_ids
 
-    rows = paragraphs.join(frames, ["part_id", "paragraph_id"], "left").join(formulas, ["part_id", "paragraph_id"], "left")
-    has_frame, has_formula = F.coalesce("frame_count", F.lit(0)) > 0, F.coalesce("formula_count", F.lit(0)) > 0
+    owner = ["part_id", "paragraph_id"]
+    tagged = frames.select(*owner, F.lit("frame").alias("kind")).unionByName(formulas.select(*owner, F.lit("formula").alias("kind")))
+    rows = with_member_counts(paragraphs, tagged, owner, ("frame", "formula"))
+    has_frame, has_formula = F.col("frame_count") > 0, F.col("formula_count") > 0
     kind = F.when(has_frame & has_formula, "speech+slide+formula").when(has_frame, "speech+slide").otherwise("speech")
     text = claim if claim is not None else F.substring("text_corrected", 1, 240)
-    rows = rows.withColumns({"evidence_type": kind, "claim": text, "frame_count": F.coalesce("frame_count", F.lit(0)),
-                             "formula_count": F.coalesce("formula_count", F.lit(0))})
-    return assign_stable_ids(rows, line, part_order, "E", first, "evidence_id")
+    return assign_stable_ids(rows.withColumns({"evidence_type": kind, "claim": text}), line, part_order, "E", first, "evidence_id")
 
 
-def build_sections(plan: DataFrame, paragraphs: DataFrame, part: str = "part_id") -> DataFrame:
-    """Sections from paragraph number ranges (first_no..last_no); the first paragraph gives the highlight."""
+def evidence_members(evidence: DataFrame, links: dict[str, tuple[DataFrame, str, str, int]]) -> DataFrame:
+    """The segments, frames and formulas of every evidence row, in order.
+
+    ``links``: kind -> (links by part_id and paragraph_id, place, id, span of a block). With ``position`` any row is traced to its sources.
+    """
+    keys = evidence.select("part_id", "paragraph_id", "evidence_id")
+    out = None
+    for kind, (rows, place, ref, span) in links.items():
+        mine = ordered_members(tl.join_parts(rows, keys, ["part_id", "paragraph_id"]), ["evidence_id"], kind, place, ref, span)
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+def _section_rows(plan: DataFrame, paragraphs: DataFrame, part: str) -> DataFrame:
     refs = plan.withColumn("group_no", F.explode(F.sequence("first_no", "last_no")))
-    rows = refs.join(paragraphs, [part, "group_no"])
+    return tl.join_parts(refs, paragraphs, [part, "group_no"])
+
+
+def build_sections(plan: DataFrame, paragraphs: DataFrame, part: str = "part_id") -> DataFrame:
+    """Sections from paragraph number ranges (first_no..last_no); the first paragraph gives the highlight.
+
+    Paragraphs carry paragraph_id, evidence_id, start_ms, end_ms, summary and confidence. What a section cites is in ``section_members``.
+    """
     first = F.min_by(F.struct("paragraph_id", "evidence_id", "start_ms"), F.col("group_no"))
-    return rows.groupBy(part, "section_no", "title").agg(
+    return _section_rows(plan, paragraphs, part).groupBy(part, "section_no", "title").agg(
         first.alias("_f"), F.max_by("end_ms", "group_no").alias("end_ms"), F.count(F.lit(1)).alias("paragraph_count"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "summary"))), lambda s: s["summary"]), " ").alias("summary"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("frame_ids")))).alias("frame_ids"),
         F.max((F.col("confidence") == "medium").cast("int")).alias("_medium")
     ).select(part, vx.numbered("SEC", F.col("section_no"), 4).alias("section_id"), "title", F.col("_f.start_ms").alias("start_ms"), "end_ms",
-             "paragraph_count", "summary", "frame_ids", F.when(F.col("_medium") == 1, "medium").otherwise("high").alias("confidence"),
+             "paragraph_count", "summary", F.when(F.col("_medium") == 1, "medium").otherwise("high").alias("confidence"),
              vx.numbered("H", F.col("section_no"), 4).alias("highlight_id"), F.col("_f.paragraph_id").alias("highlight_paragraph"),
              F.col("_f.evidence_id").alias("highlight_evidence"))
 
 
+def section_members(plan: DataFrame, paragraphs: DataFrame, sections: DataFrame, frames: DataFrame, formulas: DataFrame, bin_size: int, part: str = "part_id") -> DataFrame:
+    """Paragraphs, evidence, frames and formulas of every section as child rows, each once and in order.
+
+    ``frames``: links (part, paragraph_id, frame_id, t) of the section's paragraphs. ``formulas`` (part, formula_id, t) belong to the section
+    of their time, start included and end not. A highlight has the frames and formulas of its section, and the segments of its evidence.
+    """
+    from reelscribe.operators.intervals import point_in_interval
+
+    rows = _section_rows(plan, paragraphs, part).select(part, vx.numbered("SEC", F.col("section_no"), 4).alias("section_id"), "group_no", "paragraph_id", "evidence_id")
+    owner = [part, "section_id"]
+    shown = tl.join_parts(frames, rows.select(*owner, "paragraph_id"), [part, "paragraph_id"])
+    timed = point_in_interval(formulas, sections.select(*owner, "start_ms", "end_ms"), [part], "t", "start_ms", "end_ms", bin_size)
+    parts = [ordered_members(rows, owner, "paragraph", "group_no", "paragraph_id"), ordered_members(rows, owner, "evidence", "group_no", "evidence_id"),
+             ordered_members(shown, owner, "frame", "t", "frame_id", bin_size), ordered_members(timed, owner, "formula", "t", "formula_id", bin_size)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def build_topic_tree(roots: DataFrame, middle: DataFrame, leaves: DataFrame, root: str, node: str, leaf: Sequence[str],
                      name: str, node_name: str, page: int = 4096) -> tuple[DataFrame, DataFrame]:
     """One row per root with its nodes and their leaves nested; (tree, leaves pointing nowhere).

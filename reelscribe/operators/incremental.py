@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +94,7 @@ def select_changed_units(current: DataFrame, log: DataFrame, key: str) -> DataFr
     """Units to recompute with the reason. current: key, input_hash, config_hash, output_hash.
 
     log: key, status, at, and the three hashes; only the latest success of a unit counts, and a missing
-    output hash is a change. Join the result (left_semi) with the input to process just those units.
+    output hash is a change. ``rebuild_changed`` processes just those units.
     """
     last = log.filter("status = 'succeeded'").groupBy(key).agg(
         F.max_by(F.struct("input_hash", "config_hash", "output_hash"), "at").alias("_l"))
@@ -105,6 +105,35 @@ def select_changed_units(current: DataFrame, log: DataFrame, key: str) -> DataFr
     return rows.select(key, reason.alias("reason")).filter("reason IS NOT NULL")
 
 
+def write_units(rows: DataFrame, target: str, part: str) -> None:
+    """The table of all units, a folder for each ``part``; large parts are split into files by AQE."""
+    rows.hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(target)
+
+
+def rebuild_changed(source: DataFrame, target: str, changed: DataFrame, unit: str, part: str, build: Callable[[DataFrame], DataFrame]) -> int:
+    """Build the changed units anew and rewrite the folders they lie in, no others; the number of folders.
+
+    ``source``: input rows with ``unit`` and ``part``, the folder of a unit, which never changes; ``changed``: (unit, part);
+    ``build`` makes output rows with both from input rows. Other units of these folders are copied, whatever they hold; a unit without input
+    rows loses its own. Names of touched folders come to the driver, which lists the table's folders anyway, and are the
+    partition filter of both reads. Old files are replaced when all new ones are written (dynamic partition overwrite).
+    """
+    from reelscribe.session import stage_table
+
+    spark = source.sparkSession
+    units = stage_table(changed.select(unit, part).distinct())
+    touched = [r[0] for r in units.select(part).distinct().collect()]
+    if not touched:
+        return 0
+    near = F.col(part).isin([p for p in touched if p is not None])
+    near = near | F.col(part).isNull() if None in touched else near
+    fresh = build(tl.join_parts(source.filter(near), units.select(unit), [unit], "left_semi"))
+    kept = tl.join_parts(spark.read.parquet(target).filter(near), units.select(unit), [unit], "left_anti")
+    rows = kept.withColumn(part, F.col(part).cast(fresh.schema[part].dataType)).unionByName(fresh)
+    rows.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(target)
+    return len(touched)
+
+
 def latest_attempt_status(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per job and stage: attempts, latest status, latest success; per job: last milestone and overall status).
 

@@ -80,17 +80,21 @@ RATIOS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("local", "edge
 def _frame_metrics(luma: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     rows = []
     for pixels, w, h in zip(luma, width, height):
+        if pixels is None or pd.isna(w) or pd.isna(h) or not len(pixels):
+            rows.append((None,) * 6)
+            continue
         grey = _image(pixels, w, h)
         edges, tiny = _edges(grey), resample(grey, 9, 8)
         bits = (tiny[:, :-1] > tiny[:, 1:]).ravel()
         weights = 1 << np.arange(31, -1, -1, dtype=np.int64)
         rows.append((float((grey <= BLACK_LUMA).mean()), float(grey.mean()), float(grey.std()), float(edges.var()),
                      int(weights[bits[:32]].sum()), int(weights[bits[32:]].sum())))
-    return pd.DataFrame(rows, columns=["black_ratio", "mean_luma", "luma_stddev", "sharpness", "hash_hi", "hash_lo"])
+    out = pd.DataFrame(rows, columns=["black_ratio", "mean_luma", "luma_stddev", "sharpness", "hash_hi", "hash_lo"])
+    return out.astype({**{c: "float64" for c in out.columns[:4]}, **{c: "Int64" for c in out.columns[4:]}})
 
 
 def frame_metrics(luma: Column, width: Column, height: Column) -> Column:
-    """Measures of a decoded grey image (bytes, or an array of 0..255)."""
+    """Measures of a decoded grey image (bytes, or an array of 0..255); nulls for a missing or empty image."""
     return _frame_metrics(luma, width, height)
 
 
@@ -324,12 +328,47 @@ def absorb_duplicates(decisions: DataFrame, job: str, ident: str, lists: Sequenc
     return merged.groupBy(job, ident).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists])
 
 
-def dedup_group_audit(groups: DataFrame, line: tl.Timeline, group: str, ident: str) -> DataFrame:
-    """Distance of each member to the one before it in its labelled group."""
-    near = tl.scan(groups, line, previous={"left_id": ident, "_hi": "hash_hi", "_lo": "hash_lo"})
-    return near.filter("left_id IS NOT NULL").select(
+#: The classes of audited groups.
+GROUP_CLASSES = ("meaningful_progression", "safe_duplicate", "minor_noninstructional_change", "dedup_false_positive", "dedup_false_negative", "uncertain")
+
+
+def dedup_group_audit(groups: DataFrame, line: tl.Timeline, group: str, ident: str, images: DataFrame | None = None) -> DataFrame:
+    """Each member of a labelled group against the one before it: distance of the hashes and, with ``images``, changes of the pixels.
+
+    ``images``: the id, luma, width, height. Pixels join the pairs late and do not ride through the scan; a missing one gives nulls.
+    """
+    narrow = groups.select(*dict.fromkeys([group, *line.part, *line.order, line.block_on, ident, "hash_hi", "hash_lo"]))
+    near = tl.scan(narrow, line, previous={"left_id": ident, "_hi": "hash_hi", "_lo": "hash_lo"})
+    pairs = near.filter("left_id IS NOT NULL").select(
         group, "left_id", F.col(ident).alias("right_id"),
         hamming(F.col("_hi"), F.col("_lo"), F.col("hash_hi"), F.col("hash_lo")).alias("distance"))
+    if images is None:
+        return pairs
+    for side in ("left", "right"):
+        own = images.select(F.col(ident).alias(f"{side}_id"), *[F.col(c).alias(f"_{side}_{c}") for c in ("luma", "width", "height")])
+        pairs = pairs.join(own, f"{side}_id", "left")
+    ratios = pair_change_ratios(*[F.col(f"_{x}") for x in ("left_luma", "right_luma", "left_width", "left_height", "right_width", "right_height")])
+    return pairs.withColumn("_r", ratios).select(group, "left_id", "right_id", "distance", *[F.col(f"_r.{c}").alias(f"{c}_ratio") for c in ("local", "edge", "contrast")])
+
+
+def dedup_group_members(groups: DataFrame, labels: DataFrame, group: str, ident: str) -> DataFrame:
+    """What to do with each member. ``labels``: group, classification, keep_id. Only safe duplicates name members to drop."""
+    rows = tl.join_parts(groups.select(group, ident), labels, [group])
+    kept = F.col(ident).eqNullSafe(F.col("keep_id"))
+    advice = F.when(kept, "keep").when(F.col("classification") == "safe_duplicate", "drop")
+    return rows.select(group, ident, "classification", advice.alias("recommendation"))
+
+
+def dedup_group_cues(groups: DataFrame, group: str, cues: str = "cue_terms") -> DataFrame:
+    """The distinct cue terms of a group's members, one row each."""
+    return groups.select(group, F.explode(cues).alias("cue_term")).distinct()
+
+
+def dedup_class_counts(labels: DataFrame) -> DataFrame:
+    """One row: audited groups and groups per class, zeros included; every safe duplicate that still stands is a false negative."""
+    counts = {c: F.count(F.when(F.col("classification") == c, 1)).alias(c) for c in GROUP_CLASSES if c != "dedup_false_negative"}
+    row = labels.agg(F.count(F.lit(1)).alias("audited_group_count"), *counts.values())
+    return row.withColumn("dedup_false_negative", F.col("safe_duplicate")).select("audited_group_count", *GROUP_CLASSES)
 
 
 def has_protected_cue(cue_terms: Column, protected: Sequence[str]) -> Column:

@@ -19,33 +19,26 @@ TRANSITIONS = ("接下来", "然后我们", "下面", "总结")
 
 
 def group_by_boundaries(segments: DataFrame, line: tl.Timeline, boundaries: DataFrame, durations: DataFrame,
-                        end: str = "end_ms", slack: int = 1) -> DataFrame:
+                        end: str = "end_ms", slack: int = 1, beyond: int = 1000) -> DataFrame:
     """Close a paragraph at the first row with ``end >= boundary - slack``; each close uses one boundary.
 
     ``boundaries`` (part, boundary) are cut at the part's ``duration``; a part left with none has one at its
-    duration. Row j (counted from 0) closes when it is ``k + max over i <= k of (first row reaching b_i - i)``
-    for some k: one running maximum over rows, one over boundaries, and an equi-join by row number. Exact
-    where ends do not decrease along the part, as in any transcript in order.
+    duration. Rows ending ``beyond`` the duration close after the last one too. A row's limit is the number of boundaries it reaches, counted by one scan
+    over rows and boundaries in order of time; the limits are then folded in order of the rows, so ends may fall as well as rise.
     """
     part = list(line.part)
-    kept = boundaries.join(durations, part).filter(F.col("boundary") <= F.col("duration")).select(*part, "boundary").distinct()
-    bare = durations.join(kept, part, "left_anti").select(*part, F.col("duration").alias("boundary"))
-    marks = kept.unionByName(bare)
-    numbered = tl.scan(segments, line, max_upto={"_reach": end}, max_before={"_reach0": end}, row_number="_n")
-    rises = numbered.filter(F.col("_reach0").isNull() | (F.col("_reach") > F.col("_reach0"))).select(
-        *part, F.col("_reach").alias("_at"), F.lit(1).alias("_kind"), (F.col("_n") - 1).alias("_i"))
-    asks = marks.select(*part, (F.col("boundary") - slack).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_i"), "boundary")
-    both = rises.unionByName(asks, allowMissingColumns=True)
-    # The first rise at or after a boundary: scan backwards in time for the smallest row number seen.
-    back = tl.Timeline(line.part, ("_neg", "_neg_kind"), "_neg", 3_600_000)
-    found = tl.scan(both.withColumn("_neg", -F.col("_at")).withColumn("_neg_kind", -F.col("_kind")), back,
-                    max_upto={"_first": -F.col("_i")}).filter("boundary IS NOT NULL").select(*part, "boundary", (-F.col("_first")).alias("_i"))
-    by_boundary = tl.Timeline(line.part, ("boundary",), "boundary", 3_600_000)
-    ranked = tl.scan(found, by_boundary, row_number="_k").withColumn("_k", F.col("_k") - 1)
-    closes = tl.scan(ranked, by_boundary, max_upto={"_d": F.col("_i") - F.col("_k")}).filter("_i IS NOT NULL").select(
-        *part, (F.col("_d") + F.col("_k") + 1).alias("_n"), F.lit(1).cast("long").alias("_closes")).distinct()
-    closed = numbered.join(closes, [*part, "_n"], "left").withColumn("_closes", F.coalesce("_closes", F.lit(0).cast("long")))
-    return tl.scan(closed, line, sum_before={"_g": "_closes"}).select(*segments.columns, (F.col("_g") + 1).alias("group_no"))
+    place = list(dict.fromkeys([*part, *line.order, line.block_on]))
+    kept = tl.join_parts(boundaries, durations, part).filter(F.col("boundary") <= F.col("duration")).select(*part, "boundary").distinct()
+    bare = tl.join_parts(durations, kept, part, "left_anti").select(*part, F.col("duration").alias("boundary"))
+    marks = kept.unionByName(bare).select(*part, F.col("boundary").alias("_at"), F.lit(0).alias("_kind"))
+    rows = segments.select(*place, (F.col(end) + slack).alias("_at"), F.lit(1).alias("_kind"))
+    both, by_end = tl.split_hot_blocks(rows.unionByName(marks, allowMissingColumns=True), tl.Timeline(line.part, ("_at", "_kind", *[c for c in line.order if c not in part]), "_at", 3_600_000))
+    counted = tl.scan(both, by_end, sum_upto={"_limit": 1 - F.col("_kind")}).filter("_kind = 1")
+    late = F.when(F.col("_at") >= F.col("duration") + beyond, F.lit(int(tl.ALWAYS) // 2)).otherwise(F.col("_limit"))
+    limited = tl.join_parts(counted, durations.select(*part, "duration"), part, "left").select(*place, late.alias("_limit"))
+    closed = tl.closed_by_limits(limited, line, F.col("_limit"), "_closes", "_n")
+    groups = closed.select(*place, (F.col("_n") - F.col("_closes").cast("long") + 1).alias("group_no"))
+    return tl.join_parts(segments, groups, place).select(*segments.columns, "group_no")
 
 
 def sessionize_paragraphs(segments: DataFrame, line: tl.Timeline, start: str = "start_ms", end: str = "end_ms",
@@ -101,6 +94,38 @@ def build_paragraphs_from_plan(plan: DataFrame, segments: DataFrame) -> tuple[Da
     return out, unknown
 
 
+def attach_to_plan(plan: DataFrame, evidence: DataFrame, corrections: DataFrame, frames: DataFrame) -> DataFrame:
+    """Evidence, corrections and frames of planned paragraphs as child rows (part_id, paragraph_no, kind, ref_id).
+
+    Evidence belongs to a paragraph when both cite a segment; its frames come along. Corrections name their paragraph.
+    ``plan``: part_id, paragraph_no, segment_ids. ``evidence``: evidence_id, segment_id. ``corrections``: part_id, paragraph_no,
+    correction_id. ``frames``: evidence_id, frame_id. All but the plan are child rows.
+    """
+    owner = ["part_id", "paragraph_no"]
+    refs = plan.select(*owner, F.explode("segment_ids").alias("segment_id")).distinct()
+    linked = refs.join(evidence.select("segment_id", "evidence_id").distinct(), "segment_id").select(*owner, "evidence_id").distinct()
+    shown = linked.join(frames.select("evidence_id", "frame_id"), "evidence_id").select(*owner, "frame_id").distinct()
+
+    def child(rows: DataFrame, kind: str, ident: str) -> DataFrame:
+        return rows.select(*owner, F.lit(kind).alias("kind"), F.col(ident).cast("string").alias("ref_id"))
+
+    fixed = tl.join_parts(corrections, plan.select(*owner).distinct(), owner, "left_semi")
+    return child(linked, "evidence", "evidence_id").unionByName(child(fixed, "correction", "correction_id")).unionByName(child(shown, "frame", "frame_id"))
+
+
+def correct_plan(paragraphs: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Planned paragraphs with ``text_corrected``: accepted corrections replace the first place of their text, in order of their number.
+
+    ``corrections``: part_id, paragraph_no, ord, correction_id, original_text, suggested_text, applied. ``not_applied`` names accepted ones
+    whose text is absent, which the plan must not have.
+    """
+    from reelscribe.operators.corrections import apply_corrections
+
+    named = paragraphs.withColumn("_paragraph", F.struct("part_id", "paragraph_no"))
+    fixes = corrections.withColumn("_paragraph", F.struct("part_id", "paragraph_no"))
+    return apply_corrections(named, fixes, "_paragraph", "text_clean", first_only=True).drop("_paragraph")
+
+
 def plan_packets(ranges: DataFrame, part: str, span: int = 300_000, context: int = 30_000, dynamic: bool = False,
                  first: int = 1) -> DataFrame:
     """W18/W19 packet table over ``range_start``/``range_end``.
@@ -152,11 +177,16 @@ def packet_summary(packets: DataFrame, members: DataFrame, part: str, ident: str
     return packets.join(sums, [part, "packet_id"], "left").select(*packets.columns, *counts.values())
 
 
-def packet_terms(packets: DataFrame, rows: DataFrame, part: str, start: str, end: str, text: str, pattern: str, bin_size: int = 300_000) -> DataFrame:
-    """Term candidates of each packet as child rows: term, how many rows hold it, and whether one of them is primary."""
-    placed = packet_rows(packets, rows, part, start, end, bin_size)
-    found = placed.select(part, "packet_id", "context_only", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("term"))
-    return found.groupBy(part, "packet_id", "term").agg(F.count(F.lit(1)).alias("row_count"), F.max(~F.col("context_only")).alias("in_primary"))
+def packet_terms(packets: DataFrame, rows: DataFrame, part: str, start: str, end: str, text_id: str, texts: DataFrame, bin_size: int = 300_000) -> DataFrame:
+    """Term candidates of each packet as child rows: term, how many rows hold it, and whether one of them is primary.
+
+    ``texts``: ``text_id`` and ``terms``, the distinct candidates of each text; rows name their text, and a packet's rows of one text count
+    before they meet its terms.
+    """
+    placed = packet_rows(packets, rows.select(part, start, end, text_id), part, start, end, bin_size)
+    counted = placed.groupBy(part, "packet_id", text_id).agg(F.count(F.lit(1)).alias("_n"), F.max(~F.col("context_only")).alias("_primary"))
+    found = counted.join(texts.select(text_id, F.explode("terms").alias("term")), text_id)
+    return found.groupBy(part, "packet_id", "term").agg(F.sum("_n").alias("row_count"), F.max("_primary").alias("in_primary"))
 
 
 def packet_contents(packets: DataFrame, members: dict[str, DataFrame], part: str, ident: str) -> DataFrame:

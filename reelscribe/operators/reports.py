@@ -22,16 +22,34 @@ def counts_over(df: DataFrame, part: Sequence[str], column: str, domain: Sequenc
     return [F.count(F.when(F.col(column) == v, 1)).alias(prefix + v) for v in domain]
 
 
-def segment_issues(segments: DataFrame, line: tl.Timeline, long_chars: int = 180, long_ms: int = 20_000) -> DataFrame:
+def text_measures(raw: Column, clean: Column | None = None, cues: Sequence[str] = (), long_chars: int = 180) -> dict[str, Column]:
+    """All that the reports know of a text, as a few numbers. Compute them once per distinct text where segments share texts."""
+    clean = tx.clean_text(raw) if clean is None else clean
+    total = sum((tx.count_of(raw, F.lit(c)) for c in cues), F.lit(0))
+    return {
+        "m_chars": F.length(F.regexp_replace(raw, tx.WHITESPACE + "+", "")).cast("long"), "m_dense": F.length(F.replace(raw, F.lit(" "), F.lit(""))).cast("long"),
+        "m_long": F.length(raw) > long_chars, "m_empty": tx.strip(raw) == "", "m_garbled": tx.is_garbled(raw),
+        "m_clean": F.when(clean != "", F.unhex(F.md5(clean))), "m_latin": raw.rlike(tx.LATIN_TOKEN),
+        "m_symbols": F.size(F.array_distinct(F.regexp_extract_all(raw, F.lit(tx.NUMBER_OR_SYMBOL), F.lit(0)))), "m_cues": total.cast("long")}
+
+
+def _measured(segments: DataFrame, cues: Sequence[str] = ()) -> DataFrame:
+    """The segments with their measures; those that carry them already are left as they are."""
+    if "m_chars" in segments.columns:
+        return segments
+    clean = F.col("text_clean") if "text_clean" in segments.columns else None
+    return segments.withColumns(text_measures(F.col("text_raw"), clean, cues))
+
+
+def segment_issues(segments: DataFrame, line: tl.Timeline, long_ms: int = 20_000) -> DataFrame:
     """Per-row findings used by A1: neighbours compared once, garble and length flags."""
-    near = tl.scan(segments, line, previous={"_p_end": "end_ms", "_p_clean": "text_clean"})
-    start, end, raw = F.col("start_ms"), F.col("end_ms"), F.col("text_raw")
+    near = tl.scan(_measured(segments), line, previous={"_p_end": "end_ms", "_p_clean": "m_clean"})
+    start, end = F.col("start_ms"), F.col("end_ms")
     return near.withColumns({
-        "is_empty": tx.strip(raw) == "", "is_invalid": (start < 0) | (end < start),
+        "is_empty": F.col("m_empty"), "is_invalid": (start < 0) | (end < start),
         "is_timed": start.isNotNull() & end.isNotNull(), "is_overlap": F.coalesce(start < F.col("_p_end"), F.lit(False)),
-        "is_duplicate": F.coalesce((F.col("text_clean") != "") & (F.col("text_clean") == F.col("_p_clean")), F.lit(False)),
-        "is_long": (F.length(raw) > long_chars) | (end - start > long_ms), "is_garbled": tx.is_garbled(raw),
-        "chars": F.length(F.regexp_replace(raw, tx.WHITESPACE + "+", "")).cast("long")}).drop("_p_end", "_p_clean")
+        "is_duplicate": F.coalesce(F.col("m_clean") == F.col("_p_clean"), F.lit(False)),
+        "is_long": F.col("m_long") | (end - start > long_ms), "is_garbled": F.col("m_garbled"), "chars": F.col("m_chars")}).drop("_p_end", "_p_clean")
 
 
 ISSUES = ("empty", "invalid", "overlap", "duplicate", "long", "garbled")
@@ -53,11 +71,13 @@ def transcript_quality_report(segments: DataFrame, line: tl.Timeline, time_line:
         F.count(F.lit(1)).alias("segment_count"), F.max("end_ms").alias("_last"), F.sum("chars").alias("character_count"),
         F.max("is_timed").alias("_timed"), *[F.count(F.when(F.col(f"is_{i}"), 1)).alias(f"{i}_count") for i in ISSUES])
     base = base.withColumns({f"{i}_count": F.when(F.col("_timed"), F.col(f"{i}_count")).otherwise(0) for i in ISSUES if i != "garbled"})
-    base = (base.join(media, part, "left") if media is not None else base.withColumn("duration", F.lit(None).cast("long")))
+    base = (tl.join_parts(base, media, part, "left") if media is not None else base.withColumn("duration", F.lit(None).cast("long")))
     base = base.withColumn("duration", F.coalesce("duration", F.when(F.col("_timed"), F.greatest("_last", F.lit(0)))))
-    limited = segments.join(base.select(*part, F.col("duration").alias("_limit")), part) if media is not None else segments.withColumn("_limit", F.col("end_ms"))
-    covered = tl.interval_union_length(limited, time_line, "start_ms", "end_ms", F.lit(0), F.col("_limit"))
-    out = base.join(covered, part, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    times = segments.select(*dict.fromkeys([*part, *time_line.order, time_line.block_on, "start_ms", "end_ms"]))
+    limit = F.col("_limit") if media is not None else F.col("end_ms")
+    limited = tl.join_parts(times, media.select(*part, F.col("duration").alias("_limit")), part, "left") if media is not None else times
+    covered = tl.interval_union_length(limited, time_line, "start_ms", "end_ms", F.lit(0), limit)
+    out = tl.join_parts(base, covered, part, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     share = F.when(F.col("_timed"), F.try_divide(F.col("covered").cast("double"), F.col("duration").cast("double")))
     per_minute = F.when(F.col("_timed"), F.try_divide(F.col("character_count") * 60000.0, F.col("duration").cast("double")))
     sparse = F.col("_timed") & (F.col("duration") >= 1_800_000) & ((share < 0.2) | (F.coalesce(per_minute, F.lit(0.0)) < 20))
@@ -84,57 +104,90 @@ def cue_totals(segments: DataFrame, text: str = "text_raw", cues: Sequence[str]
 
 def asr_quality_report(segments: DataFrame, line: tl.Timeline, time_line: tl.Timeline, runs: DataFrame, cues: Sequence[str] = tx.FORMULA_CUES,
                        gap_minimum: int = 2000, minute: int = 60_000, density: int = 20) -> DataFrame:
-    """A2: A1 plus gaps, sparse minutes, term counts and real-time factor. ``runs``: part, duration, elapsed_ms."""
+    """A2: A1 plus gaps, sparse minutes, term counts and real-time factor. ``runs``: part, duration, elapsed_ms.
+
+    Texts are measured first (or come measured, see ``text_measures``); keys, times and numbers are staged once, and every part of the report reads these.
+    """
+    from reelscribe.session import stage_table
+
     part = list(line.part)
     durations = runs.select(*part, "duration")
-    base = transcript_quality_report(segments, line, time_line, durations)
-    longest = sq.max_gap(segments, time_line, "start_ms", "end_ms", durations)
-    gaps = sq.gap_list(segments, time_line, "start_ms", "end_ms", durations, gap_minimum).groupBy(*part).agg(F.count(F.lit(1)).alias("gap_count"))
-    sparse = sq.low_density_buckets(segments, durations, part[0], "start_ms", "end_ms", F.length(F.replace("text_raw", F.lit(" "), F.lit(""))),
-                                    minute, density).groupBy(*part).agg(F.count(F.lit(1)).alias("sparse_minutes"))
-    terms = term_candidates(segments, "text_raw", cues).groupBy(*part).agg(
-        F.count(F.lit(1)).alias("candidate_count"), F.count(F.when(F.size("latin") > 0, 1)).alias("mixed_language_count"),
-        F.count(F.when(F.size("symbols") >= 2, 1)).alias("symbol_dense_count"))
-    totals = segments.groupBy(*part).agg(F.sum(sum((tx.count_of(F.col("text_raw"), F.lit(c)) for c in cues), F.lit(0))).alias("cue_total"))
+    measured = _measured(segments, cues)
+    kept = dict.fromkeys([*part, *line.order, line.block_on, *time_line.order, time_line.block_on, "start_ms", "end_ms", *[c for c in measured.columns if c.startswith("m_")]])
+    rows, time_line = tl.split_hot_blocks(stage_table(measured.select(*kept)), time_line)
+    base = transcript_quality_report(rows, line, time_line, durations)
+    reach = tl.scan(rows.select(*dict.fromkeys([*part, *time_line.order, time_line.block_on, "start_ms", "end_ms"])), time_line, max_before={"_reach": "end_ms"})
+    begin = F.greatest(F.lit(0), F.coalesce("_reach", F.lit(0)))
+    gap = F.greatest(F.lit(0), F.col("start_ms") - begin)
+    inner = reach.groupBy(*part).agg(F.max(gap).alias("_gap"), F.count(F.when(F.col("start_ms") - begin >= gap_minimum, 1)).alias("_gaps"), F.max("end_ms").alias("_last"))
+    sparse = sq.low_density_buckets(rows, durations, part[0], "start_ms", "end_ms", F.col("m_dense"), minute, density).groupBy(*part).agg(F.count(F.lit(1)).alias("sparse_minutes"))
+    latin, symbols = F.col("m_latin"), F.col("m_symbols")
+    terms = rows.groupBy(*part).agg(
+        F.count(F.when(latin | (symbols > 0) | (F.col("m_cues") > 0), 1)).alias("candidate_count"), F.count(F.when(latin, 1)).alias("mixed_language_count"),
+        F.count(F.when(symbols >= 2, 1)).alias("symbol_dense_count"), F.sum("m_cues").alias("cue_total"))
     out = base
-    for other in (longest, gaps, sparse, terms, totals, runs.select(*part, "elapsed_ms")):
-        out = out.join(other, part, "left")
-    filled = {c: F.coalesce(c, F.lit(0)) for c in ("gap_count", "sparse_minutes", "candidate_count", "mixed_language_count", "symbol_dense_count", "cue_total")}
+    for other in (inner, sparse, terms, runs.select(*part, "elapsed_ms")):
+        out = tl.join_parts(out, other, part, "left")
+    tail = F.col("duration") - F.greatest(F.lit(0), F.coalesce("_last", F.lit(0)))
+    out = out.withColumns({"max_gap": F.greatest(F.coalesce("_gap", F.lit(0)), tail), "gap_count": F.coalesce("_gaps", F.lit(0)) + F.when(tail >= gap_minimum, 1).otherwise(0)}).drop("_gap", "_gaps", "_last")
+    filled = {c: F.coalesce(c, F.lit(0)) for c in ("sparse_minutes", "candidate_count", "mixed_language_count", "symbol_dense_count", "cue_total")}
     return out.withColumns(filled).withColumn("real_time_factor", ratio(F.col("elapsed_ms"), F.col("duration")))
 
 
-def paragraph_quality_report(paragraphs: DataFrame, line: tl.Timeline) -> DataFrame:
-    """A4: counts, durations, lengths, order, gaps, links and the raw-differs flag per part.
+def paragraph_quality_report(paragraphs: DataFrame, line: tl.Timeline, segments: DataFrame, members: DataFrame) -> DataFrame:
+    """A4: counts, durations, lengths, order, gaps, segments, links and the raw-differs flag per part.
 
-    Paragraphs carry start_ms, end_ms, text_raw, text_clean and the counts corrections, frames, evidence, sources.
+    Paragraphs carry paragraph_id, start_ms, end_ms, text_raw and text_clean. ``segments``: (part, segment_id) of all segments. ``members``: child
+    rows (part, paragraph_id, kind, ref_id) of kinds segment, correction, frame and evidence. A segment in no paragraph is missing, each further
+    place of one a duplicate.
     """
-    near = tl.scan(paragraphs, line, previous={"_p_end": "end_ms", "_p_start": "start_ms"})
+    part = list(line.part)
+    owner = [*part, "paragraph_id"]
+    counted = members.groupBy(*owner).agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"_{k}") for k in ("segment", "correction", "frame", "evidence")])
+    narrow = paragraphs.select(*dict.fromkeys([*owner, *line.order, line.block_on, "start_ms", "end_ms"]), F.length("text_clean").alias("_chars"), (F.col("text_raw") != F.col("text_clean")).alias("_differs"))
+    near = tl.scan(tl.join_parts(narrow, counted, owner, "left"), line, previous={"_p_end": "end_ms", "_p_start": "start_ms"})
     length = F.col("end_ms") - F.col("start_ms")
-    return near.groupBy(*line.part).agg(
+    report = near.groupBy(*part).agg(
         F.count(F.lit(1)).alias("paragraph_count"), F.sum(length).alias("total_ms"), F.min(length).alias("shortest_ms"), F.max(length).alias("longest_ms"),
-        F.round(F.sum(length) / F.count(F.lit(1)), 3).alias("mean_ms"), F.round(F.sum(F.length("text_clean")) / F.count(F.lit(1)), 3).alias("mean_chars"),
+        F.round(F.sum(length) / F.count(F.lit(1)), 3).alias("mean_ms"), F.round(F.sum("_chars") / F.count(F.lit(1)), 3).alias("mean_chars"),
         *[F.count(F.when(length > n * 1000, 1)).alias(f"over_{n}_seconds") for n in (75, 90, 120)],
-        F.count(F.when(F.col("sources") == 0, 1)).alias("without_source"),
+        F.count(F.when(F.coalesce("_segment", F.lit(0)) == 0, 1)).alias("without_source"),
         F.count(F.when(F.col("end_ms") <= F.col("start_ms"), 1)).alias("invalid_time_count"),
         F.count(F.when(F.col("start_ms") < F.col("_p_start"), 1)).alias("reverse_order_count"),
         F.coalesce(F.max(F.greatest(F.lit(0), F.col("start_ms") - F.col("_p_end"))), F.lit(0)).alias("max_gap"),
-        *[F.count(F.when(F.col(c) > 0, 1)).alias(f"with_{c}") for c in ("corrections", "frames", "evidence")],
-        F.max(F.col("text_raw") != F.col("text_clean")).alias("cleaning_changed_text"))
+        *[F.count(F.when(F.col(f"_{k}") > 0, 1)).alias(f"with_{k}s" if k != "evidence" else "with_evidence") for k in ("correction", "frame", "evidence")],
+        F.max("_differs").alias("cleaning_changed_text"))
+    # One aggregate over both sides: known segments, and places of them in paragraphs.
+    known = segments.select(*part, F.col("segment_id").cast("string").alias("_id"), F.lit(1).alias("_known"), F.lit(0).alias("_places"))
+    placed = members.filter("kind = 'segment'").select(*part, F.col("ref_id").alias("_id"), F.lit(0).alias("_known"), F.lit(1).alias("_places"))
+    each = known.unionByName(placed).groupBy(*part, "_id").agg(F.max("_known").alias("_known"), F.sum("_places").alias("_places"))
+    covered = each.groupBy(*part).agg(
+        F.sum("_known").alias("source_segment_count"), F.count(F.when((F.col("_known") == 1) & (F.col("_places") == 0), 1)).alias("missing_segment_count"),
+        F.sum(F.greatest(F.col("_places") - 1, F.lit(0))).alias("duplicate_segment_count"))
+    return tl.join_parts(report, covered, part, "left")
 
 
 def frame_coverage_report(frames: DataFrame, line: tl.Timeline, ranges: DataFrame, job: str, at: str, reasons: Sequence[str],
-                          candidates: DataFrame, limit: int) -> DataFrame:
-    """Per job: candidate and final counts, reason counts, frames per minute, longest gap, budget drops."""
-    counts = frames.groupBy(job).agg(F.count(F.lit(1)).alias("final_count"),
+                          stages: dict[str, DataFrame], limit: int) -> DataFrame:
+    """Per job: rows of every stage and final frames, reason counts, frames per minute, longest gap, budget drops.
+
+    ``stages``: the tables that led to ``frames`` by the name of their count, among them ``merged`` (before the candidate budget)
+    and ``post_dedup`` (before the final one); all are counted in one aggregate.
+    """
+    tagged = frames.select(job, F.lit("final").alias("_stage"), "reasons")
+    for name, rows in stages.items():
+        tagged = tagged.unionByName(rows.select(job, F.lit(name).alias("_stage"), F.array().cast("array<string>").alias("reasons")))
+    counts = tagged.groupBy(job).agg(*[F.count(F.when(F.col("_stage") == n, 1)).alias(f"{n}_count") for n in (*stages, "final")],
                                      *[F.count(F.when(F.array_contains("reasons", r), 1)).alias(f"reason_{r}") for r in reasons])
-    merged = candidates.groupBy(job).agg(F.count(F.lit(1)).alias("merged_count"))
-    gap = sq.max_evidence_gap(frames, line, ranges, at)
-    out = ranges.join(counts, job, "left").join(merged, job, "left").join(gap, job, "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ["final_count", "merged_count", *[f"reason_{r}" for r in reasons]]}
+    rows, split = tl.split_hot_blocks(frames.select(*dict.fromkeys([*line.part, *line.order, line.block_on, at])), line)
+    gap = sq.max_evidence_gap(rows, split, ranges, at)
+    out = tl.join_parts(tl.join_parts(ranges, counts, [job], "left"), gap, [job], "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in [*[f"{n}_count" for n in (*stages, "final")], *[f"reason_{r}" for r in reasons]]}
     length = F.col("range_end") - F.col("range_start")
     minutes = F.greatest(length / 60_000.0, F.lit(1 / 60))
     return out.withColumns(zero).withColumns({"frames_per_minute": F.round(F.col("final_count") / minutes, 6),
-                                              "candidate_dropped": F.greatest(F.lit(0), F.col("merged_count") - limit)})
+                                              "candidate_dropped": F.greatest(F.lit(0), F.col("merged_count") - limit),
+                                              "final_dropped": F.greatest(F.lit(0), F.col("post_dedup_count") - F.col("final_count"))})
 
 
 def cue_coverage(matched: DataFrame, selected: DataFrame, job: str, segment: str) -> DataFrame:
@@ -148,9 +201,10 @@ def cue_coverage(matched: DataFrame, selected: DataFrame, job: str, segment: str
 
 def evidence_coverage(frames: DataFrame, line: tl.Timeline, ranges: DataFrame, job: str, at: str, radius: int) -> DataFrame:
     """Union of the windows around the frames, clipped to the range, and its share of the range."""
-    rows = frames.join(ranges, job).withColumn("_a", F.col(at) - radius).withColumn("_b", F.col(at) + radius)
+    narrow, line = tl.split_hot_blocks(frames.select(*dict.fromkeys([job, *line.part, *line.order, line.block_on, at])), line)
+    rows = tl.join_parts(narrow, ranges, [job]).withColumn("_a", F.col(at) - radius).withColumn("_b", F.col(at) + radius)
     covered = tl.interval_union_length(rows, line, "_a", "_b", F.col("range_start"), F.col("range_end"))
-    return ranges.join(covered, job, "left").withColumn("covered", F.coalesce("covered", F.lit(0))).withColumn(
+    return tl.join_parts(ranges, covered, [job], "left").withColumn("covered", F.coalesce("covered", F.lit(0))).withColumn(
         "visual_ratio", ratio(F.col("covered"), F.col("range_end") - F.col("range_start"))).withColumn("joint_ratio", F.col("visual_ratio"))
 
 
@@ -179,11 +233,11 @@ def reconcile_terms(candidates: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def merge_glossary(terms: DataFrame, definitions: DataFrame, corrections: DataFrame, starts: DataFrame) -> DataFrame:
-    """One entry per case-folded term: first spelling and confidence, last definition, united aliases, number of segments.
+    """One entry per case-folded term: first spelling and confidence, last definition, united aliases, numbers of segments and frames.
 
-    The segments behind the number are child rows: the distinct (key, segment) pairs of ``terms``.
+    The segments and frames behind the numbers are child rows, see ``glossary_members``.
 
-    terms: ord, term, confidence, aliases, transcript_ids. definitions: ord (unique), term, definition.
+    terms: ord, term, confidence, aliases, transcript_ids, frame_ids. definitions: ord (unique), term, definition.
     corrections: original_text, suggested_text, applied. starts: segment_id, paragraph_start.
     """
     # Numbers are reduced before texts are picked, and aliases and segments are made distinct before they are listed or counted:
@@ -191,21 +245,40 @@ def merge_glossary(terms: DataFrame, definitions: DataFrame, corrections: DataFr
     spelled = terms.groupBy("term", "confidence", "aliases").agg(F.min("ord").alias("ord")).withColumn("key", tx.casefold(F.col("term")))
     heads = spelled.groupBy("key").agg(F.min_by(F.struct("term", "confidence"), "ord").alias("_h"))
     names = spelled.select("key", F.explode("aliases").alias("alias")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
-    cited = terms.select("term", F.explode_outer("transcript_ids").alias("segment_id")).groupBy("term", "segment_id").agg(F.lit(1).alias("_one"))
-    once = cited.groupBy(tx.casefold(F.col("term")).alias("key"), "segment_id").agg(F.lit(1).alias("_one"))
-    seen = once.join(starts, "segment_id", "left").groupBy("key").agg(F.count("segment_id").alias("evidence_count"), F.min("paragraph_start").alias("_start"))
-    grouped = heads.join(names, "key", "left").join(seen, "key", "left")
+    cited = glossary_links(terms)
+    timed = cited.filter("kind = 'segment'").join(starts.withColumnRenamed("segment_id", "ref"), "ref", "left").select("key", "kind", F.lit(1).alias("_n"), "paragraph_start")
+    shown = cited.filter("kind = 'frame'").select("key", "kind", F.lit(1).alias("_n"), F.lit(None).cast(starts.schema["paragraph_start"].dataType).alias("paragraph_start"))
+    seen = timed.unionByName(shown).groupBy("key").agg(
+        F.count(F.when(F.col("kind") == "segment", 1)).alias("evidence_count"), F.count(F.when(F.col("kind") == "frame", 1)).alias("frame_count"), F.min("paragraph_start").alias("_start"))
     last = definitions.groupBy("term").agg(F.max("ord").alias("ord")).groupBy(tx.casefold(F.col("term")).alias("key")).agg(F.max("ord").alias("ord"))
     meaning = definitions.select("ord", "definition").join(last, "ord").groupBy("key").agg(F.min("definition").alias("definition"))
     wrong = corrections.filter("applied").select(tx.casefold(F.col("suggested_text")).alias("key"), "original_text").distinct().groupBy("key").agg(
         F.array_sort(F.collect_list("original_text")).alias("incorrect"))
     none = F.array().cast("array<string>")
-    out = grouped.join(meaning, "key", "left").join(wrong, "key", "left")
+    out = heads.join(names, "key", "left").join(seen, "key", "left").join(meaning, "key", "left").join(wrong, "key", "left")
     english = F.when(F.col("_h.term").rlike(r"^[\x00-\x7f]*$"), F.col("_h.term"))
     return out.select("key", F.col("_h.term").alias("term"), F.col("_h.confidence").alias("confidence"), english.alias("english"),
                       F.coalesce("aliases", none).alias("aliases"), F.coalesce("incorrect", none).alias("incorrect"),
                       F.coalesce("definition", F.lit("")).alias("definition"), F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"),
-                      F.coalesce("_start", F.lit(0)).alias("first_start"))
+                      F.coalesce("frame_count", F.lit(0)).alias("frame_count"), F.coalesce("_start", F.lit(0)).alias("first_start"))
+
+
+def glossary_links(terms: DataFrame) -> DataFrame:
+    """The distinct (key, kind, ref) that the terms cite, segments and frames in one pass."""
+    def tagged(column: str, kind: str) -> Column:
+        return F.transform(F.coalesce(column, F.array().cast(terms.schema[column].dataType)), lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("ref")))
+
+    refs = F.concat(tagged("transcript_ids", "segment"), tagged("frame_ids", "frame"))
+    return terms.select(tx.casefold(F.col("term")).alias("key"), F.explode(refs).alias("_r")).select("key", "_r.kind", "_r.ref").distinct()
+
+
+def glossary_members(terms: DataFrame) -> DataFrame:
+    """(key, kind, position, ref_id): the segments and frames of every term as child rows in order of their (integer) ids."""
+    from reelscribe.operators.evidence import ordered_members
+
+    cited = glossary_links(terms)
+    segments, frames = (ordered_members(cited.filter(F.col("kind") == k), ["key"], k, "ref", "ref") for k in ("segment", "frame"))
+    return segments.unionByName(frames)
 
 
 def merge_term_runs(terms: DataFrame) -> DataFrame:

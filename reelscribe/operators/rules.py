@@ -61,12 +61,18 @@ def rules_sections(sections: DataFrame) -> DataFrame:
         "no_evidence": F.size("evidence_ids") == 0})
 
 
+def _cited(rows: DataFrame, listed: str, kind: str) -> Column:
+    """How many ids a row cites: the length of its list, or the count of its child rows (``<kind>_count``)."""
+    return F.size(listed) if listed in rows.columns else F.col(f"{kind}_count")
+
+
 def rules_corrections(corrections: DataFrame) -> DataFrame:
-    """V3."""
+    """V3. Evidence as lists, or as counts of child rows (segment_count, frame_count)."""
     accepted = F.col("decision") == "accepted"
+    spoken, seen = _cited(corrections, "transcript_evidence", "segment"), _cited(corrections, "visual_evidence", "frame")
     return violations(corrections, "corrections", "correction_id", {
         "end_before_start": F.col("end_ms") < F.col("start_ms"), "applied_not_accepted": F.col("applied") != accepted,
-        "accepted_without_evidence": accepted & ((F.size("transcript_evidence") == 0) | (F.size("visual_evidence") == 0) | (F.col("confidence") != "high"))})
+        "accepted_without_evidence": accepted & ((spoken == 0) | (seen == 0) | (F.col("confidence") != "high"))})
 
 
 def rules_correction_audits(audits: DataFrame) -> DataFrame:
@@ -78,13 +84,13 @@ def rules_correction_audits(audits: DataFrame) -> DataFrame:
 
 
 def rules_evidence(evidence: DataFrame) -> DataFrame:
-    """V4."""
-    speech, slide = F.size("transcript_ids") > 0, F.size("frame_ids") > 0
+    """V4. Sources as lists, or as counts of child rows (segment_count, frame_count, formula_count)."""
+    speech, slide = _cited(evidence, "transcript_ids", "segment") > 0, _cited(evidence, "frame_ids", "frame") > 0
     kind = F.col("evidence_type")
     return violations(evidence, "evidence", "evidence_id", {
         "end_before_start": F.col("end_ms") < F.col("start_ms"), "no_source": ~speech & ~slide,
         "speech_without_transcript": kind.startswith("speech") & ~speech, "slide_without_frame": F.contains(kind, F.lit("slide")) & ~slide,
-        "formula_without_formula": F.contains(kind, F.lit("formula")) & (F.size("formula_ids") == 0)})
+        "formula_without_formula": F.contains(kind, F.lit("formula")) & (_cited(evidence, "formula_ids", "formula") == 0)})
 
 
 def rules_formulas(formulas: DataFrame) -> DataFrame:

@@ -18,17 +18,17 @@ def assign_stable_ids(df: DataFrame, line: tl.Timeline, part_order: str, prefix:
     Counts are combined per (part, block), then per part, then per range of parts; only that last,
     tiny level is one ordered list.
     """
-    rows = df.withColumn(tl.BLOCK, line.block)
-    blocks = rows.groupBy(part_order, *line.keys).agg(F.count(F.lit(1)).alias("_n"))
-    parts = blocks.groupBy(part_order, *line.part).agg(F.sum("_n").alias("_n"))
-    ordered = tl.Timeline((), (part_order,), part_order, tl.ROWS_PER_BLOCK)
-    offsets = tl.scan(parts, ordered, sum_before={"_part_base": "_n"}).select(*line.part, "_part_base")
-    chain = Window.partitionBy(*line.part).orderBy(tl.BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    rows, part, keys = tl.keyed(df, line)
+    blocks = rows.groupBy(part_order, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    parts = blocks.groupBy(part_order, *part).agg(F.sum("_n").alias("_n"))
+    ordered = tl.Timeline((), (part_order, *part), part_order, tl.ROWS_PER_BLOCK)
+    offsets = tl.scan(parts, ordered, sum_before={"_part_base": "_n"}).select(*part, "_part_base")
+    chain = Window.partitionBy(*part).orderBy(tl.BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     base = (blocks.withColumn("_block_base", F.coalesce(F.sum("_n").over(chain), F.lit(0)))
-            .join(offsets, list(line.part))
-            .select(*line.keys, (F.col("_part_base") + F.col("_block_base")).alias("_base")))
-    local = Window.partitionBy(*line.keys).orderBy(*line.order)
-    numbered = rows.withColumn("_k", F.row_number().over(local)).join(base, line.keys)
+            .join(offsets, part)
+            .select(*keys, (F.col("_part_base") + F.col("_block_base")).alias("_base")))
+    local = Window.partitionBy(*keys).orderBy(*line.order)
+    numbered = rows.withColumn("_k", F.row_number().over(local)).join(base, keys)
     return numbered.select(*df.columns, vx.numbered(prefix, F.col("_base") + F.col("_k") + (first - 1), width).alias(name))
 
 
@@ -44,7 +44,7 @@ def collapse_adjacent_duplicates(df: DataFrame, line: tl.Timeline, text: str = "
     other = F.col("_prior").isNull() | (F.col("_prior") != F.col("_digest"))
     threshold = F.when(other, F.lit(int(tl.ALWAYS))).otherwise(F.col(start) - gap)
     kept = tl.carried_groups(prior, line, threshold, F.col(end), "_kept").filter("_kept").select(*place)
-    return df.join(kept, place, "left_semi")
+    return tl.join_parts(df, kept, place, "left_semi")
 
 
 def report_overlaps(df: DataFrame, line: tl.Timeline, ident: str, start: str, end: str) -> DataFrame:
@@ -64,7 +64,7 @@ def gap_list(df: DataFrame, line: tl.Timeline, start: str, end: str, durations:
     """Uncovered stretches of at least ``minimum`` from 0 to the part's ``duration``; ordered by start."""
     reach = tl.scan(df, line, max_before={"_reach": end}).withColumn("_reach", F.greatest(F.lit(0), F.coalesce("_reach", F.lit(0))))
     inner = reach.select(*line.part, F.col("_reach").alias("gap_start"), F.col(start).alias("gap_end"))
-    tail = durations.join(df.groupBy(*line.part).agg(F.max(end).alias("_last")), list(line.part), "left").select(
+    tail = tl.join_parts(durations, df.groupBy(*line.part).agg(F.max(end).alias("_last")), line.part, "left").select(
         *line.part, F.greatest(F.coalesce("_last", F.lit(0)), F.lit(0)).alias("gap_start"), F.col("duration").alias("gap_end"))
     return inner.unionByName(tail).filter(F.col("gap_end") - F.col("gap_start") >= minimum)
 
@@ -75,7 +75,7 @@ def max_gap(df: DataFrame, line: tl.Timeline, start: str, end: str, durations: D
     inner = reach.groupBy(*line.part).agg(
         F.max(F.greatest(F.lit(0), F.col(start) - F.greatest(F.lit(0), F.coalesce("_reach", F.lit(0))))).alias("_inner"),
         F.max(end).alias("_last"))
-    return durations.join(inner, list(line.part), "left").select(
+    return tl.join_parts(durations, inner, line.part, "left").select(
         *line.part, F.greatest(F.coalesce("_inner", F.lit(0)),
                                F.col("duration") - F.greatest(F.lit(0), F.coalesce("_last", F.lit(0)))).alias("max_gap"))
 
@@ -128,23 +128,40 @@ def fixed_chunks(ranges: DataFrame, start: str, end: str, width: int, tolerance:
     return rows.withColumn("chunk_start", left).withColumn("chunk_end", F.least(F.col(end), left + width))
 
 
+def _in_buckets(frames: DataFrame, ranges: DataFrame, on: str, at: str, width: int) -> DataFrame:
+    last = F.ceil((F.col("range_end") - F.col("range_start")) / width).cast("long") - 1
+    inside = tl.join_parts(frames, ranges, [on]).filter((F.col(at) >= F.col("range_start")) & (F.col(at) <= F.col("range_end")))
+    return inside.withColumn("bucket", F.least(F.floor((F.col(at) - F.col("range_start")) / width).cast("long"), last))
+
+
 def evidence_buckets(frames: DataFrame, ranges: DataFrame, on: str, at: str, width: int) -> DataFrame:
-    """Per bucket of the range how many frames fall into it; the last bucket is closed on the right."""
+    """Per bucket of the range how many frames fall into it; the last bucket is closed on the right.
+
+    ``bucket_frames`` numbers the frames; those of a bucket are ``frame_count`` numbers from ``first_position`` on.
+    """
     calendar = bucket_calendar(ranges, "range_start", "range_end", width)
-    last = F.ceil((F.col("range_end") - F.col("range_start")) / width).cast("long") - 1
-    inside = frames.join(ranges, on).filter((F.col(at) >= F.col("range_start")) & (F.col(at) <= F.col("range_end")))
-    counted = inside.groupBy(on, F.least(F.floor((F.col(at) - F.col("range_start")) / width).cast("long"), last).alias("bucket")
-                             ).agg(F.count(F.lit(1)).alias("frame_count"))
-    return calendar.join(counted, [on, "bucket"], "left").select(
-        on, "bucket", "bucket_start", "bucket_end", F.coalesce("frame_count", F.lit(0)).alias("frame_count"),
-        (F.coalesce("frame_count", F.lit(0)) > 0).alias("has_evidence"))
+    counted = _in_buckets(frames, ranges, on, at, width).groupBy(on, "bucket").agg(F.count(F.lit(1)).alias("frame_count"))
+    listed = calendar.select(on, "bucket").withColumn("frame_count", F.lit(0).cast("long"))
+    both = listed.unionByName(counted).groupBy(on, "bucket").agg(F.sum("frame_count").alias("frame_count"))
+    line = tl.Timeline((on,), ("bucket",), "bucket", tl.ROWS_PER_BLOCK)
+    placed = tl.scan(both, line, sum_before={"_before": "frame_count"})
+    return tl.join_parts(calendar, placed, [on, "bucket"]).select(
+        on, "bucket", "bucket_start", "bucket_end", "frame_count", (F.col("frame_count") > 0).alias("has_evidence"),
+        F.when(F.col("frame_count") > 0, F.col("_before") + 1).alias("first_position"))
+
+
+def bucket_frames(frames: DataFrame, line: tl.Timeline, ranges: DataFrame, at: str, ident: str, width: int) -> DataFrame:
+    """(part, bucket, position, frame): the frames inside the ranges, numbered along ``line``, with their buckets."""
+    on = line.part[0]
+    placed = _in_buckets(frames, ranges, on, at, width)
+    return tl.scan(placed, line, row_number="position").select(on, "bucket", "position", ident)
 
 
 def max_evidence_gap(frames: DataFrame, line: tl.Timeline, ranges: DataFrame, at: str) -> DataFrame:
     """Longest stretch without a frame, both range ends included."""
     near = tl.scan(frames, line, previous={"_prior": at})
     gaps = near.groupBy(*line.part).agg(F.max(F.col(at) - F.col("_prior")).alias("_g"), F.min(at).alias("_a"), F.max(at).alias("_z"))
-    return ranges.join(gaps, list(line.part), "left").select(
+    return tl.join_parts(ranges, gaps, line.part, "left").select(
         *line.part, F.coalesce(F.greatest(F.col("_g"), F.col("_a") - F.col("range_start"), F.col("range_end") - F.col("_z")),
                                F.col("range_end") - F.col("range_start")).alias("max_gap"))
 
@@ -153,10 +170,12 @@ def low_density_buckets(segments: DataFrame, durations: DataFrame, part: str, st
                         width: int, minimum: int) -> DataFrame:
     """A3: buckets whose overlapping rows carry less than ``minimum``; a row counts in full in each bucket."""
     calendar = bucket_calendar(durations.withColumn("_zero", F.lit(0).cast("long")), "_zero", "duration", width)
-    first = F.floor(F.col(start) / width)
-    last = F.ceil(F.col(end) / width) - 1
-    touched = segments.withColumn("_w", weight).withColumn("_a", first.cast("long")).withColumn("_z", last.cast("long")).filter(
-        (F.col("_z") >= F.col("_a")) & (F.col(end) > 0)).withColumn("bucket", F.explode(F.sequence("_a", "_z")))
-    totals = touched.groupBy(part, "bucket").agg(F.sum("_w").alias("_total"))
-    return calendar.join(totals, [part, "bucket"], "left").select(
-        part, "bucket", F.coalesce("_total", F.lit(0)).alias("total")).filter(F.col("total") < minimum)
+    first = F.floor(F.col(start) / width).cast("long")
+    after = F.greatest(F.ceil(F.col(end) / width).cast("long"), first)  # an empty or inverted row adds and takes away at one place
+    # A row adds its weight at its first bucket and takes it away after its last one, however long it is; sums of these combine in the tasks.
+    marks = segments.filter((F.col(end) > 0) & F.col(start).isNotNull()).select(part, F.explode(F.array(F.struct(first.alias("bucket"), weight.alias("w")), F.struct(after.alias("bucket"), (-weight).alias("w")))).alias("_m"))
+    steps = marks.groupBy(part, F.col("_m.bucket").alias("bucket")).agg(F.sum("_m.w").alias("_w"), F.lit(False).alias("_asked"))
+    asked = calendar.select(part, "bucket", F.lit(0).cast(steps.schema["_w"].dataType).alias("_w"), F.lit(True).alias("_asked"))
+    line = tl.Timeline((part,), ("bucket", "_asked"), "bucket", tl.ROWS_PER_BLOCK)
+    totals = tl.scan(steps.unionByName(asked), line, sum_upto={"total": "_w"}).filter("_asked")
+    return totals.select(part, "bucket", "total").filter(F.col("total") < minimum)

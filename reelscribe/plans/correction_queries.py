@@ -12,6 +12,7 @@ from reelscribe.operators import reports as rp
 from reelscribe.plans import views as v
 from reelscribe.plans.registry import query
 from reelscribe.plans.text_queries import sql_replace_word
+from reelscribe.session import stage_table
 
 
 def doc_paragraphs(spark, sf):
@@ -24,18 +25,18 @@ def doc_paragraphs(spark, sf):
 
 def suggestions(spark, sf):
     t = v.terms(spark, sf)
-    original = F.when(F.col("item_id") % 5 == 0, F.concat(F.split("original", " ")[0], F.lit(" / "), F.col("original"))).otherwise(F.col("original"))
-    suggested = F.when(F.col("item_id") % 10 == 0, F.concat(F.upper(F.split("original", " ")[0]), F.lit("/"), F.col("suggested"))).otherwise(F.col("suggested"))
-    return t.select(F.col("item_id").alias("suggestion_no"), original.alias("original"), suggested.alias("suggested"), "confidence", "decision")
+    original = F.when(F.col("n") % 5 == 0, F.concat(F.split("original", " ")[0], F.lit(" / "), F.col("original"))).otherwise(F.col("original"))
+    suggested = F.when(F.col("n") % 10 == 0, F.concat(F.upper(F.split("original", " ")[0]), F.lit("/"), F.col("suggested"))).otherwise(F.col("suggested"))
+    return t.select(F.col("term_no").alias("suggestion_no"), original.alias("original"), suggested.alias("suggested"), "confidence", "decision")
 
 
 def cited(spark, sf):
-    """Each suggestion cites the documents sharing its source line: ids congruent to it, and one frame for two of three."""
-    d = v.docs(spark, sf)
+    """The suggestions of a benchmark text cite the documents whose ids are congruent to its own, and two of three cite a known frame."""
+    d, t = v.docs(spark, sf), v.terms(spark, sf)
     n = v.read(spark, sf, "benchmark").agg(F.max("item_id") + 1).scalar()
-    segs = d.select((F.col("doc_id") % n).alias("suggestion_no"), F.format_string("T%06d", F.col("doc_id")).alias("segment_id"))
-    frames = v.terms(spark, sf).select(F.col("item_id").alias("suggestion_no"), F.concat(F.lit("F"), (F.col("item_id") % 3).cast("string")).alias("frame_id"))
-    return segs.unionByName(frames, allowMissingColumns=True)
+    segs = d.select((F.col("doc_id") % n).alias("item_id"), F.format_string("T%06d", F.col("doc_id")).alias("segment_id")).join(t.select("item_id", "term_no"), "item_id")
+    frames = t.select(F.col("term_no").alias("suggestion_no"), F.concat(F.lit("F"), (F.col("n") % 3).cast("string")).alias("frame_id"))
+    return segs.select(F.col("term_no").alias("suggestion_no"), "segment_id").unionByName(frames, allowMissingColumns=True)
 
 
 def known_frames(spark, sf):
@@ -51,15 +52,16 @@ def _found(text, term):
 
 
 PROPOSE_SQL = v.TERM_SQL + f""",
-sg AS (SELECT item_id AS suggestion_no, CASE WHEN item_id % 5 = 0 THEN split_part(original, ' ', 1) || ' / ' || original ELSE original END AS original,
-  CASE WHEN item_id % 10 = 0 THEN upper(split_part(original, ' ', 1)) || '/' || suggested ELSE suggested END AS suggested, confidence, decision FROM tm),
+sg AS (SELECT term_no AS suggestion_no, item_id, n, CASE WHEN n % 5 = 0 THEN split_part(original, ' ', 1) || ' / ' || original ELSE original END AS original,
+  CASE WHEN n % 10 = 0 THEN upper(replace(split_part(original, ' ', 1), 'ß', 'ss')) || '/' || suggested ELSE suggested END AS suggested, confidence, decision FROM tm),
 al AS (SELECT *, string_split(original, '/') AS os, string_split(suggested, '/') AS ss FROM sg),
-ax AS (SELECT suggestion_no, confidence, decision, i - 1 AS alt_no, trim(os[i]) AS alt_original, CASE WHEN len(os) = len(ss) THEN trim(ss[i]) ELSE suggested END AS alt_suggested FROM (SELECT *, unnest(generate_series(1, len(os))) AS i FROM al)),
-dp AS (SELECT doc_id AS paragraph_no, lower(text) AS t, doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS suggestion_no FROM documents),
-mt AS (SELECT ax.*, paragraph_no, CASE WHEN {_found('t', 'alt_original')} THEN alt_original WHEN {_found('t', "replace(alt_original, ' ', '')")} THEN replace(alt_original, ' ', '') END AS original_text FROM ax JOIN dp USING (suggestion_no)),
+ax AS (SELECT suggestion_no, item_id, n, confidence, decision, i - 1 AS alt_no, trim(os[i]) AS alt_original, CASE WHEN len(os) = len(ss) THEN trim(ss[i]) ELSE suggested END AS alt_suggested FROM (SELECT *, unnest(generate_series(1, len(os))) AS i FROM al)),
+dp AS (SELECT doc_id AS paragraph_no, lower(text) AS t, doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS item_id FROM documents),
+nr AS (SELECT ax.*, paragraph_no, t FROM ax JOIN dp USING (item_id) WHERE contains(t, alt_original) OR contains(t, replace(alt_original, ' ', ''))),
+mt AS (SELECT nr.*, CASE WHEN {_found('t', 'alt_original')} THEN alt_original WHEN {_found('t', "replace(alt_original, ' ', '')")} THEN replace(alt_original, ' ', '') END AS original_text FROM nr),
 fs AS (SELECT *, row_number() OVER (PARTITION BY paragraph_no, original_text ORDER BY suggestion_no, alt_no) AS rn FROM mt WHERE original_text IS NOT NULL),
-cr AS (SELECT printf('C%06d', row_number() OVER (ORDER BY suggestion_no, alt_no, paragraph_no)) AS correction_id, paragraph_no, suggestion_no, original_text, alt_suggested AS suggested_text, confidence,
-  CASE WHEN decision = 'accepted' AND (confidence <> 'high' OR suggestion_no % 3 = 2) THEN 'pending' ELSE decision END AS decision FROM fs WHERE rn = 1)"""
+cr AS (SELECT printf('C%06d', row_number() OVER (ORDER BY suggestion_no, alt_no, paragraph_no)) AS correction_id, paragraph_no, suggestion_no, n, original_text, alt_suggested AS suggested_text, confidence,
+  CASE WHEN decision = 'accepted' AND (confidence <> 'high' OR n % 3 = 2) THEN 'pending' ELSE decision END AS decision FROM fs WHERE rn = 1)"""
 
 
 def proposed(spark, sf):
@@ -71,11 +73,24 @@ def j6(spark, sf):
     return proposed(spark, sf)[0].select("correction_id", "paragraph_no", "suggestion_no", "original_text", "suggested_text", "confidence", "decision", "applied")
 
 
-@query("j6_skipped_suggestions", f"WITH {PROPOSE_SQL} SELECT suggestion_no FROM sg WHERE NOT EXISTS (SELECT 1 FROM cr WHERE cr.suggestion_no = sg.suggestion_no AND list_contains(string_split(sg.original, '/'), cr.original_text))")
+# A correction covers the suggestions that hold its original and share a segment with its own: those of the same benchmark text.
+@query("j6_skipped_suggestions", f"""
+WITH {PROPOSE_SQL}, ci AS (SELECT DISTINCT item_id, original_text FROM cr JOIN sg USING (suggestion_no)),
+os AS (SELECT suggestion_no, item_id, unnest(string_split(original, '/')) AS original_text FROM sg)
+SELECT suggestion_no FROM sg WHERE suggestion_no NOT IN (SELECT suggestion_no FROM os JOIN ci USING (item_id, original_text)
+  WHERE EXISTS (SELECT 1 FROM cr JOIN sg s2 USING (suggestion_no) WHERE s2.item_id = os.item_id AND cr.original_text = os.original_text))""")
 def j6_skipped(spark, sf):
     return proposed(spark, sf)[1].select("suggestion_no")
 
 
+@query("j6_correction_members", f"""
+WITH {PROPOSE_SQL} SELECT correction_id, 'segment' AS kind, 1 AS position, printf('T%06d', paragraph_no) AS ref_id FROM cr
+UNION ALL SELECT correction_id, 'frame', 1, 'F' || CAST(n % 3 AS VARCHAR) FROM cr WHERE n % 3 <> 2""")
+def j6_members(spark, sf):
+    """Each document is one segment, so a correction has one segment and at most one known frame."""
+    return co.correction_members(proposed(spark, sf)[0], cited(spark, sf), doc_paragraphs(spark, sf), known_frames(spark, sf))
+
+
 def term_corrections(spark, sf):
     """One correction per document and accepted-or-pending word: ``the``, ``der``, ``que`` in turn; later ones may miss."""
     rows = (("the", "THE$1"), ("der", "DER"), ("é", "e"), ("THE", "The"))
@@ -254,24 +269,39 @@ def tokens(spark, sf):
     return d.withColumn("ord", F.col("doc_id") * 1_000_000 + F.col("pos"))
 
 
+def cited_terms(spark, sf):
+    """The tokens of each document once, with their first and last place; two of three documents show a frame. Extracted once and staged."""
+    t = tokens(spark, sf).groupBy("doc_id", "lang", "term").agg(F.min("ord").alias("ord"), F.max("ord").alias("last_ord"))
+    frames = F.when(F.col("doc_id") % 3 > 0, F.array(F.floor(F.col("doc_id") / 5).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return stage_table(t.select("doc_id", "ord", "last_ord", "term", F.col("lang").alias("confidence"), F.array("term").alias("aliases"), F.array("doc_id").alias("transcript_ids"), frames.alias("frame_ids")))
+
+
 TOKEN_SQL = "tk AS (SELECT doc_id, lang, term, doc_id * 1000000 + i - 1 AS ord FROM (SELECT doc_id, lang, unnest(l) AS term, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, lang, regexp_extract_all(text, '[A-Za-zßé]+') AS l FROM documents)))"
 
 
 @query("a13_merge_glossary", f"""
-WITH {TOKEN_SQL}, k AS (SELECT *, {v.sql_casefold('term')} AS key FROM tk),
-g AS (SELECT key, arg_min(term, ord) AS term, arg_min(lang, ord) AS confidence, array_to_string(list_sort(list_distinct(list(term))), '|') AS aliases, count(DISTINCT doc_id) AS evidence_count, min(doc_id * 10) AS first_start, arg_max(term || CAST(doc_id AS VARCHAR), ord) AS definition FROM k GROUP BY key),
-w AS (SELECT {v.sql_casefold("upper(lower(split_part(regexp_extract(text, '^([^ ]+ [^ ]+)', 1), ' ', 1)))")} AS key, array_to_string(list_sort(list_distinct(list(lower(regexp_extract(text, '^([^ ]+ [^ ]+)', 1))))), '|') AS incorrect FROM benchmark WHERE item_id % 3 = 0 AND regexp_extract(text, '^([^ ]+ [^ ]+)', 1) <> '' GROUP BY 1)
-SELECT key, term, confidence, CASE WHEN regexp_matches(term, '^[\\x00-\\x7f]*$') THEN term END AS english, aliases, coalesce(incorrect, '') AS incorrect, definition, evidence_count, first_start FROM g LEFT JOIN w USING (key)""")
+WITH {TOKEN_SQL}, {v.TERM_SQL}, k AS (SELECT *, {v.sql_casefold('term')} AS key FROM tk),
+g AS (SELECT key, arg_min(term, ord) AS term, arg_min(lang, ord) AS confidence, array_to_string(list_sort(list_distinct(list(term))), '|') AS aliases, count(DISTINCT doc_id) AS evidence_count,
+  count(DISTINCT doc_id // 5) FILTER (WHERE doc_id % 3 > 0) AS frame_count, min(doc_id * 10) AS first_start, arg_max(term || CAST(doc_id AS VARCHAR), ord) AS definition FROM k GROUP BY key),
+w AS (SELECT {v.sql_casefold("upper(split_part(original, ' ', 1))")} AS key, array_to_string(list_sort(list_distinct(list(original))), '|') AS incorrect FROM tm WHERE decision = 'accepted' GROUP BY 1)
+SELECT key, term, confidence, CASE WHEN regexp_matches(term, '^[\x00-\x7f]*$') THEN term END AS english, aliases, coalesce(incorrect, '') AS incorrect, definition, evidence_count, frame_count, first_start FROM g LEFT JOIN w USING (key)""")
 def a13(spark, sf):
-    t = tokens(spark, sf)
-    terms = t.select("ord", "term", F.col("lang").alias("confidence"), F.array("term").alias("aliases"), F.array(F.col("doc_id")).alias("transcript_ids"))
-    definitions = t.select("ord", "term", F.concat("term", F.col("doc_id").cast("string")).alias("definition"))
+    terms = cited_terms(spark, sf)
+    definitions = terms.select(F.col("last_ord").alias("ord"), "term", F.concat("term", F.col("doc_id").cast("string")).alias("definition"))
     fixes = v.terms(spark, sf).select(F.col("original").alias("original_text"), F.upper(F.split("original", " ")[0]).alias("suggested_text"), (F.col("decision") == "accepted").alias("applied"))
     starts = v.docs(spark, sf).select(F.col("doc_id").alias("segment_id"), (F.col("doc_id") * 10).alias("paragraph_start"))
     out = rp.merge_glossary(terms, definitions, fixes, starts)
     return out.withColumns({"aliases": v.listed(F.col("aliases")), "incorrect": v.listed(F.col("incorrect"))})
 
 
+@query("a13_term_members", f"""
+WITH {TOKEN_SQL}, k AS (SELECT DISTINCT {v.sql_casefold('term')} AS key, doc_id FROM tk), f AS (SELECT DISTINCT key, doc_id // 5 AS ref FROM k WHERE doc_id % 3 > 0)
+SELECT key, 'segment' AS kind, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS position, CAST(doc_id AS VARCHAR) AS ref_id FROM k
+UNION ALL SELECT key, 'frame', row_number() OVER (PARTITION BY key ORDER BY ref), CAST(ref AS VARCHAR) FROM f""")
+def a13_members(spark, sf):
+    return rp.glossary_members(cited_terms(spark, sf))
+
+
 @query("a13_merge_term_runs", f"WITH {TOKEN_SQL} SELECT {v.sql_casefold('term')} AS key, arg_min(term, ord) AS term, min(ord) AS ord FROM tk GROUP BY 1")
 def a13_runs(spark, sf):
     return rp.merge_term_runs(tokens(spark, sf))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from reelscribe.operators import incremental as inc
@@ -11,7 +9,7 @@ from reelscribe.operators import timeline as tl
 from reelscribe.plans import views as v
 from reelscribe.plans.registry import query
 from reelscribe.schemas import STAGES
-from reelscribe.session import checkpoint_folder
+from reelscribe.session import scratch_folder, stage_table
 from reelscribe.streaming import append as st
 
 SPLIT = "1999-01-01"
@@ -181,13 +179,49 @@ def i10(spark, sf):
     return inc.detect_conflicting_tools(v.attempts(spark, sf))
 
 
-@query("t1_append_increment_stream", "SELECT event_id, user_id, epoch_us(ts) AS \"at\", event_type FROM events")
+@query("t1_append_increment_stream", """
+WITH i AS (SELECT event_id, user_id, epoch_us(ts) AS "at", event_type, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, event_id % 3 AS increment FROM events)
+SELECT event_id, user_id, "at", event_type, printf('T%06d', 5000 + row_number() OVER (ORDER BY increment, day, "at", event_id)) AS segment_id FROM i""")
 def t1(spark, sf):
-    """Events as a file stream of three files with repeated rows; the appended table holds each event once."""
-    target = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """Events as three increments of a file stream, each with repeats of its own rows and of earlier ones; ids go on from 5001."""
     e = v.read(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
-    repeated = e.unionByName(e.filter("event_id % 10 = 0"))
-    repeated.repartition(3).write.parquet(f"{target}/in")
-    stream = st.read_increments(spark, f"{target}/in", e.schema, files_per_batch=1)
-    st.append_increment_stream(stream, f"{target}/out", f"{target}/state", ["event_id"]).awaitTermination()
-    return spark.read.parquet(f"{target}/out").drop("stream", "batch")
+    e = e.withColumn("day", F.floor(F.col("at") / v.DAY_US).cast("long"))
+    ids = st.Ids(tl.Timeline(("day",), ("at", "event_id"), "at", v.DAY_US // 24), "day", first=5001)
+    with scratch_folder(spark, "stream") as folder:
+        for k in range(3):
+            due, late = e.filter(F.col("event_id") % 3 == k), e.filter((F.col("event_id") % 3 <= k) & (F.col("event_id") % 10 == 0))
+            due.unionByName(late).write.mode("append").parquet(f"{folder}/in")
+            stream = st.read_increments(spark, f"{folder}/in", e.schema)
+            st.append_increment_stream(stream, f"{folder}/out", f"{folder}/state", ["event_id"], ids=ids).awaitTermination()
+        return stage_table(spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "at", "event_type", "segment_id"))
+
+
+@query("i6_rebuild_changed", """
+WITH l AS (SELECT l_orderkey AS unit, l_orderkey // 1000 AS part, CAST(round(l_extendedprice * 100) AS BIGINT) + CASE WHEN l_orderkey % 7 = 0 AND l_orderkey // 1000 % 10 = 1 THEN 100 ELSE 0 END AS cents FROM lineitem),
+u AS (SELECT unit, part, count(*) AS n, sum(cents) AS cents FROM l GROUP BY 1, 2)
+SELECT part, count(*) AS units, CAST(sum(n) AS BIGINT) AS line_count, CAST(sum(cents) AS BIGINT) AS cents, bool_or(part % 10 = 1 AND unit % 7 = 0) AS rewritten FROM u GROUP BY part""")
+def i6_rebuild(spark, sf):
+    """Line items per order, built once; then some orders of every tenth folder change. Folders without such an order keep their files."""
+    l = v.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    l = l.withColumn("part", F.floor(F.col("unit") / 1000).cast("long"))
+    dearer = F.when((F.col("unit") % 7 == 0) & (F.col("part") % 10 == 1), 100).otherwise(0)
+    later = l.withColumn("cents", F.col("cents") + dearer)
+
+    def build(rows):
+        return rows.groupBy("unit", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+
+    def hashes(rows):
+        return rows.groupBy("unit", "part").agg(F.sum("cents").alias("input_hash")).select("unit", "part", "input_hash", F.lit("c1").alias("config_hash"), F.col("input_hash").alias("output_hash"))
+
+    log = hashes(l).withColumns({"status": F.lit("succeeded"), "at": F.lit(1)})
+    current = hashes(later).drop("output_hash").join(log.select("unit", "output_hash"), "unit", "left")
+    changed = inc.select_changed_units(current, log, "unit").withColumn("part", F.floor(F.col("unit") / 1000).cast("long"))
+    with scratch_folder(spark, "units") as folder:
+        inc.write_units(build(l), folder, "part")
+        files = F.max("_metadata.file_modification_time").alias("written")
+        before = stage_table(spark.read.parquet(folder).groupBy("part").agg(files))
+        inc.rebuild_changed(later, folder, changed, "unit", "part", build)
+        after = spark.read.parquet(folder).groupBy("part").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("line_count"), F.sum("cents").alias("cents"), files)
+        rewritten = (F.col("written") > F.col("earlier")).alias("rewritten")
+        both = after.join(before.withColumnRenamed("written", "earlier"), "part").select(F.col("part").cast("long"), "units", "line_count", "cents", rewritten)
+        return stage_table(both)

@@ -13,6 +13,7 @@ from reelscribe.operators import reports as rp
 from reelscribe.operators import timeline as tl
 from reelscribe.plans import views as v
 from reelscribe.plans.registry import query
+from reelscribe.session import stage_table
 
 TOLERANCE = 7_200_000
 MERGE_SQL = v.MOM_SQL + f""",
@@ -122,7 +123,7 @@ def w13_fallback(spark, sf):
     return mo.pick_per_bin(frames, p, "job_id", "packet_id", "t", fallback=True, bin_size=_DAY)
 
 
-HASH_LINE = tl.Timeline(("job_id",), ("t", "frame_no"), "t", 512)
+HASH_LINE = tl.Timeline(("job_id",), ("t", "frame_no"), "t", 65_536)
 
 
 @query("w20_alias_adjacent_duplicates", f"""
@@ -258,11 +259,47 @@ def d6_absorb(spark, sf):
     return out.withColumn("cue_terms", v.listed(F.col("cue_terms")))
 
 
+def audited_groups(spark, sf):
+    """Frames of one label as a group; copies of a frame have its pixels."""
+    return v.hashes(spark, sf).withColumn("cue_terms", F.when(F.col("frame_no") % 3 == 0, F.array()).otherwise(F.array(F.concat(F.lit("c"), (F.col("frame_no") % 4).cast("string")))))
+
+
+def group_labels(spark, sf):
+    kinds = F.array(*[F.lit(c) for c in nd.GROUP_CLASSES])
+    e = v.read(spark, sf, "embeddings").groupBy(F.col("label").alias("job_id")).agg(F.max("vec_id").alias("keep_id"))
+    return e.select("job_id", F.get(kinds, (F.col("job_id") % 6).cast("int")).alias("classification"), "keep_id")
+
+
+_CLASS_SQL = f"lb AS (SELECT label AS job_id, [{', '.join(repr(c) for c in nd.GROUP_CLASSES)}][label % 6 + 1] AS classification, max(vec_id) AS keep_id FROM embeddings GROUP BY label)"
+
+
 @query("d7_dedup_group_audit", f"""
-WITH {v.HASH_SQL}, p AS (SELECT job_id, frame_no AS right_id, lag(frame_no) OVER w AS left_id, CAST(bit_count(xor(hash_hi, lag(hash_hi) OVER w)) + bit_count(xor(hash_lo, lag(hash_lo) OVER w)) AS INTEGER) AS distance
- FROM hs WINDOW w AS (PARTITION BY job_id ORDER BY t, frame_no)) SELECT job_id, left_id, right_id, distance FROM p WHERE left_id IS NOT NULL""")
+WITH {v.HASH_SQL}, {PIXEL_SQL}, p AS (SELECT job_id, frame_no AS right_id, lag(frame_no) OVER w AS left_id, CAST(bit_count(xor(hash_hi, lag(hash_hi) OVER w)) + bit_count(xor(hash_lo, lag(hash_lo) OVER w)) AS INTEGER) AS distance
+ FROM hs WINDOW w AS (PARTITION BY job_id ORDER BY t, frame_no)),
+c AS (SELECT right_id, abs(a.v - b.v) AS d, abs(a.e - b.e) AS de FROM p JOIN ed a ON a.vec_id = left_id % 1000000 JOIN ed b ON b.vec_id = right_id % 1000000 AND a.x = b.x AND a.y = b.y),
+r AS (SELECT right_id, round(avg(CASE WHEN d >= 16 THEN 1.0 ELSE 0.0 END), 6) AS local_ratio, round(avg(CASE WHEN de >= 24 THEN 1.0 ELSE 0.0 END), 6) AS edge_ratio, round(avg(CASE WHEN d >= 64 THEN 1.0 ELSE 0.0 END), 6) AS contrast_ratio FROM c GROUP BY right_id)
+SELECT job_id, left_id, right_id, distance, local_ratio, edge_ratio, contrast_ratio FROM p JOIN r USING (right_id) WHERE left_id IS NOT NULL""")
 def d7(spark, sf):
-    return nd.dedup_group_audit(v.hashes(spark, sf), HASH_LINE, "job_id", "frame_no")
+    i = luma_images(spark, sf).select(F.explode(F.array("vec_id", F.col("vec_id") + 1_000_000)).alias("frame_no"), "luma", "width", "height")
+    out = nd.dedup_group_audit(audited_groups(spark, sf), HASH_LINE, "job_id", "frame_no", i)
+    return out.withColumns({c: F.round(c, 6) for c in ("local_ratio", "edge_ratio", "contrast_ratio")})
+
+
+@query("d7_group_members", f"""
+WITH {v.HASH_SQL}, {_CLASS_SQL} SELECT job_id, frame_no, classification, CASE WHEN frame_no = keep_id THEN 'keep' WHEN classification = 'safe_duplicate' THEN 'drop' END AS recommendation FROM hs JOIN lb USING (job_id)""")
+def d7_members(spark, sf):
+    return nd.dedup_group_members(audited_groups(spark, sf), group_labels(spark, sf), "job_id", "frame_no")
+
+
+@query("d7_group_cues", f"WITH {v.HASH_SQL} SELECT DISTINCT job_id, 'c' || CAST(frame_no % 4 AS VARCHAR) AS cue_term FROM hs WHERE frame_no % 3 <> 0")
+def d7_cues(spark, sf):
+    return nd.dedup_group_cues(audited_groups(spark, sf), "job_id")
+
+
+@query("d7_class_counts", f"""
+WITH {_CLASS_SQL} SELECT count(*) AS audited_group_count, {', '.join(f"count(*) FILTER (WHERE classification = '{'safe_duplicate' if c == 'dedup_false_negative' else c}') AS {c}" for c in nd.GROUP_CLASSES)} FROM lb""")
+def d7_counts(spark, sf):
+    return nd.dedup_class_counts(group_labels(spark, sf))
 
 
 @query("j15_resolve_canonical_alias", """
@@ -296,18 +333,31 @@ def a5(spark, sf):
 _REASONS = ("scene_change", "subtitle_cue", "periodic")
 
 
+_CAP, _FINAL_CAP = 40, 25
+
+
 @query("a6_frame_coverage_report", f"""
-WITH {v.MOM_SQL}, {v.RANGE_SQL}, k AS (SELECT * FROM mom WHERE event_id % 2 = 0),
-c AS (SELECT job_id, count(*) AS final_count, {', '.join(f"count(*) FILTER (WHERE reason = '{r}') AS reason_{r}" for r in _REASONS)} FROM k GROUP BY job_id),
-m AS (SELECT job_id, count(*) AS merged_count FROM mom GROUP BY job_id),
+WITH RECURSIVE {MERGE_SQL}, {v.RANGE_SQL}, ex AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY t, anchor_id) <= {_CAP}),
+pd AS (SELECT * FROM ex WHERE anchor_id % 29 <> 0), k AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY t, anchor_id) <= {_FINAL_CAP}),
+s0 AS (SELECT job_id, count(*) FILTER (WHERE is_scene) AS scene_count, count(*) FILTER (WHERE has_cue) AS cue_count, count(*) FILTER (WHERE reason = 'periodic') AS periodic_count FROM mom GROUP BY job_id),
+s1 AS (SELECT job_id, count(*) AS merged_count FROM merged GROUP BY job_id), s2 AS (SELECT job_id, count(*) AS extracted_count FROM ex GROUP BY job_id), s3 AS (SELECT job_id, count(*) AS post_dedup_count FROM pd GROUP BY job_id),
+c AS (SELECT job_id, count(*) AS final_count, {', '.join(f"count(*) FILTER (WHERE contains(reasons, '{r}')) AS reason_{r}" for r in _REASONS)} FROM k GROUP BY job_id),
 b AS (SELECT job_id, t FROM k UNION ALL SELECT part_id, range_start FROM rng UNION ALL SELECT part_id, range_end FROM rng),
-g AS (SELECT job_id, max(d) AS max_gap FROM (SELECT job_id, t - lag(t) OVER (PARTITION BY job_id ORDER BY t) AS d FROM b) GROUP BY job_id)
-SELECT part_id AS job_id, range_start, range_end, coalesce(final_count, 0) AS final_count, {', '.join(f"coalesce(reason_{r}, 0) AS reason_{r}" for r in _REASONS)}, merged_count, max_gap,
- round(coalesce(final_count, 0) / greatest((range_end - range_start) / 60000.0::DOUBLE, 1 / 60.0::DOUBLE), 6) AS frames_per_minute, greatest(0, merged_count - 60) AS candidate_dropped
-FROM rng LEFT JOIN c ON c.job_id = part_id LEFT JOIN m ON m.job_id = part_id LEFT JOIN g ON g.job_id = part_id""")
+g AS (SELECT job_id, max(d) AS max_gap FROM (SELECT job_id, t - lag(t) OVER (PARTITION BY job_id ORDER BY t) AS d FROM b) GROUP BY job_id),
+r AS (SELECT part_id AS job_id, range_start, range_end FROM rng)
+SELECT job_id, range_start, range_end, {', '.join(f"coalesce({n}_count, 0) AS {n}_count" for n in ('scene', 'cue', 'periodic', 'merged', 'extracted', 'post_dedup', 'final'))}, {', '.join(f"coalesce(reason_{r}, 0) AS reason_{r}" for r in _REASONS)}, max_gap,
+ round(coalesce(final_count, 0) / greatest((range_end - range_start) / 60000.0::DOUBLE, 1 / 60.0::DOUBLE), 6) AS frames_per_minute, greatest(0, coalesce(merged_count, 0) - {_CAP}) AS candidate_dropped, greatest(0, coalesce(post_dedup_count, 0) - coalesce(final_count, 0)) AS final_dropped
+FROM r LEFT JOIN s0 USING (job_id) LEFT JOIN s1 USING (job_id) LEFT JOIN s2 USING (job_id) LEFT JOIN s3 USING (job_id) LEFT JOIN c USING (job_id) LEFT JOIN g USING (job_id)""")
 def a6(spark, sf):
     m = v.moments(spark, sf)
-    return rp.frame_coverage_report(m.filter("event_id % 2 = 0"), v.MOM_LINE, v.job_ranges(spark, sf, "job_id"), "job_id", "t", _REASONS, m, 60)
+    clusters = stage_table(merged(spark, sf).select("job_id", "anchor_id", "t", "reasons"))
+    order = [F.asc("t"), F.asc("anchor_id")]
+    extracted = mo.rank_and_cap(clusters, "job_id", order, _CAP)[0]
+    clear = extracted.filter("anchor_id % 29 <> 0")
+    final = mo.rank_and_cap(clear.drop("rank"), "job_id", order, _FINAL_CAP)[0]
+    stages = {"scene": m.filter("is_scene"), "cue": m.filter("has_cue"), "periodic": m.filter("reason = 'periodic'"), "merged": clusters, "extracted": extracted, "post_dedup": clear}
+    line = tl.by_time(["job_id"], "t", "anchor_id", v.EVENT_BLOCK_US // 1000)
+    return rp.frame_coverage_report(final, line, v.job_ranges(spark, sf, "job_id"), "job_id", "t", _REASONS, stages, _CAP)
 
 
 @query("a7_cue_coverage_ratio", f"""
@@ -345,14 +395,14 @@ _TERM = "[A-Z][a-z]+"
 
 @query("w18_packet_terms", f"""
 WITH {PACKET_SQL}, r AS (SELECT job_id, packet_id, primary_start <= start_ms AND start_ms < primary_end AS is_primary, unnest(list_distinct(regexp_extract_all(text, '{_TERM}'))) AS term
-  FROM pk JOIN loc ON part_id = job_id JOIN documents ON doc_id = event_id % (SELECT max(doc_id) + 1 FROM documents) WHERE event_type = 'purchase' AND end_ms > context_start AND start_ms < context_end)
+  FROM pk JOIN loc ON part_id = job_id JOIN documents ON doc_id = event_id % (SELECT max(doc_id) + 1 FROM documents) WHERE end_ms > context_start AND start_ms < context_end)
 SELECT job_id, packet_id, term, count(*) AS row_count, bool_or(is_primary) AS in_primary FROM r GROUP BY 1, 2, 3""")
 def w18_terms(spark, sf):
-    """Purchases, each with the text of a document, and the capitalised words in them."""
-    d = v.docs(spark, sf).select(F.col("doc_id").alias("_doc"), "text")
+    """Events, each with the text of a document, and the capitalised words in them; a text is searched once."""
+    d = v.docs(spark, sf).select(F.col("doc_id").alias("_doc"), F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))).alias("terms"))
     doc = F.col("event_id") % v.read(spark, sf, "documents").agg(F.max("doc_id") + 1).scalar()
-    rows = v.local_intervals(spark, sf).withColumnRenamed("part_id", "job_id").filter("event_type = 'purchase'").withColumn("_doc", doc).join(d, "_doc")
-    return pg.packet_terms(packets(spark, sf), rows, "job_id", "start_ms", "end_ms", "text", _TERM, _DAY)
+    rows = v.local_intervals(spark, sf).withColumnRenamed("part_id", "job_id").withColumn("_doc", doc)
+    return pg.packet_terms(packets(spark, sf), rows, "job_id", "start_ms", "end_ms", "_doc", d)
 
 
 def _sums(kind):
@@ -361,21 +411,21 @@ def _sums(kind):
     return f"count(*) FILTER (event_type = '{kind}') AS {kind}_row_count, count(*) FILTER (event_type = '{kind}' AND NOT context_only) AS {kind}_primary_count, sha256({words}) AS {kind}_member_digest"
 
 
-_PAYLOAD = ("context_end", "context_start", "error_member_digest", "error_primary_count", "error_row_count", "job_id", "packet_id", "packet_no", "primary_end", "primary_start",
-            "view_member_digest", "view_primary_count", "view_row_count")
+_KINDS = ("click", "error", "purchase", "signup", "view")
+_PAYLOAD = sorted(["context_end", "context_start", "job_id", "packet_id", "packet_no", "primary_end", "primary_start", *[f"{k}_{c}" for k in _KINDS for c in ("member_digest", "primary_count", "row_count")]])
 _PAYLOAD_SQL = " || ',' || ".join(f"'\"{c}\":' || " + (f"'\"' || {c} || '\"'" if c.endswith(("digest", "packet_id")) else f"CAST({c} AS VARCHAR)") for c in _PAYLOAD)
 
 
 @query("w18_packet_hash", f"""
 WITH {PACKET_SQL}, r AS (SELECT pk.*, event_id, event_type, NOT (primary_start <= start_ms AND start_ms < primary_end) AS context_only FROM pk LEFT JOIN loc ON part_id = job_id AND end_ms > context_start AND start_ms < context_end),
-c AS (SELECT job_id, packet_no, packet_id, primary_start, primary_end, context_start, context_end, {_sums('view')}, {_sums('error')} FROM r GROUP BY ALL)
-SELECT job_id, packet_id, view_row_count, view_primary_count, error_row_count, sha256('{{' || {_PAYLOAD_SQL} || '}}') AS packet_hash FROM c""")
+c AS (SELECT job_id, packet_no, packet_id, primary_start, primary_end, context_start, context_end, {', '.join(_sums(k) for k in _KINDS)} FROM r GROUP BY ALL)
+SELECT job_id, packet_id, {', '.join(f"{k}_row_count" for k in _KINDS)}, sha256('{{' || {_PAYLOAD_SQL} || '}}') AS packet_hash FROM c""")
 def w18_hash(spark, sf):
-    """Views and errors as two kinds of members."""
+    """Every type of event as a kind of members."""
     rows = v.local_intervals(spark, sf).withColumnRenamed("part_id", "job_id")
     p = packets(spark, sf)
-    members = {kind: pg.packet_rows(p, rows.filter(F.col("event_type") == kind), "job_id", "start_ms", "end_ms", _DAY) for kind in ("view", "error")}
-    return pg.packet_contents(p, members, "job_id", "event_id").select("job_id", "packet_id", "view_row_count", "view_primary_count", "error_row_count", "packet_hash")
+    members = {kind: pg.packet_rows(p, rows.filter(F.col("event_type") == kind), "job_id", "start_ms", "end_ms", _DAY) for kind in _KINDS}
+    return pg.packet_contents(p, members, "job_id", "event_id").select("job_id", "packet_id", *[f"{k}_row_count" for k in _KINDS], "packet_hash")
 
 
 @query("w19_build_packets_dynamic", f"""
@@ -387,9 +437,9 @@ def w19(spark, sf):
     return pg.plan_packets(v.job_ranges(spark, sf, "job_id"), "job_id", span=_DAY, context=_DAY // 10, dynamic=True, first=6)
 
 
-@query("j16_terms_in_packet", f"WITH {PACKET_SQL} SELECT job_id, packet_id, event_id FROM pk JOIN loc ON part_id = job_id WHERE event_type = 'purchase' AND end_ms > primary_start AND start_ms < primary_end")
+@query("j16_terms_in_packet", f"WITH {PACKET_SQL} SELECT job_id, packet_id, event_id FROM pk JOIN loc ON part_id = job_id WHERE end_ms > primary_start AND start_ms < primary_end")
 def j16(spark, sf):
-    rows = v.local_intervals(spark, sf).withColumnRenamed("part_id", "job_id").filter("event_type = 'purchase'")
+    rows = v.local_intervals(spark, sf).withColumnRenamed("part_id", "job_id")
     return pg.terms_in_packet(packets(spark, sf), rows, "job_id", "start_ms", "end_ms", _DAY).select("job_id", "packet_id", "event_id")
 
 
@@ -407,5 +457,5 @@ def a16(spark, sf):
     p = packets(spark, sf)
     members = pg.packet_rows(p, rows, "job_id", "start_ms", "end_ms", _DAY)
     faulty = members.filter("(NOT context_only AND event_id % 19 <> 0) OR event_id % 23 = 0").withColumn("context_only", F.lit(False))
-    line = tl.by_position(["job_id"], "packet_no", 8)
+    line = tl.by_position(["job_id"], "packet_no")
     return rp.boundary_audit(p, faulty, line, "job_id", "event_id", rows, "start_ms")

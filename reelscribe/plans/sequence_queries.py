@@ -22,11 +22,11 @@ def w1(spark, sf):
 
 def echoed(spark, sf):
     """Each turn twice (the copy right after it), copies of every third turn further away: short texts repeat."""
-    s = v.segments(spark, sf)
+    s = v.segments(spark, sf).withColumn("text_clean", tx.clean_text(F.col("text_raw")))
     copies = s.withColumn("_c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     shift = F.when(F.col("_c") == 0, 0).when(F.col("_c") == 1, F.col("seq") * 300).otherwise(F.col("seq") * 700)
     return copies.select("part_id", (F.col("seq") * 3 + F.col("_c")).alias("seq"), F.concat("segment_id", F.lit("-"), F.col("_c").cast("string")).alias("segment_id"),
-                         (F.col("end_ms") - 1000 + shift).alias("start_ms"), (F.col("end_ms") - 900 + shift).alias("end_ms"), tx.clean_text(F.col("text_raw")).alias("text_clean"))
+                         (F.col("end_ms") - 1000 + shift).alias("start_ms"), (F.col("end_ms") - 900 + shift).alias("end_ms"), "text_clean")
 
 
 ECHO_SQL = v.SEG_SQL + f""",
@@ -137,16 +137,25 @@ def w9(spark, sf):
     return out.select("segment_id", v.listed(F.col("cue_terms")).alias("cue_terms"), "cue_offset", "offset_type", "t")
 
 
+_BUCKET_SQL = v.RANGE_SQL + """, inb AS (SELECT part_id, event_id, start_ms, least((start_ms - range_start) // 86400000, CAST(ceil((range_end - range_start) / 86400000) AS BIGINT) - 1) AS bucket
+  FROM loc JOIN rng USING (part_id) WHERE start_ms >= range_start AND start_ms <= range_end)"""
+
+
 @query("w21_minute_evidence_buckets", f"""
-WITH {v.RANGE_SQL}, c AS (SELECT part_id, range_start, range_end, unnest(generate_series(0, CAST(ceil((range_end - range_start) / 86400000) AS BIGINT) - 1)) AS bucket FROM rng),
-f AS (SELECT part_id, least((start_ms - range_start) // 86400000, CAST(ceil((range_end - range_start) / 86400000) AS BIGINT) - 1) AS bucket, count(*) AS n
-      FROM loc JOIN rng USING (part_id) WHERE start_ms >= range_start AND start_ms <= range_end GROUP BY 1, 2)
+WITH {_BUCKET_SQL}, c AS (SELECT part_id, range_start, range_end, unnest(generate_series(0, CAST(ceil((range_end - range_start) / 86400000) AS BIGINT) - 1)) AS bucket FROM rng),
+f AS (SELECT part_id, bucket, count(*) AS n FROM inb GROUP BY 1, 2)
 SELECT part_id, bucket, range_start + bucket * 86400000 AS bucket_start, least(range_end, range_start + bucket * 86400000 + 86400000) AS bucket_end,
-       coalesce(n, 0) AS frame_count, coalesce(n, 0) > 0 AS has_evidence FROM c LEFT JOIN f USING (part_id, bucket)""")
+       coalesce(n, 0) AS frame_count, coalesce(n, 0) > 0 AS has_evidence, CASE WHEN n > 0 THEN CAST(sum(coalesce(n, 0)) OVER (PARTITION BY part_id ORDER BY bucket) - n + 1 AS BIGINT) END AS first_position FROM c LEFT JOIN f USING (part_id, bucket)""")
 def w21(spark, sf):
     return sq.evidence_buckets(v.local_intervals(spark, sf), v.job_ranges(spark, sf), "part_id", "start_ms", 86_400_000)
 
 
+@query("w21_bucket_frames", f"WITH {_BUCKET_SQL} SELECT part_id, bucket, row_number() OVER (PARTITION BY part_id ORDER BY start_ms, event_id) AS position, event_id FROM inb")
+def w21_frames(spark, sf):
+    rows, line = tl.split_hot_blocks(v.local_intervals(spark, sf).select("part_id", "event_id", "start_ms"), v.LOC_LINE)
+    return sq.bucket_frames(rows, line, v.job_ranges(spark, sf), "start_ms", "event_id", 86_400_000)
+
+
 @query("w21_max_evidence_gap", f"""
 WITH {v.RANGE_SQL}, b AS (SELECT part_id, start_ms AS t FROM loc UNION ALL SELECT part_id, range_start FROM rng UNION ALL SELECT part_id, range_end FROM rng),
 d AS (SELECT part_id, t - lag(t) OVER (PARTITION BY part_id ORDER BY t) AS g FROM b) SELECT part_id, max(g) AS max_gap FROM d GROUP BY part_id""")
@@ -258,9 +267,12 @@ def a1(spark, sf):
     return out.withColumn("warnings", v.listed(F.col("warnings")))
 
 
-def event_segments(spark, sf):
-    """Every event as a segment with the text of a document (documents come round again): overlapping, gappy segments."""
-    d = v.docs(spark, sf).select(F.col("doc_id").alias("_doc"), F.col("text").alias("text_raw"))
+def event_segments(spark, sf, cues=()):
+    """Every event as a segment with the text of a document (documents come round again): overlapping, gappy segments.
+
+    A text is measured once, however many events have it; the events carry the numbers.
+    """
+    d = v.docs(spark, sf).select(F.col("doc_id").alias("_doc"), *[c.alias(n) for n, c in rp.text_measures(F.col("text"), None, cues).items()])
     doc = F.col("event_id") % v.read(spark, sf, "documents").agg(F.max("doc_id") + 1).scalar()
     return v.local_intervals(spark, sf).withColumn("_doc", doc).join(d, "_doc").drop("_doc").withColumn("seq", F.col("event_id"))
 
@@ -283,10 +295,10 @@ ta AS (SELECT part_id, count(*) FILTER (WHERE l > 0 OR s > 0 OR c > 0) AS candid
 SELECT q.*, max_gap, gap_count, sparse_minutes, candidate_count, mixed_language_count, symbol_dense_count, cue_total, 100000 AS elapsed_ms, round(100000::DOUBLE / duration::DOUBLE, 6) AS real_time_factor
 FROM q JOIN gl USING (part_id) JOIN sp USING (part_id) JOIN ta USING (part_id)""")
 def a2(spark, sf):
-    segs = with_clean(event_segments(spark, sf))
+    cues = ["tion", "que"]
     line = tl.by_position(["part_id"], "seq", 4096)
     runs = _durations(spark, sf).withColumn("elapsed_ms", F.lit(100_000))
-    out = rp.asr_quality_report(segs, line, v.LOC_LINE, runs, ["tion", "que"], minute=3_600_000)
+    out = rp.asr_quality_report(event_segments(spark, sf, cues), line, v.LOC_LINE, runs, cues, minute=3_600_000)
     return out.withColumn("warnings", v.listed(F.col("warnings")))
 
 
@@ -297,8 +309,10 @@ ms AS (SELECT part_id, bucket, CAST(sum(w) AS BIGINT) AS w FROM mt GROUP BY 1, 2
 mc AS (SELECT part_id, unnest(generate_series(0, CAST(ceil(duration / 3600000) AS BIGINT) - 1)) AS bucket FROM dur)
 SELECT part_id, bucket, coalesce(w, 0) AS total FROM mc LEFT JOIN ms USING (part_id, bucket) WHERE coalesce(w, 0) < 200""")
 def a3(spark, sf):
-    return sq.low_density_buckets(event_segments(spark, sf), _durations(spark, sf), "part_id", "start_ms", "end_ms",
-                                  F.length(F.replace("text_raw", F.lit(" "), F.lit(""))), 3_600_000, 200)
+    d = v.docs(spark, sf).select(F.col("doc_id").alias("_doc"), F.length(F.replace("text", F.lit(" "), F.lit(""))).alias("weight"))
+    doc = F.col("event_id") % v.read(spark, sf, "documents").agg(F.max("doc_id") + 1).scalar()
+    rows = v.local_intervals(spark, sf).withColumn("_doc", doc).join(d, "_doc")
+    return sq.low_density_buckets(rows, _durations(spark, sf), "part_id", "start_ms", "end_ms", F.col("weight"), 3_600_000, 200)
 
 
 @query("a12_evidence_coverage", f"""

@@ -207,21 +207,24 @@ def order_rows(spark: SparkSession, sf: str) -> DataFrame:
 # ---- terms ---------------------------------------------------------------------------------------
 
 def terms(spark: SparkSession, sf: str) -> DataFrame:
-    """First two words of each benchmark text as a suggestion, upper-cased as its correction."""
-    b = read(spark, sf, "benchmark")
-    original = F.lower(F.regexp_extract("text", r"^([^ ]+ [^ ]+)", 1))
-    decision = F.when(F.col("item_id") % 3 == 0, "accepted").when(F.col("item_id") % 3 == 1, "pending").otherwise("rejected")
-    confidence = F.when(F.col("item_id") % 2 == 0, "high").otherwise("medium")
-    return b.select("item_id", original.alias("original"), F.upper(original).alias("suggested"), decision.alias("decision"),
-                    confidence.alias("confidence")).filter("original <> ''")
+    """Every pair of neighbouring words of every benchmark text as a suggestion, upper-cased as its correction.
 
+    ``term_no`` numbers the pairs over all texts, ``n`` turns over decisions and confidences.
+    """
+    b = read(spark, sf, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("[^ \n]+"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))
+    t = b.select("item_id", F.posexplode(pairs).alias("pos", "original")).withColumns({"term_no": F.col("item_id") * TERMS_PER_ITEM + F.col("pos"), "n": F.col("item_id") + F.col("pos")})
+    decision = F.when(F.col("n") % 3 == 0, "accepted").when(F.col("n") % 3 == 1, "pending").otherwise("rejected")
+    return t.select("item_id", "term_no", "n", "original", F.upper("original").alias("suggested"), decision.alias("decision"), F.when(F.col("n") % 2 == 0, "high").otherwise("medium").alias("confidence"))
 
-TERM_SQL = """
+
+TERMS_PER_ITEM = 1_000_000
+TERM_SQL = f"""
 tm AS (
-  SELECT item_id, lower(regexp_extract(text, '^([^ ]+ [^ ]+)', 1)) AS original, upper(lower(regexp_extract(text, '^([^ ]+ [^ ]+)', 1))) AS suggested,
-         CASE item_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'pending' ELSE 'rejected' END AS decision,
-         CASE WHEN item_id % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence
-  FROM benchmark WHERE regexp_extract(text, '^([^ ]+ [^ ]+)', 1) <> '')"""
+  SELECT item_id, item_id * {TERMS_PER_ITEM} + i - 1 AS term_no, item_id + i - 1 AS n, w[i] || ' ' || w[i + 1] AS original, upper(replace(w[i] || ' ' || w[i + 1], 'ß', 'ss')) AS suggested,
+         CASE (item_id + i - 1) % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'pending' ELSE 'rejected' END AS decision,
+         CASE WHEN (item_id + i - 1) % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence
+  FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[^ \n]+') AS w FROM benchmark)))"""
 
 
 # ---- runs ----------------------------------------------------------------------------------------

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +27,16 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; one of our own, set once, only where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -43,3 +48,14 @@ def stage_table(df: DataFrame) -> DataFrame:
     """Write an intermediate table once (reliable checkpoint), for results that several later steps read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder beside the staged tables, gone afterwards; stage what is to outlive it."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

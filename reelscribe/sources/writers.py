@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelscribe.functions import values as vx
 from reelscribe.operators import timeline as tl
@@ -117,14 +118,24 @@ def assemble_reader_dataset(jobs: DataFrame, children: dict[str, tuple[DataFrame
     """K7: reader pages: per job and page, a list of child structs for every child table.
 
     Children are cut into pages of ``rows`` by position along their timeline, so a job with very many
-    children becomes many bounded pages. Jobs without children keep page 0.
+    children becomes many bounded pages. Jobs without children keep page 0. All tables travel as one: a row is tagged with
+    its table and carries that table's struct, so numbering and paging are one shuffle each, however many tables there are. A timeline has its
+    integer block column, and at most one number and one string to break ties.
     """
-    pages = None
+    both = None
     for name, (child, line) in children.items():
         fields = [*line.order, *[c for c in child.columns if c != key and c not in line.order]]
-        item = F.struct("_n", F.struct(*fields).alias("row"))
-        grouped = tl.scan(child, line, row_number="_n").groupBy(
-            key, F.floor((F.col("_n") - 1) / rows).cast("long").alias("page")).agg(
-            F.transform(F.array_sort(F.collect_list(item)), lambda s: s["row"]).alias(name))
-        pages = grouped if pages is None else pages.join(grouped, [key, "page"], "full")
-    return jobs.join(pages, key, "left").withColumn("page", F.coalesce("page", F.lit(0).cast("long")))
+        ties = {"_number": F.lit(None).cast("long"), "_string": F.lit(None).cast("string")}
+        for c in line.order:
+            if c != line.block_on:
+                ties["_string" if isinstance(child.schema[c].dataType, T.StringType) else "_number"] = F.col(c)
+        tagged = child.select(key, F.lit(name).alias("_table"), F.col(line.block_on).cast("long").alias("_place"), line.block.alias("_run"),
+                              *[c.alias(n) for n, c in ties.items()], F.struct(*fields).alias(name))
+        both = tagged if both is None else both.unionByName(tagged, allowMissingColumns=True)
+    line = tl.Timeline((key, "_table"), ("_place", "_number", "_string"), "_run", 1)
+    numbered = tl.scan(both, line, row_number="_n")
+    page = F.floor((F.col("_n") - 1) / rows).cast("long").alias("page")
+    # collect_list leaves out nulls, so each list holds the rows of its own table.
+    pages = numbered.groupBy(key, page).agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_table") == n, F.struct("_n", F.col(n).alias("row"))))), lambda s: s["row"]).alias(n) for n in children])
+    return tl.join_parts(jobs, pages, [key], "left").withColumn("page", F.coalesce("page", F.lit(0).cast("long")))

@@ -173,3 +173,93 @@ def test_split_hot_blocks_keeps_order_and_results(spark, timeline_rows):
     plain = tl.scan(df, coarse, max_before={"m": "end_ms"}, row_number="n").select("part_id", "seq", "m", "n")
     split = tl.scan(rows, line, max_before={"m": "end_ms"}, row_number="n").select("part_id", "seq", "m", "n")
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, split.collect()), key=str)
+
+
+def _instant_rows(n, later=1):
+    return [("p", 0, i) for i in range(n)] + [("p", 5, n + i) for i in range(later)] + [("q", 3, 1)]
+
+
+def test_split_hot_blocks_cuts_one_instant(spark):
+    df = frame(spark, _instant_rows(9000), "part_id string, t bigint, tie bigint")
+    rows, line = tl.split_hot_blocks(df, tl.by_time(["part_id"], "t", "tie", 1000))
+    sizes = [r["count"] for r in rows.groupBy("part_id", "_cut").count().collect()]
+    assert max(sizes) <= 8192 and len(sizes) >= 3
+    out = tl.scan(rows, line, row_number="n", sum_before={"s": "tie"}).filter("part_id = 'p'").orderBy("n").collect()
+    assert [(r.tie, r.n) for r in out] == [(i, i + 1) for i in range(9001)]
+    # Rows of one and the same key cannot be told apart, and end the search instead of the job.
+    same = frame(spark, [("p", 1, 1)] * 9000 + [("p", 2, 1)], "part_id string, t bigint, tie bigint")
+    rows, _ = tl.split_hot_blocks(same, tl.by_time(["part_id"], "t", "tie", 1000))
+    assert rows.count() == 9001
+
+
+def test_split_hot_blocks_is_even(spark):
+    df = spark.range(1_000_000).select(F.substring(F.concat(F.lit("p"), F.col("id").cast("string")), 1, 1).alias("part_id"), (F.col("id") % 1 + 7).alias("t"), F.col("id").alias("tie"))
+    rows, line = tl.split_hot_blocks(df, tl.by_time(["part_id"], "t", "tie", 1000))
+    sizes = [r["count"] for r in rows.groupBy("_cut").count().collect()]
+    assert sum(sizes) == 1_000_000 and max(sizes) <= 8192 and len(sizes) >= 200
+    assert line.block_on == "_cut"
+
+
+NULL_ROWS = [(p, i, i * 10, i * 10 + (15 if i % 3 else 4), "a" if i % 2 else "b", 0 if p is None else 1) for p in (None, "a") for i in range(10)]
+NULL_SCHEMA = SCHEMA + ", part_no bigint"
+
+
+def test_null_part_is_a_part(spark, rows=4):
+    """Whatever holds for part 'a' holds for the rows without a part."""
+    df, line = frame(spark, NULL_ROWS, NULL_SCHEMA), tl.by_position(["part_id"], "seq", rows)
+
+    def both(out, *columns):
+        found = {None: [], "a": []}
+        for r in out.collect():
+            found[r.part_id].append(tuple(r[c] for c in columns))
+        assert found[None] and sorted(found[None], key=str) == sorted(found["a"], key=str)
+        return sorted(found["a"], key=str)
+
+    scanned = both(tl.scan(df, line, previous={"p": "end_ms"}, max_before={"m": "end_ms"}, sum_upto={"s": "seq"}, row_number="n"), "seq", "p", "m", "s", "n")
+    assert [r[4] for r in sorted(scanned)] == list(range(1, 11))
+    assert len(both(sq.collapse_adjacent_duplicates(df, line, gap=0), "seq")) == 10
+    groups = both(pg.sessionize_paragraphs(df, line, closes_after=F.lit(False), max_length=30, min_length=5), "seq", "group_no")
+    assert max(g for _, g in groups) > 2
+    both(pg.build_paragraphs(pg.sessionize_paragraphs(df.withColumns({"segment_id": F.col("seq").cast("string"), "text_raw": F.col("text_clean")}), line, closes_after=F.lit(False), max_length=30)), "group_no", "text_raw")
+    moments = df.select("part_id", "seq", "start_ms", F.array().cast("array<string>").alias("reasons"), F.array().cast("array<string>").alias("cue_terms"), F.lit(0.5).alias("scene_score"))
+    both(mo.merge_moments(moments, tl.by_time(["part_id"], "start_ms", "seq", 20), "start_ms", "seq", 15), "anchor_id", "merged")
+    durations = df.groupBy("part_id").agg((F.max("end_ms") + 50).alias("duration"))
+    assert both(sq.max_gap(df, line, "start_ms", "end_ms", durations), "max_gap") == [(50,)]
+    marks = frame(spark, [(p, b) for p in (None, "a") for b in (30, 60)], "part_id string, boundary bigint")
+    both(pg.group_by_boundaries(df, line, marks, durations), "seq", "group_no")
+    ids = {(r.part_id, r.seq): r.segment_id for r in sq.assign_stable_ids(df, line, "part_no").collect()}
+    assert [ids[p, i] for p in (None, "a") for i in range(10)] == [f"T{n:06d}" for n in range(1, 21)]
+    split, cut = tl.split_hot_blocks(df, tl.by_time(["part_id"], "start_ms", "seq", 1000), rows=3)
+    both(tl.scan(split, cut, row_number="n"), "seq", "n")
+
+
+def test_rows_without_time_come_first(spark):
+    df = frame(spark, [("p", None, i) for i in range(5)] + [("p", i, i) for i in range(5)], "part_id string, t bigint, tie bigint")
+    out = tl.scan(df, tl.by_time(["part_id"], "t", "tie", 2), row_number="n")
+    assert [r.t for r in out.orderBy("n").collect()] == [None] * 5 + list(range(5))
+    groups = tl.carried_groups(df, tl.by_time(["part_id"], "t", "tie", 2), F.col("t") - 2, F.col("t"), "o", "g")
+    assert sorted((r.t is None, r.t, r.g) for r in groups.filter("t IS NOT NULL").collect()) == [(False, 0, 6), (False, 1, 6), (False, 2, 6), (False, 3, 7), (False, 4, 7)]
+
+
+@pytest.mark.parametrize("rows", [4, 1000])
+def test_group_by_boundaries_any_ends(spark, rows):
+    """Ends that rise and fall, and rows far beyond the duration."""
+    rng = random.Random(rows)
+    items, marks, durations, want = [], [], [], {}
+    for p in [None, *range(6)]:
+        part = None if p is None else f"p{p}"
+        duration = rng.choice([30, 100])
+        ends = [rng.randrange(0, 2 * duration) for _ in range(rng.choice([1, 9, 60]))]
+        cuts = sorted(rng.sample(range(1, duration + 20), k=rng.choice([0, 3, 12])))
+        items += [(part, i, e) for i, e in enumerate(ends)]
+        marks += [(part, c) for c in cuts]
+        durations.append((part, duration))
+        left = iter([c for c in cuts if c <= duration])
+        cut, group = next(left, duration), 1
+        for i, e in enumerate(ends):
+            want[part, i] = group
+            if e >= cut - 1:
+                group, cut = group + 1, next(left, duration + 40)
+    out = pg.group_by_boundaries(frame(spark, items, "part_id string, seq bigint, end_ms bigint"), tl.by_position(["part_id"], "seq", rows),
+                                 frame(spark, marks, "part_id string, boundary bigint"), frame(spark, durations, "part_id string, duration bigint"), beyond=40)
+    assert {(r.part_id, r.seq): r.group_no for r in out.collect()} == want

@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from reelscribe.operators import incremental as inc
+from reelscribe.operators import timeline as tl
 from reelscribe.streaming import append as st
 
 
@@ -36,3 +39,90 @@ def test_downstream_invalidation(spark):
     got = {(r.job_id, r.stage): r.new_status for r in after.collect()}
     assert got == {("j", "created"): "succeeded", ("j", "transcript_ready"): "invalidated", ("j", "frames_ready"): "invalidated", ("j", "complete"): "pending", ("k", "complete"): "succeeded"}
     assert [(r.job_id, r.last_success) for r in last.collect()] == [("j", "created")]
+
+
+def _batches(spark, src, *parts):
+    for rows in parts:
+        spark.createDataFrame(rows, "id bigint, day bigint, at bigint").write.mode("append").parquet(src)
+        yield
+
+
+IDS = st.Ids(tl.Timeline(("day",), ("at", "id"), "at", 10), "day", first=101)
+
+
+def _numbers(spark, out):
+    return {r.id: int(r.segment_id[1:]) for r in spark.read.parquet(out).collect()}
+
+
+def test_ids_go_on_from_batch_to_batch(spark, tmp_path, monkeypatch):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = spark.createDataFrame([], "id bigint, day bigint, at bigint").schema
+
+    def run(at=state):
+        st.append_increment_stream(st.read_increments(spark, src, schema), out, at, ["id"], ids=IDS).awaitTermination()
+
+    one = [(i, i % 2, 100 - i) for i in range(40)]
+    two = [(i, i % 3, i) for i in range(30, 70)]  # ten of them late repeats
+    steps = _batches(spark, src, one, two, [(None, 5, 1), (200, 5, 2)], [(None, 5, 9), (39, 0, 1)])
+    next(steps)
+    run()
+    first = {i: n for n, (i, _, _) in enumerate(sorted(one, key=lambda r: (r[1], r[2])), 101)}
+    assert _numbers(spark, out) == first
+    # Lost between the rows and their mark, and between the mark and Spark's commit: the batch runs again with the same numbers.
+    second = {i: n for n, (i, _, _) in enumerate(sorted(two[10:], key=lambda r: (r[1], r[2])), 141)}
+    commit = st.commit_numbers
+    next(steps)
+    for after in (False, True):
+
+        def lost(*args):
+            if after:
+                commit(*args)
+            raise RuntimeError("lost")
+
+        monkeypatch.setattr(st, "commit_numbers", lost)
+        try:
+            run()
+        except Exception as error:
+            assert "lost" in str(error)
+        monkeypatch.setattr(st, "commit_numbers", commit)
+    run()
+    assert _numbers(spark, out) == {**first, **second}
+    # A null key is a key; seen ones stay out, in the same stream and in a later one that goes on with the numbers.
+    next(steps)
+    run()
+    assert _numbers(spark, out) == {**first, **second, None: 171, 200: 172}
+    next(steps)
+    run()
+    spark.createDataFrame([(300, 1, 1)], schema).write.mode("append").parquet(src)
+    run(str(tmp_path / "state2"))
+    assert _numbers(spark, out) == {**first, **second, None: 171, 200: 172, 300: 173}
+    assert spark.read.parquet(out).count() == 73
+
+
+def test_rebuild_changed_leaves_other_folders_alone(spark, tmp_path):
+    import os
+
+    target = str(tmp_path / "units")
+
+    def files():
+        return {(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(target) for f in names if f.endswith(".parquet")}
+
+    def build(rows):
+        return rows.groupBy("unit", "part").agg(F.sum("v").alias("v"))
+
+    def table(shift):
+        return spark.createDataFrame([(u, None if u >= 40 else u // 10, u + shift(u)) for u in range(45) for _ in range(2)], "unit bigint, part bigint, v bigint")
+
+    source = table(lambda u: 0)
+    inc.write_units(build(source), target, "part")
+    before = files()
+    later = table(lambda u: 100 if u in (13, 41) else 0)
+    changed = spark.createDataFrame([(13, 1), (41, None)], "unit bigint, part bigint")
+    assert inc.rebuild_changed(later, target, changed, "unit", "part", build) == 2
+    after = files()
+    same = {k for k in before if "part=1" not in k[0] and "HIVE_DEFAULT" not in k[0]}
+    assert same and all(after[k] == before[k] for k in same)
+    assert not {k for k in before if k not in same} & set(after)
+    got = sorted((r.unit, r.part, r.v) for r in spark.read.parquet(target).select("unit", F.col("part").cast("long"), "v").fillna(-1).collect())
+    assert got == sorted((r.unit, r.part, r.v) for r in build(later).fillna(-1).collect())
+    assert inc.rebuild_changed(later, target, changed.limit(0), "unit", "part", build) == 0 and files() == after
