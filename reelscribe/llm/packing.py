@@ -1,7 +1,8 @@
 """Operator 9, best-fit packing: documents fill bins of ``CAPACITY`` words, and none shares a bin with one of its own kind.
 
 A bin holds at most one document of a source and at most one of a cluster of duplicates. Documents are cut at the capacity; full
-pieces are bins of their own, and only the rests are packed. Rests are dealt by a hash of their row into shards of about
+pieces are bins of their own, and only the rests are packed. A document is known by its id, source, text hash and, among rows that
+share these, the number of its copy, so the packing does not depend on how the table lies in files. Rests are dealt by a hash of these into shards of about
 ``SHARD_ROWS`` rows, so a hot source or a large cluster spreads over all shards, and each shard is packed by best-fit decreasing:
 open bins are kept in order of their residual and carry bitmaps of sources and clusters; the search starts at the first bin that
 is large enough and goes on to its successors until a bin is compatible. That is the tightest compatible one; if there is
@@ -9,7 +10,8 @@ none, a bin is opened. The conflicts hold over all shards, as a bin never spans
 
 Edge cases: a document without words (null, empty, blank) needs no room: its row has no bin. A null source conflicts with
 nothing, nor does a null cluster. Rows with null ids and repeated rows are packed like any other (repeated rows have one cluster
-and so never share a bin). Equal sizes go by the row's hash. An empty table gives no rows. Other columns are not read.
+and so never share a bin). Equal sizes go in the order of id (nulls first), source, text hash and copy. Texts are only counted, however long, a
+slice of about a megabyte or one text at a time. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscribe.llm.common import INK_BYTES, text_slices, with_row_number, word_spans
+from reelscribe.llm.common import INK_BYTES, text_slices, word_spans
 from reelscribe.session import stage_table
 
 CAPACITY, SHARD_ROWS = 2048, 4096
@@ -44,6 +46,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, f"{kinds}, n_words long")
 
 
+def numbered_copies(counted: DataFrame, run: int = 4096) -> DataFrame:
+    """The rows with ``copy``, a number among equal rows. Equal rows are counted and dealt out again in runs, so many copies are no task's work alone."""
+    equal = counted.groupBy(*counted.columns).agg(F.count("*").alias("n"))
+    runs = equal.select(*counted.columns, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(run).cast("long"))).alias("at"))
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = runs.repartition(parts, "doc_id", "cluster", "at")
+    return dealt.select(*counted.columns, F.explode(F.sequence("at", F.least(F.col("at") + run, F.col("n")) - 1)).alias("copy"))
+
+
 def _bits(values: list) -> list[int]:
     """One bit for every value that occurs twice or more, none for others and for null: only repeated values can conflict."""
     counts = pd.Series(values, dtype=object).value_counts()
@@ -78,28 +89,29 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each piece: doc_id, source, piece, first_word, n_words, bin_id and bin_words (words in the bin)."""
-    counted = with_row_number(stage_table(word_counts(docs)), "row_no")
+    counted = stage_table(numbered_copies(word_counts(docs)))
     pieces = F.expr(f"cast(n_words div {capacity} as int)")
     rest = F.col("n_words") % capacity
+    name = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lower(F.hex("cluster")), F.lower(F.hex(F.xxhash64("source"))), "copy")
 
-    whole = counted.where(pieces > 0).select("doc_id", "source", "row_no", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).select(
+    whole = counted.where(pieces > 0).select("*", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).select(
         "doc_id", "source", "piece", (F.col("piece").cast("long") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("n_words"),
-        F.concat_ws("-", F.lit("whole"), "row_no", "piece").alias("bin_id"), F.lit(capacity).cast("long").alias("bin_words"),
+        F.concat_ws("-", F.lit("whole"), name, "piece").alias("bin_id"), F.lit(capacity).cast("long").alias("bin_words"),
     )
     blank = counted.where("n_words = 0").select(
         "doc_id", "source", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("bin_words"),
     )
-    rests = counted.where(rest > 0).select("doc_id", "source", "cluster", "row_no", pieces.alias("piece"), (pieces.cast("long") * capacity).alias("first_word"), rest.alias("n_words"))
+    rests = counted.where(rest > 0).select("doc_id", "source", "cluster", "copy", pieces.alias("piece"), (pieces.cast("long") * capacity).alias("first_word"), rest.alias("n_words"))
     shards = max(1, -(-rests.count() // shard_rows))
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "row_no"], ascending=[False, True], kind="stable")
+        rows = rows.sort_values(["n_words", "doc_id", "source", "cluster", "copy"], ascending=[False, True, True, True, True], kind="stable", na_position="first")
         null = rows["source"].isna()
         number = pack(rows["n_words"].tolist(), rows["source"].astype(object).where(~null, None).tolist(), rows["cluster"].tolist(), capacity)
         rows["bin_words"] = rows["n_words"].groupby(np.array(number)).transform("sum")
         rows["bin_id"] = [f"shared-{key[0]}-{n}" for n in number]
         return rows[["doc_id", "source", "piece", "first_word", "n_words", "bin_id", "bin_words"]]
 
-    packed = rests.withColumn("shard", F.pmod(F.xxhash64("row_no", "cluster"), F.lit(shards))).groupBy("shard").applyInPandas(fill, whole.schema)
+    packed = rests.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "copy"), F.lit(shards))).groupBy("shard").applyInPandas(fill, whole.schema)
     return whole.union(packed).union(blank)
