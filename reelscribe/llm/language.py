@@ -5,7 +5,8 @@ slots of an n-gram, and-ed together, are all languages that hold it, found in on
 are corrected for the false positives of each filter (its fill to the power of ``HASHES``), and the largest share decides.
 
 All training documents count: n-grams are counted per language by Spark, and an n-gram enters the filters of the languages in which
-it is at least ``SHARE`` as frequent as where it is most frequent. The table has ``SLOTS`` slots for every 64 languages, whatever
+it is at least ``SHARE`` as frequent as where it is most frequent and makes up ``LEAST`` of the language's n-grams: rarer ones, mostly slips of
+single documents, would fill the filters; a share, so that the rule is the same for a large and a small language or corpus. The table has ``SLOTS`` slots for every 64 languages, whatever
 the corpus; that is all that comes to the driver and goes to the tasks.
 
 Folds: crc32 of the id as text, modulo ``FOLDS``; remainder ``HELD_OUT`` and null ids are never learned from, nor are null
@@ -27,7 +28,7 @@ from reelscribe.llm.common import Slice, mix, text_slices
 from reelscribe.llm.quality_model import held_out
 
 FOLDS, HELD_OUT = 3, 1
-GRAM, HASHES, SLOTS, SHARE, MIN_COUNT = 4, 3, 1 << 20, 0.25, 3
+GRAM, HASHES, SLOTS, SHARE, LEAST = 4, 3, 1 << 20, 0.25, 1e-6
 LETTER = np.isin(np.arange(256), list(range(0x61, 0x7B))) | (np.arange(256) >= 0x80)
 
 
@@ -84,7 +85,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, int]:
     of_gram = Window.partitionBy("gram")
     totals = counts.groupBy("number").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "number").withColumn("share", F.col("n") / F.col("total"))
-    held = shares.withColumn("most", F.max("share").over(of_gram)).where((F.col("share") >= SHARE * F.col("most")) & (F.col("n") >= MIN_COUNT))
+    held = shares.withColumn("most", F.max("share").over(of_gram)).where((F.col("share") >= SHARE * F.col("most")) & (F.col("share") >= LEAST))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
