@@ -12,7 +12,7 @@ the corpus; that is all that comes to the driver and goes to the tasks.
 Folds: crc32 of the id as text, modulo ``FOLDS``; remainder ``HELD_OUT`` and null ids are never learned from, nor are null
 languages. Edge cases: a text that is null or has no letter is ``und`` with score 0; a text with letters but no known n-gram gets the language with
 most training documents and score 0; ties go to the first language in alphabetical order. Without training rows everything is
-``und``. Repeated rows are alike; an empty table gives no rows. Only id, text and language are read, the last one for learning only.
+``und``. Texts of any length count whole, a slice of some megabytes or one text at a time. Repeated rows are alike; an empty table gives no rows. Only id, text and language are read, the last one for learning only.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def _grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     last = np.append(owner, [s.n] * GRAM)[GRAM - 1 : GRAM - 1 + n]
     heads = np.zeros(n + GRAM, bool)
     heads[s.offsets[:-1] + np.arange(s.n)] = True
-    heads[n:] = True
+    heads[n] = True  # the blank after the last text
     # Fewer than two letters' bytes say little and are in every language.
     real = ((owner == last) | (owner + 1 == last) & heads[GRAM - 1 : GRAM - 1 + n]) & (some[GRAM : GRAM + n] - some[:n] >= 2)
     return gram[real], owner[real]
