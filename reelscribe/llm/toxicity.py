@@ -8,8 +8,8 @@ parts of it (``PARTS``), so the trees see a lexicon as fresh as the one they mee
 trees that have not seen the document.
 
 Folds: crc32 of the id as text, modulo ``FOLDS``; remainder ``HELD_OUT`` and null ids are never learned from. Edge cases as in the
-quality classifier: null and empty texts are scored, repeated rows alike, without labels every score is 0.5, an empty table gives
-no rows. Labels, language, source and id are no inputs; other columns are not read.
+quality classifier: null and empty texts are scored, repeated rows alike, equal scores are equal, without labels every score is 0.5, an empty
+table gives no rows. Texts of any length count whole, a slice of about a megabyte or one text at a time. Labels, language, source and id are no inputs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -111,7 +111,6 @@ def features(texts: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndar
         close = person[np.minimum(at + NEAR + 1, first[owner + 1])] - person[np.maximum(at - NEAR, first[owner])]
         near = np.zeros(len(starts), bool)
         near[at] = close > 0
-        rows[:, 5] = total(weight) / per
         rows[:, 6] = total(hit) / per
         rows[:, 7] = np.log1p(total(hit))
         rows[:, 8] = total(listed) / per
@@ -121,6 +120,7 @@ def features(texts: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndar
         rows[:, 12] = total(disguised)
         rows[:, 13] = total(shouted) / per
         some = n_words > 0
+        rows[some, 5] = np.add.reduceat(weight, first[:-1][some]) / per[some]  # text by text, so that equal texts have equal sums
         rows[some, 14] = np.maximum.reduceat(weight, first[:-1][some])
         rows[:, 15] = np.log1p(total(listed))
     return out
