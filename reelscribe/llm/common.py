@@ -1,7 +1,9 @@
 """Helpers shared by the text operators: vectorised words over Arrow batches, word hashes, staging.
 
 Texts reach Python as Arrow batches and are cut into slices of at most ``SLICE_BYTES`` (or one text), so that the temporaries
-of a task stay bounded whatever a batch holds. A slice is one byte buffer with the offset of every text in it.
+of a task stay bounded whatever a batch holds. A slice is one byte buffer with the offset of every text in it. A text above that size is a
+slice of its own: the wide temporaries (hashes of bytes) go over it in runs of words or lines of the same size, and what grows with it
+are a few bytes for each byte and some numbers for each word, about ten times its size in all.
 """
 
 from __future__ import annotations
@@ -89,11 +91,20 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
 
 
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of every word, from prefix sums of a polynomial."""
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "up", len(low)), out=sums[1:])
-    down = _power(_INVERSE, "down", len(low) + 1)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of the bytes of every word, from prefix sums of a polynomial; a long text goes in runs of words, which are hashed alike."""
+    out = np.zeros(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        origin = int(starts[first])
+        stop = max(first + 1, int(np.searchsorted(ends, origin + SLICE_BYTES, "right")))
+        a, b = starts[first:stop] - origin, ends[first:stop] - origin
+        piece = low[origin : origin + int(b[-1])]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "up", len(piece)), out=sums[1:])
+        down = _power(_INVERSE, "down", len(piece) + 1)
+        out[first:stop] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        first = stop
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

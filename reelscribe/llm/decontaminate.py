@@ -9,7 +9,7 @@
 Items below ``WINDOW`` words are a window of their own and are sought by the hash of all their words, by the same filter and join.
 
 Edge cases: a null text has no words; an item without words never occurs. Null item ids are one item, written as an empty string;
-repeated items count once. Rows with a null id and repeated rows are judged like any other. Empty tables give no hits or no rows.
+repeated items count once. Rows with a null id and repeated rows are judged like any other. Texts of any length are read whole, a slice of about a megabyte or one text at a time. Empty tables give no hits or no rows.
 Only id and text are read, so other columns cannot clash.
 """
 

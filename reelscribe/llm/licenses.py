@@ -9,7 +9,8 @@
 
 The templates are a fixed list, so the table of their positions, and its hashes that every task knows, have a fixed size.
 Edge cases: a null or empty text has no words and no labels. Rows with null ids and repeated rows are scanned like any other; an
-empty table gives no rows. Overlapping places all count. Only id and text are read, so other columns cannot clash.
+empty table gives no rows. Overlapping places all count, and so do two labels of one place. Texts of any length are scanned whole, a slice of
+about a megabyte or one text at a time. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

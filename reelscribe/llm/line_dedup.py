@@ -12,7 +12,7 @@ absent are kept whole.
 Edge cases: a null or empty text is one empty line, which is never long enough to be shared. A null id counts as one document
 that is smaller than any other, so it never keeps a shared line. Repeated rows of an id count once and are each cut; rows that
 share an id and differ in text are told apart by the text's hash. Ties cannot occur, as a keeper is an id. A table without rows
-gives none. Other columns are carried along untouched.
+gives none. A text of any length is split whole. Other columns are carried along untouched.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Rules for a line that holds a word (lines without one carry no text and always s
 A document is rejected by the method when fewer than half of its word characters remain.
 
 Edge cases: a null or empty text has no words, fails the base rule (fewer than 10 words) and is cleaned to an empty text; rows
-with null ids and repeated rows are judged like any other; other columns are untouched; an empty table gives an empty result.
+with null ids and repeated rows are judged like any other, and equal texts alike; a text of any length is judged whole, as one row of Spark's
+own arrays; other columns are untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations

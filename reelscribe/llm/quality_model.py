@@ -6,8 +6,8 @@ task and score all documents, whole texts, in Arrow batches.
 
 Folds: crc32 of the id as text, modulo ``FOLDS``; remainder ``HELD_OUT`` is never learned from, nor is a null id (it counts as
 held out). Labels that are null, contradict each other for one id or have no document teach nothing. Edge cases: a null or empty
-text has statistics of zero and is scored; repeated rows are scored alike; without any label every score is 0.5. Labels, language,
-source and id are no inputs. An empty table gives no rows; other columns are not read.
+text has statistics of zero and is scored; repeated rows are scored alike, and documents with equal statistics tie; without any label every
+score is 0.5. Texts of any length count whole, a slice of about a megabyte or one text at a time. Labels, language, source and id are no inputs. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

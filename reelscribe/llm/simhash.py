@@ -13,7 +13,7 @@
 
 Edge cases: a null or empty text, or one of blanks only, has fingerprint zero and links like any other; texts below the shingle
 length are one shingle. Rows with a null id take part, the component id is the smallest id that is not null (null when there is
-none). Repeated rows and equal texts share a fingerprint and thus a component. An empty table gives an empty result. Only id and
+none). Repeated rows and equal texts share a fingerprint and thus a component. Texts of any length count whole, a slice of about a megabyte or one text at a time. An empty table gives an empty result. Only id and
 text are read, so other columns cannot clash.
 """
 
