@@ -1,4 +1,9 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, each stage over all that the last one kept."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, each stage over all that the last one kept.
+
+Edge cases: the stages take rows with null ids, repeated rows and ties as their operators state it. Null, empty and wordless texts fail the
+quality rules and go. Texts of any length are read whole. An empty table gives an empty result with the columns of the bins. Further columns of
+the documents, also of names that the operators use inside, pass through all stages but the last, which has columns of its own.
+"""
 
 from __future__ import annotations
 
