@@ -41,6 +41,7 @@ INLINE_KEYS = (
 )
 MASK = "<redacted>"
 
+# Fixed values too: the patterns of inline secrets, header lines and links that masking depends on.
 _WS_OPEN = WHITESPACE[1:-1]
 INLINE_SECRET = (rf"""(["']?)({INLINE_KEYS})(["']?)({WHITESPACE}*[:=]{WHITESPACE}*)(["']?)"""
                  rf"""([^{_WS_OPEN},;&}}\]"']+)(["']?)""")

@@ -105,18 +105,16 @@ def with_member_counts(rows: DataFrame, members: DataFrame, owner: Sequence[str]
     return joined.withColumns({f"{k}_count": F.coalesce(f"{k}_count", F.lit(0)) for k in kinds})
 
 
-def build_evidence(paragraphs: DataFrame, frames: DataFrame, formulas: DataFrame, line: tl.Timeline, part_order: str,
+def build_evidence(paragraphs: DataFrame, links: DataFrame, line: tl.Timeline, part_order: str,
                    first: int = 1, claim: Column | None = None) -> DataFrame:
     """One evidence row per paragraph with ids in order; type from the frames and formulas it has.
 
-    ``frames`` and ``formulas`` are links (part_id, paragraph_id, id) made by ``point_in_interval``, each once; the rows carry their
+    ``links`` (part_id, paragraph_id, kind: frame or formula) are made by ``point_in_interval``, one for each id; the rows carry their
     numbers, ``evidence_members`` lists them. ``claim`` defaults to the first 240 characters of the corrected text.
     """
     from reelscribe.operators.sequence import assign_stable_ids
 
-    owner = ["part_id", "paragraph_id"]
-    tagged = frames.select(*owner, F.lit("frame").alias("kind")).unionByName(formulas.select(*owner, F.lit("formula").alias("kind")))
-    rows = with_member_counts(paragraphs, tagged, owner, ("frame", "formula"))
+    rows = with_member_counts(paragraphs, links, ["part_id", "paragraph_id"], ("frame", "formula"))
     has_frame, has_formula = F.col("frame_count") > 0, F.col("formula_count") > 0
     kind = F.when(has_frame & has_formula, "speech+slide+formula").when(has_frame, "speech+slide").otherwise("speech")
     text = claim if claim is not None else F.substring("text_corrected", 1, 240)

@@ -244,8 +244,9 @@ def narrow_paragraphs(spark, sf):
 
 
 def evidence(spark, sf, p):
-    hits = frame_hits(spark, sf, p)
-    return ev.build_evidence(p.drop("source_segment_ids"), hits, hits.filter("has_cue"), PAR_LINE, "part_no", first=100, claim=F.col("claim"))
+    kinds = F.when(F.col("has_cue"), F.array(F.lit("frame"), F.lit("formula"))).otherwise(F.array(F.lit("frame")))
+    links = frame_hits(spark, sf, p).select("part_id", "paragraph_id", F.explode(kinds).alias("kind"))
+    return ev.build_evidence(p.drop("source_segment_ids"), links, PAR_LINE, "part_no", first=100, claim=F.col("claim"))
 
 
 EVIDENCE_SQL = SESSION_SQL + ", " + FRAMES_SQL + FRAME_HIT_SQL + """,
