@@ -81,6 +81,8 @@ def propose_corrections(suggestions: DataFrame, cited: DataFrame, paragraphs: Da
     ``source_segment_ids``. ``frames``: frame_id. The first suggestion per (paragraph, original) wins; an
     accepted one needs high confidence and a known frame, else it is pending.
     """
+    from reelscribe.session import stage_table
+
     alts = split_suggestions(suggestions)
     members = paragraphs.select("paragraph_no", "paragraph_id", F.explode("source_segment_ids").alias("segment_id"))
     touched = (cited.filter("segment_id IS NOT NULL").join(members, "segment_id")
@@ -91,7 +93,8 @@ def propose_corrections(suggestions: DataFrame, cited: DataFrame, paragraphs: Da
     compact = F.replace("alt_original", F.lit(" "), F.lit(""))
 
     def occurs(term: Column) -> Column:
-        return F.coalesce((term != "") & (tx.count_term(F.col("text_clean"), term) > 0), F.lit(False))
+        # Most terms are not there at all, which a plain search tells before any pattern is made.
+        return F.coalesce((term != "") & F.contains(F.col("text_clean"), term) & (tx.count_term(F.col("text_clean"), term) > 0), F.lit(False))
 
     actual = F.when(occurs(F.col("alt_original")), F.col("alt_original")).when(occurs(compact), compact)
     rows = rows.withColumn("original_text", actual).filter("original_text IS NOT NULL")
@@ -105,7 +108,7 @@ def propose_corrections(suggestions: DataFrame, cited: DataFrame, paragraphs: Da
     decided = first.withColumn("cited_frames", frames_known).withColumn(
         "decision", F.when(downgrade, "pending").otherwise(F.col("decision"))).withColumn("applied", F.col("decision") == "accepted")
     # Numbers run over the alternatives in encounter order, and in blocks of paragraphs within each.
-    ranked = decided.withColumn("_alt", F.shiftleft(F.col("suggestion_no").cast("long"), 20) + F.col("alt_no"))
+    ranked = stage_table(decided.withColumn("_alt", F.shiftleft(F.col("suggestion_no").cast("long"), 20) + F.col("alt_no")))
     line = tl.by_position(["_alt"], "paragraph_no")
     numbered = sq.assign_stable_ids(ranked, line, "_alt", prefix="C", name="correction_id").drop("_alt")
 

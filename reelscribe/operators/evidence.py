@@ -126,7 +126,9 @@ def evidence_members(evidence: DataFrame, links: dict[str, tuple[DataFrame, str,
 
     ``links``: kind -> (links by part_id and paragraph_id, place, id, span of a block). With ``position`` any row is traced to its sources.
     """
-    keys = evidence.select("part_id", "paragraph_id", "evidence_id")
+    from reelscribe.session import stage_table
+
+    keys = stage_table(evidence.select("part_id", "paragraph_id", "evidence_id"))
     out = None
     for kind, (rows, place, ref, span) in links.items():
         mine = ordered_members(tl.join_parts(rows, keys, ["part_id", "paragraph_id"]), ["evidence_id"], kind, place, ref, span)

@@ -229,9 +229,9 @@ FRAMES_SQL = v.MOM_SQL + ", fr AS (SELECT CAST(job_id AS VARCHAR) AS part_id, ev
 
 
 def frame_hits(spark, sf, p):
-    """(part_id, paragraph_id, frame_id, t, has_cue): the frames of every paragraph, by time."""
+    """(part_id, paragraph_id, frame_id, t, has_cue): the frames of every paragraph, by time; staged, as evidence and its members read them."""
     hits = iv.point_in_interval(frames_of_parts(spark, sf), p.select("part_id", "paragraph_id", "start_ms", "end_ms"), ["part_id"], "t", "start_ms", "end_ms", 60_000)
-    return hits.select("part_id", "paragraph_id", "frame_id", "t", "has_cue")
+    return stage_table(hits.select("part_id", "paragraph_id", "frame_id", "t", "has_cue"))
 
 
 FRAME_HIT_SQL = ", hit AS (SELECT p.part_id, p.group_no, p.paragraph_id, fr.frame_id, fr.t, fr.has_cue FROM par p JOIN fr ON fr.part_id = p.part_id AND t >= start_ms AND t < end_ms)"
@@ -243,9 +243,9 @@ def narrow_paragraphs(spark, sf):
     return stage_table(p.select("part_id", F.col("part_id").cast("long").alias("part_no"), "group_no", "paragraph_id", "start_ms", "end_ms", F.substring("text_clean", 1, 240).alias("claim"), "source_segment_ids"))
 
 
-def evidence(spark, sf, p):
+def evidence(p, hits):
     kinds = F.when(F.col("has_cue"), F.array(F.lit("frame"), F.lit("formula"))).otherwise(F.array(F.lit("frame")))
-    links = frame_hits(spark, sf, p).select("part_id", "paragraph_id", F.explode(kinds).alias("kind"))
+    links = hits.select("part_id", "paragraph_id", F.explode(kinds).alias("kind"))
     return ev.build_evidence(p.drop("source_segment_ids"), links, PAR_LINE, "part_no", first=100, claim=F.col("claim"))
 
 
@@ -257,14 +257,14 @@ evi AS (SELECT p.*, coalesce(frame_count, 0) AS frame_count, coalesce(formula_co
 
 @query("j21_build_evidence", f"WITH RECURSIVE {EVIDENCE_SQL} SELECT evidence_id, part_id, paragraph_id, start_ms, end_ms, evidence_type, claim, frame_count, formula_count FROM evi")
 def j21(spark, sf):
-    out = evidence(spark, sf, narrow_paragraphs(spark, sf))
+    p = narrow_paragraphs(spark, sf)
+    out = evidence(p, frame_hits(spark, sf, p))
     return out.select("evidence_id", "part_id", "paragraph_id", "start_ms", "end_ms", "evidence_type", "claim", "frame_count", "formula_count")
 
 
-def members_of_evidence(spark, sf, p):
-    hits = frame_hits(spark, sf, p)
+def members_of_evidence(p, hits):
     spoken = p.select("part_id", "paragraph_id", F.posexplode("source_segment_ids").alias("place", "segment_id"))
-    return ev.evidence_members(evidence(spark, sf, p), {
+    return ev.evidence_members(evidence(p, hits), {
         "segment": (spoken, "place", "segment_id", 4096), "frame": (hits, "t", "frame_id", 60_000), "formula": (hits.filter("has_cue"), "t", "frame_id", 60_000)})
 
 
@@ -278,18 +278,21 @@ emem AS (
 
 @query("j21_evidence_members", f"WITH RECURSIVE {EVIDENCE_MEMBER_SQL} SELECT evidence_id, kind, position, ref_id FROM emem")
 def j21_members(spark, sf):
-    return members_of_evidence(spark, sf, narrow_paragraphs(spark, sf))
+    p = narrow_paragraphs(spark, sf)
+    return members_of_evidence(p, frame_hits(spark, sf, p))
 
 
 def section_inputs(spark, sf):
     """Two paragraphs to a section: (plan, paragraphs with their evidence, frames of paragraphs, formulas)."""
-    e = stage_table(evidence(spark, sf, narrow_paragraphs(spark, sf)))
+    narrow = narrow_paragraphs(spark, sf)
+    hits = frame_hits(spark, sf, narrow)
+    e = stage_table(evidence(narrow, hits))
     p = e.select("part_id", "group_no", "paragraph_id", "evidence_id", "start_ms", "end_ms", F.substring("claim", 1, 22).alias("summary"), F.when(F.col("frame_count") > 0, "medium").otherwise("high").alias("confidence"))
     plan = e.groupBy("part_id").agg(F.max("group_no").alias("n")).withColumn("section_no", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("n") / 2).cast("long"))))
     plan = plan.select("part_id", "section_no", F.concat(F.lit("section "), F.col("section_no").cast("string")).alias("title"),
                        (F.col("section_no") * 2 - 1).alias("first_no"), (F.col("section_no") * 2).alias("last_no"))
     formulas = frames_of_parts(spark, sf).filter("has_cue").select("part_id", F.col("frame_id").alias("formula_id"), "t")
-    return plan, p, frame_hits(spark, sf, e).drop("has_cue"), formulas
+    return plan, p, hits.drop("has_cue"), formulas
 
 
 SECTION_SQL = EVIDENCE_SQL + """,
@@ -308,7 +311,7 @@ SELECT s.part_id, section_id, 'section ' || CAST(section_no AS VARCHAR) AS title
  evidence_count, frame_count, formula_count FROM sec s JOIN c USING (part_id, section_id)""")
 def j17(spark, sf):
     plan, p, frames, formulas = section_inputs(spark, sf)
-    sections = ev.build_sections(plan, p)
+    sections = stage_table(ev.build_sections(plan, p))
     members = ev.section_members(plan, p, sections, frames, formulas, 60_000)
     return ev.with_member_counts(sections, members, ["part_id", "section_id"], ("evidence", "frame", "formula"))
 
@@ -326,9 +329,10 @@ UNION ALL SELECT 'evidence', evidence_id, 'slide_without_frame' FROM b WHERE con
 def v4_members(spark, sf):
     """Evidence with the counts of its child rows; every fifth paragraph lacks its segments, every third claims a formula."""
     p = narrow_paragraphs(spark, sf)
-    e = stage_table(evidence(spark, sf, p).drop("frame_count", "formula_count"))
+    hits = frame_hits(spark, sf, p)
+    e = stage_table(evidence(p, hits).drop("frame_count", "formula_count"))
     bare = e.filter("group_no % 5 = 0").select("evidence_id")
-    members = members_of_evidence(spark, sf, p)
+    members = members_of_evidence(p, hits)
     members = members.filter("kind <> 'segment'").unionByName(members.filter("kind = 'segment'").join(bare, "evidence_id", "left_anti"))
     rows = ev.with_member_counts(e, members, ["evidence_id"], ("segment", "frame", "formula"))
     return rules.rules_evidence(rows.withColumn("evidence_type", F.when(F.col("group_no") % 3 == 0, "speech+slide+formula").otherwise(F.col("evidence_type"))))
@@ -357,13 +361,14 @@ FROM n JOIN cv USING (part_id) GROUP BY part_id""")
 def a4(spark, sf):
     """Links from the evidence, its frames and the matched corrections. Some paragraphs lose their segments, some segments stand in a second one."""
     p = paragraphs(spark, sf, reused=True).withColumn("part_no", F.col("part_id").cast("long"))
-    e = evidence(spark, sf, p.withColumn("claim", F.substring("text_clean", 1, 240)).drop("text_raw", "text_clean", "title"))
+    hits = frame_hits(spark, sf, p)
+    e = evidence(p.withColumn("claim", F.substring("text_clean", 1, 240)).drop("text_raw", "text_clean", "title"), hits)
     link = lambda rows, kind, ref: rows.select("part_id", "paragraph_id", F.lit(kind).alias("kind"), F.col(ref).cast("string").alias("ref_id"))
     segments = v.segments(spark, sf)
     spoken = p.filter("NOT (part_no % 4 = 0 AND group_no % 3 = 0)").select("part_id", "paragraph_id", F.explode("source_segment_ids").alias("segment_id"))
     again = segments.filter("part_no % 5 = 0 AND seq % 2 = 0").withColumn("paragraph_id", F.lit("elsewhere"))
     members = link(spoken, "segment", "segment_id").unionByName(link(again, "segment", "segment_id")).unionByName(link(paragraph_corrections(spark, sf, p), "correction", "term_no"))
-    members = members.unionByName(link(frame_hits(spark, sf, p), "frame", "frame_id")).unionByName(link(e, "evidence", "evidence_id"))
+    members = members.unionByName(link(hits, "frame", "frame_id")).unionByName(link(e, "evidence", "evidence_id"))
     return rp.paragraph_quality_report(p, PAR_LINE, segments, members)
 
 
@@ -452,7 +457,7 @@ def k7(spark, sf):
     jobs = v.read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("job_id")).distinct()
     whole = paragraphs(spark, sf, reused=True)
     narrow = whole.select("part_id", F.col("part_id").cast("long").alias("part_no"), "group_no", "paragraph_id", "start_ms", "end_ms", F.substring("text_clean", 1, 240).alias("claim"))
-    e = stage_table(evidence(spark, sf, narrow.withColumn("source_segment_ids", F.lit(None))))
+    e = stage_table(evidence(narrow.withColumn("source_segment_ids", F.lit(None)), frame_hits(spark, sf, narrow)))
     shown = e.select("part_id", "group_no", "paragraph_id", "evidence_id", "start_ms", "end_ms", F.substring("claim", 1, 22).alias("summary"), F.when(F.col("frame_count") > 0, "medium").otherwise("high").alias("confidence"))
     plan = shown.select("part_id", "group_no", F.ceil(F.col("group_no") / 2).cast("long").alias("section_no")).groupBy("part_id", "section_no").agg(F.min("group_no").alias("first_no"), F.max("group_no").alias("last_no")).withColumn("title", F.lit(""))
     s = ev.build_sections(plan, shown).withColumn("section_no", F.substring("section_id", 4, 20).cast("long"))
