@@ -22,9 +22,8 @@ def counts_over(df: DataFrame, part: Sequence[str], column: str, domain: Sequenc
     return [F.count(F.when(F.col(column) == v, 1)).alias(prefix + v) for v in domain]
 
 
-def text_measures(raw: Column, clean: Column | None = None, cues: Sequence[str] = (), long_chars: int = 180) -> dict[str, Column]:
-    """All that the reports know of a text, as a few numbers. Compute them once per distinct text where segments share texts."""
-    clean = tx.clean_text(raw) if clean is None else clean
+def text_measures(raw: Column, clean: Column, cues: Sequence[str] = (), long_chars: int = 180) -> dict[str, Column]:
+    """All that the reports know of a text, as a few numbers."""
     total = sum((tx.count_of(raw, F.lit(c)) for c in cues), F.lit(0))
     return {
         "m_chars": F.length(F.regexp_replace(raw, tx.WHITESPACE + "+", "")).cast("long"), "m_dense": F.length(F.replace(raw, F.lit(" "), F.lit(""))).cast("long"),
@@ -33,11 +32,21 @@ def text_measures(raw: Column, clean: Column | None = None, cues: Sequence[str]
         "m_symbols": F.size(F.array_distinct(F.regexp_extract_all(raw, F.lit(tx.NUMBER_OR_SYMBOL), F.lit(0)))), "m_cues": total.cast("long")}
 
 
+def with_text_measures(rows: DataFrame, text: str, cues: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with the measures of a text. For tables of texts that several segments share, before the segments join them.
+
+    One lambda over the text: all patterns in one generated method would be too long for the JVM to compile.
+    """
+    both = F.array(F.struct(F.col(text).alias("raw"), tx.clean_text(F.col(text)).alias("clean")))
+    one = F.transform(both, lambda x: F.struct(*[c.alias(n) for n, c in text_measures(x["raw"], x["clean"], cues).items()]))[0]
+    return rows.withColumn("_m", one).select(*rows.columns, "_m.*")
+
+
 def _measured(segments: DataFrame, cues: Sequence[str] = ()) -> DataFrame:
     """The segments with their measures; those that carry them already are left as they are."""
     if "m_chars" in segments.columns:
         return segments
-    clean = F.col("text_clean") if "text_clean" in segments.columns else None
+    clean = F.col("text_clean") if "text_clean" in segments.columns else tx.clean_text(F.col("text_raw"))
     return segments.withColumns(text_measures(F.col("text_raw"), clean, cues))
 
 
@@ -106,7 +115,7 @@ def asr_quality_report(segments: DataFrame, line: tl.Timeline, time_line: tl.Tim
                        gap_minimum: int = 2000, minute: int = 60_000, density: int = 20) -> DataFrame:
     """A2: A1 plus gaps, sparse minutes, term counts and real-time factor. ``runs``: part, duration, elapsed_ms.
 
-    Texts are measured first (or come measured, see ``text_measures``); keys, times and numbers are staged once, and every part of the report reads these.
+    Texts are measured first (or come measured, see ``with_text_measures``); keys, times and numbers are staged once, and every part of the report reads these.
     """
     from reelscribe.session import stage_table
 

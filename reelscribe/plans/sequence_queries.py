@@ -272,7 +272,7 @@ def event_segments(spark, sf, cues=()):
 
     A text is measured once, however many events have it; the events carry the numbers.
     """
-    d = v.docs(spark, sf).select(F.col("doc_id").alias("_doc"), *[c.alias(n) for n, c in rp.text_measures(F.col("text"), None, cues).items()])
+    d = rp.with_text_measures(v.docs(spark, sf).select(F.col("doc_id").alias("_doc"), "text"), "text", cues).drop("text")
     doc = F.col("event_id") % v.read(spark, sf, "documents").agg(F.max("doc_id") + 1).scalar()
     return v.local_intervals(spark, sf).withColumn("_doc", doc).join(d, "_doc").drop("_doc").withColumn("seq", F.col("event_id"))
 
