@@ -11,54 +11,13 @@ from reelscribe.functions import text as tx
 from reelscribe.functions import values as vx
 from reelscribe.operators import sequence as sq
 from reelscribe.operators import timeline as tl
-
-#: Lengths of the runs of characters that texts are listed by.
-GRAMS = (1, 2, 3, 6)
-
-
-def _runs(chars: Column, size: int) -> Column:
-    starts = F.when(F.size(chars) >= size, F.sequence(F.lit(0), F.size(chars) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(chars, i + 1, F.lit(size)), ""))
-
-
-def _listed(value: Column, body) -> Column:
-    """``body`` of the characters of a text, which are listed once."""
-    return F.transform(F.array(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))), body)[0]
-
-
-def _term_runs(value: Column) -> Column:
-    """The runs of a term: all of the longest listed length that it has."""
-    def runs(chars: Column) -> Column:
-        out = F.array().cast("array<string>")
-        for size in GRAMS:
-            out = F.when(F.size(chars) >= size, _runs(chars, size)).otherwise(out)
-        return F.array_distinct(out)
-
-    return _listed(value, runs)
+from reelscribe.operators.search import term_pieces
 
 
 def match_terms(texts: DataFrame, ident: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
-    """Every (text row, term row) where the text contains the term; empty terms match nothing.
-
-    An index of runs of characters: the texts' runs that occur in some term are postings, and a term meets the texts on its rarest
-    run. Only the ``ident`` columns (which tell the rows of ``texts`` apart) travel with the runs; the texts join the candidates, and
-    ``contains`` settles each.
-    """
-    from reelscribe.session import stage_table
-
-    distinct = terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct()
-    wanted = stage_table(distinct.select("_term", F.explode(_term_runs(F.col("_term"))).alias("_gram")))
-    # Lengths that no term has are not listed; there are at most as many as GRAMS.
-    sizes = sorted(r[0] for r in wanted.select(F.length("_gram")).distinct().collect())
-    listed = _listed(F.col(text), lambda chars: F.array_distinct(F.concat(*[_runs(chars, n) for n in sizes]))) if sizes else F.array().cast("array<string>")
-    asked = texts.select(*ident, F.explode(listed).alias("_gram"))
-    postings = stage_table(asked.join(wanted.select("_gram").distinct(), "_gram", "left_semi"))
-    counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    # A term with a run that no text has gets no number for it, sorts it first and meets nothing.
-    rarest = wanted.join(counts, "_gram", "left").groupBy("_term").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_gram"))
-    candidates = postings.join(rarest, "_gram").drop("_gram")
-    hits = candidates.join(texts, list(ident)).filter(F.contains(F.col(text), F.col("_term")))
-    return hits.join(terms.withColumn("_term", F.col(term)), "_term").drop("_term")
+    """Every (text row, term row) where the text contains the term, with the ``ident`` columns of the text row and all of the term row;
+    empty terms match nothing. ``text`` may be a list of strings. Pieces of the texts that pass a filter of the terms join them, see ``search``."""
+    return term_pieces(texts, ident, text, terms, term).join(terms.withColumn("_term", F.col(term)), "_term").drop("_term")
 
 
 def split_suggestions(suggestions: DataFrame) -> DataFrame:
@@ -165,9 +124,9 @@ def apply_overrides(corrections: DataFrame, overrides: DataFrame) -> tuple[DataF
 
 def first_mention(terms: DataFrame, segments: DataFrame, ident: Sequence[str], text: str, start: str, default: int) -> DataFrame:
     """Start of the first row whose lower-cased text ('-' read as blank) contains the term; ``ident`` tells rows apart."""
-    shaped = segments.select(*[F.col(c).alias(f"_i{n}") for n, c in enumerate(ident)], F.translate(F.lower(text), "-", " ").alias("_t"), F.col(start).alias("_start"))
+    shaped = segments.select(F.translate(F.lower(text), "-", " ").alias("_t"), F.col(start).alias("_start"))
     wanted = terms.withColumn("_key", F.translate(F.lower("term"), "-", " "))
-    hits = match_terms(shaped, [f"_i{n}" for n in range(len(ident))], "_t", wanted.select("_key").distinct(), "_key").groupBy("_key").agg(F.min("_start").alias("_first"))
+    hits = term_pieces(shaped, ["_start"], "_t", wanted, "_key", "_key").groupBy("_key").agg(F.min("_start").alias("_first"))
     return wanted.join(hits, "_key", "left").select(*terms.columns, F.coalesce("_first", F.lit(default)).alias("first_start"))
 
 
@@ -176,10 +135,9 @@ def search_timeline(items: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``items`` has kind, item_id, t and a ``haystack`` array of its layers (title, raw, cleaned and corrected text, symbols, aliases, ...).
     """
-    layers = items.select("kind", "item_id", "t", F.posexplode("haystack").alias("_layer", "_text")).filter("_text IS NOT NULL")
-    lowered = layers.select("kind", "item_id", "t", "_layer", F.lower("_text").alias("_text"))
+    lowered = items.select("kind", "item_id", "t", F.transform("haystack", F.lower).alias("_text"))
     asked = queries.select("query", F.lower("query").alias("_query")).distinct()
-    hits = match_terms(lowered, ["kind", "item_id", "t", "_layer"], "_text", asked, "_query")
+    hits = match_terms(lowered, ["kind", "item_id", "t"], "_text", asked, "_query")
     return hits.select("kind", "item_id", "t", "query").distinct()
 
 

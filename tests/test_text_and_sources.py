@@ -1,4 +1,7 @@
 import json
+import random
+
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
@@ -194,3 +197,31 @@ def test_open_media_part_takes_far_points(spark):
     points = spark.createDataFrame([("p", 100), ("p", 999), ("p", 1000), ("p", 5_000_000_000_000)], "part_id string, t bigint")
     got = sorted((r.t, r.media_no, r.local_time) for r in iv.map_to_media(points, media, ["part_id"], "t", 300).collect())
     assert got == [(100, 1, 100), (999, 1, 999), (1000, 2, 0), (5_000_000_000_000, 2, 4_999_999_999_000)]
+
+
+def test_search_moves_no_text(spark, monkeypatch):
+    from reelscribe.operators import search as se
+
+    monkeypatch.setattr(se, "CHUNK_BYTES", 64)
+    words = ["naïve", "na", "ïv", "été 😀", "straße", "x", "a much longer term than any other", "theatre the", "absent words"]
+    values = [None, "", "na", "x" * 700 + "the theatre the theatre", "naïve été 😀 straße", "a much longer term than any other" * 9, "été", "the", "😀"]
+    rng = random.Random(4)
+    values += ["".join(rng.choice(["x", "na", "ïve ", "été ", "😀", "straße", "theatre ", "the"]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    terms = spark.createDataFrame([(w, i) for i, w in enumerate(words + ["", "na", None])], "term string, no int")
+    texts = spark.createDataFrame(list(enumerate(values)), "id int, text string")
+    # Each chunk of 64 bytes is looked at with what a term may reach beyond it; run here as the tasks do.
+    sizes, sieve = se._sieve(terms, "term")
+    rows, pieces = se._pieces(pa.array(values, pa.string()), None, sizes, sieve)
+    want = {(i, w) for i, x in enumerate(values) for w in words if x and w in x}
+    found = list(zip(rows.tolist(), pieces.to_pylist()))
+    assert len(found) == len(set(found)) and want <= set(found) and all(p in values[i] for i, p in found)
+    hits = co.match_terms(texts, ["id"], "text", terms, "term")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.term, r.no) for r in hits.collect()) == sorted((i, w, n) for i, x in enumerate(values) for n, w in enumerate(words + ["", "na"]) if x and w and w in x)
+    # Texts are neither listed run by run nor joined with candidates.
+    assert plan.count("Join") == 1 and "Generate" not in plan
+    lists = spark.createDataFrame([(1, ["the", None, "na", "theatre the"]), (2, None), (3, []), (4, ["x", "na x"])], "id int, text array<string>")
+    got = sorted((r.id, r.term) for r in co.match_terms(lists, ["id"], "text", terms.distinct(), "term").collect())
+    assert got == sorted([(1, "na"), (1, "na"), (1, "theatre the"), (4, "x"), (4, "na"), (4, "na")])
+    first = co.first_mention(terms.select("term").distinct(), texts.withColumn("at", F.col("id") * 10), ["id"], "text", "at", -1)
+    assert {r.term: r.first_start for r in first.collect() if r.term} == {w: min([10 * i for i, x in enumerate(values) if x and w in x.lower()], default=-1) for w in words}
