@@ -21,15 +21,15 @@ def link_by_shared_ids(left: DataFrame, left_id: str, left_ref: str, right: Data
 def find_dangling_references(rows: DataFrame, ident: str, references: dict[str, tuple[Column, DataFrame, str]]) -> DataFrame:
     """One row per reference that has no parent: (id, kind, missing).
 
-    ``references`` maps a kind to (array of ids, parent table, parent key). Distinct missing ids are found
-    first, so a hot parent id is joined once however many rows cite it.
+    ``references`` maps a kind to (array of ids, parent table, parent key); an id may have several rows. Distinct missing ids are found
+    first, so a hot parent id is joined once however many rows cite it; only the rows that cite one are made distinct.
     """
     out = None
     for kind, (ids, parent, parent_key) in references.items():
-        cited = rows.select(F.col(ident), F.explode(F.array_distinct(ids)).alias("missing"))
+        cited = rows.select(F.col(ident), F.explode(ids).alias("missing"))
         known = parent.select(F.col(parent_key).alias("missing")).distinct()
         absent = cited.select("missing").distinct().join(known, "missing", "left_anti")
-        bad = cited.join(absent, "missing").select(ident, F.lit(kind).alias("kind"), F.col("missing").cast("string").alias("missing"))
+        bad = cited.join(absent, "missing").distinct().select(ident, F.lit(kind).alias("kind"), F.col("missing").cast("string").alias("missing"))
         out = bad if out is None else out.unionByName(bad)
     return out
 

@@ -158,21 +158,18 @@ def j5(spark, sf):
     return ev.link_by_shared_ids(e, "evidence_id", "l_suppkey", s, "section_id", "s_suppkey")
 
 
-def reference_groups(spark, sf):
-    l = v.read(spark, sf, "lineitem")
-    return l.groupBy(F.col("l_orderkey").alias("evidence_id")).agg(F.collect_set("l_partkey").alias("parts"), F.collect_set("l_suppkey").alias("suppliers"))
-
-
 @query("j9_find_dangling_references", """
 SELECT DISTINCT l_orderkey AS evidence_id, 'part' AS kind, CAST(l_partkey AS VARCHAR) AS missing FROM lineitem WHERE l_partkey % 101 = 0
 UNION ALL SELECT DISTINCT l_orderkey, 'supplier', CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE l_suppkey % 101 = 0 UNION ALL SELECT DISTINCT l_orderkey, 'order', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey % 101 = 0""")
 def j9(spark, sf):
-    r = reference_groups(spark, sf)
+    l = v.read(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "evidence_id")
     parents = {t: v.read(spark, sf, t) for t in ("part", "supplier", "orders")}
-    return ev.find_dangling_references(r, "evidence_id", {
-        "part": (F.col("parts"), parents["part"].filter("p_partkey % 101 <> 0"), "p_partkey"),
-        "supplier": (F.col("suppliers"), parents["supplier"].filter("s_suppkey % 101 <> 0"), "s_suppkey"),
-        "order": (F.array("evidence_id"), parents["orders"].filter("o_orderkey % 101 <> 0"), "o_orderkey")})
+    lines = ev.find_dangling_references(l, "evidence_id", {
+        "part": (F.array("l_partkey"), parents["part"].filter("p_partkey % 101 <> 0"), "p_partkey"),
+        "supplier": (F.array("l_suppkey"), parents["supplier"].filter("s_suppkey % 101 <> 0"), "s_suppkey")})
+    # All lines of an order name the same one.
+    return lines.unionByName(ev.find_dangling_references(l.select("evidence_id").distinct(), "evidence_id", {
+        "order": (F.array("evidence_id"), parents["orders"].filter("o_orderkey % 101 <> 0"), "o_orderkey")}))
 
 
 @query("j12_compare_independent_passes", """

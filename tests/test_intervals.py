@@ -111,3 +111,10 @@ def test_reader_pages_of_many_tables(spark):
     assert moves[0] == moves[1]
     got = {(r.job_id, r.page): ([x.name for x in r.one or []], [x.term for x in r.two or []]) for r in out.collect()}
     assert got == {("a", 0): (["s0", "s1", "s2"], ["g5", "g6", "g7"]), ("a", 1): (["s3", "s4", "s5"], ["g8", "g9"]), ("a", 2): (["s6"], []), ("b", 0): ([], []), (None, 0): (["n"], [])}
+
+
+def test_dangling_references_of_single_rows(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 5), (2, None), (3, 7)], "id bigint, part bigint")
+    parts = spark.createDataFrame([(6,), (7,), (7,)], "p bigint")
+    out = ev.find_dangling_references(rows, "id", {"part": (F.array("part"), parts, "p")})
+    assert sorted((r.id, r.kind, r.missing) for r in out.filter("missing IS NOT NULL").collect()) == [(1, "part", "5"), (2, "part", "5")]
