@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from reelscribe.functions import text as tx
 from reelscribe.operators import timeline as tl
-from reelscribe.session import stage_table
+from reelscribe.session import scratch_folder, stage_table
 
 # Thresholds of the frame measures.
 BLACK_LUMA, BLACK_RATIO, DARK_MEAN, FLAT_STDDEV = 16, 0.97, 24.0, 6.0
@@ -205,6 +206,10 @@ class Protection:
     edge_ratio: float = 0.001
     contrast_ratio: float = 0.0005
 
+    def by_itself(self, frame: Column) -> Column:
+        """Whether a frame is protected whatever kept frame it resembles."""
+        return F.coalesce(frame["protected_cue"], F.lit(False)) | (F.coalesce(frame["scene_score"], F.lit(0.0)) >= self.scene_score)
+
     def reasons(self, frame: Column, kept: Column) -> Column:
         found = [F.when(frame["protected_cue"], "protected_subtitle_cue"),
                  F.when(F.abs(frame["t"] - kept["t"]) >= self.time_gap, "time_interval")]
@@ -227,7 +232,7 @@ def greedy_dedup(frames: DataFrame, job: str, ident: str, order: Sequence[str],
     *leader*, the first frame kept, can be a canonical, and per (hash, distance) only the best-ranked leader
     matters: at most ``threshold`` facts per hash. Leaders are found by rounds of joins over all jobs at once, as
     many as the longest chain of frames that wait for each other, each staged in the shared folder; then one join decides
-    every frame. Pixels do not travel with the rounds: they are joined for the pairs that need them. Returns the frames with ``action``, ``canonical_id``, ``distance``, ``protection_reasons``.
+    every frame. A frame waits only for frames that may still be nearer than the nearest leader known. Pixels do not travel with the rounds: they are joined for the pairs that need them. Returns the frames with ``action``, ``canonical_id``, ``distance``, ``protection_reasons``.
     """
     payload = ["t", "protected_cue", "scene_score"]
     score = F.col("scene_score").cast("double")
@@ -287,37 +292,60 @@ def _with_change(rows: DataFrame, pixels: DataFrame | None, job: str, wanted: Co
 def _leaders(rows: DataFrame, edges: DataFrame, key: list[str], protection: Protection, pixels: DataFrame | None) -> DataFrame:
     """(key, leader): the first kept frame of each hash that has one.
 
-    A frame is ready once every neighbouring hash without a leader starts later. A round decides all ready frames of all jobs;
-    it stages the frames that were open, its own new leaders and what is known about hashes that are still open, no more.
+    A frame that protects itself stays. Any other is ready once no neighbouring hash without a leader has an open frame that comes
+    earlier and would be nearer than the nearest leader known. A round decides all ready frames of all jobs. A frame that stays leads
+    once the earlier ones of its hash are dropped; later ones are no longer asked. The first open frame of a job is always ready.
+
+    The tables of the rounds are files, as a plan over files knows their sizes however many rounds went before.
     """
+    with scratch_folder(rows.sparkSession, "leaders") as folder:
+        return stage_table(_rounds(rows, edges, key, protection, pixels, folder))
+
+
+def _rounds(rows: DataFrame, edges: DataFrame, key: list[str], protection: Protection, pixels: DataFrame | None, folder: str) -> DataFrame:
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}-{done}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     job = key[0]
     cheap = replace(protection, pixels=False)
-    open_rows, facts, found_all = rows, None, None
-    while True:
+    rank = F.col("_self.rank")
+    open_rows, facts, found_all = rows.withColumn("_sure", protection.by_itself(F.col("_self"))), None, None
+    for done in count():
         frontier = open_rows.groupBy(*key).agg(F.min("_self.rank").alias("_from"))
         other = frontier.select(job, F.col("hash_hi").alias("other_hi"), F.col("hash_lo").alias("other_lo"), F.col("_from").alias("_other_from"))
-        limits = edges.join(other, [job, "other_hi", "other_lo"]).groupBy(*key).agg(F.min("_other_from").alias("_limit"))
-        judged = open_rows.join(limits, key, "left")
-        if facts is not None:
-            judged = judged.join(_steps(facts, key), key, "left").withColumn("_near", _nearest(F.col("_steps"), F.col("_self.rank"))).drop("_steps")
-        judged = judged.withColumn("_ready", F.col("_limit").isNull() | (F.col("_self.rank") < F.col("_limit")))
+        waits = edges.join(other, [job, "other_hi", "other_lo"]).groupBy(*key, "distance").agg(F.min("_other_from").alias("from"))
+        judged = open_rows.join(waits.groupBy(*key).agg(F.collect_list(F.struct("distance", "from")).alias("_waits")), key, "left")
         if facts is None:
+            judged = judged.withColumn("_ready", F.col("_sure") | ~F.coalesce(F.exists("_waits", lambda w: w["from"] < rank), F.lit(False)))
             judged = judged.withColumn("_stays", F.col("_ready"))
         else:
-            free = F.col("_near").isNull() | (F.size(cheap.reasons(F.col("_self"), F.col("_near.leader"))) > 0)
+            judged = judged.join(_steps(facts, key), key, "left").withColumn("_near", _nearest(F.col("_steps"), rank)).drop("_steps")
+            near = F.col("_near")
+
+            def may_matter(w: Column) -> Column:
+                nearer = near.isNull() | (w["distance"] < near["distance"]) | ((w["distance"] == near["distance"]) & (w["from"] < near["leader"]["rank"]))
+                return (w["from"] < rank) & nearer
+
+            judged = judged.withColumn("_ready", F.col("_sure") | ~F.coalesce(F.exists("_waits", may_matter), F.lit(False)))
+            free = F.col("_sure") | near.isNull() | (F.size(cheap.reasons(F.col("_self"), F.col("_near.leader"))) > 0)
             judged = judged.withColumn("_free", F.col("_ready") & free)
             judged = _with_change(judged, pixels, job, F.col("_ready") & ~F.col("_free"))
             held = F.size(protection.reasons(F.col("_self"), F.col("_near.leader"))) > 0 if protection.pixels else F.lit(False)
             judged = judged.withColumn("_stays", F.col("_free") | (F.col("_ready") & held))
-        judged = stage_table(judged.select(*key, "_self", "_ready", "_stays"))
-        found = stage_table(judged.filter("_stays").groupBy(*key).agg(F.min_by("_self", F.col("_self.rank")).alias("leader")))
+        judged = kept(judged.filter("_stays OR NOT _ready").select(*key, "_self", "_stays"), "judged")
+        firsts = kept(judged.groupBy(*key).agg(F.min_by("_self", F.when(F.col("_stays"), rank)).alias("leader"), F.min(F.when(~F.col("_stays"), rank)).alias("_before")), "firsts")
+        leads = F.col("leader").isNotNull() & (F.col("_before").isNull() | (F.col("leader.rank") < F.col("_before")))
+        found = firsts.filter(leads).select(*key, "leader")
         found_all = found if found_all is None else found_all.unionByName(found)
-        open_rows = judged.filter("NOT _ready").select(*key, "_self").join(found, key, "left_anti")
+        still = judged.join(firsts.filter(~leads), key).filter(F.col("leader").isNull() | (rank <= F.col("leader.rank")))
+        open_rows = kept(still.select(*key, "_self", F.col("_stays").alias("_sure")), "open")
         if open_rows.isEmpty():
             return found_all
         fresh = _facts(edges, found, key)
         known = fresh if facts is None else facts.unionByName(fresh).groupBy(*key, "distance").agg(F.min_by("leader", F.col("leader.rank")).alias("leader"))
-        facts = stage_table(known.join(open_rows.select(*key).distinct(), key, "left_semi"))
+        facts = kept(known.join(open_rows.select(*key).distinct(), key, "left_semi"), "facts")
 
 
 def absorb_duplicates(decisions: DataFrame, job: str, ident: str, lists: Sequence[str]) -> DataFrame:

@@ -62,6 +62,17 @@ def test_greedy_dedup_matches_loop(spark):
     assert got == greedy(clean)
 
 
+def test_frames_wait_only_for_what_may_be_nearer(spark, monkeypatch):
+    """Thirty frames that all resemble each other and are all kept, as they are far apart in time: two rounds, not thirty."""
+    rows = [("j", 0, 0, 0, 0, 0, False, None, True)] + [("j", i, 0, 1 << i, 1000 * i, 0, i == 7, None, True) for i in range(1, 30)]
+    rows += [("j", 100, 0, 1 << 3, 3010, 1, False, None, True), ("j", 101, 0, 1 << 3, 9000, 1, True, None, True)]
+    calls, facts = [], nd._facts
+    monkeypatch.setattr(nd, "_facts", lambda *a: calls.append(1) or facts(*a))
+    out = nd.greedy_dedup(spark.createDataFrame(rows, SCHEMA), "job_id", "frame_no", ["rank_key", "t", "frame_no"], nd.Protection(time_gap=40))
+    assert {(r.job_id, r.frame_no): (r.action, r.canonical_id, r.distance) for r in out.collect()} == greedy(rows)
+    assert len(calls) <= 3
+
+
 def test_pixels_protect(spark):
     plain, spot = bytes(64), bytes([0] * 30 + [255] * 4 + [0] * 30)
     rows = [("j", 0, 0, 0, 0, 0, False, None, True, plain), ("j", 1, 0, 1, 1, 0, False, None, True, plain), ("j", 2, 0, 3, 2, 0, False, None, True, spot), ("j", 3, 0, 3, 3, 0, False, None, True, spot)]
