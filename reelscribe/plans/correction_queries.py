@@ -262,15 +262,27 @@ def a11(spark, sf):
 
 def tokens(spark, sf):
     """Latin tokens of every document in order; ``ord`` orders all of them."""
-    d = v.docs(spark, sf).select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(r"[A-Za-zßé]+"), 0)).alias("pos", "term"))
+    d = v.docs(spark, sf).select("doc_id", "lang", F.posexplode(latin_tokens()).alias("pos", "term"))
     return d.withColumn("ord", F.col("doc_id") * 1_000_000 + F.col("pos"))
 
 
+def latin_tokens():
+    return F.regexp_extract_all("text", F.lit(r"[A-Za-zßé]+"), 0)
+
+
 def cited_terms(spark, sf):
-    """The tokens of each document once, with their first and last place; two of three documents show a frame. Extracted once and staged."""
-    t = tokens(spark, sf).groupBy("doc_id", "lang", "term").agg(F.min("ord").alias("ord"), F.max("ord").alias("last_ord"))
+    """The tokens of each document once, in order of their first places; two of three documents show a frame. Distinct within the row, without a shuffle."""
+    d = v.docs(spark, sf).select("doc_id", "lang", F.posexplode(F.array_distinct(latin_tokens())).alias("pos", "term"))
     frames = F.when(F.col("doc_id") % 3 > 0, F.array(F.floor(F.col("doc_id") / 5).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return stage_table(t.select("doc_id", "ord", "last_ord", "term", F.col("lang").alias("confidence"), F.array("term").alias("aliases"), F.array("doc_id").alias("transcript_ids"), frames.alias("frame_ids")))
+    return d.select("doc_id", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("ord"), "term", F.col("lang").alias("confidence"), F.array("term").alias("aliases"),
+                    F.array("doc_id").alias("transcript_ids"), frames.alias("frame_ids"), (F.col("doc_id") * 10).alias("paragraph_start"))
+
+
+def term_definitions(spark, sf):
+    """The last definition of each token: it names the last document that has it. ``ord`` follows the last places in the documents."""
+    d = v.docs(spark, sf).select("doc_id", F.posexplode(F.array_distinct(F.reverse(latin_tokens()))).alias("pos", "term"))
+    last = d.withColumn("ord", F.col("doc_id") * 1_000_000 - F.col("pos")).groupBy("term").agg(F.max("ord").alias("ord"), F.max("doc_id").alias("doc_id"))
+    return last.select("ord", "term", F.concat("term", F.col("doc_id").cast("string")).alias("definition"))
 
 
 TOKEN_SQL = "tk AS (SELECT doc_id, lang, term, doc_id * 1000000 + i - 1 AS ord FROM (SELECT doc_id, lang, unnest(l) AS term, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, lang, regexp_extract_all(text, '[A-Za-zßé]+') AS l FROM documents)))"
@@ -283,11 +295,8 @@ g AS (SELECT key, arg_min(term, ord) AS term, arg_min(lang, ord) AS confidence,
 w AS (SELECT {v.sql_casefold("upper(split_part(original, ' ', 1))")} AS key, array_to_string(list_sort(list_distinct(list(original))), '|') AS incorrect FROM tm WHERE decision = 'accepted' GROUP BY 1)
 SELECT key, term, confidence, CASE WHEN regexp_matches(term, '^[\x00-\x7f]*$') THEN term END AS english, aliases, coalesce(incorrect, '') AS incorrect, definition, evidence_count, frame_count, first_start FROM g LEFT JOIN w USING (key)""")
 def a13(spark, sf):
-    terms = cited_terms(spark, sf)
-    definitions = terms.select(F.col("last_ord").alias("ord"), "term", F.concat("term", F.col("doc_id").cast("string")).alias("definition"))
     fixes = v.terms(spark, sf).select(F.col("original").alias("original_text"), F.upper(F.split("original", " ")[0]).alias("suggested_text"), (F.col("decision") == "accepted").alias("applied"))
-    starts = v.docs(spark, sf).select(F.col("doc_id").alias("segment_id"), (F.col("doc_id") * 10).alias("paragraph_start"))
-    out = rp.merge_glossary(terms, definitions, fixes, starts)
+    out = rp.merge_glossary(cited_terms(spark, sf), term_definitions(spark, sf), fixes)
     return out.withColumns({"aliases": v.listed(F.col("aliases")), "incorrect": v.listed(F.col("incorrect"))})
 
 

@@ -225,3 +225,22 @@ def test_search_moves_no_text(spark, monkeypatch):
     assert got == sorted([(1, "na"), (1, "na"), (1, "theatre the"), (4, "x"), (4, "na"), (4, "na")])
     first = co.first_mention(terms.select("term").distinct(), texts.withColumn("at", F.col("id") * 10), ["id"], "text", "at", -1)
     assert {r.term: r.first_start for r in first.collect() if r.term} == {w: min([10 * i for i, x in enumerate(values) if x and w in x.lower()], default=-1) for w in words}
+
+
+def test_glossary_links_meet_in_cells(spark):
+    """64 segments of a term are one row before the shuffle; members are numbered over cells and blocks, ids below zero and both spellings included."""
+    from reelscribe.operators import reports as rp
+
+    ids = [*range(-70, 140), 2**40, 2**40 + 63]
+    rows = [(10 * i + j, t, "x", [t], [r], [r // 5] if r % 3 else None, r) for i, r in enumerate(ids) for j, t in enumerate(("Die", "die"))]
+    terms = spark.createDataFrame(rows, "ord bigint, term string, confidence string, aliases array<string>, transcript_ids array<bigint>, frame_ids array<bigint>, paragraph_start bigint")
+    cells = rp.glossary_links(terms).filter("kind = 'segment'").count()
+    assert cells == len({r // 64 for r in ids})
+    for span in (64, 8192):
+        got = {(m.key, m.kind, m.position): m.ref_id for m in rp.glossary_members(terms, span).collect()}
+        frames = sorted({r // 5 for r in ids if r % 3})
+        assert got == {**{("die", "segment", i + 1): str(r) for i, r in enumerate(ids)}, **{("die", "frame", i + 1): str(r) for i, r in enumerate(frames)}}
+    empty = spark.createDataFrame([], "ord bigint, term string, definition string")
+    none = spark.createDataFrame([], "original_text string, suggested_text string, applied boolean")
+    out = rp.merge_glossary(terms, empty, none).collect()
+    assert [(r.term, r.aliases, r.evidence_count, r.frame_count, r.first_start) for r in out] == [("Die", ["Die", "die"], len(ids), len(frames), -70)]
