@@ -12,7 +12,6 @@ from reelscribe.operators import reports as rp
 from reelscribe.plans import views as v
 from reelscribe.plans.registry import query
 from reelscribe.plans.text_queries import sql_replace_word
-from reelscribe.session import stage_table
 
 
 def doc_paragraphs(spark, sf):
