@@ -40,6 +40,12 @@ INLINE_KEYS = (
     "|buvid[34]|b_nut|b_lsid|sid|mid|uid|user_id|w_rid|wts|bili_ticket(?:_expires)?|ac_time_value"
 )
 MASK = "<redacted>"
+# The same findings for Java's engine, which then tries the alternatives only where one may begin: a look at the first character, no
+# steps back over letters, and no start inside a run of letters, which fails where its first letter does.
+_GARBLED_HERE = r"(?=[\x{fffd}锟ïÃÂâæåä\x00-\x08\x0b\x0c\x0e-\x1f])(?:" + GARBLED + ")"
+_GARBLED_PLAIN = r"(?=[ïÃÂæåä])(?:ï»¿|(?:[ÃÂæåä][^\n]){2,})"
+_NUMBER = r"\p{Nd}+(?:\.\p{Nd}+)?"
+_NUMBER_OR_SYMBOL_HERE = _NUMBER + r"|(?<![A-Za-z])[A-Za-z]++[_^][A-Za-z0-9]+"
 
 # Fixed values too: the patterns of inline secrets, header lines and links that masking depends on.
 _WS_OPEN = WHITESPACE[1:-1]
@@ -61,14 +67,39 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(needs, text)), text)
 
 
+def is_plain(text: Column) -> Column:
+    """Letters and signs below U+0300 only, and no blanks but spaces and line feeds: most texts, for which fewer rules can apply."""
+    return text.rlike(r"^[\n -~\x{a1}-\x{2ff}]*+\z")  # a search for a character outside takes ten times as long in Java
+
+
 def clean_text(text: Column) -> Column:
     """Normalised, white-space collapsed text with no blanks around punctuation."""
     # One pass maps every kind of blank to a space and the compatibility marks to theirs, and drops
     # the zero-width characters, so that the expressions below only touch the few places to change.
-    out = F.translate(nfc(text), BLANKS + COMPAT_FROM, " " * len(BLANKS) + COMPAT_TO)
+    plain = is_plain(text)
+    mapped = F.translate(nfc(text), BLANKS + COMPAT_FROM, " " * len(BLANKS) + COMPAT_TO)
+    out = F.when(plain, F.replace(text, F.lit("\n"), F.lit(" "))).otherwise(mapped)
     out = F.trim(F.regexp_replace(out, " {2,}", " "))
     out = F.regexp_replace(out, f" ([{CJK_STOPS},.!?;:])", "$1")
-    return F.regexp_replace(out, f"([{CJK_STOPS}]) ", "$1")
+    return F.when(plain, out).otherwise(F.regexp_replace(out, f"([{CJK_STOPS}]) ", "$1"))
+
+
+def visible_length(text: Column) -> Column:
+    """Characters that are no white space."""
+    plain = F.length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
+    return F.when(is_plain(text), plain).otherwise(F.length(F.translate(text, BLANKS + " ", ""))).cast("long")
+
+
+def is_blank(text: Column) -> Column:
+    """Nothing but white space."""
+    return ~text.rlike("[^" + WHITESPACE[1:])
+
+
+def number_or_symbol_count(text: Column) -> Column:
+    """Distinct numbers and symbols with a mark (``x_1``, ``x^2``); most texts hold no mark, so only numbers are looked for."""
+    marked = F.contains(text, F.lit("_")) | F.contains(text, F.lit("^"))
+    found = F.when(marked, F.regexp_extract_all(text, F.lit(_NUMBER_OR_SYMBOL_HERE), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)))
+    return F.size(F.array_distinct(found))
 
 
 def strip(text: Column) -> Column:
@@ -83,7 +114,7 @@ def normalize_readable(text: Column) -> Column:
 
 def is_garbled(text: Column) -> Column:
     """P3."""
-    return text.rlike(GARBLED)
+    return F.when(is_plain(text), text.rlike(_GARBLED_PLAIN)).otherwise(text.rlike(_GARBLED_HERE))
 
 
 def is_sensitive_key(key: Column) -> Column:

@@ -244,3 +244,21 @@ def test_glossary_links_meet_in_cells(spark):
     none = spark.createDataFrame([], "original_text string, suggested_text string, applied boolean")
     out = rp.merge_glossary(terms, empty, none).collect()
     assert [(r.term, r.aliases, r.evidence_count, r.frame_count, r.first_start) for r in out] == [("Die", ["Die", "die"], len(ids), len(frames), -70)]
+
+
+def test_text_measures_equal_their_plain_forms(spark):
+    """What is skipped for plain texts changes no measure, whatever blanks, marks, accents and broken bytes a text holds."""
+    draw = random.Random(5)
+    signs = ["a", "Zb", "1", "٣", "_", "^", ".", ",", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1f", "\x7f", "\x85", "\xa0", " ", "　", "​", "﻿",
+             "é", "é", "ï»¿", "Ã", "Â", "â€", "ä", "å", "æ", "�", "锟斤拷", "，", "。", "﹐", "!", ":", "\x00", "ß", "x_1", "3a^b"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 9))) for _ in range(3000)] + [None, "", " \n", "plain text, x_1"]
+    raw = F.col("text")
+    mapped = F.translate(tx.nfc(raw), tx.BLANKS + tx.COMPAT_FROM, " " * len(tx.BLANKS) + tx.COMPAT_TO)
+    clean = F.regexp_replace(F.trim(F.regexp_replace(mapped, " {2,}", " ")), f" ([{tx.CJK_STOPS},.!?;:])", "$1")
+    pairs = {
+        "clean": (tx.clean_text(raw), F.regexp_replace(clean, f"([{tx.CJK_STOPS}]) ", "$1")), "garbled": (tx.is_garbled(raw), raw.rlike(tx.GARBLED)),
+        "chars": (tx.visible_length(raw), F.length(F.regexp_replace(raw, tx.WHITESPACE + "+", "")).cast("long")), "blank": (tx.is_blank(raw), tx.strip(raw) == ""),
+        "symbols": (tx.number_or_symbol_count(raw), F.size(F.array_distinct(F.regexp_extract_all(raw, F.lit(tx.NUMBER_OR_SYMBOL), F.lit(0)))))}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", *[(~a.eqNullSafe(b)).alias(n) for n, (a, b) in pairs.items()])
+    wrong = rows.filter(" OR ".join(pairs)).collect()
+    assert not wrong, wrong[:5]
