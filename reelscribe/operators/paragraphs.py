@@ -17,6 +17,9 @@ from reelscribe.operators.intervals import overlap_join
 TERMINALS = ("。", "？", "！")
 TRANSITIONS = ("接下来", "然后我们", "下面", "总结")
 
+# Stands between the terms of a text that travel together.
+_BETWEEN = "\x1f"
+
 
 def group_by_boundaries(segments: DataFrame, line: tl.Timeline, boundaries: DataFrame, durations: DataFrame,
                         end: str = "end_ms", slack: int = 1, beyond: int = 1000) -> DataFrame:
@@ -177,16 +180,38 @@ def packet_summary(packets: DataFrame, members: DataFrame, part: str, ident: str
     return packets.join(sums, [part, "packet_id"], "left").select(*packets.columns, *counts.values())
 
 
-def packet_terms(packets: DataFrame, rows: DataFrame, part: str, start: str, end: str, text_id: str, texts: DataFrame, bin_size: int = 300_000) -> DataFrame:
+def packet_terms(packets: DataFrame, rows: DataFrame, part: str, start: str, end: str, text_id: str, texts: DataFrame, bin_size: int = 300_000,
+                 crowded: int = tl.ROWS_PER_BLOCK) -> DataFrame:
     """Term candidates of each packet as child rows: term, how many rows hold it, and whether one of them is primary.
 
     ``texts``: ``text_id`` and ``terms``, the distinct candidates of each text; rows name their text, and a packet's rows of one text count
-    before they meet its terms.
+    before they meet its terms. A text's terms travel to its packet as one string; only for packets of more than ``crowded`` texts they
+    travel one by one, added up in every task before, so that no packet lands in one task.
     """
+    from reelscribe.session import stage_table
+
     placed = packet_rows(packets, rows.select(part, start, end, text_id), part, start, end, bin_size)
-    counted = placed.groupBy(part, "packet_id", text_id).agg(F.count(F.lit(1)).alias("_n"), F.max(~F.col("context_only")).alias("_primary"))
-    found = counted.join(texts.select(text_id, F.explode("terms").alias("term")), text_id)
-    return found.groupBy(part, "packet_id", "term").agg(F.sum("_n").alias("row_count"), F.max("_primary").alias("in_primary"))
+    counted = stage_table(placed.groupBy(part, "packet_id", text_id).agg(F.count(F.lit(1)).alias("_n"), F.max(~F.col("context_only")).alias("_primary")))
+    large = stage_table(counted.groupBy(part, "packet_id").agg(F.count(F.lit(1)).alias("_texts")).filter(F.col("_texts") > crowded).select(part, "packet_id"))
+    # Terms that are empty or hold the separator themselves go beside the string.
+    odd = lambda t: t.isNull() | (t == "") | F.contains(t, F.lit(_BETWEEN))
+    usual = F.filter("terms", lambda t: ~odd(t))
+    joined = F.when(F.size(usual) > 0, F.array_join(usual, _BETWEEN)).alias("_joined")
+    packed = texts.filter(F.size("terms") > 0).select(text_id, joined, F.when(F.exists("terms", odd), F.filter("terms", odd)).alias("_odd"))
+    none = F.array().cast("array<string>")
+    term = F.explode(F.concat(F.coalesce(F.split("_joined", _BETWEEN, -1), none), F.coalesce("_odd", none))).alias("term")
+
+    def total(found: DataFrame) -> DataFrame:
+        return found.groupBy(part, "packet_id", "term").agg(F.sum("_n").alias("row_count"), F.max("_primary").alias("in_primary"))
+
+    def held(few: DataFrame) -> DataFrame:
+        return few.join(packed, text_id).select(part, "packet_id", "_n", "_primary", "_joined", "_odd")
+
+    fields = [part, "packet_id", "_n", "_primary", term]
+    if large.isEmpty():
+        return total(held(counted).repartition(part, "packet_id").select(*fields))
+    few, many = (tl.join_parts(counted, large, [part, "packet_id"], how) for how in ("left_anti", "left_semi"))
+    return total(held(few).repartition(part, "packet_id").select(*fields)).unionByName(total(held(many).select(*fields)))
 
 
 def packet_contents(packets: DataFrame, members: dict[str, DataFrame], part: str, ident: str) -> DataFrame:

@@ -262,3 +262,24 @@ def test_text_measures_equal_their_plain_forms(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", *[(~a.eqNullSafe(b)).alias(n) for n, (a, b) in pairs.items()])
     wrong = rows.filter(" OR ".join(pairs)).collect()
     assert not wrong, wrong[:5]
+
+
+def test_packet_terms_travel_together_or_one_by_one(spark):
+    """A text's terms reach a packet as one string (terms with the separator, empty and null ones beside it), those of a crowded packet as rows."""
+    listed = {0: ["A", "B"], 1: ["B", "x\x1fy", ""], 2: [], 3: [None, "C"], 4: ["\x1f"], 5: ["A"]}
+    packets = spark.createDataFrame([(j, f"P{n}", 10 * n, 10 * n + 10, 10 * n - 2, 10 * n + 12) for j in (1, 2) for n in range(3)],
+                                    "job_id int, packet_id string, primary_start bigint, primary_end bigint, context_start bigint, context_end bigint")
+    spans = [(j, t, t + 1, (t * j) % 7) for j in (1, 2) for t in range(0, 30, 2 if j == 1 else 9)]
+    rows = spark.createDataFrame(spans, "job_id int, start_ms bigint, end_ms bigint, doc int")
+    texts = spark.createDataFrame(list(listed.items()), "doc int, terms array<string>")
+    wanted = {}
+    for job, packet, start, end, low, high in packets.collect():
+        for _, a, b, doc in [s for s in spans if s[0] == job and s[2] > low and s[1] < high]:
+            for term in listed.get(doc, []):
+                n, primary = wanted.get((job, packet, term), (0, False))
+                wanted[job, packet, term] = n + 1, primary or start <= a < end
+    for crowded in (1, 3, 100):
+        got = pg.packet_terms(packets, rows, "job_id", "start_ms", "end_ms", "doc", texts, 10, crowded).collect()
+        assert len(got) == len(wanted) and {tuple(r)[:3]: tuple(r)[3:] for r in got} == wanted, crowded
+    plan = pg.packet_terms(packets, rows, "job_id", "start_ms", "end_ms", "doc", texts, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(job_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning" in x and "term#" in x]
