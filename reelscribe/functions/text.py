@@ -186,9 +186,12 @@ def is_word_term(original: Column) -> Column:
     return F.translate(original, "- ", "").rlike("^[A-Za-z0-9]+$")
 
 
+def _quoted(original: Column) -> Column:
+    return F.concat(F.lit("\\Q"), F.replace(original, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def _literal_pattern(original: Column) -> Column:
-    quoted = F.concat(F.lit("\\Q"), F.replace(original, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.concat(F.lit("(?<![A-Za-z])"), quoted, F.lit("(?![A-Za-z])"))
+    return F.concat(F.lit("(?<![A-Za-z])"), _quoted(original), F.lit("(?![A-Za-z])"))
 
 
 def _literal_template(suggested: Column) -> Column:
@@ -205,3 +208,23 @@ def count_term(text: Column, original: Column) -> Column:
     """How many replacements ``replace_term`` makes."""
     word = F.regexp_count(text, _literal_pattern(original)).cast("long")
     return F.when(is_word_term(original), word).otherwise(count_of(text, original))
+
+
+def holds_term(text: Column, original: Column) -> Column:
+    """Whether ``replace_term`` replaces anything: a search for the literal first, its neighbours after, up to the first place."""
+    quoted = _quoted(original)
+    pattern = F.concat(quoted, F.lit("(?<![A-Za-z]"), quoted, F.lit(")(?![A-Za-z])"))
+    return F.when(is_word_term(original), F.regexp_like(text, pattern)).otherwise(F.contains(text, original))
+
+
+def letter_runs(text: Column) -> Column:
+    """Hashes of the distinct runs of ASCII letters in a text, for ``key_run``."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))), lambda run: F.hash(run))
+
+
+def key_run(term: Column) -> Column:
+    """Hash of the longest run of ASCII letters in a whole-word term: a text that holds the term has this run among its own, as no letter
+    stands beside the term. Null where that tells nothing, for other terms and terms without letters."""
+    runs = F.regexp_extract_all(term, F.lit("[A-Za-z]+"), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run).alias("n"), run.alias("run"))))["run"]
+    return F.when(is_word_term(term) & longest.isNotNull(), F.hash(longest))

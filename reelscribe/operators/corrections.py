@@ -48,14 +48,20 @@ def propose_corrections(suggestions: DataFrame, cited: DataFrame, paragraphs: Da
                .groupBy("suggestion_no", "paragraph_no").agg(F.count_distinct("segment_id").alias("cited_segments")))
     seen = (cited.filter("frame_id IS NOT NULL").join(frames.select("frame_id").distinct(), "frame_id")
             .groupBy("suggestion_no").agg(F.count_distinct("frame_id").alias("cited_frames")))
-    rows = alts.join(touched, "suggestion_no").join(paragraphs.select("paragraph_no", "paragraph_id", "text_clean"), "paragraph_no")
+    # Most terms are not there at all. For whole-word terms the runs of letters of a text, taken once, tell that without a look at the text.
     compact = F.replace("alt_original", F.lit(" "), F.lit(""))
+    keyed = alts.withColumns({"_compact": compact, "_key": tx.key_run(F.col("alt_original")), "_compact_key": tx.key_run(compact)})
+    texts = paragraphs.select("paragraph_no", "paragraph_id", "text_clean", tx.letter_runs(F.col("text_clean")).alias("_runs"))
+    rows = keyed.join(touched, "suggestion_no").join(texts, "paragraph_no")
 
-    def occurs(term: Column) -> Column:
-        # Most terms are not there at all, which a plain search tells before any pattern is made.
-        return F.coalesce((term != "") & F.contains(F.col("text_clean"), term) & (tx.count_term(F.col("text_clean"), term) > 0), F.lit(False))
+    def may_occur(key: str) -> Column:
+        return F.col(key).isNull() | F.array_contains("_runs", F.col(key))
 
-    actual = F.when(occurs(F.col("alt_original")), F.col("alt_original")).when(occurs(compact), compact)
+    def occurs(term: str, key: str) -> Column:
+        held = F.contains(F.col("text_clean"), F.col(term)) & tx.holds_term(F.col("text_clean"), F.col(term))
+        return F.coalesce((F.col(term) != "") & may_occur(key) & held, F.lit(False))
+
+    actual = F.when(occurs("alt_original", "_key"), F.col("alt_original")).when(occurs("_compact", "_compact_key"), F.col("_compact"))
     rows = rows.withColumn("original_text", actual).filter("original_text IS NOT NULL")
     encounter = F.struct("suggestion_no", "alt_no")
     first = rows.groupBy("paragraph_no", "paragraph_id", "original_text").agg(

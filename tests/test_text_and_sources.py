@@ -283,3 +283,18 @@ def test_packet_terms_travel_together_or_one_by_one(spark):
         assert len(got) == len(wanted) and {tuple(r)[:3]: tuple(r)[3:] for r in got} == wanted, crowded
     plan = pg.packet_terms(packets, rows, "job_id", "start_ms", "end_ms", "doc", texts, 10)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(job_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning" in x and "term#" in x]
+
+
+def test_letter_runs_lose_no_term(spark):
+    """A text that holds a term has its key run, and the search of the literal finds what the counted pattern finds."""
+    draw = random.Random(11)
+    signs = ["a", "b", "ab", "é", "1", "-", " ", ".", "/", "A", "\\E", "_", "ß"]
+    made = lambda n: "".join(draw.choice(signs) for _ in range(draw.randint(0, n)))
+    pairs = spark.createDataFrame([(made(14), made(4)) for _ in range(6000)] + [("ab", None), (None, "ab")], "text string, term string").filter("term IS NULL OR term <> ''")
+    text, term = F.col("text"), F.col("term")
+    held = F.coalesce(F.contains(text, term) & tx.holds_term(text, term), F.lit(False))
+    found = pairs.select("text", "term", F.coalesce(tx.count_term(text, term) > 0, F.lit(False)).alias("counted"), held.alias("held"),
+                         F.coalesce(tx.key_run(term).isNull() | F.array_contains(tx.letter_runs(text), tx.key_run(term)), F.lit(False)).alias("may"))
+    assert found.filter("counted").count() > 300 and found.filter("counted AND NOT may").count() == 0
+    assert found.filter("NOT may").count() > 500
+    assert found.filter("counted <> held").count() == 0
