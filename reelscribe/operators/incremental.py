@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscribe import schemas
@@ -110,6 +110,14 @@ def write_units(rows: DataFrame, target: str, part: str) -> None:
     rows.hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(target)
 
 
+def folder_times(spark: SparkSession, target: str, part: str, name: str) -> DataFrame:
+    """(part, ``name``): when the newest file of each folder was written. No file is opened."""
+    from reelscribe.session import read_folders
+
+    files = read_folders(spark, target, "binaryFile", pathGlobFilter="*.parquet")
+    return files.groupBy(part).agg(F.max("modificationTime").alias(name))
+
+
 def rebuild_changed(source: DataFrame, target: str, changed: DataFrame, unit: str, part: str, build: Callable[[DataFrame], DataFrame]) -> int:
     """Build the changed units anew and rewrite the folders they lie in, no others; the number of folders.
 
@@ -118,7 +126,7 @@ def rebuild_changed(source: DataFrame, target: str, changed: DataFrame, unit: st
     rows loses its own. Names of touched folders come to the driver, which lists the table's folders anyway, and are the
     partition filter of both reads. Old files are replaced when all new ones are written (dynamic partition overwrite).
     """
-    from reelscribe.session import stage_table
+    from reelscribe.session import read_folders, stage_table
 
     spark = source.sparkSession
     units = stage_table(changed.select(unit, part).distinct())
@@ -128,7 +136,7 @@ def rebuild_changed(source: DataFrame, target: str, changed: DataFrame, unit: st
     near = F.col(part).isin([p for p in touched if p is not None])
     near = near | F.col(part).isNull() if None in touched else near
     fresh = build(tl.join_parts(source.filter(near), units.select(unit), [unit], "left_semi"))
-    kept = tl.join_parts(spark.read.parquet(target).filter(near), units.select(unit), [unit], "left_anti")
+    kept = tl.join_parts(read_folders(spark, target).filter(near), units.select(unit), [unit], "left_anti")
     rows = kept.withColumn(part, F.col(part).cast(fresh.schema[part].dataType)).unionByName(fresh)
     rows.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(target)
     return len(touched)

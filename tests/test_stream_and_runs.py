@@ -126,3 +126,26 @@ def test_rebuild_changed_leaves_other_folders_alone(spark, tmp_path):
     got = sorted((r.unit, r.part, r.v) for r in spark.read.parquet(target).select("unit", F.col("part").cast("long"), "v").fillna(-1).collect())
     assert got == sorted((r.unit, r.part, r.v) for r in build(later).fillna(-1).collect())
     assert inc.rebuild_changed(later, target, changed.limit(0), "unit", "part", build) == 0 and files() == after
+
+
+def test_folder_times_tell_rewritten_folders_and_listing_has_few_tasks(spark, tmp_path):
+    import os
+
+    from reelscribe.session import _LISTING, read_folders
+
+    target = str(tmp_path / "many")
+    rows = spark.range(600).select(F.col("id").alias("unit"), (F.col("id") % 200).alias("part"))
+    inc.write_units(rows, target, "part")
+    setting, tracker = spark.conf.get(_LISTING), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    table = read_folders(spark, target)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("other", "other")
+    assert max(s.numTasks for s in stages) <= 32 * spark.sparkContext.defaultParallelism < 200 and spark.conf.get(_LISTING) == setting
+    assert table.count() == 600
+    for d, _, names in os.walk(target):
+        for f in names:
+            if f.endswith(".parquet"):
+                os.utime(os.path.join(d, f), (1000, 1000 + d.endswith("part=7")))
+    times = {r.part: r.t.timestamp() for r in inc.folder_times(spark, target, "part", "t").collect()}
+    assert len(times) == 200 and {p for p, t in times.items() if t == 1001} == {7} and set(times.values()) == {1000, 1001}
