@@ -208,10 +208,12 @@ def packet_terms(packets: DataFrame, rows: DataFrame, part: str, start: str, end
         return few.join(packed, text_id).select(part, "packet_id", "_n", "_primary", "_joined", "_odd")
 
     fields = [part, "packet_id", "_n", "_primary", term]
+    # Some 32,768 texts with all their terms for a task, so that its sums fit in memory; by the size of the strings they would be far more.
+    tasks = 1 + counted.count() // 32_768
     if large.isEmpty():
-        return total(held(counted).repartition(part, "packet_id").select(*fields))
+        return total(held(counted).repartition(tasks, part, "packet_id").select(*fields))
     few, many = (tl.join_parts(counted, large, [part, "packet_id"], how) for how in ("left_anti", "left_semi"))
-    return total(held(few).repartition(part, "packet_id").select(*fields)).unionByName(total(held(many).select(*fields)))
+    return total(held(few).repartition(tasks, part, "packet_id").select(*fields)).unionByName(total(held(many).select(*fields)))
 
 
 def packet_contents(packets: DataFrame, members: dict[str, DataFrame], part: str, ident: str) -> DataFrame:
