@@ -55,8 +55,12 @@ def _distinct(numbers: np.ndarray) -> np.ndarray:
 
 
 def _packed_run(batches: list[pa.RecordBatch], span: int) -> pa.RecordBatch:
-    """(key, block, ids) of some rows (key, list of ids, ...). The ids of a block are places in it, those of the n-th list after n spans."""
+    """(key, block, ids) of some rows (key, list of ids, ...). The ids of a block are places in it, those of the n-th list after n spans.
+
+    ``batches`` is emptied, so that the rows are gone before the arrays of their ids are made.
+    """
     table = pa.Table.from_batches(batches)
+    batches.clear()
     keys = table.column(0).dictionary_encode("encode").combine_chunks()
     code, width = keys.indices.to_numpy(zero_copy_only=False), (table.num_columns - 1) * span
     owners, picks, blocks, places, n = [], [], [], [], 0
@@ -72,13 +76,14 @@ def _packed_run(batches: list[pa.RecordBatch], span: int) -> pa.RecordBatch:
         n += len(block)
     if n == 0:
         return pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["key", "block", "ids"])
+    del table, column, lists, held, ids
     # The distinct ids are few beside the pairs, which are numbers (key, rank of the id) from here on.
     block, place = np.concatenate(blocks), np.concatenate(places)
     order = np.lexsort((place, block))
     block, place, rank = block[order], place[order], np.empty(n, np.int64)
     rank[order] = np.arange(n)
     pairs = _distinct(np.concatenate([o.astype(np.int64) * n + rank[p] for o, p in zip(owners, picks)]))
-    del table, lists, held, ids, owners, picks
+    del owners, picks
     owner = (pairs // n).astype(np.int32)
     pairs %= n
     block, gaps = block[pairs], place[pairs]
@@ -161,7 +166,7 @@ def sorted_lists(cited: DataFrame, key: str, lists: list[str], span: int = SPAN,
             size += batch.num_rows + sum(len(pc.list_flatten(c)) for c in batch.columns[1:])
             if size >= run_ids:
                 yield _packed_run(held, span)
-                held, size = [], 0
+                size = 0
         if held:
             yield _packed_run(held, span)
 
